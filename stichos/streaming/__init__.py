@@ -1,0 +1,5 @@
+"""No streaming operators: every stage of the engine is a batch job.
+
+The per-line stages (`functions.text`, `operators.scansion.scan_lines` without a form
+table) hold no state, so they may also be applied to a streaming DataFrame as they are.
+"""
