@@ -97,7 +97,7 @@ def nuclei_count(skel) -> Column:
 _CLASS_FROM = MUTES + LIQUIDS_RL + LIQUIDS_MN + DOUBLE_CONSONANTS + " "
 _CLASS_TO = "p" * len(MUTES) + "rrnn" + "zzz"
 NUCLEI = "AEIYBD"
-KINDS = "oxz468<vprns"
+KINDS = "oxz4689<vprns"
 
 
 def cv_pattern(skel) -> Column:
@@ -105,14 +105,14 @@ def cv_pattern(skel) -> Column:
     and one letter for the consonants up to there.
 
     o none, x closed, z one double consonant, 4 mute + r/l, 6 mute + m/n, 8 two with a
-    digamma, < one short z, v one digamma, other letters one open consonant.
+    digamma (9 if the other is a double one), < one short z, v one digamma, other letters one open consonant.
     """
     t = F.regexp_replace(_col(skel), r"^[^A-Z]+", "")
     t = F.regexp_replace(t, r"([A-Z])(?=[a-z^]* )", "$1|")
     t = F.replace(F.translate(F.replace(t, F.lit("z^"), F.lit("<")), _CLASS_FROM, _CLASS_TO), F.lit("^"), F.lit(""))
-    t = F.replace(F.replace(t, F.lit("pr"), F.lit("4")), F.lit("pn"), F.lit("6"))
+    t = F.replace(F.replace(F.replace(t, F.lit("pr"), F.lit("4")), F.lit("pn"), F.lit("6")), F.lit("zv"), F.lit("9"))
     t = F.regexp_replace(t, r"(?<=[A-Z|])(?:v[a-z]|[a-z]v)(?=[A-Z])", "8")
-    t = F.regexp_replace(t, r"(?<=[A-Z|])(?:[a-z46<]{2,}|[a-z<]$)", "x")
+    t = F.regexp_replace(t, r"(?<=[A-Z|])(?:[a-z469<]{2,}|[a-z9<]$)", "x")
     return F.regexp_replace(t, r"([A-Z]\|?)(?=[A-Z]|$)", "$1o")
 
 
@@ -152,8 +152,8 @@ def packed_sets(pattern, approach: str) -> dict[str, Column]:
         "nature": _digits(t, {"1": "A", "2": "EB", "4": "Y"}, NUCLEI, KINDS + "|"),
         "shorten": _digits(t, {"1": shorten}, NUCLEI, KINDS + "|"),
         "pause": F.conv(pause, 8, 10).cast("long"),
-        "kind": _digits(t, {"1": "o", "2": "xz46", "4": "v"}, KINDS, NUCLEI + "|"),
-        "pairs": _digits(t, {"1": "4", "2": "6", "4": "8"}, KINDS, NUCLEI + "|"),
+        "kind": _digits(t, {"1": "o", "2": "xz469", "4": "v"}, KINDS, NUCLEI + "|"),
+        "pairs": _digits(t, {"1": "4", "2": "6", "4": "89"}, KINDS, NUCLEI + "|"),
         "short_z": _digits(t, {"1": "<"}, KINDS, NUCLEI + "|")}
 
 

@@ -63,11 +63,14 @@ def scan_lines(lines: DataFrame, sound_text: str = "text", approach: str = ph.ST
     df = df.withColumn("_feet", F.when(F.col("scan_pass").isNotNull(),
                                        ft.feet_of(at, F.col("_b_n"), F.col("_relax"))))
     good = F.coalesce(F.col("_feet") != ft.AMBIGUOUS, F.lit(False))
-    return df.select(
-        *lines.columns, "scan_pass", F.when(good, F.col("_feet")).alias("feet"),
+    result = F.struct(
+        F.col("scan_pass").alias("scan_pass"), F.when(good, F.col("_feet")).alias("feet"),
         good.alias("scanned"), F.coalesce(F.col("_feet") == ft.AMBIGUOUS, F.lit(False)).alias("ambiguous"),
         F.when(good, F.struct(*[F.col(f"_b_{c}").alias(c) for c in ph.SET_NAMES])).alias("syl"),
         F.when(good, ft.resolved_long("_feet", "_b_short")).alias("long"))
+    # A generator of one row: a filter on the result stays above it. Pushed below, it would
+    # be rewritten in terms of every stage underneath, and that grows without bound.
+    return df.select(*lines.columns, F.inline(F.array(result)))
 
 
 def _stage(df: DataFrame, prefix: str, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:

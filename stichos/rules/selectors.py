@@ -129,9 +129,9 @@ def decision(arms: list[tuple[str, str]]) -> str:
 
 def select_rows(rows: DataFrame, arms: list[tuple[str, str]], text: str = "text_name", sub: str = "sub") -> DataFrame:
     """V-0: keep the rows a selector takes, with is_test, show_name and label."""
-    named_rows = rows.withColumn("text", F.col(text)).withColumn("_sub", F.col(sub)).withColumn(
-        "name", F.concat_ws(": ", text, sub))
-    said: Column = F.split(F.expr(decision(arms).replace("sub ", "_sub ").replace("(sub", "(_sub")), " ")
-    out = named_rows.withColumn("_d", said).filter(F.col("_d")[0] != "skip")
-    return out.select(*rows.columns, "name", (F.col("_d")[0] == "test").alias("is_test"),
+    packed = rows.select(F.struct(*rows.columns).alias("_row"), F.col(text).alias("text"), F.col(sub).alias("sub"),
+                         F.concat_ws(": ", text, sub).alias("name"))
+    said: Column = F.split(F.expr(decision(arms)), " ")
+    out = packed.withColumn("_d", said).filter(F.col("_d")[0] != "skip")
+    return out.select("_row.*", "name", (F.col("_d")[0] == "test").alias("is_test"),
                       (F.col("_d")[1] == "show").alias("show_name"), F.col("_d")[2].cast("int").alias("label"))
