@@ -30,8 +30,7 @@ def _pairs():
     out = set()
     for _, arms in table.RULES.values():
         for test, _ in arms:
-            names = re.findall(r"lemma IN \(([^)]*(?:\)[^)']*'[^)]*)*)\)(?: AND|$|\))", test) or re.findall(r"lemma IN \((.*?'\))", test)
-            names = [n for part in re.findall(r"lemma IN \(((?:'[^']*'(?:, )?)+)\)", test) for n in re.findall(r"'([^']*)'", part)]
+                names = [n for part in re.findall(r"lemma IN \(((?:'[^']*'(?:, )?)+)\)", test) for n in re.findall(r"'([^']*)'", part)]
             begins = re.findall(r"(?:left\(\w+, \d+\)|clean|substr\(clean, 2, 3\)) = '([^']*)'", test)
             begins += [n for part in re.findall(r"form IN \(((?:'[^']*'(?:, )?)+)\)", test) for n in re.findall(r"'([^']*)'", part)]
             out |= {(n, s) for n in names for s in (begins or ["x"])}
@@ -43,30 +42,35 @@ SUFFIXES = sorted({s for _, arms in table.RULES.values() for test, _ in arms for
 
 
 def rule_parses(spark, sf):
-    """Up to three parses per token, dense in words and endings the rules know."""
+    """Up to three parses per token, dense in words, classes and endings the rules know."""
     p = ql.parses(spark, sf)
-    size, b, d = F.length("token"), F.ascii("token"), F.ascii(F.right("token", F.lit(1)))
-    k = (size * 31 + b * 7 + d * 3 + F.col("parse_no") * 11) % len(PAIRS) + 1
-    e = (size * 5 + b * 3 + d * 13 + F.col("parse_no") * 17) % len(SUFFIXES) + 1
+    k = ql.part(70) % len(PAIRS) + 1
     lem, start = (F.element_at(F.array(*[F.lit(x[i]) for x in PAIRS]), k) for i in (0, 1))
-    end = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), e)
-    exact = (size + d) % 4 == 0
-    return p.withColumn("lemma", F.when((size + b) % 3 == 0, lem).otherwise(F.col("lemma"))).withColumn(
-        "form", F.when(exact, start).otherwise(F.concat(start, "token", end)))
+    end = ql.chosen(SUFFIXES, 71)
+    kind = ql.part(72) % 3
+    return (p.withColumn("lemma", F.when(kind == 0, lem).when(kind == 1, ql.chosen(VERBS, 73)).otherwise(F.col("lemma")))
+            .withColumn("form", F.when((kind == 0) & (ql.part(74) % 2 == 0), start).when(kind == 0, F.concat(start, "token", end))
+                        .otherwise(F.concat("token", end)))
+            .withColumn("pos", F.when(kind == 1, "verb").otherwise(F.col("pos"))))
 
 
-def _sq(values):
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+VERBS = ["tima/w", "di/dwmi", "ti/qhmi", "te/xnaomai", "oi)=da", "ei)mi/", "lu/w"]
 
 
 SQL_RULE_PARSES = ql.SQL_PARSES + f""",
-rp0 AS (SELECT *, length(token) AS a, ascii(token) AS b, ascii(right(token, 1)) AS d FROM parses),
-rp1 AS (SELECT * EXCLUDE (lemma, form), CASE WHEN (a + b) % 3 = 0 THEN ({_sq([x[0] for x in PAIRS])})[(a * 31 + b * 7 + d * 3 + parse_no * 11) % {len(PAIRS)} + 1] ELSE lemma END AS lemma,
-  ({_sq([x[1] for x in PAIRS])})[(a * 31 + b * 7 + d * 3 + parse_no * 11) % {len(PAIRS)} + 1] AS st, ({_sq(SUFFIXES)})[(a * 5 + b * 3 + d * 13 + parse_no * 17) % {len(SUFFIXES)} + 1] AS en FROM rp0),
-rp AS (SELECT * EXCLUDE (st, en), CASE WHEN (a + d) % 4 = 0 THEN st ELSE st || token || en END AS form, count(*) OVER (PARTITION BY token) AS n_parses FROM rp1),
+rp1 AS (SELECT * EXCLUDE (lemma, form, pos), {ql.sql_part(72)} % 3 AS kind, lemma AS lm, pos AS ps,
+  ({ql._list([x[0] for x in PAIRS])})[{ql.sql_part(70)} % {len(PAIRS)} + 1] AS pl, ({ql._list([x[1] for x in PAIRS])})[{ql.sql_part(70)} % {len(PAIRS)} + 1] AS st,
+  {ql.sql_chosen(SUFFIXES, 71)} AS en, {ql.sql_chosen(VERBS, 73)} AS vb, {ql.sql_part(74)} % 2 AS exact FROM parses),
+rp AS (SELECT * EXCLUDE (st, en, vb, exact, pl, lm, ps, kind), CASE kind WHEN 0 THEN pl WHEN 1 THEN vb ELSE lm END AS lemma,
+  CASE WHEN kind = 0 AND exact = 0 THEN st WHEN kind = 0 THEN st || token || en ELSE token || en END AS form,
+  CASE WHEN kind = 1 THEN 'verb' ELSE ps END AS pos, count(*) OVER (PARTITION BY token) AS n_parses FROM rp1),
 prep AS (SELECT *, {c.sql_strip('form')} AS clean, {c.sql_strip('lemma')} AS clean_lemma FROM rp)"""
 
 
+def _sq(values):
+    return ql._list(values)
+
+
 def _codes_sql(names):
     cells = ", ".join("{'rule': '" + r + "', 'code': " + table.case_expression(r, votes.code_of, '"') + "}" for r in names)
     return f"""voted AS (SELECT token, parse_no, n_parses, v.rule AS rule, v.code AS code, (v.code % 3) - 1 AS d0, (v.code // 3 % 3) - 1 AS d1, (v.code // 9) - 1 AS d2

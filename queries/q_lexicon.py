@@ -43,9 +43,8 @@ CLASSES = ["type_1_2_os/a/on_adjective", "type_2nd_decl_adjective", "type_us_eia
            "alpha_stem_-h", "alpha_stem_short_-a", "alpha_stem_eir_-a", "alpha_stem_eir_short_-a", "digamma_stem", "iota_stem",
            "omicron_stem", "no_special_type"]
 ENDS = ["", "os", "h", "hs", "as", "ou", "oio", "eos", "ei", "essi", "sin", "atai", "ntai", "menai", "san", "hn", "wn", "w"]
-_PARTS = (("lemma", LEMMAS, 7, 3, False), ("pos", POS, 5, 1, False), ("case", CASES, 3, 2, True), ("number", NUMBERS, 1, 1, True),
-          ("gender", GENDERS, 2, 5, True), ("tense", TENSES, 1, 4, True), ("mood", MOODS, 4, 1, True), ("voice", VOICES, 3, 7, True),
-          ("person", PERSONS, 6, 1, True), ("stem_class", CLASSES, 2, 3, False))
+_PARTS = (("lemma", LEMMAS, False), ("pos", POS, False), ("case", CASES, True), ("number", NUMBERS, True), ("gender", GENDERS, True),
+          ("tense", TENSES, True), ("mood", MOODS, True), ("voice", VOICES, True), ("person", PERSONS, True), ("stem_class", CLASSES, False))
 TAGS = ["ionic", "epic ionic", "aeolic", "epic", "attic"]
 
 
@@ -53,42 +52,45 @@ def vocabulary(spark, sf):
     return c.tokens(spark, sf).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def part(k):
+    """A number 0 ... 65535 from the md5 of token and parse; k chooses which."""
+    return F.conv(F.substr(F.md5(F.concat_ws("#", "token", "parse_no", F.lit(str(k))).cast("binary")), F.lit(1), F.lit(4)), 16, 10).cast("int")
+
+
+def chosen(values, k):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), part(k) % len(values) + 1)
+
+
 def parses(spark, sf):
-    """One to three parses per distinct token; about one property in four is missing."""
+    """One to three parses per distinct token; one property in eight is missing."""
     v = vocabulary(spark, sf).filter("length(token) > 2")
-    size, first, last = F.length("token"), F.ascii("token"), F.ascii(F.right("token", F.lit(1)))
-    p = v.select("token", size.alias("a"), first.alias("b"), last.alias("d"),
-                 F.explode(F.sequence(F.lit(0), (size + first) % 3)).alias("parse_no"))
-    seed = lambda x, y: F.col("a") * x + F.col("b") * y + F.col("d") + F.col("parse_no") * (x + 2 * y)
-    pick = lambda values, x, y: F.element_at(F.array(*[F.lit(v) for v in values]), seed(x, y) % len(values) + 1)
-    out = p.select("token", "parse_no", F.concat("token", pick(ENDS, 2, 1)).alias("form"), *[
-        (F.when(seed(y, x + 1) % 4 != 0, pick(vals, x, y)) if gaps else pick(vals, x, y)).alias(name)
-        for name, vals, x, y, gaps in _PARTS],
-        F.when(seed(1, 1) % 3 != 0, pick(TAGS, 3, 1)).alias("dialect"),
-        F.when(seed(2, 2) % 5 == 0, "unaugmented").alias("feature"))
-    return out
+    p = v.select("token", F.explode(F.sequence(F.lit(0), (F.length("token") + F.ascii("token")) % 3)).alias("parse_no"))
+    return p.select("token", "parse_no", F.concat("token", chosen(ENDS, 90)).alias("form"), *[
+        (F.when(part(50 + k) % 8 != 0, chosen(vals, k)) if gaps else chosen(vals, k)).alias(name)
+        for k, (name, vals, gaps) in enumerate(_PARTS)],
+        F.when(part(91) % 3 != 0, chosen(TAGS, 92)).alias("dialect"), F.when(part(93) % 5 == 0, "unaugmented").alias("feature"))
 
 
 def _list(values):
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _seed(x, y):
-    return f"(a * {x} + b * {y} + d + parse_no * {x + 2 * y})"
+def sql_part(k):
+    return f"CAST('0x' || left(md5(token || '#' || parse_no || '#{k}'), 4) AS INTEGER)"
 
 
-def _pick(values, x, y):
-    return f"({_list(values)})[{_seed(x, y)} % {len(values)} + 1]"
+def sql_chosen(values, k):
+    return f"({_list(values)})[{sql_part(k)} % {len(values)} + 1]"
 
 
 SQL_PARSES = SQL_BENCH + f""",
 vocab AS (SELECT token, count(*) AS n FROM std GROUP BY token),
 ab AS (SELECT token, length(token) AS a, ascii(token) AS b, ascii(right(token, 1)) AS d FROM vocab WHERE length(token) > 2),
-pn AS (SELECT token, a, b, d, CAST(unnest(range(0, (a + b) % 3 + 1)) AS INTEGER) AS parse_no FROM ab),
-parses AS (SELECT token, parse_no, token || {_pick(ENDS, 2, 1)} AS form, {", ".join(
-    (f"CASE WHEN {_seed(y, x + 1)} % 4 <> 0 THEN {_pick(vals, x, y)} END" if gaps else _pick(vals, x, y)) + f' AS "{name}"'
-    for name, vals, x, y, gaps in _PARTS)},
-  CASE WHEN {_seed(1, 1)} % 3 <> 0 THEN {_pick(TAGS, 3, 1)} END AS dialect, CASE WHEN {_seed(2, 2)} % 5 = 0 THEN 'unaugmented' END AS feature FROM pn)"""
+pn AS (SELECT token, CAST(unnest(range(0, (a + b) % 3 + 1)) AS INTEGER) AS parse_no FROM ab),
+parses AS (SELECT token, parse_no, token || {sql_chosen(ENDS, 90)} AS form, {", ".join(
+    (f"CASE WHEN {sql_part(50 + k)} % 8 <> 0 THEN {sql_chosen(vals, k)} END" if gaps else sql_chosen(vals, k)) + f' AS "{name}"'
+    for k, (name, vals, gaps) in enumerate(_PARTS))},
+  CASE WHEN {sql_part(91)} % 3 <> 0 THEN {sql_chosen(TAGS, 92)} END AS dialect, CASE WHEN {sql_part(93)} % 5 = 0 THEN 'unaugmented' END AS feature FROM pn)"""
 
 
 @query("x01_lookup_parses", f"""WITH {SQL_PARSES}

@@ -29,12 +29,12 @@ def prepare_parses(parses: DataFrame, stem_classes: DataFrame | None = None) ->
 def rule_votes(prepared: DataFrame, rules=table.RULE_NAMES) -> DataFrame:
     """R-1: one row per (token, parse_no, rule) that votes, with the combination code.
 
-    The rules are plain CASE columns; a generator turns the codes of a parse into rows.
+    All rules of a parse sit in one array inside a higher-order filter: as 42 plain columns
+    they would outgrow the size of one generated method.
     """
-    codes = {f"_r{k}": F.expr(table.case_expression(r, votes.code_of)) for k, r in enumerate(rules)}
-    wide = prepared.select("token", "parse_no", "n_parses", *[c.alias(n) for n, c in codes.items()])
-    cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"_r{k}").alias("code")) for k, r in enumerate(rules)])
-    return wide.select("token", "parse_no", "n_parses", F.inline(
+    cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(table.case_expression(r, votes.code_of)).alias("code"))
+                      for r in rules])
+    return prepared.select("token", "parse_no", "n_parses", F.inline(
         F.filter(cells, lambda c: c["code"] != votes.NEUTRAL)))
 
 
