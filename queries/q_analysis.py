@@ -1,2 +1,238 @@
+"""V-*, P-*: row selection, components, neighbours, folds, classifiers and their reports."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from queries import common as c
+from stichos.operators import folds as fo, learn as le, neighbours as nb
+from stichos.rules import selectors as se
+from stichos.sources import corpus
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name, sql=None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+    return add
+
+
+# ---- V-*: documents stand for rows of the matrix: the source is the text, the id the part ------------------
+
+TEXTS = [r.split(" | ")[0].strip() for r in corpus.MANIFEST.strip().splitlines()]
+
+
+def _rows(spark, sf):
+    d = c.load(spark, sf, "documents")
+    k = F.substr("source", F.lit(4)).cast("int") + F.col("doc_id") % 11
+    return d.select("doc_id", F.element_at(F.array(*[F.lit(t) for t in TEXTS]), (k % len(TEXTS) + 1).cast("int")).alias("text_name"),
+                    F.when(F.col("doc_id") % 4 == 0, "Overall").otherwise(F.concat(F.lit("Book "), (F.col("doc_id") % 48 + 1).cast("string"))).alias("sub"))
+
+
+_ROWS_SQL = f"""rows AS (SELECT doc_id, ({'[' + ', '.join("'" + t + "'" for t in TEXTS) + ']'})[CAST((CAST(substr(source, 4) AS INTEGER) + doc_id % 11) % {len(TEXTS)} + 1 AS INTEGER)] AS text,
+  CASE WHEN doc_id % 4 = 0 THEN 'Overall' ELSE 'Book ' || (doc_id % 48 + 1) END AS sub FROM documents), named AS (SELECT *, text || ': ' || sub AS name FROM rows)"""
+
+
+def _selector_sql():
+    parts = [f"SELECT '{s}' AS selector, doc_id, {se.decision(arms)} AS d FROM named" for s, arms in se.SELECTORS.items()]
+    return f"""WITH {_ROWS_SQL}, u AS ({' UNION ALL '.join(parts)})
+SELECT selector, string_split(d, ' ')[1] = 'test' AS is_test, string_split(d, ' ')[2] = 'show' AS show_name, CAST(string_split(d, ' ')[3] AS INTEGER) AS label,
+  count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM u WHERE d <> 'skip' GROUP BY ALL"""
+
+
+@query("v01_v23_selectors", _selector_sql())
+def selectors(spark, sf):
+    rows, out = _rows(spark, sf), None
+    for name, arms in se.SELECTORS.items():
+        one = se.select_rows(rows, arms).groupBy("is_test", "show_name", "label").agg(
+            F.count("*").alias("n"), F.sum("doc_id").alias("ids")).withColumn("selector", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+OWN_ARMS = [("text = 'en' AND sub = 'src3'", "skip"), ("text = 'en'", "train show 0"), ("text = 'fr' AND sub <> 'src1'", "test hide 1"), ("sub = 'src7'", "train hide 2")]
+
+
+@query("v00_generic_selector", f"""SELECT text_name, sub, is_test, show_name, label, count(*) AS n FROM (SELECT lang AS text_name, source AS sub,
+  string_split(d, ' ')[1] = 'test' AS is_test, string_split(d, ' ')[2] = 'show' AS show_name, CAST(string_split(d, ' ')[3] AS INTEGER) AS label
+  FROM (SELECT lang, source, {se.decision(OWN_ARMS)} AS d FROM (SELECT lang, source, lang AS text, source AS sub FROM documents)) WHERE d <> 'skip') GROUP BY ALL""")
+def generic_selector(spark, sf):
+    d = c.load(spark, sf, "documents").select(F.col("lang").alias("text_name"), F.col("source").alias("sub"))
+    return se.select_rows(d, OWN_ARMS).groupBy("text_name", "sub", "is_test", "show_name", "label").agg(F.count("*").alias("n"))
+
+
+# ---- P-*: embeddings stand for feature rows --------------------------------------------------------------
+
+WIDTH = 64
+
+
+def _points(spark, sf):
+    return c.load(spark, sf, "embeddings").select(F.col("vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+def _vectors(spark, sf):
+    return le.as_vectors(_points(spark, sf))
+
+
+@query("p01_lasso_selection")
+def lasso(spark, sf):
+    names = spark.range(WIDTH).select(F.col("id").cast("int").alias("feature_idx"), F.concat(F.lit("dim "), F.col("id")).alias("feature"))
+    return le.selected_features(_vectors(spark, sf), names, 0.15, penalties=(0.3, 0.1, 0.03, 0.01)).withColumn("coefficient", c.r6("coefficient"))
+
+
+@query("p02_p03_coordinates")
+def coordinates(spark, sf):
+    v = _vectors(spark, sf)
+    out = le.project(v.filter("name % 5 <> 0"), v.filter("name % 5 = 0"), 4, ["name", "label"])
+    return out.select("name", "label", "is_test", *[F.round(f"pc{i}", 4).alias(f"pc{i}") for i in range(1, 5)])
+
+
+@query("p04_loadings")
+def loadings(spark, sf):
+    return le.loadings(_vectors(spark, sf), 3).withColumn("loading", F.round("loading", 4))
+
+
+@query("p05_contributions", """WITH e AS (SELECT vec_id AS name, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS f FROM embeddings),
+l AS (SELECT c AS component, CAST(f AS INTEGER) AS feature_idx, ((f * 7 + c * 13) % 31 - 15) / 16.0 AS loading FROM range(64) t(f), range(3) u(c)),
+k AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, feature_idx) AS rank FROM l WHERE loading <> 0)
+SELECT name, CAST(component AS INTEGER) AS component, feature_idx, rank, round(CAST(v AS DOUBLE) * loading, 6) AS part,
+  round(sum(CAST(v AS DOUBLE) * loading) OVER (PARTITION BY component, name ORDER BY rank ROWS UNBOUNDED PRECEDING), 6) AS running FROM e JOIN k ON e.f = k.feature_idx""")
+def contributions(spark, sf):
+    long_ = _points(spark, sf).select("name", F.posexplode("features").alias("feature_idx", "value"))
+    f, comp = F.col("feature_idx"), F.col("component")
+    load = (long_.select("feature_idx").distinct().withColumn("component", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+            .withColumn("loading", ((f * 7 + comp * 13) % 31 - 15) / 16.0).filter("loading <> 0"))
+    from pyspark.sql import Window
+    load = load.withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature_idx")))
+    out = le.contributions(long_, load, ["name"])
+    return out.select("name", "component", "feature_idx", F.col("rank").cast("long").alias("rank"), c.r6("part").alias("part"), c.r6("running").alias("running"))
+
+
+@query("p06_scaling", """WITH e AS (SELECT vec_id AS name, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS f FROM embeddings),
+s AS (SELECT f, avg(v) AS m, stddev_samp(v) AS d FROM e GROUP BY f)
+SELECT name, CAST(f AS INTEGER) AS feature_idx, round((v - m) / d, 6) AS scaled FROM e JOIN s USING (f)""")
+def scaling(spark, sf):
+    v = _vectors(spark, sf)
+    out = le.scaler().fit(v).transform(v)
+    return out.select("name", F.posexplode(vector_to_array("scaled")).alias("feature_idx", "scaled")).withColumn("scaled", c.r6("scaled"))
+
+
+_KNN = """WITH e AS (SELECT vec_id AS name, embedding::DOUBLE[] AS v, label, vec_id % 5 AS fold FROM embeddings),
+d AS (SELECT a.name, b.name AS near, b.label AS nl, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.fold <> b.fold),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dist, near) AS rank FROM d QUALIFY rank <= 5)"""
+
+
+def _near(spark, sf, k=5):
+    return nb.nearest(_points(spark, sf).withColumn("fold", F.col("name") % 5), k)
+
+
+@query("p11_nearest", _KNN + " SELECT name, near, nl AS near_label, round(dist, 6) AS distance, rank FROM k")
+def nearest(spark, sf):
+    return _near(spark, sf).withColumn("distance", c.r6("distance")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("p11_knn_vote", _KNN + """, w AS (SELECT kk, name, nl, count(*) AS n FROM k, (VALUES (2), (3), (4), (5)) t(kk) WHERE rank <= kk GROUP BY ALL)
+SELECT kk AS k, name, arg_max(nl, n * 1000 - nl) AS pred FROM w GROUP BY ALL""")
+def knn_vote(spark, sf):
+    near = _near(spark, sf)
+    out = [nb.vote(near, k, False).withColumn("k", F.lit(k)) for k in le.NEIGHBOURS]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("p12_knn_weighted", _KNN + """, w AS (SELECT kk, name, nl, sum(CASE WHEN dist > 0 THEN 1 / dist ELSE 1e12 END) AS n FROM k, (VALUES (2), (3), (4), (5)) t(kk) WHERE rank <= kk GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY kk, name ORDER BY n DESC, nl) AS o FROM w) SELECT kk AS k, name, nl AS pred FROM r WHERE o = 1""")
+def knn_weighted(spark, sf):
+    near = _near(spark, sf)
+    out = [nb.vote(near, k, True).withColumn("k", F.lit(k)) for k in le.NEIGHBOURS]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("p14_random_splits", """SELECT CAST(split AS INTEGER) AS split, doc_id, r <= ceil(n * 0.1) AS is_test FROM (SELECT split, doc_id,
+  row_number() OVER (PARTITION BY split ORDER BY md5(doc_id || '#' || split)) AS r, count(*) OVER (PARTITION BY split) AS n FROM documents, range(5) t(split))""")
+def random_splits(spark, sf):
+    return fo.random_splits(c.load(spark, sf, "documents"), "doc_id")
+
+
+@query("p15_stratified_folds", """SELECT doc_id, lang, CAST(ntile(5) OVER (PARTITION BY lang ORDER BY md5(doc_id || '#10')) AS INTEGER) AS fold FROM documents""")
+def stratified(spark, sf):
+    return fo.stratified_folds(c.load(spark, sf, "documents"), "doc_id", "lang")
+
+
+@query("p16_leave_one_out", "SELECT doc_id, doc_id AS fold FROM documents")
+def leave_one_out(spark, sf):
+    return fo.leave_one_out(c.load(spark, sf, "documents"), "doc_id")
+
+
+@query("p17_leave_group_out", "SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN lang END AS fold FROM documents")
+def leave_group_out(spark, sf):
+    return fo.leave_group_out(c.load(spark, sf, "documents"), "doc_id", "lang", ["en", "fr"])
+
+
+# P-7 ... P-10, P-13, P-18 on all vectors, two folds, one cell per method
+CELLS = [le.Cell(0.0, "scale", "logistic"), le.Cell(0.0, "pca4", "svm"), le.Cell(0.0, "pca3", "rbf"),
+         le.Cell(0.0, "pca2", "forest"), le.Cell(0.0, "pca4", "knn3"), le.Cell(0.0, "pca4", "knn3w")]
+
+
+@query("p07_p10_p18_prediction_log")
+def prediction_log(spark, sf):
+    rows = _vectors(spark, sf).withColumn("fold", (F.col("name") % 2).cast("int")).withColumn("label", F.col("label") % 2)
+    return le.prediction_log(rows, [0, 1], CELLS, WIDTH)
+
+
+# the log of the reports is derived: rows are vectors, cells and folds are numbers
+_LOG = """log AS (SELECT 'cell ' || c AS cell, CAST(vec_id % 5 AS VARCHAR) AS fold, vec_id AS name, label, CAST(CASE WHEN (vec_id * 7 + c * 3) % 4 = 0 THEN (label + c) % 10 ELSE label END AS INTEGER) AS pred
+  FROM embeddings, range(6) t(c))"""
+
+
+def _log(spark, sf):
+    e = c.load(spark, sf, "embeddings").withColumn("c", F.explode(F.array(*[F.lit(i) for i in range(6)])))
+    return e.select(F.concat(F.lit("cell "), F.col("c").cast("string")).alias("cell"), (F.col("vec_id") % 5).cast("string").alias("fold"), F.col("vec_id").alias("name"), "label",
+                    F.when((F.col("vec_id") * 7 + F.col("c") * 3) % 4 == 0, (F.col("label") + F.col("c")) % 10).otherwise(F.col("label")).cast("int").alias("pred"))
+
+
+@query("p19_accuracy", f"WITH {_LOG} SELECT cell, fold, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n_rows FROM log GROUP BY ALL")
+def accuracy(spark, sf):
+    return le.accuracy(_log(spark, sf)).withColumn("accuracy", c.r6("accuracy"))
+
+
+@query("p19_mean_accuracy", f"""WITH {_LOG}, a AS (SELECT cell, fold, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS a FROM log GROUP BY ALL), m AS (SELECT cell, avg(a) AS m FROM a GROUP BY ALL)
+SELECT cell, round(m, 6) AS mean_accuracy FROM m UNION ALL SELECT 'Overall', round(avg(m), 6) FROM m""")
+def mean_accuracy(spark, sf):
+    return le.mean_accuracy(_log(spark, sf)).withColumn("mean_accuracy", c.r6("mean_accuracy"))
+
+
+@query("p19_mismatches", f"WITH {_LOG} SELECT * FROM log WHERE pred <> label")
+def mismatches(spark, sf):
+    return le.mismatches(_log(spark, sf))
+
+
+_FAIL = """f AS (SELECT name, count(*) AS n_cells, count(*) FILTER (WHERE pred <> label) AS n_failed,
+  coalesce(array_to_string(list_sort(list(DISTINCT cell) FILTER (WHERE pred <> label)), ', '), '') AS failed_on FROM log GROUP BY name)"""
+
+
+@query("p20_failures", f"WITH {_LOG}, {_FAIL} SELECT *, round(100.0 * n_failed / n_cells, 6) AS failed_percent FROM f")
+def failures(spark, sf):
+    return le.failures_by_row(_log(spark, sf)).withColumn("failed_percent", c.r6("failed_percent"))
+
+
+@query("p21_side_by_side", f"""WITH {_LOG}, p AS (SELECT name, CAST(cell[6] AS INTEGER) AS k, pred <> label AS bad FROM log)
+SELECT name, round(100.0 * count(*) FILTER (WHERE bad AND k < 2) / 2, 6) AS folds, round(100.0 * count(*) FILTER (WHERE bad AND k IN (2, 3)) / 2, 6) AS one_out, round(100.0 * count(*) FILTER (WHERE bad AND k > 3) / 2, 6) AS group_out FROM p GROUP BY name""")
+def side_by_side(spark, sf):
+    log = _log(spark, sf)
+    part = lambda *cells: le.failures_by_row(log.filter(F.col("cell").isin(*cells)))
+    out = le.side_by_side({"folds": part("cell 0", "cell 1"), "one_out": part("cell 2", "cell 3"), "group_out": part("cell 4", "cell 5")})
+    return out.select("name", *[c.r6(x).alias(x) for x in ("folds", "one_out", "group_out")])
+
+
+@query("p21_aligned_books", f"""WITH {c.SQL_DOCS} SELECT book, max(CASE WHEN text_name = 'en' THEN k END) AS en_longest, max(CASE WHEN text_name = 'en' THEN n END) AS en_n_docs,
+  max(CASE WHEN text_name = 'fr' THEN k END) AS fr_longest, max(CASE WHEN text_name = 'fr' THEN n END) AS fr_n_docs
+FROM (SELECT text_name, book, max(length(text)) AS k, count(*) AS n FROM docs GROUP BY ALL) WHERE text_name IN ('en', 'fr') GROUP BY book""")
+def aligned(spark, sf):
+    t = c.documents(spark, sf).groupBy("text_name", "book").agg(F.max(F.length("text")).cast("long").alias("longest"), F.count("*").alias("n_docs"))
+    return le.aligned_by_book(t, ["en", "fr"], ["longest", "n_docs"])

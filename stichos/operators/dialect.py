@@ -34,8 +34,10 @@ def rule_votes(prepared: DataFrame, rules=table.RULE_NAMES) -> DataFrame:
     """
     cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(table.case_expression(r, votes.code_of)).alias("code"))
                       for r in rules])
-    return prepared.select("token", "parse_no", "n_parses", F.inline(
-        F.filter(cells, lambda c: c["code"] != votes.NEUTRAL)))
+    # the outer form, because Spark would otherwise evaluate the array once more in a filter
+    # (size > 0) that it infers and pushes down
+    return prepared.select("token", "parse_no", "n_parses", F.inline_outer(
+        F.filter(cells, lambda c: c["code"] != votes.NEUTRAL))).filter("rule IS NOT NULL")
 
 
 def with_parse_count(parses: DataFrame) -> DataFrame:

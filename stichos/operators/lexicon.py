@@ -72,7 +72,7 @@ def stem_classes(forms: DataFrame) -> DataFrame:
                                      F.lit(cls).alias("class")))
 
     cells = F.filter(F.array(*[make(p) for p in probes.probes()]), lambda c: c.isNotNull())
-    tries = lem.select("lemma", short_alpha_by_accent("lemma").alias("short_alpha"), F.inline(cells))
+    tries = lem.select("lemma", short_alpha_by_accent("lemma").alias("short_alpha"), F.inline_outer(cells)).filter("token IS NOT NULL")
     known = forms.select("token", "lemma", F.col("case").alias("want_case"), F.col("number").alias("want_number"),
                          F.col("gender").alias("_gender"))
     hits = tries.join(known, ["token", "lemma", "want_case", "want_number"]).filter(
