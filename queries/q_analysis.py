@@ -83,7 +83,7 @@ def _vectors(spark, sf):
 @query("p01_lasso_selection")
 def lasso(spark, sf):
     names = spark.range(WIDTH).select(F.col("id").cast("int").alias("feature_idx"), F.concat(F.lit("dim "), F.col("id")).alias("feature"))
-    return le.selected_features(_vectors(spark, sf), names, 0.15, penalties=(0.3, 0.1, 0.03, 0.01)).withColumn("coefficient", c.r6("coefficient"))
+    return le.selected_features(_vectors(spark, sf), names, 0.15, penalties=(0.03, 0.01, 0.003)).withColumn("coefficient", c.r6("coefficient"))
 
 
 @query("p02_p03_coordinates")

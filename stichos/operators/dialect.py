@@ -41,8 +41,14 @@ def rule_votes(prepared: DataFrame, rules=table.RULE_NAMES) -> DataFrame:
 
 
 def with_parse_count(parses: DataFrame) -> DataFrame:
-    """Number of parses per token, by an aggregate and a join back (no window over a token)."""
-    return parses.join(parses.groupBy("token").agg(F.count("*").cast("int").alias("n_parses")), "token")
+    """Number of parses per token, by an aggregate and a join back (no window over a token).
+
+    The table is spread by token once; the aggregate, the join and every later step (which
+    all group by token and more) keep that partitioning and need no further shuffle.
+    """
+    n = int(parses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = parses.repartition(n, "token")
+    return spread.join(spread.groupBy("token").agg(F.count("*").cast("int").alias("n_parses")), "token")
 
 
 def _code_bit(code: Column) -> Column:
