@@ -9,8 +9,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ("n02_n05_clean_lines", "n13_token_counts", "s09_s10_scans", "a01_a11_meter_counts", "e07_agreement",
-            "x01_lookup_parses", "r04_token_outcomes", "r05_r07_text_counts", "p11_nearest", "p15_stratified_folds")
+HEADLINE = ("n02_n05_clean_lines", "n13_token_counts", "s09_s10_scans", "a01_a11_meter_counts",
+            "x01_lookup_parses", "x05_x08_clitics", "r04_token_outcomes", "p11_nearest", "p15_stratified_folds")
 
 
 def main() -> None:
