@@ -284,8 +284,13 @@ def meter_vector(spark, sf):
 
 
 def _dialect_long(spark, sf):
-    texts = text_counts(spark, sf)
-    long_ = di.as_long(texts, ["text_name", "sub"]).unionByName(di.as_long(rule_sums(spark, sf), ["text_name", "sub"], "rule"))
+    # votes and counts feed both halves; kept (spilling to disk) instead of computed twice
+    p, v = _voted(spark, sf)
+    v, counts = v.persist(), _counts(spark, sf).persist()
+    texts = di.dialect_counts(counts, di.token_outcomes(p, di.reconcile(v))).persist()
+    per = di.rule_counts(counts, di.rule_outcomes(v), ["text_name", "book"])
+    rules = di.with_overall(per, "text_name", "book", ["possible_max", "possible_min", *di.BOUND_COLUMNS], ["rule"])
+    long_ = di.as_long(texts, ["text_name", "sub"]).unionByName(di.as_long(rules, ["text_name", "sub"], "rule"))
     return mx.dialect_vector(long_, texts, ["text_name", "sub"])
 
 
@@ -311,8 +316,8 @@ def dialect_vector(spark, sf):
 def matrix(spark, sf):
     """Whole matrix, one vector of 2631 values per row of texts and books."""
     keys = ["text_name", "sub"]
-    m = mx.meter_vector(qs.counts(spark, sf)).select(*keys, "feature_idx", "value")
-    d = _dialect_long(spark, sf).select(*keys, "feature_idx", "value")
+    m = mx.meter_vector(qs.counts(spark, sf)).select(*keys, "feature_idx", "value").persist()
+    d = _dialect_long(spark, sf).select(*keys, "feature_idx", "value").persist()
     rows = mx.row_vectors(mx.assemble(m, d, keys), keys, 2631)
     return rows.select(*keys, F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
