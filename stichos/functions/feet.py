@@ -29,7 +29,7 @@ def first_digit(n: Column) -> Column:
 
 def weights(b: dict[str, Column]) -> dict[str, Column]:
     """Which syllables may stand in a heavy or light place, strictly and relaxed."""
-    every = both(first_digit(b["n"] + 1) - 1, F.lit(LANE))
+    every = without(F.lit(LANE), F.call_function("shiftleft", F.lit(-1).cast("long"), 3 * b["n"]))
     heavy, light = without(every, b["short"]), without(every, b["long"])
     return {"heavy": heavy, "light": light,
             "loose": either(light, both(b["long"], either(b["ml_rl"], b["ml_mn"]))),

@@ -118,7 +118,12 @@ def cv_pattern(skel) -> Column:
 
 def _digits(pattern: Column, digits: dict[str, str], among: str, dropped: str) -> Column:
     to = "".join(next((d for d, letters in digits.items() if c in letters), "0") for c in among)
-    return F.conv(F.translate(pattern, among + dropped, to), 8, 10).cast("long")
+    return _octal(F.translate(pattern, among + dropped, to))
+
+
+def _octal(digits: Column) -> Column:
+    # twenty digits fit a long; lines with more syllables never scan
+    return F.conv(F.right(digits, F.lit(20)), 8, 10).cast("long")
 
 
 # A set of syllables is a long with one octal digit per syllable (the last syllable is the
@@ -151,7 +156,7 @@ def packed_sets(pattern, approach: str) -> dict[str, Column]:
         "n": F.length(F.translate(t, KINDS + "|", "")),
         "nature": _digits(t, {"1": "A", "2": "EB", "4": "Y"}, NUCLEI, KINDS + "|"),
         "shorten": _digits(t, {"1": shorten}, NUCLEI, KINDS + "|"),
-        "pause": F.conv(pause, 8, 10).cast("long"),
+        "pause": _octal(pause),
         "kind": _digits(t, {"1": "o", "2": "xz469", "4": "v"}, KINDS, NUCLEI + "|"),
         "pairs": _digits(t, {"1": "4", "2": "6", "4": "89"}, KINDS, NUCLEI + "|"),
         "short_z": _digits(t, {"1": "<"}, KINDS, NUCLEI + "|")}

@@ -250,7 +250,8 @@ def unify_lengths(lengths: DataFrame, by: str = "token") -> DataFrame:
     Lists of different size give up (unified = false). Positions are compared as bit
     sets, so a group is only ever a few partial aggregates.
     """
-    bits = lambda sym: F.conv(F.translate("lengths", "sl?", "".join("1" if c == sym else "0" for c in "sl?")), 2, 10).cast("long")
+    bits = lambda sym: F.conv(F.right(F.translate(
+        "lengths", "sl?", "".join("1" if c == sym else "0" for c in "sl?")), F.lit(62)), 2, 10).cast("long")
     size = F.length("lengths")
     shown = F.length(F.translate("spelling", "/=", ""))
     agg = lengths.groupBy(by).agg(
