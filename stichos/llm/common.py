@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,8 +22,27 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for an application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="package-")                  # the driver serves it as long as it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = f"{folder}/{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in [root / "__init__.py", *sorted((root / "llm").glob("*.py"))]:
+                z.write(file, file.relative_to(root.parent))
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone (other columns cannot clash); a null text is empty."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,26 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+
+    def alone(chunk: str) -> bytes:
+        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    feed = int.from_bytes(alone("\n"), "little")
 
     def encode(chunks: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in batch(list(chunks), add_special_tokens=False)]
+        """Chunks without line feed or added token are encoded as the lines of one text and told apart by its line feeds."""
+        out = [b""] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if c and "\n" not in c and "<|" not in c and not c[-1].isspace() and not c[:2].isspace()]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at:at + 20_000]
+            ids = np.array(tokenizer.encode("\n".join([chunks[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == feed), len(ids))
+            packed, start = ids.tobytes(), 0
+            for i, end in zip(part, ends.tolist()):
+                out[i], start = packed[4 * start:4 * end], end + 1
+        for i in set(range(len(chunks))) - set(plain):
+            out[i] = alone(chunks[i])
+        return out
 
     return ChunkTokenizer(encode)
 
@@ -39,17 +57,13 @@ def bm25(texts: Sequence[str], k1: float = K1, b: float = B) -> np.ndarray:
 
     Postings of common terms are multiplied as columns of a matrix; those of the others are paired term by term.
     """
-    n, terms = len(texts), {}
-    rows, cols, lengths = [], [], np.zeros(n)
-    for i, text in enumerate(texts):
-        ids = [terms.setdefault(w, len(terms)) for w in text.lower().split()]
-        lengths[i] = len(ids)
-        rows.append(np.full(len(ids), i, dtype=np.int64))
-        cols.append(np.array(ids, dtype=np.int64))
+    n, terms = len(texts), defaultdict(count().__next__)
+    words = [text.lower().split() for text in texts]
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
     scores = np.zeros((n, n), dtype=np.float32)
-    key = np.concatenate(cols) * n + np.concatenate(rows) if n else np.empty(0, np.int64)
-    if not len(key):
+    if not lengths.sum():
         return scores
+    key = np.fromiter(map(terms.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum())) * n + np.repeat(np.arange(n), lengths)
     key, tf = np.unique(key, return_counts=True)
     term, doc = key // n, key % n
     df = np.bincount(term, minlength=len(terms))
@@ -65,13 +79,15 @@ def bm25(texts: Sequence[str], k1: float = K1, b: float = B) -> np.ndarray:
         has[doc[here], column[term[here]]] = 1
         worth[doc[here], column[term[here]]] = weight[here]
         scores += has @ worth.T
-    first = np.concatenate([[0], np.cumsum(df)])[:-1]
+    first, cells, values = np.concatenate([[0], np.cumsum(df)])[:-1], [], []
     for size in range(2, DENSE + 1):
         at = first[df == size]
         if len(at):
             posting = at[:, None] + np.arange(size)
-            q, d = np.repeat(doc[posting], size, axis=1).ravel(), np.tile(doc[posting], (1, size)).ravel()
-            scores += np.bincount(q * n + d, np.tile(weight[posting], (1, size)).ravel(), n * n).reshape(n, n).astype(np.float32)
+            cells.append((doc[posting][:, :, None] * n + doc[posting][:, None, :]).ravel())
+            values.append(np.broadcast_to(weight[posting][:, None, :], (len(at), size, size)).ravel())
+    if cells:
+        scores += np.bincount(np.concatenate(cells), np.concatenate(values), n * n).reshape(n, n).astype(np.float32)
     return scores
 
 
@@ -123,7 +139,7 @@ def order_by_neighbours(scores: np.ndarray, tokens: Sequence[int], window: int,
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Pieces of documents in sequences of `window` tokens; each document's ids end with id 0.
 
-    Texts are dealt by range of the least word hash, so that likely neighbours (near copies share it with a chance that grows
+    Texts are dealt by range of a hash of the least word hash, so that likely neighbours (near copies share it with a chance that grows
     with their similarity) come into one shard, and by doc_id, so that one hash may hold any share of the rows. A partition is worked
     through in shards of bounded bytes and rows, each with its own inverted index: the seed's unused neighbours fill its window
     in the order of their BM25 scores; the last is cut at the end of the window and its rest seeds the next one. Only the last
@@ -131,7 +147,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
 
     A null or empty text has the id 0 alone; rows with the same doc_id, or none, are packed as documents of their own.
     """
-    d = texts_of(docs).withColumn("_key", F.array_min(F.transform(F.split("text", " "), lambda w: F.xxhash64(w))))
+    d = texts_of(docs).withColumn("_key", F.xxhash64(F.array_min(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))))
     dealt = d.repartitionByRange("_key", "doc_id").sortWithinPartitions("_key", "doc_id", F.length("text"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stichos.llm import bpe, exact_dedup, packing, quality_rules
+from stichos.llm import bpe, exact_dedup, near_dedup, packing, quality_rules
 from stichos.llm.common import load, vocabulary_file
 
 
@@ -26,7 +26,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op4_packing, op5_exact_dedup)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op4_packing, op5_exact_dedup,
+                                  op10_minhash)}
 
 ORACLES = {
     "op5_exact_dedup": """
