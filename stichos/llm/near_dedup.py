@@ -131,7 +131,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large star hangs the greater neighbours of a node, a small star its other neighbours, on the least one, until nothing changes.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+
+    def settled(e: DataFrame) -> DataFrame:
+        return cut(e.filter("u <> v").distinct())
+
+    e = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -139,7 +143,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = salted_left_join(both, least, ["u"], "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_left_join(large, least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        e = settled(small.unionByName(least.select("u", F.col("m").alias("v"))))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")) \

@@ -10,10 +10,11 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stichos.llm.chunks import ChunkTokenizer
+from stichos.llm.chunks import ENTRIES, ChunkTokenizer
 from stichos.llm.common import slices, texts_of
 
 WINDOW = 1024
@@ -24,30 +25,36 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 @lru_cache(maxsize=2)
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
+def chunk_tokenizer(path: str, pattern: str) -> ChunkTokenizer:
+    """Ids as the tokenizer file gives them; the pattern, that of its pre-tokenizer, tells which pieces recur."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, split, seen = Tokenizer.from_file(path), regex.compile(pattern), {}
 
-    def alone(chunk: str) -> bytes:
-        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def ids_of(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    feed = int.from_bytes(alone("\n"), "little")
+    feed = int.from_bytes(ids_of("\n"), "little")
+
+    def learn(pieces: list[str]) -> None:
+        """Pieces without white space, but for a leading blank, are encoded as the lines of one text."""
+        plain = [p for p in pieces if not p[-1].isspace()]
+        seen.update((p, ids_of(p)) for p in pieces if p[-1].isspace())
+        for at in range(0, len(plain), 1000):
+            part = plain[at:at + 1000]
+            packed, start = ids_of("\n".join(part)), 0
+            ids = np.frombuffer(packed, dtype="<u4")
+            for piece, end in zip(part, [*np.flatnonzero(ids == feed).tolist(), len(ids)]):
+                seen[piece], start = packed[4 * start:4 * end], end + 1
 
     def encode(chunks: Sequence[str]) -> list[bytes]:
-        """Chunks without line feed or added token are encoded as the lines of one text and told apart by its line feeds."""
-        out = [b""] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if c and "\n" not in c and "<|" not in c and not c[-1].isspace() and not c[:2].isspace()]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at:at + 20_000]
-            ids = np.array(tokenizer.encode("\n".join([chunks[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == feed), len(ids))
-            packed, start = ids.tobytes(), 0
-            for i, end in zip(part, ends.tolist()):
-                out[i], start = packed[4 * start:4 * end], end + 1
-        for i in set(range(len(chunks))) - set(plain):
-            out[i] = alone(chunks[i])
-        return out
+        pieces = [split.findall(c) if "<|" not in c else [] for c in chunks]
+        new = {p for ps in pieces for p in ps if p not in seen}
+        if len(seen) + len(new) > ENTRIES:
+            seen.clear()
+            new = {p for ps in pieces for p in ps}
+        learn(list(new))
+        return [b"".join([seen[p] for p in ps]) if ps else ids_of(c) for c, ps in zip(chunks, pieces)]
 
     return ChunkTokenizer(encode)
 
@@ -136,7 +143,7 @@ def order_by_neighbours(scores: np.ndarray, tokens: Sequence[int], window: int,
     return order
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) -> DataFrame:
     """Pieces of documents in sequences of `window` tokens; each document's ids end with id 0.
 
     Texts are dealt by range of a hash of the least word hash, so that likely neighbours (near copies share it with a chance that grows
@@ -151,7 +158,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
     dealt = d.repartitionByRange("_key", "doc_id").sortWithinPartitions("_key", "doc_id", F.length("text"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, context = chunk_tokenizer(path), TaskContext.get()
+        encode, context = chunk_tokenizer(path, pattern), TaskContext.get()
         windows = Windows(window, (context.partitionId() if context else 0) << 32)
         for part in slices(batches, limit=SHARD_BYTES):
             for at in range(0, part.num_rows, SHARD_ROWS):

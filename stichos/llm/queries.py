@@ -19,7 +19,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
+    from public_tokenizers import PATTERN
+
+    return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), PATTERN)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
