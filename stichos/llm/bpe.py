@@ -74,7 +74,6 @@ class Encoder:
         self.pairs, self.pattern = PairTable(self.ranks), regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.token = {rank: token for token, rank in self.ranks.items()}
-        self.seen: dict[str, bytes] = {}
         self.chunks = ChunkTokenizer(self.encode_chunks)
 
     def encode_matrix(self, pieces: Sequence[bytes]) -> list[np.ndarray]:
@@ -151,20 +150,15 @@ class Encoder:
     def encode_chunks(self, chunks: Sequence[str]) -> list[bytes]:
         """Packed ids (unsigned, 32 bits, little-endian) of texts, each split by the pattern."""
         split = [self.pattern.findall(c) for c in chunks]
-        new = list({p for pieces in split for p in pieces if p not in self.seen})
-        if len(self.seen) + len(new) > 300_000:
-            self.seen.clear()
-            new = list({p for pieces in split for p in pieces})
-        rest = []
-        for piece in new:
+        rest, seen = [], {}
+        for piece in {p for pieces in split for p in pieces}:
             rank = self.ranks.get(piece.encode())
             if rank is None:
                 rest.append(piece)
             else:
-                self.seen[piece] = rank.to_bytes(4, "little")
+                seen[piece] = rank.to_bytes(4, "little")
         for piece, ids in zip(rest, self.encode_matrix([p.encode() for p in rest])):
-            self.seen[piece] = ids.astype("<u4").tobytes()
-        seen = self.seen
+            seen[piece] = ids.astype("<u4").tobytes()
         return [b"".join([seen[p] for p in pieces]) for pieces in split]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:

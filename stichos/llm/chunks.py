@@ -2,55 +2,67 @@
 
 A byte-level pre-tokenising pattern that lets one blank lead a word never joins characters across a blank or line
 feed that stands alone between two other characters. So a text in which all white space of that sort stands alone is the
-sequence of its chunks (a word with its leading blank, the first word of a line, the line feed), and a chunk met
-before is only looked up. Any other text (white space in runs or at an end) is tokenised as one chunk.
+sequence of its chunks (a word with its leading blank, or a line feed with the first word of a line), and a chunk met
+before is only looked up. Any other text (such white space in runs or at an end) is tokenised as one chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-ENTRIES = 300_000
+ENTRIES = 400_000
+WHOLE = 0                                                             # stands for a chunk that cannot be tokenised alone
 
 
 class ChunkTokenizer:
-    """Token ids of texts as packed bytes; `encode` gives the packed ids of each chunk."""
+    """Token ids of texts as packed bytes; `encode` gives the packed ids of each chunk.
+
+    Chunks are kept in two generations of at most `entries`: when the younger is full it becomes the elder, whose entries are
+    taken over again as they are met, so frequent chunks stay and memory is bounded.
+    """
 
     def __init__(self, encode: Callable[[Sequence[str]], list[bytes]], entries: int = ENTRIES):
         self.encode, self.entries = encode, entries
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-        self.feed: bytes | None = None
+        self.known: dict[str, bytes | int] = {}
+        self.elder: dict[str, bytes | int] = {}
 
-    def _learn(self, known: dict, words: set[str], lead: str) -> None:
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > self.entries:
+            self.known, self.elder = {}, self.known
+        known, elder = self.known, self.elder
+        known.update([(w, elder[w]) for w in words if w in elder])
         new = [w for w in words if w not in known]
-        if not new:
-            return
-        if len(known) + len(new) > self.entries:
-            known.clear()
-            new = list(words)
-        good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(good, self.encode([lead + w for w in good])))
+        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        first = [w for w in new if len(w) > 1 and w[0] == "\n" and not w[1].isspace() and not w[-1].isspace()]
+        known.update(dict.fromkeys(new, WHOLE))
+        known.update(zip(plain, self.encode([" " + w for w in plain])))
+        if first:
+            feed = self.encode(["\n"])[0]
+            known.update((w, feed + ids) for w, ids in zip(first, self.encode([w[1:] for w in first])))
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        if self.feed is None:
-            self.feed = self.encode(["\n"])[0]
-        parts = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        self._learn(self.first, {words[0] for lines in parts for words in lines}, "")
-        later: set[str] = set()
-        for lines in parts:
-            for words in lines:
-                later.update(words[1:])
-        self._learn(self.later, later, " ")
-        first, rest, feed, out, whole = self.first, self.later, self.feed, [], []
-        for i, lines in enumerate(parts):
+        parts, missing = [], set()
+        get = self.known.get
+        for text in texts:
+            words = ("\n" + text.replace("\n", " \n")).split(" ")
+            parts.append(words)
+            if None in (got := list(map(get, words))):
+                missing.update([w for w, ids in zip(words, got) if ids is None])
+        if missing:
+            self._learn(missing)
+        get, out, whole = self.known.get, [], []
+        skip = len(self.encode(["\n"])[0])
+        for i, words in enumerate(parts):
+            got = list(map(get, words))
+            if None in got:                                           # some are of the generation that has just become the elder
+                self._learn(set(words))
+                get = self.known.get
+                got = list(map(get, words))
             try:
-                out.append(feed.join([first[w[0]] + b"".join([rest[x] for x in w[1:]]) for w in lines]))
+                out.append(b"".join(got)[skip:])
             except TypeError:
                 whole.append(i)
                 out.append(b"")
-        if whole:
-            for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
-                out[i] = ids
+        for i, ids in zip(whole, self.encode([texts[i] for i in whole]) if whole else ()):
+            out[i] = ids
         return out

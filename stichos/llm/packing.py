@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stichos.llm.chunks import ENTRIES, ChunkTokenizer
+from stichos.llm.chunks import ChunkTokenizer
 from stichos.llm.common import slices, texts_of
 
 WINDOW = 1024
@@ -25,63 +22,55 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 @lru_cache(maxsize=2)
-def chunk_tokenizer(path: str, pattern: str) -> ChunkTokenizer:
-    """Ids as the tokenizer file gives them; the pattern, that of its pre-tokenizer, tells which pieces recur."""
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
     from tokenizers import Tokenizer
 
-    tokenizer, split, seen = Tokenizer.from_file(path), regex.compile(pattern), {}
+    tokenizer = Tokenizer.from_file(path)
+    batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
-    def ids_of(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def packed(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in batch(texts, add_special_tokens=False)]
 
-    feed = int.from_bytes(ids_of("\n"), "little")
-
-    def learn(pieces: list[str]) -> None:
-        """Pieces without white space, but for a leading blank, are encoded as the lines of one text."""
-        plain = [p for p in pieces if not p[-1].isspace()]
-        seen.update((p, ids_of(p)) for p in pieces if p[-1].isspace())
-        for at in range(0, len(plain), 1000):
-            part = plain[at:at + 1000]
-            packed, start = ids_of("\n".join(part)), 0
-            ids = np.frombuffer(packed, dtype="<u4")
-            for piece, end in zip(part, [*np.flatnonzero(ids == feed).tolist(), len(ids)]):
-                seen[piece], start = packed[4 * start:4 * end], end + 1
+    feed = int(packed(["\n"])[0][0])
 
     def encode(chunks: Sequence[str]) -> list[bytes]:
-        pieces = [split.findall(c) if "<|" not in c else [] for c in chunks]
-        new = {p for ps in pieces for p in ps if p not in seen}
-        if len(seen) + len(new) > ENTRIES:
-            seen.clear()
-            new = {p for ps in pieces for p in ps}
-        learn(list(new))
-        return [b"".join([seen[p] for p in ps]) if ps else ids_of(c) for c, ps in zip(chunks, pieces)]
+        """Chunks without line feed or added token are encoded as the lines of longer texts and told apart by its line feeds."""
+        out = [b""] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if c and "\n" not in c and "<|" not in c and not c[-1].isspace() and not c[:2].isspace()]
+        parts = [plain[at:at + 500] for at in range(0, len(plain), 500)]
+        for part, ids in zip(parts, packed(["\n".join([chunks[i] for i in part]) for part in parts])):
+            text, start = ids.tobytes(), 0
+            for i, end in zip(part, [*np.flatnonzero(ids == feed).tolist(), len(ids)]):
+                out[i], start = text[4 * start:4 * end], end + 1
+        rest = list(set(range(len(chunks))) - set(plain))
+        for i, ids in zip(rest, packed([chunks[i] for i in rest])):
+            out[i] = ids.tobytes()
+        return out
 
     return ChunkTokenizer(encode)
 
 
-def bm25(texts: Sequence[str], k1: float = K1, b: float = B) -> np.ndarray:
+def bm25(documents: Sequence[np.ndarray], k1: float = K1, b: float = B) -> np.ndarray:
     """Scores of every document of a shard for every document as query, from the shard's inverted index.
 
-    Postings of common terms are multiplied as columns of a matrix; those of the others are paired term by term.
+    Terms are token ids. Postings of common terms are multiplied as columns of a matrix; those of the others are paired term by term.
     """
-    n, terms = len(texts), defaultdict(count().__next__)
-    words = [text.lower().split() for text in texts]
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    n = len(documents)
+    lengths = np.array([len(d) for d in documents], dtype=np.int64)
     scores = np.zeros((n, n), dtype=np.float32)
     if not lengths.sum():
         return scores
-    key = np.fromiter(map(terms.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum())) * n + np.repeat(np.arange(n), lengths)
-    key, tf = np.unique(key, return_counts=True)
-    term, doc = key // n, key % n
-    df = np.bincount(term, minlength=len(terms))
+    key, tf = np.unique(np.concatenate(documents).astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
+    _, term, df = np.unique(key // n, return_inverse=True, return_counts=True)
+    doc = key % n
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    weight = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / max(lengths.mean(), 1)))).astype(np.float32)
+    weight = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / lengths.mean()))).astype(np.float32)
     common = np.flatnonzero(df > DENSE)
-    for at in range(0, len(common), 4096):
-        column = np.full(len(terms), -1)
-        column[common[at:at + 4096]] = np.arange(len(common[at:at + 4096]))
+    for at in range(0, len(common), 2048):
+        column = np.full(len(df), -1)
+        column[common[at:at + 2048]] = np.arange(len(common[at:at + 2048]))
         here = column[term] >= 0
-        has = np.zeros((n, min(4096, len(common) - at)), dtype=np.float32)
+        has = np.zeros((n, min(2048, len(common) - at)), dtype=np.float32)
         worth = has.copy()
         has[doc[here], column[term[here]]] = 1
         worth[doc[here], column[term[here]]] = weight[here]
@@ -143,14 +132,14 @@ def order_by_neighbours(scores: np.ndarray, tokens: Sequence[int], window: int,
     return order
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Pieces of documents in sequences of `window` tokens; each document's ids end with id 0.
 
     Texts are dealt by range of a hash of the least word hash, so that likely neighbours (near copies share it with a chance that grows
     with their similarity) come into one shard, and by doc_id, so that one hash may hold any share of the rows. A partition is worked
     through in shards of bounded bytes and rows, each with its own inverted index: the seed's unused neighbours fill its window
     in the order of their BM25 scores; the last is cut at the end of the window and its rest seeds the next one. Only the last
-    sequence of a partition may be padded. Terms of the index are words between white space, lower-cased.
+    sequence of a partition may be padded. Terms of the index are token ids.
 
     A null or empty text has the id 0 alone; rows with the same doc_id, or none, are packed as documents of their own.
     """
@@ -158,7 +147,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, window: int = WINDO
     dealt = d.repartitionByRange("_key", "doc_id").sortWithinPartitions("_key", "doc_id", F.length("text"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, context = chunk_tokenizer(path, pattern), TaskContext.get()
+        encode, context = chunk_tokenizer(path), TaskContext.get()
         windows = Windows(window, (context.partitionId() if context else 0) << 32)
         for part in slices(batches, limit=SHARD_BYTES):
             for at in range(0, part.num_rows, SHARD_ROWS):
@@ -166,7 +155,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, window: int = WINDO
                 texts, doc_ids = shard.column("text").to_pylist(), shard.column("doc_id").to_pylist()
                 ids = [x + bytes(4) for x in encode(texts)]
                 tokens = [len(x) // 4 for x in ids]
-                for i in order_by_neighbours(bm25(texts), tokens, window, windows.filled):
+                for i in order_by_neighbours(bm25([np.frombuffer(x, dtype="<u4") for x in ids]), tokens, window, windows.filled):
                     windows.put(doc_ids[i], ids[i], tokens[i])
                 columns = list(zip(*windows.out))
                 windows.out = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stichos.llm import bpe, exact_dedup, near_dedup, packing, quality_rules
+from stichos.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, suffix_dedup
 from stichos.llm.common import load, vocabulary_file
 
 
@@ -19,21 +19,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from public_tokenizers import PATTERN
-
-    return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), PATTERN)
+    return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op4_packing, op5_exact_dedup,
-                                  op10_minhash)}
+                                  op9_suffix_array, op10_minhash)}
 
 ORACLES = {
     "op5_exact_dedup": """
