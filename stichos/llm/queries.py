@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stichos.llm import bpe, exact_dedup, near_dedup, packing, quality_rules, suffix_dedup
+from stichos.llm import bpe, exact_dedup, mil_quality, near_dedup, packing, quality_rules, suffix_dedup, toxicity
 from stichos.llm.common import load, vocabulary_file
 
 
@@ -26,6 +26,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
 
@@ -35,7 +43,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op4_packing, op5_exact_dedup,
-                                  op9_suffix_array, op10_minhash)}
+                                  op6_attention_quality, op7_toxicity, op9_suffix_array, op10_minhash)}
 
 ORACLES = {
     "op5_exact_dedup": """
