@@ -47,11 +47,12 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, one_group: bool = False) -> DataFrame:
     """Cuts the lineage: a table written to the shared folder of spark.checkpoint.dir and read again.
 
     Unlike a checkpoint, the table is compressed and does not carry the size estimates of the plan it came from into later
-    joins. A folder of its own is used only where the session names none (tests).
+    joins. A folder of its own is used only where the session names none (tests). With one_group a file has one row group, so
+    that a later scan never splits what one task wrote.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -59,7 +60,7 @@ def cut(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.size": (1 << 31) - 1} if one_group else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stichos.llm import bpe, exact_dedup, mil_quality, near_dedup, packing, quality_rules, suffix_dedup, toxicity
+from stichos.llm import bpe, exact_dedup, mil_quality, near_dedup, packing, pitman_yor, quality_rules, suffix_dedup, toxicity
 from stichos.llm.common import load, vocabulary_file
 
 
@@ -34,6 +34,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(load(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op4_packing, op5_exact_dedup,
-                                  op6_attention_quality, op7_toxicity, op9_suffix_array, op10_minhash)}
+                                  op6_attention_quality, op7_toxicity, op8_pitman_yor, op9_suffix_array, op10_minhash)}
 
 ORACLES = {
     "op5_exact_dedup": """
