@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stichos.llm import bpe, exact_dedup, mil_quality, near_dedup, packing, pitman_yor, quality_rules, suffix_dedup, toxicity
+from stichos.llm import bpe, exact_dedup, html_blocks, mil_quality, near_dedup, packing, pitman_yor, quality_rules, suffix_dedup, toxicity
 from stichos.llm.common import load, vocabulary_file
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract_text(load(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
 
@@ -46,7 +50,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op4_packing, op5_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_html_blocks, op4_packing, op5_exact_dedup,
                                   op6_attention_quality, op7_toxicity, op8_pitman_yor, op9_suffix_array, op10_minhash)}
 
 ORACLES = {

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from stichos.llm.common import NULL_ID, parallelism, ship, slices
 
 WIDTH, GRAM, COVER = 100, 32, 32
-SLICE, BUCKETS_PER_PARTITION = 1 << 20, 4
+SLICE, BUCKETS_PER_PARTITION = 1 << 20, 16
 POSITION_BITS = 28
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -278,9 +278,22 @@ def repeated_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
     """Runs of starts at which a string begins that also starts earlier, from the sorted suffixes of one bucket after the other."""
     for held in by_bucket(batches):
         k1, k2, first, count = (np.frombuffer(b"".join(x[i] for x in held), np.int64) for i in range(4))
-        buf = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
+        text = b"".join(x[4] for x in held)
         out = [np.frombuffer(b"".join(x[i] for x in held), np.int64) for i in range(5, 9)]
         if len(k1):
+            # of equal contexts the first is sorted; all strings of the others start earlier, in it
+            ends, lead, again, order = np.cumsum(count - 1 + width).tolist(), {}, [], np.lexsort((first, k2, k1)).tolist()
+            begins = [0, *ends]
+            for i in order:
+                if lead.setdefault(text[begins[i]:ends[i]], i) != i:
+                    again.append(i)
+            keep = np.array(list(lead.values()), dtype=np.int64)
+            buf = np.frombuffer(b"".join(lead), np.uint8)
+            of = np.array([lead[text[begins[i]:ends[i]]] for i in again], dtype=np.int64)
+            again = np.array(again, dtype=np.int64)
+            later = (k1[again] != k1[of]) | (k2[again] != k2[of]) | (first[again] != first[of])
+            out = [np.concatenate([x, a[again[later]]]) for x, a in zip(out, (k1, k2, first, count))]
+            k1, k2, first, count = k1[keep], k2[keep], first[keep], count[keep]
             begin = np.cumsum(count - 1 + width) - (count - 1 + width)
             context = np.repeat(np.arange(len(k1)), count)
             offset = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
@@ -308,7 +321,8 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     2. The text around these anchors, again once for each slice, goes to the bucket of its anchor: all copies of a string meet there.
     3. A task sorts one bucket's suffixes at a time. The first (doc_id, start) of each class stays.
 
-    Copies within a slice are summed up before each shuffle, so a passage found in any share of the rows arrives once a slice.
+    Equal texts around an anchor are summed up within a slice before the shuffle and within a bucket before sorting, so a passage
+    found in any share of the rows arrives once a slice and is sorted once.
     """
     spark = docs.sparkSession
     ship(spark)
