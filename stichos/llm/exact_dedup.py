@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stichos.llm.common import cut, salted_left_join, texts_of
+from stichos.llm.common import NULL_ID, cut, salted_left_join, texts_of
 
 PREFIX_CHARS = 64
 
@@ -35,3 +35,11 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
                       F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay; of a row listed twice both (they are one document)."""
+    gone = exact_duplicates(docs).filter("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k1"), F.col("text_sha256").alias("_k2")).distinct()
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["_k1"]) \
+        & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == gone["_k2"])
+    return docs.join(gone, same, "left_anti")

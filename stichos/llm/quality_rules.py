@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stichos.llm.common import slices, texts_of
+from stichos.llm.common import ship, slices, texts_of
 
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 UPPER, DIGITS, STOPS = bytes(range(65, 91)), bytes(range(48, 58)), b"!?.,;:"
@@ -70,14 +71,17 @@ FEATURES = {
 }
 
 
-def feature(name: str) -> Column:
+Source = Callable[[str], Column]
+
+
+def feature(name: str, of: Source = F.col) -> Column:
     top, bottom = FEATURES[name]
-    value = F.col(top).cast("double")
-    return value if bottom is None else F.when(F.col(bottom) > 0, value / F.col(bottom)).otherwise(F.lit(0.0))
+    value = of(top).cast("double")
+    return value if bottom is None else F.when(of(bottom) > 0, value / of(bottom)).otherwise(F.lit(0.0))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def base_failed(of: Source = F.col) -> Column:
+    return (of("n_words") < 20) | (100 * of("n_repeat_words") > 30 * of("n_words"))
 
 
 @dataclass(frozen=True)
@@ -89,8 +93,9 @@ class Condition:
     def of(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] > self.threshold if self.above else x[self.feature] <= self.threshold
 
-    def column(self) -> Column:
-        return feature(self.feature) > self.threshold if self.above else feature(self.feature) <= self.threshold
+    def column(self, of: Source = F.col) -> Column:
+        value = feature(self.feature, of)
+        return value > self.threshold if self.above else value <= self.threshold
 
 
 @dataclass(frozen=True)
@@ -102,10 +107,10 @@ class Rule:
     def of(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return np.logical_and.reduce([c.of(x) for c in self.conditions])
 
-    def column(self) -> Column:
-        out = self.conditions[0].column()
+    def column(self, of: Source = F.col) -> Column:
+        out = self.conditions[0].column(of)
         for c in self.conditions[1:]:
-            out = out & c.column()
+            out = out & c.column(of)
         return out
 
 
@@ -190,11 +195,11 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) ->
     return learn_rules(x, table["_label"].to_numpy() == 0)
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], of: Source = F.col) -> Column:
     """The ordered conditional expression of a decision list: true if no rule rejects."""
     out = None
     for rule in rules:
-        out = F.when(rule.column(), False) if out is None else out.when(rule.column(), False)
+        out = F.when(rule.column(of), False) if out is None else out.when(rule.column(of), False)
     return F.lit(True) if out is None else out.otherwise(True)
 
 
@@ -208,3 +213,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Dat
     rules = learn_from_labels(docs, labels, rows)
     stats = text_statistics(docs).withColumn("base_failed", base_failed())
     return stats.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, that pass the base rules and the learned list; a narrow pass."""
+    ship(docs.sparkSession)
+    rules, names, column = learn_from_labels(docs, labels, rows), [*COUNTS, *MORE], "_statistics"
+    while column in docs.columns:
+        column += "_"
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in names))
+    def statistics(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics_of(t or "") for t in text], columns=names)
+
+    of = lambda name: F.col(column)[name]
+    return docs.withColumn(column, statistics("text")).filter(~base_failed(of) & verdict(rules, of)).drop(column)

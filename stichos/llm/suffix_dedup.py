@@ -313,7 +313,7 @@ def repeated_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
 
 
 def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """Every row of docs (doc_id, k1, k2, text) with its runs: starts of `width`-byte strings that also start earlier (null: none).
+    """Every row of docs (doc_id, k1, k2, text, perhaps rest) with its runs: starts of `width`-byte strings that also start earlier (null: none).
 
     1. Each string of `width` bytes is led by one anchor, the place of least hash of `gram` bytes in it; equal strings have equal anchors
        at equal offsets. Anchors are gathered by bucket of their hash (once for each slice of text), and those found twice in the corpus go
@@ -331,7 +331,7 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     blob = "bucket int, blob binary"
     found = gathered(docs.select("k1", "text").mapInArrow(lambda it: anchor_blobs(it, width, gram, buckets), blob), partitions)
     by_doc = found.mapInArrow(repeated_anchors, "k1 long, anchor long").groupBy("k1").agg(F.collect_list("anchor").alias("anchors"))
-    near = docs.join(by_doc, "k1").select("k1", "k2", "text", "anchors", "doc_id")
+    near = docs.join(by_doc, "k1").select(*docs.columns, "anchors")      # the same columns as below, so that they are dealt once
     contexts = gathered(near.mapInArrow(lambda it: context_blobs(it, width, gram, buckets), blob), partitions)
     runs = contexts.mapInArrow(lambda it: repeated_runs(it, width), "k1 long, k2 long, start long, n long") \
         .groupBy("k1").agg(F.collect_list(F.struct("k2", "start", "n")).alias("runs"))
@@ -378,3 +378,27 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     return repeated_strings(keyed(docs), width).select("doc_id", "k2", "text", "runs") \
         .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs with what is left of their texts, and n_chars, if there is one, counted anew; other columns as they are.
+
+    Bytes of a character that was cut in two go with it, so texts stay valid; a text of which nothing is left is empty.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.withColumns({"rest": F.struct(*(F.col(c) for c in rest))}) if rest else docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = [kept_bytes(t.encode(), runs, k2, width)[0].decode(errors="ignore")
+                     for k2, t, runs in zip(*(part.column(c).to_pylist() for c in ("k2", "text", "runs")))]
+            more = [part.column("rest")] if rest else []
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), *more], names=["doc_id", "text", "rest"][:2 + len(more)])
+
+    types = "doc_id long, text string" + (f", rest {packed.schema['rest'].dataType.simpleString()}" if rest else "")
+    found = repeated_strings(keyed(packed, *(["rest"] if rest else [])), width)
+    out = found.select("doc_id", "k2", "text", "runs", *(["rest"] if rest else [])).mapInArrow(run, types)
+    value = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    for c in rest:
+        value[c] = F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("rest")[c]
+    return out.select(*(value[c].alias(c) for c in docs.columns))
