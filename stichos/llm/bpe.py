@@ -147,7 +147,7 @@ class Encoder:
                     heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return np.array([x for x, ok in zip(ids, alive) if ok], dtype=np.int32)
 
-    def encode_chunks(self, chunks: Sequence[str]) -> list[bytes]:
+    def encode_chunks(self, chunks: Sequence[str], whole: bool) -> list[bytes]:
         """Packed ids (unsigned, 32 bits, little-endian) of texts, each split by the pattern."""
         split = [self.pattern.findall(c) for c in chunks]
         rest, seen = [], {}

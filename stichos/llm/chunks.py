@@ -15,14 +15,14 @@ WHOLE = 0                                                             # stands f
 
 
 class ChunkTokenizer:
-    """Token ids of texts as packed bytes; `encode` gives the packed ids of each chunk.
+    """Token ids of texts as packed bytes; `encode` gives the packed ids of each chunk, or of each whole text if its second argument is true.
 
     Chunks are kept in two generations of at most `entries`: when the younger is full it becomes the elder, whose entries are
     taken over again as they are met, so frequent chunks stay and memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[bytes]], entries: int = ENTRIES):
-        self.encode, self.entries = encode, entries
+    def __init__(self, encode: Callable[[Sequence[str], bool], list[bytes]], entries: int = ENTRIES):
+        self.encode, self.entries, self.feed = encode, entries, encode(["\n"], True)[0]
         self.known: dict[str, bytes | int] = {}
         self.elder: dict[str, bytes | int] = {}
 
@@ -32,13 +32,11 @@ class ChunkTokenizer:
         known, elder = self.known, self.elder
         known.update([(w, elder[w]) for w in words if w in elder])
         new = [w for w in words if w not in known]
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        first = [w for w in new if len(w) > 1 and w[0] == "\n" and not w[1].isspace() and not w[-1].isspace()]
+        plain = [w for w in new if w and w.strip() == w]
         known.update(dict.fromkeys(new, WHOLE))
-        known.update(zip(plain, self.encode([" " + w for w in plain])))
-        if first:
-            feed = self.encode(["\n"])[0]
-            known.update((w, feed + ids) for w, ids in zip(first, self.encode([w[1:] for w in first])))
+        known.update(zip(plain, self.encode([" " + w for w in plain], False)))
+        first = [w for w in new if len(w) > 1 and w[0] == "\n" and w.strip() == w[1:]]
+        known.update((w, self.feed + ids) for w, ids in zip(first, self.encode([w[1:] for w in first], False)))
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         parts, missing = [], set()
@@ -51,7 +49,7 @@ class ChunkTokenizer:
         if missing:
             self._learn(missing)
         get, out, whole = self.known.get, [], []
-        skip = len(self.encode(["\n"])[0])
+        skip = len(self.feed)
         for i, words in enumerate(parts):
             got = list(map(get, words))
             if None in got:                                           # some are of the generation that has just become the elder
@@ -63,6 +61,6 @@ class ChunkTokenizer:
             except TypeError:
                 whole.append(i)
                 out.append(b"")
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole]) if whole else ()):
+        for i, ids in zip(whole, self.encode([texts[i] for i in whole], True) if whole else ()):
             out[i] = ids
         return out

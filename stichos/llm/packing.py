@@ -17,7 +17,7 @@ from stichos.llm.common import slices, texts_of
 WINDOW = 1024
 SHARD_BYTES, SHARD_ROWS = 1 << 20, 512
 K1, B = 1.2, 0.75
-DENSE = 16
+DENSE, CHUNKS = 16, 700_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -33,21 +33,23 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
 
     feed = int(packed(["\n"])[0][0])
 
-    def encode(chunks: Sequence[str]) -> list[bytes]:
-        """Chunks without line feed or added token are encoded as the lines of longer texts and told apart by its line feeds."""
-        out = [b""] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if c and "\n" not in c and "<|" not in c and not c[-1].isspace() and not c[:2].isspace()]
-        parts = [plain[at:at + 500] for at in range(0, len(plain), 500)]
-        for part, ids in zip(parts, packed(["\n".join([chunks[i] for i in part]) for part in parts])):
+    def encode(chunks: Sequence[str], whole: bool) -> list[bytes]:
+        """Chunks are encoded as the lines of longer texts and told apart by its line feeds; those with an added token, and whole texts, alone."""
+        if whole:
+            return [ids.tobytes() for ids in packed(list(chunks))]
+        lines = ["\n".join(chunks[at:at + 500]) for at in range(0, len(chunks), 500)]
+        out: list[bytes] = []
+        for line, ids in zip(lines, packed(lines)):
+            if "<|" in line or line.count("\n") >= 500:
+                out += [x.tobytes() for x in packed(list(chunks[len(out):len(out) + 500]))]
+                continue
             text, start = ids.tobytes(), 0
-            for i, end in zip(part, [*np.flatnonzero(ids == feed).tolist(), len(ids)]):
-                out[i], start = text[4 * start:4 * end], end + 1
-        rest = list(set(range(len(chunks))) - set(plain))
-        for i, ids in zip(rest, packed([chunks[i] for i in rest])):
-            out[i] = ids.tobytes()
+            for end in [*np.flatnonzero(ids == feed).tolist(), len(ids)]:
+                out.append(text[4 * start:4 * end])
+                start = end + 1
         return out
 
-    return ChunkTokenizer(encode)
+    return ChunkTokenizer(encode, CHUNKS)
 
 
 def bm25(documents: Sequence[np.ndarray], k1: float = K1, b: float = B) -> np.ndarray:
