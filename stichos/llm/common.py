@@ -23,12 +23,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows of whole texts are large: Arrow batches of the default number of rows would hold memory outside of the heap that
+# nothing bounds. Set only where the session has Spark's default.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for an application, so that their Python workers can import it."""
+    """Gives the executors this package, once for an application, so that their Python workers can import it; bounds Arrow batches."""
     sc = spark.sparkContext
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent.parent
         folder = tempfile.mkdtemp(prefix="package-")                  # the driver serves it as long as it runs
