@@ -110,7 +110,7 @@ class Windows:
 def order_by_neighbours(scores: np.ndarray, tokens: Sequence[int], window: int, filled: int) -> list[int]:
     """Order in which windows take the documents: a seed, then its best unused neighbours until the window is full.
 
-    A document that runs over the end of a window is cut there and its rest is the next seed. Ties go to the earlier document.
+    The document that reaches the end of a window is cut there and is the next seed. Ties go to the earlier document.
     """
     free = np.ones(len(tokens), dtype=bool)
     order: list[int] = []
