@@ -48,12 +48,7 @@ SELECT selector, string_split(d, ' ')[1] = 'test' AS is_test, string_split(d, '
 
 @query("v01_v23_selectors", _selector_sql())
 def selectors(spark, sf):
-    rows, out = _rows(spark, sf), None
-    for name, arms in se.SELECTORS.items():
-        one = se.select_rows(rows, arms).groupBy("is_test", "show_name", "label").agg(
-            F.count("*").alias("n"), F.sum("doc_id").alias("ids")).withColumn("selector", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return se.select_all(_rows(spark, sf), se.SELECTORS).groupBy("selector", "is_test", "show_name", "label").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
 OWN_ARMS = [("text = 'en' AND sub = 'src3'", "skip"), ("text = 'en'", "train show 0"), ("text = 'fr' AND sub <> 'src1'", "test hide 1"), ("sub = 'src7'", "train hide 2")]
@@ -83,7 +78,7 @@ def _vectors(spark, sf):
 @query("p01_lasso_selection")
 def lasso(spark, sf):
     names = spark.range(WIDTH).select(F.col("id").cast("int").alias("feature_idx"), F.concat(F.lit("dim "), F.col("id")).alias("feature"))
-    return le.selected_features(_vectors(spark, sf), names, 0.15, penalties=(0.03, 0.01, 0.003)).withColumn("coefficient", c.r6("coefficient"))
+    return le.selected_features(_vectors(spark, sf), names, 0.15).withColumn("coefficient", c.r6("coefficient"))
 
 
 @query("p02_p03_coordinates")
@@ -140,17 +135,13 @@ def nearest(spark, sf):
 @query("p11_knn_vote", _KNN + """, w AS (SELECT kk, name, nl, count(*) AS n FROM k, (VALUES (2), (3), (4), (5)) t(kk) WHERE rank <= kk GROUP BY ALL)
 SELECT kk AS k, name, arg_max(nl, n * 1000 - nl) AS pred FROM w GROUP BY ALL""")
 def knn_vote(spark, sf):
-    near = _near(spark, sf)
-    out = [nb.vote(near, k, False).withColumn("k", F.lit(k)) for k in le.NEIGHBOURS]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return nb.vote(_near(spark, sf), list(le.NEIGHBOURS), False)
 
 
 @query("p12_knn_weighted", _KNN + """, w AS (SELECT kk, name, nl, sum(CASE WHEN dist > 0 THEN 1 / dist ELSE 1e12 END) AS n FROM k, (VALUES (2), (3), (4), (5)) t(kk) WHERE rank <= kk GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY kk, name ORDER BY n DESC, nl) AS o FROM w) SELECT kk AS k, name, nl AS pred FROM r WHERE o = 1""")
 def knn_weighted(spark, sf):
-    near = _near(spark, sf)
-    out = [nb.vote(near, k, True).withColumn("k", F.lit(k)) for k in le.NEIGHBOURS]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return nb.vote(_near(spark, sf), list(le.NEIGHBOURS), True)
 
 
 @query("p14_random_splits", """SELECT CAST(split AS INTEGER) AS split, doc_id, r <= ceil(n * 0.1) AS is_test FROM (SELECT split, doc_id,

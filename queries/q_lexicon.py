@@ -52,6 +52,10 @@ def vocabulary(spark, sf):
     return c.tokens(spark, sf).groupBy("token").agg(F.count("*").alias("n"))
 
 
+# one word in sixteen, chosen by a hash, has no parse
+HAS_PARSES = "substr(md5(token), 1, 1) <> '0'"
+
+
 def part(k):
     """A number 0 ... 65535 from the md5 of token and parse; k chooses which."""
     return F.conv(F.substr(F.md5(F.concat_ws("#", "token", "parse_no", F.lit(str(k))).cast("binary")), F.lit(1), F.lit(4)), 16, 10).cast("int")
@@ -63,7 +67,7 @@ def chosen(values, k):
 
 def parses(spark, sf):
     """One to three parses per distinct token; one property in eight is missing."""
-    v = vocabulary(spark, sf).filter("length(token) > 2")
+    v = vocabulary(spark, sf).filter(HAS_PARSES)
     p = v.select("token", F.explode(F.sequence(F.lit(0), (F.length("token") + F.ascii("token")) % 3)).alias("parse_no"))
     return p.select("token", "parse_no", F.concat("token", chosen(ENDS, 90)).alias("form"), *[
         (F.when(part(50 + k) % 8 != 0, chosen(vals, k)) if gaps else chosen(vals, k)).alias(name)
@@ -85,7 +89,7 @@ def sql_chosen(values, k):
 
 SQL_PARSES = SQL_BENCH + f""",
 vocab AS (SELECT token, count(*) AS n FROM std GROUP BY token),
-ab AS (SELECT token, length(token) AS a, ascii(token) AS b, ascii(right(token, 1)) AS d FROM vocab WHERE length(token) > 2),
+ab AS (SELECT token, length(token) AS a, ascii(token) AS b, ascii(right(token, 1)) AS d FROM vocab WHERE substr(md5(token), 1, 1) <> '0'),
 pn AS (SELECT token, CAST(unnest(range(0, (a + b) % 3 + 1)) AS INTEGER) AS parse_no FROM ab),
 parses AS (SELECT token, parse_no, token || {sql_chosen(ENDS, 90)} AS form, {", ".join(
     (f"CASE WHEN {sql_part(50 + k)} % 8 <> 0 THEN {sql_chosen(vals, k)} END" if gaps else sql_chosen(vals, k)) + f' AS "{name}"'
@@ -260,15 +264,15 @@ def classify(spark, sf):
 
 @query("x15_x16_links_and_variants", f"""WITH {_ENT},
 r AS (SELECT doc_id, line, string_split(core, ' ') AS ws FROM ent WHERE len(string_split(core, ' ')) > 3),
-e AS (SELECT doc_id, line, ws[1] AS w, ', (' || translate(ws[2], '$,.:', '') || ', cf. x) ' AS rest, CASE WHEN line % 2 = 0 THEN ws[1] || ' or ' || ws[2] || ' x' ELSE ws[1] || ' x' END AS c2 FROM r),
-v AS (SELECT *, regexp_extract(c2, '^\\S+ or ([^\\s,]+)', 1) AS two FROM e)
+e AS (SELECT doc_id, line, ws[1] AS w, ', (' || translate(ws[2], '$,.:', '') || ', cf. x) ' AS rest, CASE WHEN line % 2 = 0 THEN ws[1] || ' or ' || ws[2] || CASE WHEN line % 4 = 0 THEN ', x' ELSE ' x' END ELSE ws[1] || ' x' END AS c2 FROM r),
+v AS (SELECT *, regexp_extract(c2, '^\\S+ or ([^\\s,]+),', 1) AS two FROM e)
 SELECT doc_id, line, regexp_extract(rest, '^,?\\s*(?:\\$\\$)?(?:(?:Ion)\\. Noun,)?\\s*\\(([A-Za-z)(/=\\\\+|&'']*?)(?:, cf\\. .*?)?\\)\\s+', 1) AS link,
   unnest(CASE WHEN two <> '' THEN [w, two] ELSE [w] END) AS start FROM v""")
 def links(spark, sf):
     ws = F.split("core", " ")
     e = _entries(spark, sf).filter(F.size(ws) > 3).select(
         "doc_id", "line", ws[0].alias("headword"), F.concat(F.lit(", ("), F.translate(ws[1], "$,.:", ""), F.lit(", cf. x) ")).alias("rest"),
-        F.when(F.col("line") % 2 == 0, F.concat(ws[0], F.lit(" or "), ws[1], F.lit(" x"))).otherwise(F.concat(ws[0], F.lit(" x"))).alias("core"))
+        F.when(F.col("line") % 2 == 0, F.concat(ws[0], F.lit(" or "), ws[1], F.when(F.col("line") % 4 == 0, ", x").otherwise(" x"))).otherwise(F.concat(ws[0], F.lit(" x"))).alias("core"))
     return en.start_variants(e).select("doc_id", "line", en.related_word("rest").alias("link"), "start")
 
 
@@ -349,6 +353,7 @@ def fallback(spark, sf):
     entries, stems = dictionary(spark, sf)
     forms = _dict_forms(spark, sf)
     v = sc.clean_verses(c.verses(spark, sf))
-    native = sc.line_sounds(v, lx.native_tokens(forms, entries, stems), ["doc_id", "line"]).withColumnRenamed("sound_text", "native_text")
-    out = sc.scan_fallback(native, "native_text", "text")
+    native = sc.line_sounds(v, lx.native_tokens(forms, entries, stems), ["doc_id", "line"], approach=ph.NATIVE).withColumnRenamed("sound_text", "native_text")
+    both = sc.line_sounds(native, lx.student_tokens(forms), ["doc_id", "line"])
+    out = sc.scan_fallback(both, "native_text", "sound_text")
     return out.groupBy("text_name", "approach", "scanned").agg(F.count("*").alias("n"))

@@ -36,7 +36,7 @@ snd AS (SELECT doc_id, text_name, book, line,
                      '(?:[aeou]i|[aoehw]u|[a-z])[^a-z. ]*| ') AS s FROM lines)"""
 _SYL = _SND + r""",
 nuc AS (SELECT *, list_filter(range(1, len(s) + 1), lambda i: NOT regexp_matches(s[i], '^[bgdzqklmncprstfxyv ]')) AS nx FROM snd),
-ks AS (SELECT doc_id, text_name, book, line, s, nx, len(nx) AS n, unnest(range(1, len(nx) + 1)) AS k FROM nuc WHERE len(nx) BETWEEN 12 AND 25),
+ks AS (SELECT doc_id, text_name, book, line, s, nx, len(nx) AS n, unnest(range(1, len(nx) + 1)) AS k FROM nuc WHERE len(nx) > 0),
 g AS (SELECT *, s[nx[k]] AS v, s[nx[k] + 1 : CASE WHEN k < n THEN nx[k + 1] - 1 ELSE len(s) END] AS gap FROM ks),
 h AS (SELECT *, regexp_replace(v, '[^aeiouhw]', '', 'g') AS core, contains(v, '=') AS circ, list_filter(gap, lambda x: x <> ' ') AS cs,
        list_contains(gap, ' ') AS pause, coalesce(gap[1] = ' ', false) AS word_end FROM g),
@@ -94,17 +94,11 @@ def sounds(spark, sf):
 
 
 def _classes(spark, sf, level):
-    df = _verses(spark, sf).withColumn("_m", ph.merged_text("text", level))
-    df = df.withColumn("_k", ph.skeleton("_m", ph.STUDENT)).withColumn("_k0", ph.skeleton(ph.merged_text("text", 0), ph.STUDENT))
-    df = df.filter(ph.nuclei_count("_k0").between(12, 25)).withColumn("_t", ph.cv_pattern("_k"))
-    df, packed = sc._stage(df, "_r_", ph.packed_sets("_t", ph.STUDENT))
-    df, sets = sc._stage(df, "_b_", ph.syllable_sets(packed))
-    # sets hold 21 syllables; longer lines never scan
-    return df.filter(sets["n"] <= 20).select(
-        "doc_id", "line", sets["n"].cast("long").alias("n"), ph.class_string(sets["n"], sets["long"], sets["short"]).alias("classes"),
-        F.bit_count(sets["pause"]).alias("n_pauses"), F.bit_count(sets["corr"]).alias("n_corr"),
-        F.bit_count(ph.either(sets["ml_rl"], sets["ml_mn"])).alias("n_ml"), F.bit_count(sets["dig_c"]).alias("n_dig_c"),
-        F.bit_count(sets["dig_h"]).alias("n_dig_h"))
+    df = _verses(spark, sf).withColumn("_k", ph.skeleton(ph.merged_text("text", level), ph.STUDENT))
+    f = ph.syllable_facts(ph.cv_pattern("_k"), ph.STUDENT)
+    out = df.select("doc_id", "line", f["n"].cast("long").alias("n"), *(f[c].alias(c if c == "classes" else f"n_{c}") for c in
+                                                                        ("classes", "pauses", "corr", "ml", "dig_c", "dig_h")))
+    return out.filter("n > 0")
 
 
 def _classes_sql(level):
@@ -113,7 +107,7 @@ def _classes_sql(level):
   CAST(count(*) FILTER (WHERE ml > 0 AND NOT merged) AS INTEGER) AS n_ml,
   CAST(count(*) FILTER (WHERE doublet AND k < n AND NOT merged) AS INTEGER) AS n_dig_c,
   CAST(count(*) FILTER (WHERE hiatus AND NOT merged) AS INTEGER) AS n_dig_h
-FROM syl WHERE level = {level} GROUP BY doc_id, line HAVING count(*) <= 20"""
+FROM syl WHERE level = {level} GROUP BY doc_id, line"""
 
 
 @query("s05_s07_syllables", _classes_sql(0))
@@ -269,23 +263,21 @@ _OUT = """CASE WHEN feet IS NOT NULL AND target IS NOT NULL THEN CASE WHEN feet
 _AGREE = ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS n_{o}" for o in ev.OUTCOMES)
 
 
-@query("e02_e03_e06_compare", _OTHER + f" SELECT doc_id, line, feet AS ours, target AS theirs, {_OUT} AS outcome FROM other WHERE feet IS NOT NULL OR target IS NOT NULL")
+@query("e02_e03_e06_compare", _OTHER + f" SELECT doc_id, line, feet AS ours, target AS theirs, {_OUT} AS outcome FROM other")
 def compare(spark, sf):
-    o = _other(spark, sf)
-    both = ev.compare(o.filter("feet IS NOT NULL"), o.filter("target IS NOT NULL"), ["doc_id", "line"], "full")
-    return both
+    o = _other(spark, sf).select("doc_id", "line", F.col("feet").alias("ours"), F.col("target").alias("theirs"))
+    return o.withColumn("outcome", ev.outcome(F.col("ours"), F.col("theirs")))
 
 
 @query("e04_approaches", _CAND + """,
 p1 AS (SELECT doc_id, line, CASE WHEN scan_pass = 1 THEN feet END AS strict, feet FROM scans),
 o AS (SELECT doc_id, line, strict AS ours, feet AS theirs, CASE WHEN strict IS NOT NULL AND feet IS NOT NULL THEN CASE WHEN feet = strict THEN 'agree' ELSE 'differ' END
  WHEN strict IS NOT NULL THEN 'theirs_failed' WHEN feet IS NOT NULL THEN 'ours_failed' ELSE 'both_failed' END AS outcome FROM p1)
-SELECT * FROM o WHERE outcome <> 'agree' AND outcome <> 'both_failed'""")
+SELECT * FROM o WHERE outcome <> 'agree'""")
 def approaches(spark, sf):
-    v = _verses(spark, sf)
-    one, all_ = sc.scan_lines(v, passes=(1,)), sc.scan_lines(v)
-    cmp_ = ev.compare(one, all_, ["doc_id", "line"], "inner", theirs_col="feet")
-    return ev.disagreements(cmp_).filter("outcome <> 'both_failed'")
+    strict = F.when(F.col("scan_pass") == 1, F.col("feet"))
+    o = scans(spark, sf).select("doc_id", "line", strict.alias("ours"), F.col("feet").alias("theirs"))
+    return ev.disagreements(o.withColumn("outcome", ev.outcome(F.col("ours"), F.col("theirs"))))
 
 
 @query("e05_all_same", _OTHER + """,
@@ -298,9 +290,9 @@ def all_same(spark, sf):
 
 
 @query("e07_agreement", _OTHER + f""",
-k AS (SELECT text_name, {_OUT} AS outcome FROM other WHERE feet IS NOT NULL OR line % 3 = 0)
+k AS (SELECT text_name, {_OUT} AS outcome FROM other)
 SELECT text_name, count(*) AS n_lines, {_AGREE}, round(100.0 * count(*) FILTER (WHERE outcome = 'differ') / count(*), 6) AS differ_percent FROM k GROUP BY ALL""")
 def agreement(spark, sf):
-    o = _other(spark, sf).filter("feet IS NOT NULL OR line % 3 = 0")
+    o = _other(spark, sf)
     k = o.withColumn("outcome", ev.outcome(F.col("feet"), F.col("target")))
     return ev.agreement(k, ["text_name"]).withColumn("differ_percent", c.r6("differ_percent"))

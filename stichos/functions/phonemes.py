@@ -187,22 +187,33 @@ def syllable_sets(p: dict[str, Column]) -> dict[str, Column]:
 
 
 def class_string(n, long, short) -> Column:
-    """Length classes for people: L long, S short, U open (one letter per syllable)."""
+    """Length classes for people: L long, S short, U open (one letter per syllable of a scanned line)."""
     digits = F.conv((_col(long) + 2 * _col(short)).cast("string"), 10, 8)
     return F.translate(F.lpad(digits, _col(n), F.lit("0")), "012", "ULS")
 
 
-def syllable_texts(sound_text) -> Column:
-    """S-6 for reports: the syllables as written.
+def syllable_facts(pattern, approach: str) -> dict[str, Column]:
+    """S-5 to S-7 for lines of any length: the facts of syllable_sets, read from each syllable of cv_pattern as text.
 
-    The first of two or more consonants closes the syllable before it, unless the pair
-    holds a digamma; consonants at the end of the line stay with the last syllable.
+    classes has one letter per syllable, the others count syllables.
     """
-    c, v, gap = "[bgdzqklmncprstfxyv][^a-z. ]*", rf"(?:{DIPHTHONG}|[aeiouhwj])[^a-z. ]*", "[. ]*"
-    pair_with_v = rf"{gap}(?:v[^a-z. ]*{gap}{c}|{c}{gap}v[^a-z. ]*){gap}[aeiouhwj]"
-    syl = rf"(?:{c}{gap})*{v}(?:(?:{gap}{c})+{gap}$|(?!{pair_with_v}){gap}{c}(?={gap}{c}))?"
-    parts = F.regexp_extract_all(split_diaeresis(drop_loose_marks(sound_text)), F.lit(syl), 0)
-    return F.transform(parts, lambda p: F.translate(p, " .", ""))
+    parts = F.regexp_extract_all(_col(pattern), F.lit(rf"[A-Z]\|?[{KINDS}]"), 0)
+    hiatus = lambda p: p.endswith("|v")
+    open_next = lambda p, last: hiatus(p) | (p.endswith("|o") & ~last)
+    shorten = "AYDB" if approach == NATIVE else "AY"
+
+    def letter(p, i):
+        closed, last = p.rlike("[xz469]$"), i == F.size(parts) - 1
+        return F.when(closed | (p.rlike("^[AY]") & ~open_next(p, last)), "L") \
+            .when(p.rlike("^[EB]") & ~p.rlike("[89<]$"), "S").otherwise("U")
+
+    def count(test) -> Column:
+        marked = F.transform(parts, lambda p, i: F.when(test(p, i == F.size(parts) - 1), 1).otherwise(0))
+        return F.aggregate(marked, F.lit(0), lambda a, x: a + x)
+
+    return {"n": F.size(parts), "classes": F.array_join(F.transform(parts, letter), ""), "pauses": count(lambda p, last: p.contains("|")),
+            "corr": count(lambda p, last: open_next(p, last) & p.rlike(f"^[{shorten}]")), "ml": count(lambda p, last: p.rlike("^[^Y].*[46]$")),
+            "dig_c": count(lambda p, last: p.rlike("^[^Y].*[89]$")), "dig_h": count(lambda p, last: hiatus(p) & ~p.startswith("Y"))}
 
 
 # ---- lengths of a word's vowels without a dictionary -------------------------------------

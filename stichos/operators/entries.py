@@ -67,8 +67,7 @@ def classify(entries: DataFrame, exact: DataFrame | None, rounds: list[list[tupl
     """X-13: class per entry: its word's own class, else over the patterns of the first
     round that match the one whose match ends first (ties: earlier rule), and so on.
 
-    rounds: lists of (regex, class, column to match). The exact words are a small table of
-    fixed size and broadcast.
+    rounds: lists of (regex, class, column to match).
     """
     def first_end(rules):
         cells = []
@@ -83,7 +82,7 @@ def classify(entries: DataFrame, exact: DataFrame | None, rounds: list[list[tupl
     prepared = entries
     own = F.lit(None).cast("string")
     if exact is not None:
-        prepared = entries.join(F.broadcast(exact.select(F.col("word").alias(word), F.col("class").alias("_own"))), word, "left")
+        prepared = entries.join(exact.select(F.col("word").alias(word), F.col("class").alias("_own")), word, "left")
         own = F.col("_own")
     return (prepared.withColumn("class", F.coalesce(own, *[first_end(r) for r in rounds], F.lit(other)))
             .drop("_own"))
@@ -94,6 +93,7 @@ def group_small(classified: DataFrame, kept: list[str]) -> DataFrame:
     return classified.withColumn("class_group", F.when(F.col("class").isin(*kept), F.col("class")).otherwise("rest"))
 
 
+# fixed value: must equal the original's pattern
 LINK = r"^,?\s*(?:\$\$)?(?:(?:Ion)\. Noun,)?\s*\(([A-Za-z)(/=\\+|&']*?)(?:, cf\. .*?)?\)\s+"
 
 
@@ -103,8 +103,8 @@ def related_word(rest) -> Column:
 
 
 def start_variants(entries: DataFrame, core: str = "core", word: str = "headword",
-                   either: str = r"^\S+ or ([^\s,]+)") -> DataFrame:
-    """X-16: one row per headword of `A or B` entries."""
+                   either: str = r"^\S+ or ([^\s,]+),") -> DataFrame:
+    """X-16: one row per headword of `A or B, ...` entries; without the comma the second word is no headword."""
     second = F.regexp_extract(core, either, 1)
     return entries.withColumn("start", F.explode(F.when(second != "", F.array(word, second)).otherwise(F.array(word))))
 

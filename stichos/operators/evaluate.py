@@ -23,7 +23,7 @@ def outcome(ours: Column, theirs: Column) -> Column:
             .when(ours.isNotNull(), "theirs_failed").when(theirs.isNotNull(), "ours_failed").otherwise("both_failed"))
 
 
-def compare(ours: DataFrame, theirs: DataFrame, keys: list[str], how: str = "left",
+def compare(ours: DataFrame, theirs: DataFrame, keys: list[str], how: str = "right",
             ours_col: str = "feet", theirs_col: str = "target") -> DataFrame:
     """E-2 (truth, every target counts: right side kept), E-3 and E-6 (other scanner), E-4 (approaches)."""
     a = ours.select(*keys, F.col(ours_col).alias("ours"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stichos.functions import phonemes as ph, text as tx
 from stichos.functions.text import _col, let
+from stichos.operators.tokens import salted_join
 from stichos.rules import endings, probes
 from stichos.rules.table import NO_CLASS
 
@@ -14,7 +15,7 @@ from stichos.rules.table import NO_CLASS
 
 def lookup_parses(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     """X-1: tokens with their parses; a token without any is one row with valid = false."""
-    joined = tokens.join(forms, "token", "left")
+    joined = salted_join(tokens, forms, ["token"], salt_by=tokens.columns)
     return joined.withColumn("valid", F.col("parse_no").isNotNull())
 
 
@@ -247,25 +248,19 @@ def parse_lengths(forms: DataFrame, entries: DataFrame, stems: DataFrame) -> Dat
 def unify_lengths(lengths: DataFrame, by: str = "token") -> DataFrame:
     """X-23: one length per vowel over all parses: what all agree on, else open.
 
-    Lists of different size give up (unified = false). Positions are compared as bit
-    sets, so a group is only ever a few partial aggregates.
+    Lists of different size give up (unified = false). Each vowel is a row (token, place), so words may have any number of them.
     """
-    bits = lambda sym: F.conv(F.right(F.translate(
-        "lengths", "sl?", "".join("1" if c == sym else "0" for c in "sl?")), F.lit(62)), 2, 10).cast("long")
-    size = F.length("lengths")
     shown = F.length(F.translate("spelling", "/=", ""))
-    agg = lengths.groupBy(by).agg(
-        F.min(size).alias("_min"), F.max(size).alias("_max"), F.count("*").alias("n_parses"),
-        F.min_by("spelling", F.struct(shown, "parse_no")).alias("spelling"),
-        *[F.bit_or(F.coalesce(bits(c), F.lit(0))).alias(f"_{n}") for c, n in (("s", "s"), ("l", "l"), ("?", "q"))])
-    only = lambda a, b, c: F.col(a).bitwiseAND(F.bitwise_not(F.col(b).bitwiseOR(F.col(c))))
-    flags = lambda b: F.lpad(F.conv(b.cast("string"), 10, 2), F.col("_max"), F.lit("0"))
-    pick = F.array_join(F.transform(F.sequence(F.lit(1), F.col("_max")), lambda i: F.when(
-        F.substr(flags(only("_s", "_l", "_q")), i, F.lit(1)) == "1", "s").when(
-        F.substr(flags(only("_l", "_s", "_q")), i, F.lit(1)) == "1", "l").otherwise("?")), "")
+    size = F.length("lengths")
+    whole = lengths.groupBy(by).agg(F.min(size).alias("_min"), F.max(size).alias("_max"), F.count("*").alias("n_parses"),
+                                    F.min_by("spelling", F.struct(shown, "parse_no")).alias("spelling"))
+    vowels = lengths.select(by, F.posexplode(F.split("lengths", "")).alias("_at", "_length")).filter("_length <> ''")
+    each = vowels.groupBy(by, "_at").agg(F.min("_length").alias("_low"), F.max("_length").alias("_high"))
+    one = F.struct("_at", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("?").alias("_length"))
+    joined = each.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    agreed = F.coalesce(F.array_join(F.transform("_all", lambda x: x["_length"]), ""), F.lit(""))
     same = F.col("_min") == F.col("_max")
-    return agg.select(by, same.alias("unified"),
-                      F.when(same, F.when(F.col("_max") > 0, pick).otherwise("")).alias("lengths"), "spelling", "n_parses")
+    return whole.join(joined, by, "left").select(by, same.alias("unified"), F.when(same, agreed).alias("lengths"), "spelling", "n_parses")
 
 
 def native_tokens(forms: DataFrame, entries: DataFrame, stems: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ from stichos.functions import feet as ft, phonemes as ph, text as tx
 
 FALLBACK = "fallback"
 PASSES = (1, 2, 3, 4, 5)
-# a run-together pair saves one syllable; a line never holds more than a few
-MAX_BEFORE_MERGING = ft.MAX_SYLLABLES + 8
 
 
 def scan_lines(lines: DataFrame, sound_text: str = "text", approach: str = ph.STUDENT,
@@ -21,7 +19,12 @@ def scan_lines(lines: DataFrame, sound_text: str = "text", approach: str = ph.ST
     several readings end the search in failure.
     """
     df = lines.withColumn("_k", ph.skeleton(ph.merged_text(sound_text, 0), approach))
-    fits = ph.nuclei_count("_k").between(ft.MIN_SYLLABLES, MAX_BEFORE_MERGING)
+    # Running vowels together only lowers the count. A line stays open if it has enough syllables with none run together
+    # and few enough with all; each pass then asks for its own count, before the sets of the line are read.
+    most = max(ph.SYNIZESIS_OF_PASS[p] for p in passes)
+    count = ph.nuclei_count("_k")
+    merged_count = ph.nuclei_count(ph.skeleton(ph.merged_text(sound_text, most), approach))
+    fits = (count >= ft.MIN_SYLLABLES) & ((count <= ft.MAX_SYLLABLES) | (merged_count <= ft.MAX_SYLLABLES))
     df = df.withColumn("_open", F.coalesce(fits, F.lit(False)))
     sets: dict[int, dict] = {}
     starts: dict[int, dict] = {}
@@ -116,12 +119,13 @@ def clean_verses(lines: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_sounds(lines: DataFrame, tokens: DataFrame, keys: list[str], text: str = "text",
-                salts: int = 16) -> DataFrame:
+                salts: int | None = None, approach: str = ph.STUDENT) -> DataFrame:
     """S-3: replace every token of a cleaned line by its sounds and apply clitics.
 
     `tokens` has one row per token type: token, sound, enclitic, proclitic. The text keeps
     its word order by position; the join is salted because a few words fill a text. An
-    enclitic loses the blank before it, a proclitic the one after it.
+    enclitic loses the blank before it, a proclitic the one after it. For the native approach a word that the table does not
+    have gets default lengths, as diphthongs without a mark would be read as open.
     """
     from stichos.operators.tokens import salted_join
 
@@ -129,7 +133,10 @@ def line_sounds(lines: DataFrame, tokens: DataFrame, keys: list[str], text: str
     words = words.withColumn("token", tx.standardize("raw"))
     known = salted_join(words, tokens.select("token", "sound", "enclitic", "proclitic"), ["token"],
                         salt_by=[*keys, "pos"], salts=salts)
-    word = F.struct("pos", F.coalesce("sound", "raw").alias("sound"),
+    unknown = F.col("raw")
+    if approach == ph.NATIVE:
+        unknown = F.regexp_replace(ph.tag_lengths("raw", ph.default_lengths("raw")), r"^\.", "")
+    word = F.struct("pos", F.coalesce("sound", unknown).alias("sound"),
                     F.coalesce("enclitic", F.lit(False)).alias("enclitic"),
                     F.coalesce("proclitic", F.lit(False)).alias("proclitic"))
 

@@ -47,12 +47,14 @@ def lookup_failures(vocab: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def salted_join(facts: DataFrame, types: DataFrame, on: list[str], salt_by: list[str],
-                salts: int = 16) -> DataFrame:
-    """Left join of many occurrences to one row per type, safe when one type is very frequent.
+                salts: int | None = None) -> DataFrame:
+    """Left join of many occurrences to few rows per type, safe when one type is very frequent.
 
-    `types` is unique per key, so repeating it `salts` times is cheap and keeps the result
-    unchanged; a type that fills a third of the facts is spread over `salts` tasks.
+    `types` is repeated `salts` times, which keeps the result unchanged; a type that fills a
+    third of the facts is spread over `salts` tasks (by default as many as half the shuffle partitions, at most 64).
     """
+    if salts is None:
+        salts = max(4, min(64, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2))
     salt = F.pmod(F.hash(*salt_by), F.lit(salts))
     wide = types.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (facts.withColumn("_salt", salt).join(wide, [*on, "_salt"], "left").drop("_salt"))

@@ -26,16 +26,17 @@ def scan_corpus(lines: DataFrame, forms: DataFrame | None = None, entries: DataF
     """Lines (text_name, book, line, text) to scans with features.
 
     Without a form table there are no clitics and the letters decide; the native approach
-    also needs the dictionary (entries, stems).
+    also needs the dictionary (entries, stems). Parts of a combined text are told apart by source_pos.
     """
     clean = scansion.clean_verses(corpus.drop_pentameters(lines))
-    keys = ["text_name", "book", "line"]
+    keys = ["text_name", "book", "line", *(["source_pos"] if "source_pos" in lines.columns else [])]
     if forms is None:
         return line_features.line_features(scansion.scan_lines(clean, "text", ph.STUDENT))
     student = scansion.line_sounds(clean, lexicon.student_tokens(forms), keys).withColumnRenamed("sound_text", "_student")
     if approach == ph.STUDENT:
         return line_features.line_features(scansion.scan_lines(student, "_student", ph.STUDENT))
-    native = scansion.line_sounds(student, lexicon.native_tokens(forms, entries, stems), keys).withColumnRenamed("sound_text", "_native")
+    native = scansion.line_sounds(student, lexicon.native_tokens(forms, entries, stems), keys,
+                                  approach=ph.NATIVE).withColumnRenamed("sound_text", "_native")
     scans = (scansion.scan_lines(native, "_native", ph.NATIVE) if approach == ph.NATIVE
              else scansion.scan_fallback(native, "_native", "_student"))
     return line_features.line_features(scans)
@@ -71,7 +72,7 @@ def classify(long_: DataFrame, folds: DataFrame, cells: list[learn.Cell], select
     rows = selectors.select_rows(matrix.row_vectors(long_, KEYS, width), selectors.SELECTORS[selector])
     rows = learn.as_vectors(rows.join(folds, "name"))
     values = [r[0] for r in folds.filter("fold IS NOT NULL").select("fold").distinct().collect()]
-    return learn.prediction_log(rows.select("name", "label", "features", "fold"), values, cells, width)
+    return learn.prediction_log(rows.select("name", "label", "features", "fold", "is_test"), values, cells, width)
 
 
 def corpus_with_combinations(spark: SparkSession, lines: DataFrame) -> DataFrame:
@@ -82,8 +83,6 @@ def corpus_with_combinations(spark: SparkSession, lines: DataFrame) -> DataFrame
 
 def total_success(scans: DataFrame, spark: SparkSession) -> DataFrame:
     """Scan rates per text; the total leaves out texts that are not counted."""
-    flags = corpus.manifest(spark).select("text_name", "skip_for_accuracy")
-    counted = scans.join(F.broadcast(flags), "text_name", "left")
-    per = counted.groupBy("text_name").agg(F.count("*").alias("n_lines"), F.count_if("scanned").alias("n_scanned"),
-                                           F.first(F.coalesce("skip_for_accuracy", F.lit(False))).alias("skipped"))
-    return per.withColumn("rate", F.when(F.col("n_lines") > 0, 100.0 * F.col("n_scanned") / F.col("n_lines")).otherwise(0.0))
+    flags = corpus.manifest(spark).select("text_name", F.col("skip_for_accuracy").alias("skipped"))
+    counted = scans.join(flags, "text_name", "left").withColumn("skipped", F.coalesce("skipped", F.lit(False)))
+    return scansion.success_rate(counted, ["text_name", "skipped"], ~F.col("skipped"))

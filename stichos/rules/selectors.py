@@ -135,3 +135,13 @@ def select_rows(rows: DataFrame, arms: list[tuple[str, str]], text: str = "text_
     out = packed.withColumn("_d", said).filter(F.col("_d")[0] != "skip")
     return out.select("_row.*", "name", (F.col("_d")[0] == "test").alias("is_test"),
                       (F.col("_d")[1] == "show").alias("show_name"), F.col("_d")[2].cast("int").alias("label"))
+
+
+def select_all(rows: DataFrame, selectors: dict[str, list[tuple[str, str]]], text: str = "text_name", sub: str = "sub") -> DataFrame:
+    """All selectors in one pass over the rows: a row for each selector that takes it."""
+    packed = rows.select(F.struct(*rows.columns).alias("_row"), F.col(text).alias("text"), F.col(sub).alias("sub"),
+                         F.concat_ws(": ", text, sub).alias("name"))
+    said = F.array(*[F.struct(F.lit(s).alias("selector"), F.split(F.expr(decision(arms)), " ").alias("_d")) for s, arms in selectors.items()])
+    out = packed.select("_row", "name", F.inline(said)).filter(F.col("_d")[0] != "skip")
+    return out.select("selector", "_row.*", "name", (F.col("_d")[0] == "test").alias("is_test"),
+                      (F.col("_d")[1] == "show").alias("show_name"), F.col("_d")[2].cast("int").alias("label"))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Broadcasts are decided by Spark from statistics, up to this size. Only tables whose
 # size is fixed by the code (rules, endings, manifest) carry an explicit hint.
@@ -30,17 +29,3 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
-
-    Only where neither the session nor the context has one (a local test) is a
-    temporary folder used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stichos-checkpoint-"))
-    return df.checkpoint(eager=True)

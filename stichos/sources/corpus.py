@@ -68,10 +68,10 @@ INCREMENTS = {
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """C-1: verse lines from JSON (an array or one object per line) or Parquet."""
+    """C-1: verse lines from Parquet, from JSON with one object per line (.jsonl, read in splits), or from JSON arrays (one task a file)."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.schema(VERSE_LINE).json(path, multiLine=True)
+    return spark.read.schema(VERSE_LINE).json(path, multiLine=not path.endswith(".jsonl"))
 
 
 def read_forms(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +90,7 @@ def explode_forms(indexed: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession) -> DataFrame:
-    """C-2: one row per text; its size is fixed, so joins broadcast it."""
+    """C-2: one row per text."""
     rows = []
     for row in MANIFEST.strip().splitlines():
         name, author, books, flags, sources = (x.strip() for x in row.split("|"))
@@ -102,7 +102,7 @@ def manifest(spark: SparkSession) -> DataFrame:
 def counted_texts(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """C-2 as a filter: lines of texts that count for accuracy and stand alone."""
     keep = texts.filter(~F.col("skip_for_accuracy") & ~F.col("to_be_combined")).select("text_name")
-    return lines.join(F.broadcast(keep), "text_name", "left_semi")
+    return lines.join(keep, "text_name", "left_semi")
 
 
 def combine_texts(lines: DataFrame, texts: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def combine_texts(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """
     parts = texts.filter(F.col("source_texts").isNotNull()).select(
         F.col("text_name").alias("combined"), F.posexplode("source_texts").alias("source_pos", "text_name"))
-    added = (lines.join(F.broadcast(parts), "text_name")
+    added = (lines.join(parts, "text_name")
              .withColumn("text_name", F.col("combined")).drop("combined"))
     return lines.withColumn("source_pos", F.lit(0)).unionByName(added.select(*lines.columns, "source_pos"))
 
@@ -121,7 +121,7 @@ def combine_texts(lines: DataFrame, texts: DataFrame) -> DataFrame:
 def without_parts(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """C-4: drop texts that only serve a combination."""
     parts = texts.filter("to_be_combined").select("text_name")
-    return lines.join(F.broadcast(parts), "text_name", "left_anti")
+    return lines.join(parts, "text_name", "left_anti")
 
 
 def lines_of_markup(pages: DataFrame, keys: list[str], markup: str, first_line: Column | None = None,
@@ -174,10 +174,6 @@ def editorial_marks(lines: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("passage", F.regexp_extract(text, EDITORIAL, 0)))
 
 
-def drop_editorial(text) -> Column:
-    return F.regexp_replace(text, r"(†.*?†)|(\[.*?\])|(<.*?>)", "")
-
-
 def drop_pentameters(lines: DataFrame, text: str = "CallimachusHymns", book: int = 5) -> DataFrame:
     """C-8: every even line of one book of one text is no hexameter."""
     couplet = (F.col("text_name") == text) & (F.col("book") == book) & (F.col("line") % 2 == 0)
@@ -209,8 +205,6 @@ def read_feet(spark: SparkSession, path: str, text_name: str, first_line: int =
 def write_by_text(df: DataFrame, path: str, text: str = "text_name", mode: str = "overwrite") -> None:
     """C-12: results partitioned by text, so that later readers prune.
 
-    Rows are spread by text and a hash of the row before writing: one large text is
-    written by many tasks, a small one by few.
+    The rows of a text come together, and adaptive execution splits a large text by size, so that many tasks write it.
     """
-    spread = df.withColumn("_h", F.pmod(F.xxhash64(*[c for c in df.columns if c != text]), F.lit(8)))
-    spread.repartition(text, "_h").drop("_h").write.mode(mode).partitionBy(text).parquet(path)
+    df.hint("rebalance", text).write.mode(mode).partitionBy(text).parquet(path)
