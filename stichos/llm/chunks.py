@@ -3,7 +3,8 @@
 A byte-level pre-tokenising pattern that lets one blank lead a word never joins characters across a blank or line
 feed that stands alone between two other characters. So a text in which all white space of that sort stands alone is the
 sequence of its chunks (a word with its leading blank, or a line feed with the first word of a line), and a chunk met
-before is only looked up. Any other text (such white space in runs or at an end) is tokenised as one chunk.
+before is only looked up. Nor does such a pattern join a letter or digit with punctuation behind it (apostrophes apart), so a word with
+punctuation at its end is the word and that. Any other text (such white space in runs or at an end) is tokenised as one chunk.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Sequence
 
 ENTRIES = 400_000
 WHOLE = 0                                                             # stands for a chunk that cannot be tokenised alone
+PUNCTUATION, TAILS = ".,!?;:*#$%&|()\"-", 20_000
 
 
 class ChunkTokenizer:
@@ -25,6 +27,7 @@ class ChunkTokenizer:
         self.encode, self.entries, self.feed = encode, entries, encode(["\n"], True)[0]
         self.known: dict[str, bytes | int] = {}
         self.elder: dict[str, bytes | int] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > self.entries:
@@ -34,28 +37,36 @@ class ChunkTokenizer:
         new = [w for w in words if w not in known]
         plain = [w for w in new if w and w.strip() == w]
         known.update(dict.fromkeys(new, WHOLE))
-        known.update(zip(plain, self.encode([" " + w for w in plain], False)))
+        cores = [w.rstrip(PUNCTUATION) for w in plain]
+        cores = [c if c and c[-1].isalnum() else w for w, c in zip(plain, cores)]
+        known.update([(c, elder[c]) for c in set(cores) if c in elder])
+        alone = [c for c in set(cores) if not known.get(c)]
+        known.update(zip(alone, self.encode([" " + c for c in alone], False)))
+        tails = {w[len(c):] for w, c in zip(plain, cores)} - self.tails.keys()
+        if len(self.tails) > TAILS:
+            self.tails, tails = {}, {w[len(c):] for w, c in zip(plain, cores)}
+        tails = list(tails - {""})
+        self.tails |= {"": b"", **dict(zip(tails, self.encode(tails, False)))}
+        known.update([(w, known[c] + self.tails[w[len(c):]]) for w, c in zip(plain, cores) if w != c])
         first = [w for w in new if len(w) > 1 and w[0] == "\n" and w.strip() == w[1:]]
         known.update((w, self.feed + ids) for w, ids in zip(first, self.encode([w[1:] for w in first], False)))
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        parts, missing = [], set()
+        parts, found, missing = [], [], set()
         get = self.known.get
         for text in texts:
             words = ("\n" + text.replace("\n", " \n")).split(" ")
+            got = list(map(get, words))
             parts.append(words)
-            if None in (got := list(map(get, words))):
+            found.append(got)
+            if None in got:
                 missing.update([w for w, ids in zip(words, got) if ids is None])
         if missing:
             self._learn(missing)
-        get, out, whole = self.known.get, [], []
-        skip = len(self.feed)
-        for i, words in enumerate(parts):
-            got = list(map(get, words))
-            if None in got:                                           # some are of the generation that has just become the elder
-                self._learn(set(words))
-                get = self.known.get
-                got = list(map(get, words))
+        get, out, whole, skip = self.known.get, [], [], len(self.feed)
+        for i, (words, got) in enumerate(zip(parts, found)):
+            if None in got:
+                got = [get(w) if ids is None else ids for w, ids in zip(words, got)]
             try:
                 out.append(b"".join(got)[skip:])
             except TypeError:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -25,6 +26,7 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"                    # Spark runs a task on each core
     tokenizer = Tokenizer.from_file(path)
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
@@ -137,15 +139,15 @@ def order_by_neighbours(scores: np.ndarray, tokens: Sequence[int], window: int,
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Pieces of documents in sequences of `window` tokens; each document's ids end with id 0.
 
-    Texts are dealt by range of a hash of the least word hash, so that likely neighbours (near copies share it with a chance that grows
-    with their similarity) come into one shard, and by doc_id, so that one hash may hold any share of the rows. A partition is worked
+    Texts are dealt by range of a hash of their least line hash, so that likely neighbours (near copies share it with a chance that grows
+    with their share of equal lines) come into one shard, and by doc_id, so that one hash may hold any share of the rows. A partition is worked
     through in shards of bounded bytes and rows, each with its own inverted index: the seed's unused neighbours fill its window
     in the order of their BM25 scores; the last is cut at the end of the window and its rest seeds the next one. Only the last
     sequence of a partition may be padded. Terms of the index are token ids.
 
     A null or empty text has the id 0 alone; rows with the same doc_id, or none, are packed as documents of their own.
     """
-    d = texts_of(docs).withColumn("_key", F.xxhash64(F.array_min(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))))
+    d = texts_of(docs).withColumn("_key", F.xxhash64(F.array_min(F.transform(F.split("text", "\n"), lambda w: F.xxhash64(w)))))
     dealt = d.repartitionByRange("_key", "doc_id").sortWithinPartitions("_key", "doc_id", F.length("text"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,8 @@ from stichos.llm.suffix_dedup import pack, unpack
 
 CONTEXTS, SAMPLES, STRENGTH, SEED = 4096, 2, 1.0, 17
 EXACT_CUSTOMERS = 64
-ROWS, BUCKETS_PER_PARTITION = 50_000, 4
+ROWS, BUCKETS_PER_PARTITION = 50_000, 2
+SUMS = (np.float32, np.float64, np.uint32)                            # partial sums of a document: score, base score, known tokens
 END, START = 0x5E5E5E5E5E5E5E5E, 0x1717171717171717
 M1 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -245,7 +246,7 @@ def score_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
             place, of = np.unique(b.slice << 16 | b.doc, return_inverse=True)
             columns = [np.bincount(of, w, len(place)) for w in (chance[b.of], plain[b.token], b.token_count[b.token] > 0)]
             bounds = np.searchsorted(place >> 16, np.arange(len(b.slice_ids) + 1))
-            rows = [(s, pack((place[x:y] & 0xFFFF).astype(np.uint16), *(c[x:y] for c in columns)))
+            rows = [(s, pack((place[x:y] & 0xFFFF).astype(np.uint16), *(c[x:y].astype(k) for c, k in zip(columns, SUMS))))
                     for s, x, y in zip(b.slice_ids.tolist(), bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "blob"])
 
@@ -267,7 +268,7 @@ def score_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                     table_ = unpack(blob)
                     total = np.zeros((3, len(table_[1])))
                 else:
-                    doc, *columns = (np.frombuffer(x, k) for x, k in zip(unpack(blob), (np.uint16, np.float64, np.float64, np.float64)))
+                    doc, *columns = (np.frombuffer(x, k) for x, k in zip(unpack(blob), (np.uint16, *SUMS)))
                     for j in range(3):
                         total[j, doc] += columns[j]
         if table_ is not None:

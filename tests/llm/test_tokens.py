@@ -93,7 +93,7 @@ def test_packing_is_gapless(documents):
 def test_packing_prefers_neighbours():
     documents = [np.array([1, 2, 3, 4]), np.array([9, 8, 7, 6]), np.array([1, 2, 3, 5]), np.array([9, 8, 7, 5])]
     scores = packing.bm25(documents)
-    assert scores[0].argsort()[::-1][1] == 2 and scores[1].argsort()[::-1][1] == 3
+    assert set(scores[0].argsort()[-2:]) == {0, 2} and set(scores[1].argsort()[-2:]) == {1, 3}
     assert packing.order_by_neighbours(scores, [4, 4, 4, 4], 8, 0) == [0, 2, 3, 1]
 
 
