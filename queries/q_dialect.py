@@ -249,15 +249,15 @@ def rule_report(spark, sf):
     return di.rule_report(rule_sums(spark, sf), ["text_name", "sub"])
 
 
-@query("r14_expectations", _VOTED + """,
-ex AS (SELECT 'NE.6' AS rule, token, CASE WHEN length(token) % 2 = 0 THEN -1 ELSE 0 END AS w, CASE ascii(token) % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'Aeolic' ELSE 'Ionic' END AS expected FROM vocab WHERE substr(md5(token), 1, 1) <> '0'),
+@query("r14_expectations", _VOTED + f""",
+ex AS (SELECT {_sq(table.RULE_NAMES)}[CAST((length(token) * 5 + ascii(token)) % 42 + 1 AS INTEGER)] AS rule, token, CASE WHEN length(token) % 2 = 0 THEN -1 ELSE 0 END AS w, CASE ascii(token) % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'Aeolic' ELSE 'Ionic' END AS expected FROM vocab WHERE substr(md5(token), 1, 1) <> '0'),
 y AS (SELECT ex.rule, ex.token, w, expected, max(CASE WHEN d0 = 1 AND (w = -1 OR w = parse_no) THEN 1 ELSE 0 END) AS y0, max(CASE WHEN d1 = 1 AND (w = -1 OR w = parse_no) THEN 1 ELSE 0 END) AS y1,
   max(CASE WHEN d2 = 1 AND (w = -1 OR w = parse_no) THEN 1 ELSE 0 END) AS y2 FROM ex LEFT JOIN voted ON ex.token = voted.token AND ex.rule = voted.rule GROUP BY ALL)
 SELECT rule, token, w AS parse_no, expected FROM y WHERE NOT CASE expected WHEN 'Ionic' THEN y0 = 1 WHEN 'Aeolic' THEN y1 = 1 ELSE y0 + y1 + y2 = 0 END""")
 def expectations(spark, sf):
     v = ql.vocabulary(spark, sf).filter(ql.HAS_PARSES)
     k = F.ascii("token") % 3
-    ex = v.select(F.lit("NE.6").alias("rule"), "token", F.when(F.length("token") % 2 == 0, -1).otherwise(0).alias("parse_no"),
+    ex = v.select(F.element_at(F.array(*[F.lit(r) for r in table.RULE_NAMES]), (F.length("token") * 5 + F.ascii("token")) % 42 + 1).alias("rule"), "token", F.when(F.length("token") % 2 == 0, -1).otherwise(0).alias("parse_no"),
                   F.when(k == 0, "none").when(k == 1, "Aeolic").otherwise("Ionic").alias("expected"))
     return di.check_expectations(prepared(spark, sf), ex)
 
@@ -284,10 +284,9 @@ def meter_vector(spark, sf):
 
 
 def _dialect_long(spark, sf):
-    # votes and counts feed both halves; kept (spilling to disk) instead of computed twice
     p, v = _voted(spark, sf)
-    v, counts = v.persist(), _counts(spark, sf).persist()
-    texts = di.dialect_counts(counts, di.token_outcomes(p, di.reconcile(v))).persist()
+    counts = _counts(spark, sf)
+    texts = di.dialect_counts(counts, di.token_outcomes(p, di.reconcile(v)))
     per = di.rule_counts(counts, di.rule_outcomes(v), ["text_name", "book"])
     rules = di.with_overall(per, "text_name", "book", ["possible_max", "possible_min", *di.BOUND_COLUMNS], ["rule"])
     long_ = di.as_long(texts, ["text_name", "sub"]).unionByName(di.as_long(rules, ["text_name", "sub"], "rule"))
@@ -307,19 +306,20 @@ ix AS (SELECT text_name, sub, n, CAST(51 + CASE string_split(nm, '_')[2] WHEN 'm
 dv AS (SELECT ix.text_name, ix.sub, feature_idx, CASE WHEN n_valid > 0 THEN round(1.0 * n / n_valid, 6) ELSE 0 END AS value FROM ix JOIN texts USING (text_name, sub))"""
 
 
-@query("f02_dialect_vector", _F2 + " SELECT text_name, sub, feature_idx, value FROM dv WHERE value > 0")
+@query("f02_dialect_vector", _F2 + " SELECT text_name, sub, feature_idx, value FROM dv")
 def dialect_vector(spark, sf):
-    return _dialect_long(spark, sf).withColumn("value", c.r6("value")).filter("value > 0").select("text_name", "sub", "feature_idx", "value")
+    return _dialect_long(spark, sf).withColumn("value", c.r6("value")).select("text_name", "sub", "feature_idx", "value")
 
 
-@query("f03_f05_matrix")
+@query("f03_f05_matrix", f"""SELECT text_name, sub, 2631 AS width, round(sum(value), 3) AS total
+FROM (SELECT * FROM ({_METER} SELECT text_name, sub, value FROM mv) UNION ALL SELECT * FROM ({_F2} SELECT text_name, sub, value FROM dv)) GROUP BY ALL""")
 def matrix(spark, sf):
     """Whole matrix, one vector of 2631 values per row of texts and books."""
     keys = ["text_name", "sub"]
-    m = mx.meter_vector(qs.counts(spark, sf)).select(*keys, "feature_idx", "value").persist()
-    d = _dialect_long(spark, sf).select(*keys, "feature_idx", "value").persist()
+    m = mx.meter_vector(qs.counts(spark, sf)).select(*keys, "feature_idx", c.r6("value").alias("value"))
+    d = _dialect_long(spark, sf).select(*keys, "feature_idx", c.r6("value").alias("value"))
     rows = mx.row_vectors(mx.assemble(m, d, keys), keys, 2631)
-    return rows.select(*keys, F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return rows.select(*keys, F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 @query("f03_row_mismatch", f"""WITH {c.SQL_DOCS},

@@ -263,16 +263,17 @@ def classify(spark, sf):
 
 
 @query("x15_x16_links_and_variants", f"""WITH {_ENT},
-r AS (SELECT doc_id, line, string_split(core, ' ') AS ws FROM ent WHERE len(string_split(core, ' ')) > 3),
-e AS (SELECT doc_id, line, ws[1] AS w, ', (' || translate(ws[2], '$,.:', '') || ', cf. x) ' AS rest, CASE WHEN line % 2 = 0 THEN ws[1] || ' or ' || ws[2] || CASE WHEN line % 4 = 0 THEN ', x' ELSE ' x' END ELSE ws[1] || ' x' END AS c2 FROM r),
+r AS (SELECT doc_id, line, string_split(core, ' ') AS ws FROM ent),
+e AS (SELECT doc_id, line, ws[1] AS w, ', (' || translate(coalesce(ws[2], ''), '$,.:', '') || ', cf. x) ' AS rest, CASE WHEN line % 2 = 0 THEN ws[1] || ' or ' || coalesce(ws[2], '') || CASE WHEN line % 4 = 0 THEN ', x' ELSE ' x' END ELSE ws[1] || ' x' END AS c2 FROM r),
 v AS (SELECT *, regexp_extract(c2, '^\\S+ or ([^\\s,]+),', 1) AS two FROM e)
 SELECT doc_id, line, regexp_extract(rest, '^,?\\s*(?:\\$\\$)?(?:(?:Ion)\\. Noun,)?\\s*\\(([A-Za-z)(/=\\\\+|&'']*?)(?:, cf\\. .*?)?\\)\\s+', 1) AS link,
   unnest(CASE WHEN two <> '' THEN [w, two] ELSE [w] END) AS start FROM v""")
 def links(spark, sf):
     ws = F.split("core", " ")
-    e = _entries(spark, sf).filter(F.size(ws) > 3).select(
-        "doc_id", "line", ws[0].alias("headword"), F.concat(F.lit(", ("), F.translate(ws[1], "$,.:", ""), F.lit(", cf. x) ")).alias("rest"),
-        F.when(F.col("line") % 2 == 0, F.concat(ws[0], F.lit(" or "), ws[1], F.when(F.col("line") % 4 == 0, ", x").otherwise(" x"))).otherwise(F.concat(ws[0], F.lit(" x"))).alias("core"))
+    second = F.coalesce(F.get(ws, F.lit(1)), F.lit(""))
+    e = _entries(spark, sf).select(
+        "doc_id", "line", ws[0].alias("headword"), F.concat(F.lit(", ("), F.translate(second, "$,.:", ""), F.lit(", cf. x) ")).alias("rest"),
+        F.when(F.col("line") % 2 == 0, F.concat(ws[0], F.lit(" or "), second, F.when(F.col("line") % 4 == 0, ", x").otherwise(" x"))).otherwise(F.concat(ws[0], F.lit(" x"))).alias("core"))
     return en.start_variants(e).select("doc_id", "line", en.related_word("rest").alias("link"), "start")
 
 

@@ -67,6 +67,9 @@ INCREMENTS = {
 }
 
 
+RANGES = 64
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """C-1: verse lines from Parquet, from JSON with one object per line (.jsonl, read in splits), or from JSON arrays (one task a file)."""
     if path.endswith(".parquet"):
@@ -156,13 +159,19 @@ def lines_of_markup(pages: DataFrame, keys: list[str], markup: str, first_line:
 def number_lines(lines: DataFrame, within: list[str], order: list[str]) -> DataFrame:
     """C-6 where pages carry no start: running line number over the pages of a book.
 
-    Counts per page are summed first, so no task ever holds a whole book; the number is
-    the page's offset plus the position in the page. `order` = [page key, position].
+    Counts per page are summed first and, in two levels, over pages: pages are dealt to ranges by quantiles of the page key,
+    summed within a range, and the ranges (at most RANGES a book) summed before each. So no task holds a whole book or all its
+    pages; the number is the page's offset plus the position in the page. `order` = [page key, position]; the page key is a number.
     """
     page, pos = order
     sizes = lines.groupBy(*within, page).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*within).orderBy(page)) - F.col("_n")
-    offsets = sizes.withColumn("_before", before).drop("_n")
+    cuts = lines.agg(F.percentile_approx(page, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts")).select(F.array_distinct("_cuts").alias("_cuts"))
+    ranged = sizes.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(page)))).drop("_cuts")
+    totals = ranged.groupBy(*within, "_range").agg(F.sum("_n").alias("_total"))
+    totals = totals.withColumn("_start", F.sum("_total").over(Window.partitionBy(*within).orderBy("_range")) - F.col("_total")).drop("_total")
+    inside = F.sum("_n").over(Window.partitionBy(*within, "_range").orderBy(page)) - F.col("_n")
+    offsets = ranged.withColumn("_inside", inside).join(totals, [*within, "_range"]) \
+        .select(*within, page, (F.col("_start") + F.col("_inside")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(*within, page).orderBy(pos))
     return (lines.withColumn("_rank", rank).join(offsets, [*within, page])
             .withColumn("line", (F.col("_before") + F.col("_rank")).cast("long")).drop("_rank", "_before"))
