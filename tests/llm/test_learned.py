@@ -127,6 +127,16 @@ def test_quotation_counts_apart():
     assert toxicity.features_of('he said "idiot" to me', m)[3] > 0 and toxicity.features_of("a clean text", m) == [0.0] * toxicity.FEATURES
 
 
+def test_misspelled_terms_count(tables, documents, labels):
+    """Learned from the given tables, tried on texts made for it: terms, misspelled terms, none."""
+    docs, marks = tables
+    clean = [r.text for r in docs.join(marks.filter("toxic = 0 and quality = 1"), "doc_id").filter("lang = 'en' and length(text) between 500 and 3000").orderBy("doc_id").limit(3).collect()]
+    put = lambda text, words: " ".join(x + (" " + words[i // 9 % len(words)] if i % 9 == 4 else "") for i, x in enumerate(text.split(" ")))
+    rows = [(10**6 + 4 * i + j, t) for i, c in enumerate(clean) for j, t in enumerate((c, put(c, ["idiot", "moron", "trash"]), put(c, ["idot", "mor0n", "trassh"])))]
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs.select("doc_id", "text").unionByName(documents(rows).select("doc_id", "text")), marks).collect()}
+    assert [[got[10**6 + 4 * i + j] for j in range(3)] for i in range(3)] == [[0, 1, 1]] * 3
+
+
 def brute_base(rows):
     tok = [["".join(c.lower() if c.isascii() else c for c in t or "").encode().split() + [None] for _, t in rows]][0]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
