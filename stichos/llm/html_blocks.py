@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from stichos.llm.common import ship, slices
 
-SAMPLE, VARIANTS, EPOCHS, BATCH, RATE, HIDDEN = 300, 4, 6, 32, 0.01, 24
-PATH_DIMS, WORD_DIMS, SCALARS = 96, 48, 8
+SAMPLE, VARIANTS, EPOCHS, BATCH, RATE, HIDDEN = 300, 4, 10, 32, 0.01, 24
+PATH_DIMS, WORD_DIMS, SCALARS = 256, 48, 8
 WIDTH = PATH_DIMS + WORD_DIMS + SCALARS
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|template|noscript|textarea|svg|iframe|select|button)\b.*?(?:</\1\s*>|\Z)"
@@ -31,8 +31,8 @@ CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 BOILERPLATE = ("nav", "header", "footer", "aside", "form", "menu", "ad", "ads", "advert", "advertisement", "banner", "sponsor", "promo", "cookie", "consent",
                "notice", "popup", "modal", "newsletter", "subscribe", "signup", "sidebar", "widget", "related", "recommended", "share", "social", "breadcrumb",
                "breadcrumbs", "pagination", "tags", "comment", "comments", "replies", "disqus", "login", "search", "masthead", "navbar", "topbar", "copyright", "legal")
-CONTAINERS = (("article",), ("main",), ("main", "article"), ("div.content",), ("div.post",), ("div.entry",), ("div.article",), ("section.content",), ("div.main",), ("div.story",))
-CONTENT_TAGS = ("p", "p", "p", "h1", "h2", "h3", "li", "blockquote", "td", "pre", "div")
+CONTAINERS = ((), ("div",), ("article",), ("main",), ("main", "article"), ("div.content",), ("div.post",), ("div.entry",), ("div.article",), ("section.content",), ("div.main",), ("div.story",))
+INNER = (("p",), ("p",), ("p",), ("h1",), ("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("div",), ("div", "p"))
 ELEMENTS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "menu": "menu"}
 
 
@@ -267,7 +267,7 @@ def varied(page: list[Leaf], marks: np.ndarray, pool: list[str], rng: np.random.
         element = tag if word in ELEMENTS and rng.random() < 0.5 else f"{tag} {tag}.{word}"
         found = []
         for _ in range(int(rng.integers(1, 6))):
-            inner = pick(((), ("p",), ("ul", "li"), ("div",), ("h3",), ("span",)))
+            inner = pick(((), ("ul", "li"), ("div", "h3"), *INNER))
             words = pick(pool).split(" ")
             start = int(rng.integers(len(words)))
             text = " ".join(words[start:start + int(rng.integers(1, 40))])
@@ -277,17 +277,19 @@ def varied(page: list[Leaf], marks: np.ndarray, pool: list[str], rng: np.random.
     base, container = ("html", "body", *pick(((), ("div",), ("div div.page",), ("div div.wrapper",)))), pick(CONTAINERS)
     container = tuple(f"{e.split('.')[0]} {e}" if "." in e else e for e in container)
     out: list[tuple[Leaf, float]] = []
-    for _ in range(int(rng.integers(1, 4))):
+    for _ in range(int(rng.integers(0, 4))):
         out += place(base)
     article = [leaf for leaf, mark in zip(page, marks) if mark]
     for i, leaf in enumerate(article):
-        tag = leaf.path[-1].split()[0] if rng.random() < 0.7 and leaf.path else pick(CONTENT_TAGS)
-        out.append((Leaf((*base, *container, *(() if tag in ("article", "main") else (tag,))), leaf.text, leaf.linked * float(rng.random() < 0.5)), 1.0))
-        if i and rng.random() < 0.08:
+        tag = leaf.path[-1].split()[0] if leaf.path else "p"
+        inner = pick(INNER) if rng.random() < 0.5 or tag in ("article", "main", "body", "html") else (tag,)
+        text = leaf.text if rng.random() < 0.6 else " ".join(leaf.text.split(" ")[:int(rng.integers(1, 15))])
+        out.append((Leaf((*base, *container, *inner), text, leaf.linked * float(rng.random() < 0.5)), 1.0))
+        if i and rng.random() < 0.12:
             out += place((*base, *container))
-    if rng.random() < 0.3:
+    for _ in range(int(rng.integers(0, 3))):
         out += place((*base, *container))
-    for _ in range(int(rng.integers(1, 4))):
+    for _ in range(int(rng.integers(0, 4))):
         out += place(base)
     return [leaf for leaf, _ in out], np.array([mark for _, mark in out])
 

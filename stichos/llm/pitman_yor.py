@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +17,8 @@ from stichos.llm.suffix_dedup import pack, unpack
 
 CONTEXTS, SAMPLES, STRENGTH, SEED = 4096, 2, 1.0, 17
 EXACT_CUSTOMERS = 64
-ROWS, BUCKETS_PER_PARTITION = 50_000, 2
+ROWS, BUCKETS_PER_PARTITION = 50_000, 4
+HELD_SUMS = 2_000_000                                                 # sums by document that a task adds up over buckets before it sends them
 SUMS = (np.float32, np.float64, np.uint32)                            # partial sums of a document: score, base score, known tokens
 END, START = 0x5E5E5E5E5E5E5E5E, 0x1717171717171717
 M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -239,16 +241,33 @@ def score_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     used = range(1, samples + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = Totals(t.n_tokens, t.n_types, t.discount, t.root_discount, t.customers, t.tables[:-1], t.root[:-1])
+        held, entries = defaultdict(list), 0
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for slice_id, parts in held.items():
+                doc, *columns = (np.concatenate(c) for c in zip(*parts))
+                doc, of = np.unique(doc, return_inverse=True)
+                rows.append((slice_id, pack(doc, *(np.bincount(of, c, len(doc)).astype(k) for c, k in zip(columns, SUMS)))))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "blob"])
+
         for b in buckets_of(batches):
-            states = b.states(Totals(t.n_tokens, t.n_types, t.discount, t.root_discount, t.customers, t.tables[:-1], t.root[:-1]))
+            states = b.states(before)
             chance = np.log10(sum(b.chances(states[s], t, s) for s in used) / len(used))
             plain = np.log10((b.token_count + 0.5) / (t.n_tokens + 0.5 * (t.n_types + 1)))
             place, of = np.unique(b.slice << 16 | b.doc, return_inverse=True)
             columns = [np.bincount(of, w, len(place)) for w in (chance[b.of], plain[b.token], b.token_count[b.token] > 0)]
             bounds = np.searchsorted(place >> 16, np.arange(len(b.slice_ids) + 1))
-            rows = [(s, pack((place[x:y] & 0xFFFF).astype(np.uint16), *(c[x:y].astype(k) for c, k in zip(columns, SUMS))))
-                    for s, x, y in zip(b.slice_ids.tolist(), bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "blob"])
+            for slice_id, x, y in zip(b.slice_ids.tolist(), bounds[:-1], bounds[1:]):
+                held[slice_id].append(((place[x:y] & 0xFFFF).astype(np.uint16), *(c[x:y] for c in columns)))
+            entries += len(place)
+            if entries > HELD_SUMS:
+                yield flush()
+                entries = 0
+        if held:
+            yield flush()
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
