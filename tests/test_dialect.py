@@ -46,6 +46,14 @@ CASES = [
     ("VE.6", "oi)=sqa", "oi)=da", "verb", "number=sg person=2nd tense=perf mood=ind voice=act", ""),
     ("NM.1", "paideu/ousin", "paideu/w", "verb", "number=pl person=3rd mood=ind", "IH"),
     ("NM.1", "po/lisin", "po/lis", "noun", "case=dat number=pl", "IH"),
+    ("SW.6", "h)/n", "e)a/n", "conj", "", "I"), ("SW.6", "e)a/n", "e)a/n", "conj", "", ""), ("SW.8", "e(/teron", "e(/teros", "adj", "", "I"),
+    ("SW.8", "a(/teron", "a(/teros", "adj", "", "A"), ("SW.10", "o)no/mata", "o)/noma", "noun", "", "I"), ("SW.10", "o)/numa", "o)/noma", "noun", "", "A"),
+    ("SW.12a", "dh/pou", "dh/pou", "adv", "", "I"), ("SW.12a", "u(po/", "u(po/", "prep", "", ""), ("SW.12c", "po/qen", "po/qen", "adv", "", "I"),
+    ("SW.12c", "pro/sqen", "pro/sqen", "adv", "", "I"), ("SW.12c", "pro/sqa", "pro/sqen", "adv", "", "A"), ("SW.15", "i(eroi/", "i(ero/s", "adj", "", "I"),
+    ("SW.15", "i(=ros", "i(ero/s", "adj", "", "I"), ("SW.15", "i(arou=", "i(ero/s", "adj", "", "A"), ("SW.16", "kei=non", "e)kei=nos", "adj", "", "I"),
+    ("SW.16", "kh=nos", "e)kei=nos", "adj", "", "A"), ("SW.16", "e)kei=non", "e)kei=nos", "adj", "", ""), ("SW.18", "karterou=", "kartero/s", "adj", "", "IA"),
+    ("SW.18", "kratero/s", "kratero/s", "adj", "", "H"), ("SW.19", "dhmiorgo/s", "dhmiourgo/s", "noun", "", "I"), ("SW.19", "dhmioergo/s", "dhmiourgo/s", "noun", "", "H"),
+    ("SW.20", "i)qei=a", "eu)qu/s", "adj", "", "I"), ("SW.20", "eu)qei=a", "eu)qu/s", "adj", "", "A"),
 ]
 
 
@@ -63,6 +71,10 @@ def test_there_are_42_rules():
     assert len(table.RULES) == 42
 
 
+def test_every_rule_has_a_case():
+    assert {c[0] for c in CASES} == set(table.RULE_NAMES)
+
+
 def test_rules_on_known_forms(spark):
     got = {(r.token, r.rule): r.code for r in di.rule_votes(_prepared(spark)).collect()}
     for k, (rule, form, *_, want) in enumerate(CASES):
