@@ -198,6 +198,16 @@ def mean_accuracy(spark, sf):
     return le.mean_accuracy(_log(spark, sf)).withColumn("mean_accuracy", c.r6("mean_accuracy"))
 
 
+@query("p14_prep_averages", f"""WITH {_LOG}, m AS (SELECT cell, avg(a) AS a FROM (SELECT cell, fold, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS a FROM log GROUP BY ALL) GROUP BY cell),
+k AS (SELECT a, CAST(cell[6] AS INTEGER) AS c FROM m)
+SELECT 'select ' || (c % 2) AS selection, 'prep ' || (c // 3) AS prep, round(avg(a), 6) AS mean_accuracy, count(*) AS n_cells FROM k GROUP BY ALL
+UNION ALL SELECT 'Total', '', round(avg(a), 6), count(*) FROM k""")
+def prep_averages(spark, sf):
+    k = F.substr("cell", F.lit(6)).cast("int")
+    name = F.concat_ws(" -> ", F.concat(F.lit("select "), (k % 2).cast("string")), F.concat(F.lit("prep "), F.floor(k / 3).cast("string")), F.col("cell"))
+    return le.prep_averages(_log(spark, sf).withColumn("cell", name)).withColumn("mean_accuracy", c.r6("mean_accuracy"))
+
+
 @query("p19_mismatches", f"WITH {_LOG} SELECT * FROM log WHERE pred <> label")
 def mismatches(spark, sf):
     return le.mismatches(_log(spark, sf))

@@ -255,6 +255,15 @@ def mean_accuracy(log: DataFrame) -> DataFrame:
     return cells.unionByName(cells.agg(F.avg("mean_accuracy").alias("mean_accuracy")).select(F.lit("Overall").alias("cell"), "mean_accuracy"))
 
 
+def prep_averages(log: DataFrame) -> DataFrame:
+    """P-14: per selection and preparation the mean of its cells' mean accuracies (cells without a fit are left out), and the total."""
+    cells = accuracy(log).groupBy("cell").agg(F.avg("accuracy").alias("a"))
+    parts = F.split("cell", " -> ")
+    each = cells.groupBy(parts[0].alias("selection"), parts[1].alias("prep")).agg(F.avg("a").alias("mean_accuracy"), F.count("a").alias("n_cells"))
+    total = cells.agg(F.lit("Total").alias("selection"), F.lit("").alias("prep"), F.avg("a").alias("mean_accuracy"), F.count("a").alias("n_cells"))
+    return each.unionByName(total)
+
+
 def mismatches(log: DataFrame) -> DataFrame:
     return log.filter("pred <> label")
 
