@@ -54,13 +54,16 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def cut(df: DataFrame, one_group: bool = False) -> DataFrame:
+def cut(df: DataFrame, one_group: bool = False, few: bool = False) -> DataFrame:
     """Cuts the lineage: a table written to the shared folder of spark.checkpoint.dir and read again.
 
     Unlike a checkpoint, the table is compressed and does not carry the size estimates of the plan it came from into later
     joins. A folder of its own is used only where the session names none (tests). With one_group a file has one row group, so
-    that a later scan never splits what one task wrote.
+    that a later scan never splits what one task wrote. With few, for tables of small rows such as links, an eighth of the partitions
+    write it, so that repeated rounds do not fill the folder with tiny files.
     """
+    if few:
+        df = df.coalesce(max(1, parallelism(df) // 8))
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

@@ -133,7 +133,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def settled(e: DataFrame) -> DataFrame:
-        return cut(e.filter("u <> v").distinct())
+        return cut(e.filter("u <> v").distinct(), few=True)
 
     e = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     mark = None
@@ -233,12 +233,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
         pairs = salted_left_join(apart, centre, ["band"], "node").filter(F.col("c.component") != F.col("component")) \
             .filter(100 * F.least("c.n", "n") >= threshold * F.greatest("c.n", "n")) \
             .select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-        links = links.unionByName(confirm(cut(pairs), texts, k, threshold))
+        links = links.unionByName(confirm(cut(pairs, few=True), texts, k, threshold))
         classes = components(links)
         links = classes.select(F.col("component").alias("a"), F.col("node").alias("b"))
         apart = salted_left_join(member, classes, ["node"], "band").withColumn("component", F.coalesce("component", "node"))
         split = apart.groupBy("band").agg((F.min("component") < F.max("component")).alias("_split")).filter("_split")
-        apart = cut(salted_left_join(apart, split, ["band"], "node").filter("_split").select("band", "node", "n", "component"))
+        apart = cut(salted_left_join(apart, split, ["band"], "node").filter("_split").select("band", "node", "n", "component"), few=True)
     centre = apart.groupBy("band").agg(F.min("node").alias("b"))
     together = components(salted_left_join(apart, centre, ["band"], "node").select(F.col("node").alias("a"), "b"))
     left = apart.select("node", "component").distinct().join(together.withColumnRenamed("component", "cluster"), "node")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -164,14 +165,19 @@ def classes_of(buf: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.ndarra
 
 # ---- packed rows between the steps -------------------------------------------------------------
 
+@lru_cache(maxsize=1)
+def codecs() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(*arrays: np.ndarray | bytes) -> bytes:
     parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
     head = np.array([len(p) for p in parts], dtype="<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(bytes([len(parts)]) + head + b"".join(parts))
+    return codecs()[0].compress(bytes([len(parts)]) + head + b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
+    data = codecs()[1].decompress(blob)
     sizes, at, out = np.frombuffer(data, "<u4", data[0], 1), 1 + 4 * data[0], []
     for size in sizes.tolist():
         out.append(data[at:at + size])
