@@ -32,24 +32,34 @@ class ChunkTokenizer:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > self.entries:
             self.known, self.elder = {}, self.known
-        known, elder = self.known, self.elder
-        known.update([(w, elder[w]) for w in words if w in elder])
-        new = [w for w in words if w not in known]
-        plain = [w for w in new if w and w.strip() == w]
-        known.update(dict.fromkeys(new, WHOLE))
-        cores = [w.rstrip(PUNCTUATION) for w in plain]
-        cores = [c if c and c[-1].isalnum() else w for w, c in zip(plain, cores)]
-        known.update([(c, elder[c]) for c in set(cores) if c in elder])
-        alone = [c for c in set(cores) if not known.get(c)]
-        known.update(zip(alone, self.encode([" " + c for c in alone], False)))
-        tails = {w[len(c):] for w, c in zip(plain, cores)} - self.tails.keys()
         if len(self.tails) > TAILS:
-            self.tails, tails = {}, {w[len(c):] for w, c in zip(plain, cores)}
-        tails = list(tails - {""})
-        self.tails |= {"": b"", **dict(zip(tails, self.encode(tails, False)))}
-        known.update([(w, known[c] + self.tails[w[len(c):]]) for w, c in zip(plain, cores) if w != c])
-        first = [w for w in new if len(w) > 1 and w[0] == "\n" and w.strip() == w[1:]]
-        known.update((w, self.feed + ids) for w, ids in zip(first, self.encode([w[1:] for w in first], False)))
+            self.tails = {}
+        known, elder, tails = self.known, self.elder, self.tails
+        alone, first, tailed = set(), [], []
+        for w in words:
+            if w in elder:
+                known[w] = elder[w]
+            elif not w or w.strip() != w:
+                known[w] = WHOLE
+                if w[:1] == "\n" and len(w) > 1 and w.strip() == w[1:]:
+                    first.append(w)
+            else:
+                core = w.rstrip(PUNCTUATION)
+                if core is not w and core and core[-1].isalnum():
+                    tailed.append((w, core))
+                    w = core
+                    if w in elder:
+                        known[w] = elder[w]
+                if w not in known:
+                    alone.add(w)
+        new = list(alone)
+        known.update(zip(new, self.encode([" " + w for w in new], False)))
+        new = list({w[len(c):] for w, c in tailed} - tails.keys())
+        tails.update(zip(new, self.encode(new, False)))
+        for w, core in tailed:
+            known[w] = known[core] + tails[w[len(core):]]
+        feed = self.feed
+        known.update([(w, feed + ids) for w, ids in zip(first, self.encode([w[1:] for w in first], False))])
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         parts, found, missing = [], [], set()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -22,29 +23,49 @@ DENSE, CHUNKS = 16, 700_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Tokens and ids of a byte-level tokenizer file, if its ids are the order of its merges (None if not)."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]      # bytes written as themselves; the others follow from 256 on
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    vocabulary, size = model["vocab"], len(letters)
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocabulary.get(a + b) != size + i for i, (a, b) in enumerate(merges)) or any(vocabulary.get(c, size) >= size for c in letters):
+        return None
+    return {bytes(letters[c] for c in token): rank for token, rank in vocabulary.items() if rank < size + len(merges)}
+
+
 @lru_cache(maxsize=2)
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
+def chunk_tokenizer(path: str, pattern: str) -> ChunkTokenizer:
+    """Ids as the tokenizer file gives them. Where its ids are the order of its merges, unseen chunks are merged by rank, which
+    gives the same ids faster; chunks with an added token go to the tokenizer itself, as do all if the ids are no ranks."""
+    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"                    # Spark runs a task on each core
-    tokenizer = Tokenizer.from_file(path)
-    batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    tokenizer, ranks = Tokenizer.from_file(path), merge_ranks(path)
+    merged = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
-    def packed(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in batch(texts, add_special_tokens=False)]
+    def packed(text: str) -> np.ndarray:
+        if merged is None or "<|" in text:
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(merged.encode_ordinary(text), dtype="<u4")
 
-    feed = int(packed(["\n"])[0][0])
+    feed = int(packed("\n")[0])
 
     def encode(chunks: Sequence[str], whole: bool) -> list[bytes]:
         """Chunks are encoded as the lines of longer texts and told apart by its line feeds; those with an added token, and whole texts, alone."""
         if whole:
-            return [ids.tobytes() for ids in packed(list(chunks))]
-        lines = ["\n".join(chunks[at:at + 500]) for at in range(0, len(chunks), 500)]
+            return [packed(c).tobytes() for c in chunks]
         out: list[bytes] = []
-        for line, ids in zip(lines, packed(lines)):
+        for at in range(0, len(chunks), 500):
+            part = chunks[at:at + 500]
+            line = "\n".join(part)
             if "<|" in line or line.count("\n") >= 500:
-                out += [x.tobytes() for x in packed(list(chunks[len(out):len(out) + 500]))]
+                out += [packed(c).tobytes() for c in part]
                 continue
+            ids = packed(line)
             text, start = ids.tobytes(), 0
             for end in [*np.flatnonzero(ids == feed).tolist(), len(ids)]:
                 out.append(text[4 * start:4 * end])
@@ -136,8 +157,8 @@ def order_by_neighbours(scores: np.ndarray, tokens: Sequence[int], window: int,
     return order
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """Pieces of documents in sequences of `window` tokens; each document's ids end with id 0.
+def pack_documents(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) -> DataFrame:
+    """Pieces of documents in sequences of `window` tokens; each document's ids end with id 0. `pattern` is that of the tokenizer file at `path`.
 
     Texts are dealt by range of a hash of their least line hash, so that likely neighbours (near copies share it with a chance that grows
     with their share of equal lines) come into one shard, and by doc_id, so that one hash may hold any share of the rows. A partition is worked
@@ -151,7 +172,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
     dealt = d.repartitionByRange("_key", "doc_id").sortWithinPartitions("_key", "doc_id", F.length("text"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, context = chunk_tokenizer(path), TaskContext.get()
+        encode, context = chunk_tokenizer(path, pattern), TaskContext.get()
         windows = Windows(window, (context.partitionId() if context else 0) << 32)
         for part in slices(batches, limit=SHARD_BYTES):
             for at in range(0, part.num_rows, SHARD_ROWS):

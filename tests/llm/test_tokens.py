@@ -66,7 +66,7 @@ def test_packing_is_gapless(documents):
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
     rows = list(enumerate(TEXTS)) + [(100 + i, f"topic {i % 7} words about topic {i % 7} number {i} " * (i % 40)) for i in range(120)] + [(None, "no id")]
-    pieces = packing.pack_documents(documents(rows), path, window=64).collect()
+    pieces = packing.pack_documents(documents(rows), path, P.PATTERN, window=64).collect()
     by_doc, by_sequence = {}, {}
     for p in pieces:
         by_doc.setdefault(p.doc_id, []).append(p)
@@ -108,4 +108,16 @@ def test_bm25_equals_its_formula():
 
 
 def test_packing_of_nothing(documents):
-    assert packing.pack_documents(documents([]), P.path("byte_bpe_50k.json")).count() == 0
+    assert packing.pack_documents(documents([]), P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
+
+
+def test_merging_by_rank_equals_the_tokenizer():
+    """Words of the given texts, made-up words, odd characters."""
+    import pyarrow.parquet as pq
+    path = P.path("byte_bpe_50k.json")
+    tokenizer, chunks = Tokenizer.from_file(path), packing.chunk_tokenizer(path, P.PATTERN)
+    assert packing.merge_ranks(path)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(list("ab1.,'\"-s ²é́日ⅷ\n\t<|>"), int(rng.integers(0, 16)))) for _ in range(4000)] + ["<|endoftext|> x<|endoftext|>y"]
+    assert chunks(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
