@@ -254,7 +254,7 @@ def context_blobs(batches: Iterator[pa.RecordBatch], width: int, gram: int, buck
     """Text around each anchor that repeats, by bucket of the anchor. Of equal contexts in a slice the first one goes there; all strings of the
     others start earlier too, which is carried along."""
     for part in slices(batches, limit=4 * SLICE):
-        columns, seen = [part.column(c).to_pylist() for c in ("k1", "k2", "text", "anchors")], set()
+        columns, seen = [part.column(c).to_pylist() for c in ("k1", "k2", "text", "anchors")], {}
         groups, known = defaultdict(list), []
         for k1, k2, text, found in sorted(zip(*columns), key=lambda r: r[:2]):
             data = text.encode()
@@ -265,9 +265,10 @@ def context_blobs(batches: Iterator[pa.RecordBatch], width: int, gram: int, buck
                 if len(context) < count - 1 + width:
                     continue                                          # of another text under the same doc_id
                 if context in seen:
-                    known.append((k1, k2, first, count))
+                    if seen[context] != (k1, k2, first):              # else it meets itself: the row is listed twice
+                        known.append((k1, k2, first, count))
                     continue
-                seen.add(context)
+                seen[context] = (k1, k2, first)
                 groups[xxhash.xxh3_64_intdigest(data[place:place + gram]) % buckets].append((k1, k2, first, count, context))
         rows, names = [], list(groups) or [0]
         for j, bucket in enumerate(names):

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stichos.llm import exact_dedup, near_dedup, suffix_dedup
@@ -133,6 +134,29 @@ def test_repeats(documents, corpus):
         == sorted((i is not None, i or 0, *want[i is not None, i or 0, t or ""]) for i, t in rows)
 
 
+def test_repeats_of_a_row_listed_twice(documents):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (2, "few words " + text), (3, " ".join(f"other{i}" for i in range(60)))]
+    want = brute_removed(rows, 100)
+    for parts in (1, 5):                                              # both rows in one slice, or in slices of different tasks
+        got = suffix_dedup.remove_repeats(documents(rows + rows).repartition(parts)).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) \
+            == sorted((i, *want[True, i, t]) for i, t in rows + rows)
+
+
+def test_a_row_listed_twice_within_and_across_slices():
+    text = " ".join(f"word{i}" for i in range(60))
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, place, first, last, _ = suffix_dedup.anchors(data, np.array([len(data)]), 100, 32)
+    found = ((place << 16) | (place - first) << 8 | (place - last)).tolist()
+
+    def runs(*slices_):
+        batches = [pa.RecordBatch.from_pylist([{"k1": 1, "k2": 7, "text": text, "anchors": found}] * n) for n in slices_]
+        dealt = sorted((row for batch in suffix_dedup.context_blobs(iter(batches), 100, 32, 4) for row in batch.to_pylist()), key=lambda r: r["bucket"])
+        return sum(b.num_rows for b in suffix_dedup.repeated_runs(iter([pa.RecordBatch.from_pylist(dealt)]), 100))
+    assert runs(2) == runs(1, 1) == runs(2, 1) == 0
+
+
 def test_rows_without_repeats(documents):
     text = " ".join(f"word{i}" for i in range(60))
     got = {r.doc_id: r for r in suffix_dedup.without_repeats(documents([(1, text), (2, "new " + text + " end"), (3, "ß" * 120), (4, None)])).collect()}
