@@ -17,6 +17,7 @@ from stichos.llm.common import NULL_ID, parallelism, ship, slices
 
 WIDTH, GRAM, COVER = 100, 32, 32
 SLICE, BUCKETS_PER_PARTITION = 1 << 20, 16
+HOT, LEAST = 1 << 13, 4                                               # places of an anchor from which it is split; counts of a task that are summed up
 POSITION_BITS = 28
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -250,12 +251,60 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                                          names=["k1", "anchor"])
 
 
-def context_blobs(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def anchor_counts(batches: Iterator[pa.RecordBatch], width: int, gram: int, least: int) -> Iterator[pa.RecordBatch]:
+    """How often a task meets each anchor, if `least` times or more. Of very many anchors those met once are let go on the way."""
+    found, times = np.empty(0, np.uint64), np.empty(0, np.int64)
+    held: list[np.ndarray] = []
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        h, of = np.unique(np.concatenate([found, *held]), return_inverse=True)
+        n = np.bincount(of[len(found):], minlength=len(h))
+        n[of[:len(found)]] += times
+        return h, n
+
+    for part in slices(batches, limit=SLICE):
+        texts = [t.encode() for t in part.column("text").to_pylist()]
+        held.append(anchors(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), width, gram)[-1])
+        if sum(map(len, held)) > 1 << 20:
+            found, times = added()
+            held = []
+            if len(found) > 1 << 20:
+                found, times = found[times > 1], times[times > 1]
+    found, times = added()
+    often = times >= least
+    yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["h", "n"])
+
+
+def hot_anchors(docs: DataFrame, width: int, gram: int, hot: int) -> frozenset[int]:
+    """Hashes of the anchors met about `hot` times or more, at most one for each `hot` anchors of the corpus.
+
+    A task leaves out counts below LEAST, so an anchor thinly spread over all tasks may be met up to LEAST times a task more often before it
+    is listed. The list only says how strings are dealt; the result is the same with any.
+    """
+    least = min(LEAST, hot)
+    rows = docs.select("text").mapInArrow(lambda it: anchor_counts(it, width, gram, least), "h long, n long") \
+        .groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot).select("h").collect()
+    return frozenset(r.h & (1 << 64) - 1 for r in rows)
+
+
+def starts_of(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs of one start each, in order, joined where they follow one another."""
+    out: list[tuple[int, int, int, int]] = []
+    for k1, k2, start, n in runs:
+        if out and out[-1][:2] == (k1, k2) and out[-1][2] + out[-1][3] == start:
+            out[-1] = (k1, k2, out[-1][2], out[-1][3] + n)
+        else:
+            out.append((k1, k2, start, n))
+    return out
+
+
+def context_blobs(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets: int, hot: frozenset[int] = frozenset()) -> Iterator[pa.RecordBatch]:
     """Text around each anchor that repeats, by bucket of the anchor. Of equal contexts in a slice the first one goes there; all strings of the
-    others start earlier too, which is carried along."""
+    others start earlier too, which is carried along. Around a hot anchor each string goes out by itself, as a digest of 128 bits and by bucket
+    of it, again once a slice; so equal strings meet, but the places of one anchor are spread over all buckets."""
     for part in slices(batches, limit=4 * SLICE):
         columns, seen = [part.column(c).to_pylist() for c in ("k1", "k2", "text", "anchors")], {}
-        groups, known = defaultdict(list), []
+        groups, single, known, strings = defaultdict(list), defaultdict(list), [], {}
         for k1, k2, text, found in sorted(zip(*columns), key=lambda r: r[:2]):
             data = text.encode()
             for packed in sorted(set(found)):
@@ -269,18 +318,43 @@ def context_blobs(batches: Iterator[pa.RecordBatch], width: int, gram: int, buck
                         known.append((k1, k2, first, count))
                     continue
                 seen[context] = (k1, k2, first)
+                if hot and int(gram_hashes(np.frombuffer(data, np.uint8, gram, place), gram)[0]) in hot:
+                    again = []
+                    for start in range(first, first + count):
+                        digest = hashlib.blake2b(data[start:start + width], digest_size=16).digest()
+                        lead = strings.setdefault(digest, (k1, k2, start))
+                        if lead != (k1, k2, start):
+                            again.append((k1, k2, start, 1))
+                        else:
+                            single[int.from_bytes(digest[:8], "little") % buckets].append((k1, k2, start, digest))
+                    known += starts_of(again)
+                    continue
                 groups[xxhash.xxh3_64_intdigest(data[place:place + gram]) % buckets].append((k1, k2, first, count, context))
-        rows, names = [], list(groups) or [0]
+        rows, names = [], list(groups.keys() | single.keys()) or [0]
         for j, bucket in enumerate(names):
             own = known[j::len(names)]
             columns = list(zip(*groups[bucket])) or [[]] * 5
-            carried = list(zip(*own)) or [[]] * 4
+            carried, alone = list(zip(*own)) or [[]] * 4, list(zip(*single[bucket])) or [[]] * 4
             rows.append((bucket, pack(*(np.array(columns[i], np.int64) for i in range(4)), b"".join(columns[4]),
-                                      *(np.array(c, np.int64) for c in carried))))
-        if groups or known:
+                                      *(np.array(c, np.int64) for c in carried), *(np.array(alone[i], np.int64) for i in range(3)), b"".join(alone[3]))))
+        if groups or single or known:
             yield blobs(rows)
 
 
+def repeated_singles(held: list[list[bytes]]) -> list[np.ndarray]:
+    """Runs of one start, of the strings around hot anchors in a bucket that start earlier, too."""
+    k1, k2, start = (np.frombuffer(b"".join(x[i] for x in held), np.int64) for i in range(9, 12))
+    high, low = np.frombuffer(b"".join(x[12] for x in held), np.uint64).reshape(-1, 2).T
+    if not len(k1):
+        return [k1, k2, start, start]
+    order = np.lexsort((start, k2, k1, low, high))
+    high, low, k1, k2, start = (x[order] for x in (high, low, k1, k2, start))
+    lead = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+    of = np.repeat(lead, np.diff(np.append(lead, len(k1))))
+    later = (k1 != k1[of]) | (k2 != k2[of]) | (start != start[of])
+    return [k1[later], k2[later], start[later], np.ones(int(later.sum()), np.int64)]
+
+
 def repeated_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Runs of starts at which a string begins that also starts earlier, from the sorted suffixes of one bucket after the other."""
     for held in by_bucket(batches):
@@ -316,10 +390,11 @@ def repeated_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
                 runs = np.diff(np.append(new, len(later)))
                 at = later[new]
                 out = [np.concatenate(x) for x in zip(out, (k1[context[at]], k2[context[at]], start[at], runs))]
+        out = [np.concatenate(x) for x in zip(out, repeated_singles(held))]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["k1", "k2", "start", "n"])
 
 
-def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Every row of docs (doc_id, k1, k2, text, perhaps rest) with its runs: starts of `width`-byte strings that also start earlier (null: none).
 
     1. Each string of `width` bytes is led by one anchor, the place of least hash of `gram` bytes in it; equal strings have equal anchors
@@ -329,17 +404,18 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     3. A task sorts one bucket's suffixes at a time. The first (doc_id, start) of each class stays.
 
     Equal texts around an anchor are summed up within a slice before the shuffle and within a bucket before sorting, so a passage
-    found in any share of the rows arrives once a slice and is sorted once.
+    found in any share of the rows arrives once a slice and is sorted once. Anchors met about `hot` times or more are counted first: a short
+    string with differing neighbours makes a context a place, so each string around it is dealt by itself.
     """
     spark = docs.sparkSession
     ship(spark)
     partitions = parallelism(docs)
     buckets = partitions * BUCKETS_PER_PARTITION
-    blob = "bucket int, blob binary"
+    blob, often = "bucket int, blob binary", hot_anchors(docs, width, gram, hot)
     found = gathered(docs.select("k1", "text").mapInArrow(lambda it: anchor_blobs(it, width, gram, buckets), blob), partitions)
     by_doc = found.mapInArrow(repeated_anchors, "k1 long, anchor long").groupBy("k1").agg(F.collect_list("anchor").alias("anchors"))
     near = docs.join(by_doc, "k1").select(*docs.columns, "anchors")      # the same columns as below, so that they are dealt once
-    contexts = gathered(near.mapInArrow(lambda it: context_blobs(it, width, gram, buckets), blob), partitions)
+    contexts = gathered(near.mapInArrow(lambda it: context_blobs(it, width, gram, buckets, often), blob), partitions)
     runs = contexts.mapInArrow(lambda it: repeated_runs(it, width), "k1 long, k2 long, start long, n long") \
         .groupBy("k1").agg(F.collect_list(F.struct("k2", "start", "n")).alias("runs"))
     return docs.join(runs, "k1", "left")
@@ -364,7 +440,7 @@ def kept_bytes(data: bytes, runs: list[dict] | None, k2: int, width: int) -> tup
     return (np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data), spans
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """Removes each byte covered by a string of `width` bytes that also starts earlier (smaller doc_id, or earlier in the document).
 
     One row per document: size, removed bytes, maximal removed runs, digest of what is left. Strings are judged on the whole input texts as UTF-8
@@ -383,7 +459,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeated_strings(keyed(docs), width).select("doc_id", "k2", "text", "runs") \
+    return repeated_strings(keyed(docs), width, hot=hot).select("doc_id", "k2", "text", "runs") \
         .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -144,6 +144,38 @@ def test_repeats_of_a_row_listed_twice(documents):
             == sorted((i, *want[True, i, t]) for i, t in rows + rows)
 
 
+@pytest.mark.parametrize("hot", [1, 12])
+def test_repeats_around_hot_anchors(documents, corpus, hot):
+    rng, line = random.Random(8), "a line of the template that many pages have"
+    rows = [r for r in corpus if r[0] is not None] + [(None, "no id at all " * 20)]
+    rows += [(600 + i, f"{' '.join(words(rng, 30))} {line} {' '.join(words(rng, 30, 3))}") for i in range(40)]
+    want = brute_removed(rows, 100)
+    got = suffix_dedup.remove_repeats(documents(rows), hot=hot).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) \
+        == sorted((i is not None, i or 0, *want[i is not None, i or 0, t or ""]) for i, t in rows)
+
+
+def test_a_hot_anchor_is_spread_over_buckets():
+    rng, line = random.Random(8), "a line of the template that many pages have"
+    rows, hashes = [], []
+    for i in range(300):
+        text = f"{' '.join(words(rng, 30, 10 ** 6))} {line} {' '.join(words(rng, 30, 10 ** 6))}"
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, place, first, last, h = suffix_dedup.anchors(data, np.array([len(data)]), 100, 32)
+        hashes.append(set(h.tolist()))
+        rows.append((i, text, place, first, last, h))
+    often = {h for h, n in Counter(x for s in hashes for x in s).items() if n > 100}
+    batch = pa.RecordBatch.from_pylist([{"k1": i, "k2": 7, "text": text, "anchors": [int(p << 16 | (p - f) << 8 | (p - e))
+                                         for p, f, e, x in zip(place, first, last, h) if x in often]} for i, text, place, first, last, h in rows])
+
+    def largest(*more):
+        sizes = [sum(map(len, suffix_dedup.unpack(r["blob"]))) for b in suffix_dedup.context_blobs(iter([batch]), 100, 32, 64, *more) for r in b.to_pylist()]
+        return max(sizes) / sum(sizes)
+    assert often and largest() > 0.4 and largest(frozenset(often)) < 0.05
+    counted = [r for b in suffix_dedup.anchor_counts(iter([batch]), 100, 32, 101) for r in b.to_pylist()]
+    assert {r["h"] & (1 << 64) - 1 for r in counted} == often
+
+
 def test_a_row_listed_twice_within_and_across_slices():
     text = " ".join(f"word{i}" for i in range(60))
     data = np.frombuffer(text.encode(), np.uint8)
