@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ from stichos.llm.suffix_dedup import pack, unpack
 CONTEXTS, SAMPLES, STRENGTH, SEED = 4096, 2, 1.0, 17
 EXACT_CUSTOMERS = 64
 ROWS, BUCKETS_PER_PARTITION = 50_000, 4
+HOT_SHARE, HOT_LEAST, SALTS = 1024, 512, 16                           # a token is hot in a slice with 1/HOT_SHARE of its tokens, and HOT_LEAST
+PAIRS, COUNTS, HOT = 0, 1, 2                                          # kinds of blobs: occurrences, counts of hot tokens, occurrences of hot tokens
+HELD_PAIRS = 1 << 20
 HELD_SUMS = 2_000_000                                                 # sums by document that a task adds up over buckets before it sends them
 SUMS = (np.float32, np.float64, np.uint32)                            # partial sums of a document: score, base score, known tokens
 END, START = 0x5E5E5E5E5E5E5E5E, 0x1717171717171717
@@ -49,9 +53,17 @@ def tokens_of(texts: list[str], known: Hashes) -> tuple[np.ndarray, np.ndarray,
     return token, ((before * M1) >> np.uint64(52)).astype(np.int64) % CONTEXTS, count
 
 
-def occurrence_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def hot_bucket(token: np.ndarray, salt: int, buckets: int) -> np.ndarray:
+    """Where the occurrences of a hot token in the slices of one salt go."""
+    return (((token ^ np.uint64((1 + salt) * int(M1) % (1 << 64))) * M1 >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def occurrence_blobs(batches: Iterator[pa.RecordBatch], buckets: int, share: int = HOT_SHARE, least: int = HOT_LEAST) -> Iterator[pa.RecordBatch]:
     """For each slice of text, its occurrences by bucket of the token (context, whether to learn from it, document), and under a negative bucket
-    the table of its documents. Tokens of a slice are sent once each, however often they occur in it."""
+    the table of its documents. Tokens of a slice are sent once each, however often they occur in it.
+
+    Of tokens that are hot in the slice the bucket gets counts by context; their occurrences are dealt by token and salt of the slice.
+    """
     known, base, number = Hashes(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0
     for batch in slices(batches):
         for at in range(0, batch.num_rows, ROWS):
@@ -63,19 +75,33 @@ def occurrence_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterato
             token, mark, doc = token[order], (context | train[doc] << 12).astype(np.uint16)[order], doc[order].astype(np.uint16)
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             unique, times = token[first], np.diff(np.append(first, len(token)))
-            bucket = (unique % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            each = np.argsort(np.repeat(bucket, times), kind="stable")
-            bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            ends = np.concatenate([[0], np.cumsum(times[by])])[bounds]
-            for b in np.flatnonzero(np.diff(bounds)).tolist():
-                u, o = by[bounds[b]:bounds[b + 1]], each[ends[b]:ends[b + 1]]
-                rows.append((b, pack(unique[u], times[u].astype(np.uint32), mark[o], doc[o])))
+            hot = times >= max(least, len(token) / share)
+            if hot.any():
+                at, of = np.repeat(hot, times), np.repeat(np.cumsum(hot) - 1, times)
+                pair, inverse = np.unique(of[at] * CONTEXTS + (mark[at] & CONTEXTS - 1), return_inverse=True)
+                learned = np.bincount(inverse, mark[at] >> 12, len(pair)).astype(np.uint32)
+                key, before = unique[hot][pair // CONTEXTS], (pair % CONTEXTS).astype(np.uint16)
+                home = (key % np.uint64(buckets)).astype(np.int64)
+                for b in np.unique(home).tolist():
+                    rows.append((b, COUNTS, pack(key[home == b], before[home == b], learned[home == b])))
+            salted = hot_bucket(unique, ((base >> 32) + number) % SALTS, buckets)
+            for kind, which in ((PAIRS, ~hot), (HOT, hot)):
+                chosen = np.flatnonzero(which)
+                bucket = ((unique % np.uint64(buckets)).astype(np.int64) if kind == PAIRS else salted)[chosen]
+                by = np.argsort(bucket, kind="stable")
+                place = np.flatnonzero(np.repeat(which, times))
+                each = place[np.argsort(np.repeat(bucket, times[chosen]), kind="stable")]
+                bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                ends = np.concatenate([[0], np.cumsum(times[chosen][by])])[bounds]
+                for b in np.flatnonzero(np.diff(bounds)).tolist():
+                    u, o = chosen[by[bounds[b]:bounds[b + 1]]], each[ends[b]:ends[b + 1]]
+                    rows.append((b, kind, pack(unique[u], times[u].astype(np.uint32), mark[o], doc[o])))
             ids = part.column("doc_id")
             valid = np.array(ids.is_valid().to_pylist(), dtype=bool)
-            rows.append((-1 - (base + number) % buckets, pack(np.array(ids.fill_null(0).to_pylist(), np.int64), valid, train, count)))
+            rows.append((-1 - (base + number) % buckets, PAIRS, pack(np.array(ids.fill_null(0).to_pylist(), np.int64), valid, train, count)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([base + number] * len(rows), pa.int64()),
-                                              pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "slice", "blob"])
+                                              pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
+                                             names=["bucket", "slice", "kind", "blob"])
             number += 1
 
 
@@ -109,24 +135,43 @@ class Totals:
     root: list[tuple[float, float]] = field(default_factory=list)     # customers and tables of the root after each sweep
 
 
+def occurrences(blob: bytes | list[bytes]) -> tuple[np.ndarray, ...]:
+    """Tokens, contexts, whether to learn from it and documents of the occurrences in a blob, or in its parts."""
+    parts = unpack(blob) if isinstance(blob, bytes) else blob
+    unique, times, mark, doc = (np.frombuffer(x, k) for x, k in zip(parts, (np.uint64, np.uint32, np.uint16, np.uint16)))
+    return np.repeat(unique, times), (mark % CONTEXTS).astype(np.int64), mark >> 12, doc.astype(np.int64)
+
+
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Token, context, count, hot of each pair once, sorted by token and context."""
+    token, context, count, hot = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((context, token))
+    token, context, count, hot = (x[order] for x in (token, context, count, hot))
+    first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (context[1:] != context[:-1])]))
+    return token[first], context[first], np.add.reduceat(count, first), np.logical_or.reduceat(hot, first)
+
+
 class Bucket:
-    """Occurrences of the tokens of one bucket, counted."""
-
-    def __init__(self, number: int, slice_ids: list[int], held: list[list[bytes]]):
-        self.number, self.slice_ids = number, np.array(slice_ids, dtype=np.int64)
-        unique = [np.frombuffer(x[0], np.uint64) for x in held]
-        times = np.concatenate([np.frombuffer(x[1], np.uint32) for x in held]).astype(np.int64)
-        mark = np.frombuffer(b"".join(x[2] for x in held), np.uint16).astype(np.int64)
-        self.doc = np.frombuffer(b"".join(x[3] for x in held), np.uint16).astype(np.int64)
-        sizes = [len(x[3]) // 2 for x in held]
-        self.slice = np.repeat(np.arange(len(held)), sizes)
-        types, inverse = np.unique(np.concatenate(unique), return_inverse=True)
-        self.token = np.repeat(inverse, times)
-        context, train = mark % CONTEXTS, mark >> 12
-        self.pair, self.of = np.unique(self.token * CONTEXTS + context, return_inverse=True)
-        self.count = np.bincount(self.of[train > 0], minlength=len(self.pair))
-        self.pair_token, self.pair_context = self.pair // CONTEXTS, self.pair % CONTEXTS
-        self.token_count = np.bincount(self.pair_token, self.count, len(types)).astype(np.int64)
+    """Counts of the pairs of token and context of one bucket; its occurrences, none of a hot token, stay compressed and are read slice by slice."""
+
+    def __init__(self, number: int, slice_ids: list[int], held: list[bytes | list[bytes]], counts: list[bytes] = ()):
+        self.number, self.parts = number, list(zip(slice_ids, held))
+        sums_, size = [], 0
+        for kind, blob in [*((COUNTS, c) for c in counts), *((PAIRS, x) for x in held)]:
+            if kind == COUNTS:
+                token, context, count = (np.frombuffer(x, k) for x, k in zip(unpack(blob), (np.uint64, np.uint16, np.uint32)))
+            else:
+                token, context, count, _ = occurrences(blob)
+            sums_.append((token, context.astype(np.int64), count.astype(np.int64), np.full(len(token), kind == COUNTS)))
+            size += len(token)
+            if size > HELD_PAIRS + 2 * len(sums_[0][0]):
+                sums_ = [summed(sums_)]
+                size = len(sums_[0][0])
+        token, self.pair_context, self.count, hot = summed(sums_)
+        self.types, self.pair_token = np.unique(token, return_inverse=True)
+        self.pair = self.pair_token * CONTEXTS + self.pair_context
+        self.hot = np.bincount(self.pair_token, hot, len(self.types)) > 0
+        self.token_count = np.bincount(self.pair_token, self.count, len(self.types)).astype(np.int64)
 
     def first_state(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One table for each dish of each restaurant: tables, customers and tables of the root."""
@@ -163,18 +208,23 @@ class Bucket:
         return (self.count - t.discount * tables + (STRENGTH + t.discount * all_tables) * below) / (STRENGTH + customers)
 
 
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, int, bytes]]]]:
+    """Bucket after bucket of rows sorted by bucket, each with its slices, kinds and blobs as they come."""
+    rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "slice", "kind", "blob"))))
+    for bucket, group in groupby(rows, key=lambda r: r[0]):
+        yield bucket, (r[1:] for r in group)
+
+
 def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Bucket]:
-    now, slices_, held = None, [], []
-    for batch in batches:
-        for bucket, slice_id, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if bucket != now and held:
-                yield Bucket(now, slices_, held)
-                slices_, held = [], []
-            now = bucket
-            slices_.append(slice_id)
-            held.append(unpack(blob))
-    if held:
-        yield Bucket(now, slices_, held)
+    for number, group in groups_of(batches):
+        slice_ids, held, counts = [], [], []
+        for slice_id, kind, blob in group:
+            if kind == COUNTS:
+                counts.append(blob)
+            else:
+                slice_ids.append(slice_id)
+                held.append(blob)
+        yield Bucket(number, slice_ids, held, counts)
 
 
 def sums(parts: DataFrame, t: Totals | None) -> dict[int, tuple[float, float]]:
@@ -218,13 +268,14 @@ def learn(parts: DataFrame, samples: int) -> Totals:
     return t
 
 
-def score_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def score_documents(docs: DataFrame, samples: int = SAMPLES, share: int = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
     """Log probabilities (base 10) of every document under the model and under smoothed token counts, one row per document.
 
     Learned from all documents that are not held out. Restaurants of contexts (the token before, folded by a hash to CONTEXTS restaurants) share the
     restaurant of all tokens as their parent, whose own base is uniform over the known tokens and one for all unknown ones. Occurrences are gathered
     by token, so the seats of a token and its tables in the parent are drawn in one task; only the restaurants' totals (bounded by CONTEXTS) are
-    shared, from sweep to sweep. The score averages the predictive probabilities of `samples` sweeps.
+    shared, from sweep to sweep. Of a token that is hot in a slice only counts by context are gathered, which seating needs; its occurrences are dealt by
+    token and SALTS, and the probabilities of its pairs are sent to each of them. The score averages the predictive probabilities of `samples` sweeps.
 
     A null or empty text is its end token alone. Rows with the same doc_id, or none, are each scored (a row without doc_id is learned from); other columns
     are not read. Without documents to learn from every token has the probability of the one unknown token.
@@ -232,42 +283,90 @@ def score_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     partitions = parallelism(docs)
     buckets = partitions * BUCKETS_PER_PARTITION
     given = texts_of(docs).withColumn("held_out", held_out(5, 1))
-    schema = "bucket int, slice long, blob binary"
-    dealt = given.mapInArrow(lambda it: occurrence_blobs(it, buckets), schema).repartition(partitions, "bucket") \
-        .sortWithinPartitions("bucket", "slice")
+    schema = "bucket int, slice long, kind int, blob binary"
+    dealt = given.mapInArrow(lambda it: occurrence_blobs(it, buckets, share, least), schema).repartition(partitions, "bucket") \
+        .sortWithinPartitions("bucket", "slice", "kind")
     table = cut(dealt, one_group=True)                                # a bucket stays in one file, a file in one task
-    parts = table.filter("bucket >= 0")
+    parts, hot = table.filter(f"bucket >= 0 and kind <> {HOT}"), table.filter(f"bucket >= 0 and kind = {HOT}")
     t = learn(parts, samples)
     used = range(1, samples + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = Totals(t.n_tokens, t.n_types, t.discount, t.root_discount, t.customers, t.tables[:-1], t.root[:-1])
-        held, entries = defaultdict(list), 0
+    def chances_of(b: Bucket, before: Totals) -> tuple[np.ndarray, np.ndarray]:
+        states = b.states(before)
+        chance = np.log10(sum(b.chances(states[s], t, s) for s in used) / len(used))
+        return chance, np.log10((b.token_count + 0.5) / (t.n_tokens + 0.5 * (t.n_types + 1)))
+
+    class Sent:
+        """Sums by slice and document, sent whenever there are many."""
+
+        def __init__(self):
+            self.held, self.entries = defaultdict(list), 0
 
-        def flush() -> pa.RecordBatch:
+        def add(self, slice_id: int, doc: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+            place, of = np.unique(doc, return_inverse=True)
+            self.held[slice_id].append((place.astype(np.uint16), *(np.bincount(of, w, len(place)) for w in values)))
+            self.entries += len(place)
+            if self.entries > HELD_SUMS:
+                yield from self.flush()
+
+        def flush(self) -> Iterator[pa.RecordBatch]:
             rows = []
-            for slice_id, parts in held.items():
+            for slice_id, parts in self.held.items():
                 doc, *columns = (np.concatenate(c) for c in zip(*parts))
                 doc, of = np.unique(doc, return_inverse=True)
-                rows.append((slice_id, pack(doc, *(np.bincount(of, c, len(doc)).astype(k) for c, k in zip(columns, SUMS)))))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "blob"])
+                rows.append((0, slice_id, 1, pack(doc, *(np.bincount(of, c, len(doc)).astype(k) for c, k in zip(columns, SUMS)))))
+            self.held.clear()
+            self.entries = 0
+            if rows:
+                yield batch_of(rows)
+
+    def batch_of(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+                                          names=["bucket", "slice", "kind", "blob"])
+
+    def hot_chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the occurrences of hot tokens need, for each salt (before them, as kind COUNTS)."""
+        before = Totals(t.n_tokens, t.n_types, t.discount, t.root_discount, t.customers, t.tables[:-1], t.root[:-1])
+        for b in buckets_of(batches):
+            if not b.hot.any():
+                continue
+            chance, plain = chances_of(b, before)
+            of = b.pair_token
+            for salt in range(SALTS):
+                to = np.where(b.hot, hot_bucket(b.types, salt, buckets), -1)
+                for bucket in np.unique(to[b.hot]).tolist():
+                    at = np.flatnonzero(to[of] == bucket)
+                    yield batch_of([(bucket, -1, COUNTS, pack(b.types[of[at]], b.pair_context[at].astype(np.uint16), chance[at], plain[of[at]], b.token_count[of[at]] > 0))])
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, sent = Totals(t.n_tokens, t.n_types, t.discount, t.root_discount, t.customers, t.tables[:-1], t.root[:-1]), Sent()
         for b in buckets_of(batches):
-            states = b.states(before)
-            chance = np.log10(sum(b.chances(states[s], t, s) for s in used) / len(used))
-            plain = np.log10((b.token_count + 0.5) / (t.n_tokens + 0.5 * (t.n_types + 1)))
-            place, of = np.unique(b.slice << 16 | b.doc, return_inverse=True)
-            columns = [np.bincount(of, w, len(place)) for w in (chance[b.of], plain[b.token], b.token_count[b.token] > 0)]
-            bounds = np.searchsorted(place >> 16, np.arange(len(b.slice_ids) + 1))
-            for slice_id, x, y in zip(b.slice_ids.tolist(), bounds[:-1], bounds[1:]):
-                held[slice_id].append(((place[x:y] & 0xFFFF).astype(np.uint16), *(c[x:y] for c in columns)))
-            entries += len(place)
-            if entries > HELD_SUMS:
-                yield flush()
-                entries = 0
-        if held:
-            yield flush()
+            chance, plain = chances_of(b, before)
+            for slice_id, blob in b.parts:
+                token, context, _, doc = occurrences(blob)
+                token = np.searchsorted(b.types, token)
+                at = np.searchsorted(b.pair, token * CONTEXTS + context)
+                yield from sent.add(slice_id, doc, chance[at], plain[token], b.token_count[token] > 0)
+        yield from sent.flush()
+
+    def score_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
+        for _, group in groups_of(batches):
+            given_, table_ = [], None
+            for slice_id, kind, blob in group:
+                if kind == COUNTS:
+                    given_.append([np.frombuffer(x, k) for x, k in zip(unpack(blob), (np.uint64, np.uint16, np.float64, np.float64, np.bool_))])
+                    continue
+                if table_ is None:
+                    key, pair_context, *values = (np.concatenate(c) for c in zip(*given_))
+                    types, of = np.unique(key, return_inverse=True)
+                    # a token of this bucket under two salts comes twice, with the same values
+                    pair, first = np.unique(of * CONTEXTS + pair_context, return_index=True)
+                    table_ = [v[first] for v in values]
+                token, context, _, doc = occurrences(blob)
+                at = np.searchsorted(pair, np.searchsorted(types, token) * CONTEXTS + context)
+                yield from sent.add(slice_id, doc, *(v[at] for v in table_))
+        yield from sent.flush()
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -293,7 +392,9 @@ def score_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         if table_ is not None:
             yield result()
 
-    scored = parts.mapInArrow(score, "slice long, blob binary").withColumn("kind", F.lit(1))
+    known = parts.mapInArrow(hot_chances, schema)
+    dealt_hot = known.unionByName(hot).repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind", "slice")
+    scored = parts.mapInArrow(score, schema).unionByName(dealt_hot.mapInArrow(score_hot, schema)).select("slice", "blob", F.lit(1).alias("kind"))
     tables = table.filter("bucket < 0").select("slice", "blob", F.lit(0).alias("kind"))
     return tables.unionByName(scored).repartition(partitions, "slice").sortWithinPartitions("slice", "kind", F.xxhash64("blob")) \
         .mapInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

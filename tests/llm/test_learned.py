@@ -155,6 +155,39 @@ def test_language_model(documents):
     assert [r.score for r in got if r.doc_id == 5 and r.n_tokens == 3] == [next(r.score for r in got if r.doc_id == 5 and r.n_tokens == 3)] * 2
 
 
+def test_language_model_with_hot_tokens(documents):
+    """Whichever tokens are dealt as hot ones, every document has the same scores."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["a b c", "the", "the", f"r{rng.randrange(200)}"]) for _ in range(rng.randrange(60)))) for i in range(200)] + [(900, None), (901, "")]
+    docs = documents(rows).repartition(5).cache()
+    key = lambda r: (r.doc_id, r.n_tokens)
+    want = sorted(pitman_yor.score_documents(docs).collect(), key=key)
+    for share, least in ((4, 20), (10 ** 9, 1)):                      # the most frequent ones; all
+        got = sorted(pitman_yor.score_documents(docs, share=share, least=least).collect(), key=key)
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-6)
+
+
+def test_no_bucket_has_all_occurrences_of_a_hot_token():
+    import pyarrow as pa
+
+    texts = [f"the x{i} the y{i % 7}" for i in range(40_000)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "held_out": i % 5 == 0} for i, t in enumerate(texts)])
+    rows = [r for _ in range(8) for b in pitman_yor.occurrence_blobs(iter([batch.slice(0, 5000)] * 4), 64) for r in b.to_pylist() if r["bucket"] >= 0]
+    the = pitman_yor.Hashes()[b"the"]
+    seen = Counter()
+    for r in rows:
+        if r["kind"] != pitman_yor.COUNTS:
+            token = pitman_yor.occurrences(r["blob"])[0]
+            seen[r["bucket"]] += int((token == the).sum())
+    assert sum(seen.values()) == 8 * 4 * 10_000 and max(seen.values()) <= sum(seen.values()) // 2
+    home = [r for r in rows if r["bucket"] == the % 64 and r["kind"] == pitman_yor.PAIRS]
+    assert not any((pitman_yor.occurrences(r["blob"])[0] == the).any() for r in home)
+    b = pitman_yor.Bucket(the % 64, [r["slice"] for r in home], [r["blob"] for r in home],
+                          [r["blob"] for r in rows if r["bucket"] == the % 64 and r["kind"] == pitman_yor.COUNTS])
+    assert b.token_count[b.types == the].tolist() == [8 * 4 * 8000] and len(b.count) < 3 * pitman_yor.CONTEXTS
+
+
 def test_language_model_on_nothing(documents):
     assert pitman_yor.score_documents(documents([])).count() == 0
     r = pitman_yor.score_documents(documents([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1), "all held out")])).first()
