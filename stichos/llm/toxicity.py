@@ -162,10 +162,11 @@ def word_counts(sample: DataFrame) -> DataFrame:
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Terms and stems of toxic documents: in at least LEAST_DOCS of them and with at least LEAST_SHARE of their documents toxic.
 
-    A stem stands for several terms that share its letters. Of near copies in the sample one counts.
+    A stem stands for several terms that share its letters. Of texts that are equal but for case and white space one counts. A word near a
+    term is plain if at least half of its documents are clean.
     """
-    family = F.array_min(F.transform(F.split(F.lower("text"), " "), lambda w: F.xxhash64(w)))
-    counts = cut(word_counts(sample.withColumn("_family", family).dropDuplicates(["_family", "_label"]).select("text", "_label")))
+    same = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
+    counts = cut(word_counts(sample.withColumn("_same", same).dropDuplicates(["_same", "_label"]).select("text", "_label")))
     good = (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean")))
     found = counts.filter(good).select("word", "stem").toPandas()
     terms = set(found["word"][~found["stem"].astype(bool)])
@@ -178,7 +179,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             words = [w for w in batch.column("word").to_pylist() if lexicon.match(w) == FUZZY]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
 
-    plain = counts.filter("not stem and clean > 0").select("word").mapInArrow(near, "word string").toPandas()["word"]
+    plain = counts.filter("not stem and clean > 0 and clean >= toxic").select("word").mapInArrow(near, "word string").toPandas()["word"]
     return Lexicon(lexicon.terms, lexicon.stems, plain)
 
 

@@ -137,6 +137,15 @@ def test_misspelled_terms_count(tables, documents, labels):
     assert [[got[10**6 + 4 * i + j] for j in range(3)] for i in range(3)] == [[0, 1, 1]] * 3
 
 
+def test_lexicon_counts_texts_that_share_common_words(spark):
+    common = " ".join(f"word{i}" for i in range(30))
+    rows = [(f"{common} toxic{i} blarghed" + (" blarqhed" if i < 3 else ""), 1) for i in range(8)] + [(f"{common} clean{i} blarghen", 0) for i in range(9)]
+    rows += [(f"{common} clean9 blarqhed", 0)] + [(f"{common}  ONE  gnurfled", 1), (f"{common} one gnurfled", 1)] * 4       # copies count once
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, _label int"))
+    assert lexicon.match("blarghed") in (toxicity.EXACT, toxicity.STEMMED) and lexicon.match("gnurfled") == 0
+    assert lexicon.match("blarqhed") == toxicity.FUZZY and lexicon.match("blarghen") == 0
+
+
 def brute_base(rows):
     tok = [["".join(c.lower() if c.isascii() else c for c in t or "").encode().split() + [None] for _, t in rows]][0]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
