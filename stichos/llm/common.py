@@ -54,6 +54,15 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of its own only where the session names none (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame, one_group: bool = False, few: bool = False) -> DataFrame:
     """Cuts the lineage: a table written to the shared folder of spark.checkpoint.dir and read again.
 
@@ -65,11 +74,7 @@ def cut(df: DataFrame, one_group: bool = False, few: bool = False) -> DataFrame:
     if few:
         df = df.coalesce(max(1, parallelism(df) // 8))
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
     df.write.options(**({"parquet.block.size": (1 << 31) - 1} if one_group else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
