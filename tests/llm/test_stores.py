@@ -207,7 +207,7 @@ def test_codes_equal_brute_force(vectors, kind):
     elif kind == "ties":
         data = rng.integers(-2, 3, (300, 16)) / 4096
     else:
-        data = rng.normal(scale=20_000, size=(120, 8))
+        data = rng.normal(scale=10_000, size=(120, 8))
     rows = [(int(i), data[i].tolist(), int(i % 3) or None) for i in rng.permutation(len(data))]
     bad = [(1000, None, 1), (-1, [float("nan")] * data.shape[1], 1), (-2, [None] * data.shape[1], 1), (-3, [float("-inf")] * data.shape[1], 1), (2000, [1.0], 1)]
     extra = [rows[0], (None, data[3].tolist(), None)]
