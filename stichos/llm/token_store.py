@@ -10,9 +10,9 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import struct
 import uuid
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -28,15 +28,19 @@ MAGIC = b"WMS1"
 BLOCK = 1 << 15                                                       # bits
 SHARD_TOKENS = 1 << 22
 WORDS = 500_000
-PUNCTUATION = ".,!?;:*#$%&|()\"-"
 MANIFEST = "task int, shard int, path string, n_docs long, n_tokens long, before long"
 
 
 # ---- the wavelet matrix ------------------------------------------------------------------------------------
 
-def _packed(data: bytes) -> bytes:
+@lru_cache(maxsize=1)
+def _compressor():
     import zstandard
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=1)
+
+
+def _packed(data: bytes) -> bytes:
+    return _compressor().compress(data)
 
 
 def _unpacked(data: bytes, size: int) -> bytes:
@@ -48,9 +52,9 @@ def write_shard(out: io.IOBase, ids: np.ndarray, doc_ids: Sequence[int | None],
     """One shard: the ids of documents behind each other, and the ids and lengths of the documents."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     sections, header = [], {"tokens": len(ids), "documents": len(doc_ids), "bits": bits, "block": BLOCK, "planes": []}
-    row = np.asarray(ids, dtype=np.uint32)
+    row = np.asarray(ids, dtype=np.uint16 if bits <= 16 else np.uint32)
     for k in reversed(range(bits)):
-        plane = (row >> np.uint32(k)) & np.uint32(1) != 0
+        plane = (row & row.dtype.type(1 << k)).astype(bool)
         raw = np.packbits(plane, bitorder="little").tobytes()
         blocks = [raw[at:at + BLOCK // 8] for at in range(0, len(raw), BLOCK // 8)]
         ones = np.concatenate([[0], np.cumsum([int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum(dtype=np.int64)) for b in blocks])])
@@ -157,6 +161,17 @@ class Shard:
             at = np.where(bit, plane.zeros + ones, at - ones)
         return out
 
+    def all_tokens(self) -> np.ndarray:
+        """All ids in order, from the last plane up: each plane deals the rows below it out to its zeros and ones."""
+        ids = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
+        for k, plane in enumerate(reversed(self.planes)):
+            ones = plane.bits(0, len(plane.ends) - 1).view(bool)
+            above = np.empty_like(ids)
+            above[~ones] = ids[:plane.zeros]
+            above[ones] = ids[plane.zeros:] | ids.dtype.type(1 << k)
+            ids = above
+        return ids
+
     def _range(self, token: int, start: int, stop: int) -> np.ndarray:
         """Where the occurrences of an id in [start, stop) stand behind the last plane."""
         ends = np.array([start, stop], np.int64)
@@ -184,12 +199,23 @@ class Shard:
 
 # ---- tokenising --------------------------------------------------------------------------------------------
 
+# How a tokenizer of words cuts a text (after lowering it): fixed values of its file.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+# Characters for which the same is said by ranges: ASCII, Latin letters that stay one letter in lower case, common punctuation.
+LATIN = "À-ÖØ-öø-įı-ɏ"
+MARKS = "¡«»¿‐-‧"
+ODD = re.compile(rf"[^\x00-\x7f{LATIN}{MARKS}]")
+PIECE = re.compile(rf"[a-z{LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t\n\x0b\x0c\r 0-9a-z{LATIN}]+")
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose pieces never cross white space and which ignores it, as packed little-endian 32-bit numbers.
+    """Ids of texts by a tokenizer file, as packed little-endian 32-bit numbers.
 
-    Words met before are looked up. A word of letters or digits with punctuation behind it is the word and the punctuation; ASCII
-    words are looked up in lower case if the tokenizer lowers them. Everything else goes to the tokenizer. Two generations of at most
-    `entries` words are kept, so memory is bounded. Names of special tokens in a text are ordinary text.
+    A tokenizer of words lowers a text, cuts it into runs of letters, single digits and runs of other characters, and drops white space; each
+    piece ends in a token that marks the end of a word. So pieces met before are looked up, and new ones are encoded as one long text and told
+    apart by those marks. Words with characters outside of ODD's ranges, and texts for tokenizers of another form, go to the tokenizer as they
+    are. Two generations of at most `entries` pieces are kept, so memory is bounded. Names of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, entries: int = WORDS):
@@ -198,52 +224,70 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"                # Spark runs a task on each core
         self.tokenizer, self.entries = Tokenizer.from_file(path), entries
         self.tokenizer.encode_special_tokens = True
-        self.lowers = self._ids(["QZ"]) == self._ids(["qz"])
-        self.blank = [not ids for ids in self._ids([" ", "\n", " \n "])] == [True] * 3 and self._ids(["a b"]) == [b"".join(self._ids(["a", "b"]))]
-        self.apart = self._ids(["ab1."]) == [b"".join(self._ids(["ab1", "."]))] and self._ids(["ab."]) == [b"".join(self._ids(["ab", "."]))]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix, vocabulary = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"]
+        normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [(p.get("pattern") or {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.words = bool(suffix) and normal == WORD_NORMALIZERS and cuts[:1] == [WORD_PATTERN]
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        if self.words:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
 
-    def _ids(self, words: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False)]
+    def _ids(self, texts: Sequence[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _pieces_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, encoded a thousand at a time as one text."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 1000):
+            part = pieces[at:at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                packed = ids.tobytes()
+                out += [packed[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
+            else:
+                out += self._ids(part)
+        return out
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + 3 * len(words) > self.entries:
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) + len(pieces) > self.entries:
             self.known, self.elder = {}, self.known
-        known, elder, parts, new = self.known, self.elder, {}, set()
-        for w in words:
-            if w in elder:
-                known[w] = elder[w]
-                continue
-            core = w.rstrip(PUNCTUATION) if self.apart else w
-            if not core or not core[-1].isalnum() or not core.isascii():
-                core = w
-            tail = w[len(core):]
-            if self.lowers and core.isascii():
-                core = core.lower()
-            parts[w] = core, tail
-            for x in (core, tail):
-                if x in elder:
-                    known[x] = elder[x]
-                elif x not in known:
-                    new.add(x)
-        new = sorted(new)
-        known.update(zip(new, self._ids(new)))
-        for w, (core, tail) in parts.items():
-            known[w] = known[core] + known[tail]
+        known, elder, new, odd = self.known, self.elder, [], []
+        for p in pieces:
+            if p in elder:
+                known[p] = elder[p]
+            else:
+                (odd if ODD.search(p) else new).append(p)
+        known.update(zip(new, self._pieces_ids(new)))
+        known.update(zip(odd, self._ids(odd)))
+
+    def _cut(self, text: str) -> list[str]:
+        if text.isascii() or not ODD.search(text):
+            return PIECE.findall(text.lower())
+        out: list[str] = []
+        for word in text.replace("\n", " ").split(" "):
+            if ODD.search(word):
+                out.append(word)
+            else:
+                out += PIECE.findall(word.lower())
+        return out
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        if not self.blank:
+        if not self.words:
             return self._ids(texts)
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
+        parts = list(map(self._cut, texts))
         get = self.known.get
-        found = [list(map(get, words)) for words in parts]
-        missing = {w for words, got in zip(parts, found) if None in got for w, ids in zip(words, got) if ids is None}
+        found = [list(map(get, pieces)) for pieces in parts]
+        missing = {p for pieces, got in zip(parts, found) if None in got for p, ids in zip(pieces, got) if ids is None}
         if missing:
             self._learn(missing)
             get = self.known.get
-        return [b"".join(get(w) if ids is None else ids for w, ids in zip(words, got)) if None in got else b"".join(got)
-                for words, got in zip(parts, found)]
+        return [b"".join(get(p) if ids is None else ids for p, ids in zip(pieces, got)) if None in got else b"".join(got)
+                for pieces, got in zip(parts, found)]
 
 
 @lru_cache(maxsize=2)
@@ -338,7 +382,7 @@ def read_documents(manifest: DataFrame, rows_at_once: int = 500) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before), n_tokens, ids (packed little-endian 32-bit numbers)."""
     def rows(shard: Shard, base: int) -> Iterator[pa.RecordBatch]:
         names, starts = shard.documents()
-        ids = shard.tokens(np.arange(shard.n)).astype("<u4", copy=False)
+        ids = shard.all_tokens().astype("<u4")
         for at in range(0, len(names), rows_at_once):
             here = range(at, min(at + rows_at_once, len(names)))
             yield pa.RecordBatch.from_arrays(
