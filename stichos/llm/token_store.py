@@ -219,7 +219,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, entries: int = WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"                # Spark runs a task on each core
         self.tokenizer, self.entries = Tokenizer.from_file(path), entries
@@ -230,9 +230,13 @@ class WordTokenizer:
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         cuts = [(p.get("pattern") or {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.words = bool(suffix) and normal == WORD_NORMALIZERS and cuts[:1] == [WORD_PATTERN]
-        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
         if self.words:
+            self.ends = np.zeros(1 + max(vocabulary.values()), bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            # pieces are cut and lowered already
+            self.merger = Tokenizer.from_file(path)
+            self.merger.encode_special_tokens, self.merger.normalizer = True, None
+            self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
 
@@ -242,9 +246,9 @@ class WordTokenizer:
     def _pieces_ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, encoded a thousand at a time as one text."""
         out: list[bytes] = []
-        for at in range(0, len(pieces), 1000):
-            part = pieces[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [pieces[at:at + 1000] for at in range(0, len(pieces), 1000)]
+        for part, encoded in zip(parts, self.merger.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) == len(part):
                 packed = ids.tobytes()
@@ -254,10 +258,14 @@ class WordTokenizer:
         return out
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.entries:
-            self.known, self.elder = {}, self.known
-        known, elder, new, odd = self.known, self.elder, [], []
-        for p in pieces:
+        """Takes in all pieces of some texts."""
+        known = self.known
+        missing = pieces - known.keys()
+        if len(known) + len(missing) > self.entries:
+            self.known, self.elder, missing = {}, known, pieces
+            known = self.known
+        elder, new, odd = self.elder, [], []
+        for p in missing:
             if p in elder:
                 known[p] = elder[p]
             else:
@@ -280,14 +288,9 @@ class WordTokenizer:
         if not self.words:
             return self._ids(texts)
         parts = list(map(self._cut, texts))
-        get = self.known.get
-        found = [list(map(get, pieces)) for pieces in parts]
-        missing = {p for pieces, got in zip(parts, found) if None in got for p, ids in zip(pieces, got) if ids is None}
-        if missing:
-            self._learn(missing)
-            get = self.known.get
-        return [b"".join(get(p) if ids is None else ids for p, ids in zip(pieces, got)) if None in got else b"".join(got)
-                for pieces, got in zip(parts, found)]
+        self._learn(set().union(*parts))
+        get = self.known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in parts]
 
 
 @lru_cache(maxsize=2)
