@@ -63,7 +63,7 @@ def write_shard(out: io.IOBase, ids: np.ndarray, doc_ids: Sequence[int | None],
         sections += [(header["planes"][-1], "ones", ones.astype("<i8").tobytes(), True),
                      (header["planes"][-1], "ends", np.cumsum([0, *map(len, small)]).astype("<i8").tobytes(), True),
                      (header["planes"][-1], "data", b"".join(small), False)]
-        row = np.concatenate([row[~plane], row[plane]])
+        row = np.concatenate([np.compress(~plane, row), np.compress(plane, row)])
     known = np.array([i is not None for i in doc_ids], dtype=np.uint8)
     sections += [(header, "doc_ids", np.array([i or 0 for i in doc_ids], dtype="<i8").tobytes(), True),
                  (header, "known", known.tobytes(), True), (header, "lengths", np.asarray(lengths, dtype="<i8").tobytes(), True)]
@@ -167,8 +167,8 @@ class Shard:
         for k, plane in enumerate(reversed(self.planes)):
             ones = plane.bits(0, len(plane.ends) - 1).view(bool)
             above = np.empty_like(ids)
-            above[~ones] = ids[:plane.zeros]
-            above[ones] = ids[plane.zeros:] | ids.dtype.type(1 << k)
+            above[np.flatnonzero(~ones)] = ids[:plane.zeros]
+            above[np.flatnonzero(ones)] = ids[plane.zeros:] | ids.dtype.type(1 << k)
             ids = above
         return ids
 
