@@ -190,6 +190,29 @@ def block_tokens(spark, sf):
     return tk.vocabulary(tk.tokens_of_blocks(c.doc_lines(spark, sf), ["text_name", "book"]), ["text_name", "book"])
 
 
+# lines whose first word has a hyphen are cut there, so that it stands at a line's end
+_WRAPPED = r"""replace(regexp_replace(regexp_replace(text, '\?|(\d+-(\d+|ff|fin).*?\n)|\d', '', 'g'), '\n\*\S*( *|( +(a|b|\*a|\*b)))\n', chr(10), 'g'), '--', ' --')"""
+
+
+def wrapped_lines(spark, sf):
+    """Pieces of documents with a hyphen put behind every third letter group at a line's end."""
+    li = c.doc_lines(spark, sf)
+    return li.withColumn("text", F.when(F.col("line") % 3 == 1, F.concat("text", F.lit("-"))).when(F.col("line") % 7 == 2, F.concat("text", F.lit("--  "))).otherwise(F.col("text")))
+
+
+@query("n11_wrapped_words", f"""WITH {c.SQL_LINES},
+wl AS (SELECT doc_id, text_name, book, line, CASE WHEN line % 3 = 1 THEN text || '-' WHEN line % 7 = 2 THEN text || '--  ' ELSE text END AS text FROM lines),
+bt AS (SELECT doc_id, text_name, book, line, {_WRAPPED} AS t FROM wl),
+nx AS (SELECT *, CASE WHEN regexp_matches(lead(t) OVER o, '^[^\\s]*- *$') THEN '' ELSE regexp_extract(lead(t) OVER o, '^[^\\s]*') END AS next, coalesce(regexp_matches(lag(t) OVER o, '- *$'), false) AND NOT regexp_matches(t, '^[^\\s]*- *$') AS taken FROM bt WINDOW o AS (PARTITION BY doc_id, text_name, book ORDER BY line)),
+ow AS (SELECT *, CASE WHEN taken THEN regexp_replace(t, '^[^\\s]*', '') ELSE t END AS own FROM nx),
+tk AS (SELECT * FROM (SELECT text_name, book, unnest(string_split({c.sql_squeeze(c.sql_beta("CASE WHEN regexp_matches(own, '- *$') THEN regexp_replace(own, '- *$', '') || coalesce(next, '') ELSE own END"))}, ' ')) AS raw FROM ow) WHERE raw <> ''),
+{c.sql_standardize_ctes('tk', 'raw', 'text_name, book')}
+SELECT text_name, book, token, count(*) AS n FROM std GROUP BY ALL""")
+def wrapped_words(spark, sf):
+    t = tk.tokens_of_wrapped_blocks(wrapped_lines(spark, sf), ["doc_id", "text_name", "book"])
+    return tk.vocabulary(t, ["text_name", "book"])
+
+
 @query("n12_vocabulary", f"WITH {c.SQL_TOKENS} SELECT token, count(*) AS n FROM std GROUP BY token ORDER BY token")
 def vocabulary(spark, sf):
     return tk.vocabulary(c.tokens(spark, sf)).orderBy("token")

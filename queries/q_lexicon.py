@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries import common as c
+from queries import common as c, q_scan
 from queries.q_corpus import SQL_BENCH, benchmark_tokens
 from stichos.functions import phonemes as ph
-from stichos.operators import entries as en, lexicon as lx, scansion as sc
+from stichos.operators import entries as en, evaluate as ev, lexicon as lx, scansion as sc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -160,17 +160,41 @@ def accents(spark, sf):
     return s.select("s", lx.short_alpha_by_accent("s").alias("short_alpha"), lx.accent_forward("s").alias("forward"))
 
 
-_ENC = lx.ENCLITIC_FORMS
-_ISENC = f"""(lemma IN {tuple(lx.ENCLITIC_LEMMAS)} OR regexp_matches(form, '{_ENC}') OR
- coalesce(lemma = 'ei)mi/' AND tense = 'pres' AND mood = 'ind' AND left(form, 3) <> 'ei)', false))"""
-_ISPRO = rf"""((lemma = 'o(' AND (left(form, 1) IN ('o', 'h') OR left(form, 2) = 'ai')) OR regexp_matches(lemma, '{lx.PROCLITIC_LEMMAS}'))"""
+# the clitic tests written out for SQL
+_ISENC = r"""(lemma IN ('tis', 'pou/', 'pou/2', 'poqi', 'ph', 'poi', 'poqen', 'pote/', 'pote/2', 'pw', 'pw2', 'pws', 'ge', 'te', 'toi', 'toi2', 'pe/r', 'qh/n')
+ OR form IN ('mou', 'mou=', 'moi/', 'moi//', 'me', 'me/', 'sou', 'sou=', 'soi', 'soi/', 'se', 'se/', 'e(', 'e(/', 'sfisi', 'sfi/si', 'meu', 'meu=', 'seo', 'se/o', 'seu', 'seu=', 'toi', 'toi/', 'te/', 'tu/',
+   'e(/o', 'min', 'mi/n', 'nin', 'ni/n', 'sfi', 'sfi/', 'sfin', 'sfi/n', 'sfwe', 'sfwe/', 'sfwin', 'sfwi/n', 'sfe/as', 'sfea', 'sfe/a', 'nu', 'nu/', 'nun', 'nu/n', 'ke', 'ke/', 'ken', 'ke/n')
+ OR (lemma = 'e(/' AND form IN ('ou(=', 'oi(=', 'e(/o', 'e(o', 'eu(=', 'eu(', 'e(/qen', 'e(qen')) OR (lemma = 'sfei=s' AND form IN ('sfe/', 'sfe', 'sfe/wn', 'sfewn', 'sfa/s', 'sfa=s', 'sfas'))
+ OR (regexp_full_match(lemma, 'a\)/ra.') AND form IN ('r(a/', 'r(a')) OR coalesce(lemma = 'ei)mi/' AND tense = 'pres' AND mood = 'ind' AND left(form, 3) <> 'ei)', false)
+ OR coalesce(lemma = 'phmi/' AND tense = 'pres' AND mood = 'ind' AND form NOT IN ('ph/|s', 'ph=|s'), false))"""
+_ISPRO = r"""((lemma = 'o(' AND (left(form, 1) IN ('o', 'h') OR left(form, 2) = 'ai')) OR lemma IN ('ei)s', 'e)k', 'e)c', 'ei)', 'ei)2', 'w(s') OR regexp_full_match(lemma, 'ou\)[0-9]*'))"""
+CLITIC_LEMMAS = ["e(/", "sfei=s", "a)/ra1", "a)/ra", "phmi/", "ei)mi/", "pw2", "pote/2", "pote/22", "ou)12", "ei)2", "ei)s", "o("]
+CLITIC_FORMS = ["ou(=", "e(/o", "e(qen", "sfe/wn", "sfas", "r(a", "r(a/", "ph/|s", "phsi/", "ei)si/", "e)sti/", "nu/n", "moi//", "mou=", "sfisi", "ai(", "o(", "tou", "xa/ra"]
 
 
-@query("x05_x08_clitics", f"""WITH {SQL_PARSES}
+def clitic_parses(spark, sf):
+    """Half of the parses get a lemma and a form of the clitics."""
+    odd = part(95) % 2 == 0
+    return parses(spark, sf).withColumns({"lemma": F.when(odd, chosen(CLITIC_LEMMAS, 96)).otherwise(F.col("lemma")),
+                                          "form": F.when(odd, chosen(CLITIC_FORMS, 97)).otherwise(F.col("form"))})
+
+
+_CLITIC_PARSES = f"""cp AS (SELECT * REPLACE (CASE WHEN {sql_part(95)} % 2 = 0 THEN {sql_chosen(CLITIC_LEMMAS, 96)} ELSE lemma END AS lemma,
+  CASE WHEN {sql_part(95)} % 2 = 0 THEN {sql_chosen(CLITIC_FORMS, 97)} ELSE form END AS form) FROM parses)"""
+
+
+@query("x05_x08_clitics", f"""WITH {SQL_PARSES}, {_CLITIC_PARSES}
 SELECT token, bool_and({_ISENC}) AS enclitic, bool_and({_ISPRO}) AS proclitic, CASE WHEN min(lemma) = max(lemma) THEN max(lemma) END AS only_lemma
-FROM parses GROUP BY token""")
+FROM cp GROUP BY token""")
 def clitics(spark, sf):
-    return lx.token_facts(parses(spark, sf))
+    return lx.token_facts(clitic_parses(spark, sf))
+
+
+@query("x05_x06_clitic_parses", f"""WITH {SQL_PARSES}, {_CLITIC_PARSES}
+SELECT lemma, form, {_ISENC} AS enclitic, {_ISPRO} AS proclitic, count(*) AS n FROM cp GROUP BY ALL""")
+def clitic_tests(spark, sf):
+    p = clitic_parses(spark, sf)
+    return p.groupBy("lemma", "form", lx.is_enclitic_parse().alias("enclitic"), lx.is_proclitic_parse().alias("proclitic")).agg(F.count("*").alias("n"))
 
 
 @query("s03_s04_sound_text", f"""WITH {SQL_PARSES},
@@ -262,6 +286,25 @@ def classify(spark, sf):
     return en.group_small(k, ["exact", "verb", "article"]).select("doc_id", "line", "class", "class_group")
 
 
+# 190 rules made from letters: three shapes over pairs of them
+_RULE_ENDS = [a + b for a in "abcdefghilmnoprst" for b in "aeinorstu"]
+MANY = [((rf"{e}[ ,.]", rf"^[A-Z]?[a-z]*{e}[a-z]* (the|der|la) ", rf"[a-z]{e}{e[0]}?(is|en)")[k % 3], f"class {k % 23}", "core") for k, e in enumerate(_RULE_ENDS)] + \
+    [(rf"{a}{b}{a}", f"twice {a}", "core") for a in "aeiou" for b in "bcdlmnr"] + [(r"[0-9]+", "number", "core"), (r"^\S+:", "colon", "core")]
+
+
+def _many_sql(rules):
+    cells = []
+    for no, (p, cls, _) in enumerate(rules):
+        anchored = p if p.startswith("^") else f"(?s)^.*?(?-s:{p})"
+        cells.append(f"CASE WHEN regexp_matches(core, '{p}') THEN {{'e': length(regexp_extract(core, '{anchored}', 0)), 'no': {no}, 'cls': '{cls}'}} END")
+    return f"(list_sort(list_filter([{', '.join(cells)}], lambda x: x IS NOT NULL))[1]).cls"
+
+
+@query("x13_many_rules", f"WITH {_ENT} SELECT doc_id, line, coalesce({_many_sql(MANY[:120])}, {_many_sql(MANY[120:])}, 'other') AS class FROM ent")
+def classify_many(spark, sf):
+    return en.classify_many(_entries(spark, sf).withColumn("headword", F.lit("x")), None, [MANY[:120], MANY[120:]]).select("doc_id", "line", "class")
+
+
 @query("x15_x16_links_and_variants", f"""WITH {_ENT},
 r AS (SELECT doc_id, line, string_split(core, ' ') AS ws FROM ent),
 e AS (SELECT doc_id, line, ws[1] AS w, ', (' || translate(coalesce(ws[2], ''), '$,.:', '') || ', cf. x) ' AS rest, CASE WHEN line % 2 = 0 THEN ws[1] || ' or ' || coalesce(ws[2], '') || CASE WHEN line % 4 = 0 THEN ', x' ELSE ' x' END ELSE ws[1] || ' x' END AS c2 FROM r),
@@ -290,26 +333,27 @@ def lengths(spark, sf):
         "token", ph.default_lengths("token").alias("lengths"), ph.only_known_vowels("token").alias("known"), en.stem_lengths("token").alias("stem"))
 
 
-# a dictionary derived from the morphology: the stem of a lemma's forms is the token itself
-ENDING_TYPES = ["thematicVerb", "secondDeclensionOS", "firstDeclensionEta", "thirdDeclensionConsonantStem", "aContractVerb", "adjectiveTis", "indecl"]
+# A dictionary derived from the morphology: every parse's lemma has an entry of its own, whose stems are the token less its last letters.
+ENDING_TYPES = ["firstDeclensionEta", "secondDeclensionOS", "firstDeclensionShortAlpha", "secondDeclensionHS", "thirdDeclensionSigmaStemNeuter", "thirdDeclensionConsonantStem",
+                "thirdDeclensionIotaStem", "thirdDeclensionDigammaStem", "thirdDeclensionU/", "thematicVerb", "oContractVerb", "eContractVerb", "aContractVerb", "pronounMin", "adjectiveTis",
+                "verbEndingInUmi", "nounZeu/s", "nounXeir", "pronounEgw", "adjectivePolus", "verbOida", "indecl"]
+ENTRY_POS = ["??", "adv", "noun", "adj", "verb"]
+SLOTS = ["*", "rest", "masc", "fem", "neut", "neutNom", "mascNom", "pres.act", "aor.act.y", "fut.mid", "futperf"]
 
 
 def dictionary(spark, sf):
-    """Entries and stems: stem variants are the token less its last one or two letters."""
-    p = parses(spark, sf).select("token", "lemma", "parse_no").filter("parse_no = 0").withColumn(
-        "lemma", F.concat("lemma", F.lit(":"), F.left("token", F.lit(4))))
-    one = p.groupBy("lemma").agg(F.min("token").alias("t"))
-    n = F.length("t")
-    entries = one.select("lemma", F.lit("adv").alias("entry_pos"), F.element_at(F.array(*[F.lit(x) for x in ENDING_TYPES]), n % len(ENDING_TYPES) + 1).alias("ending_type"))
-    cut = F.explode(F.array(F.lit(1), F.lit(2))).alias("cut")
-    stems = one.select("lemma", "t", cut).select("lemma", F.lit(lx.PLAIN_SLOT).alias("slot"), F.col("cut").alias("variant_no"),
-                                                 F.substr("t", F.lit(1), F.length("t") - F.col("cut")).alias("stem"))
-    stems = stems.withColumn("stem_lengths", F.translate(ph.default_lengths("stem"), "?", "s"))
-    return entries, stems
+    """Entries and stems of the lemmas of _dict_forms; one entry in eight is missing, some stems carry a digamma, a third have stems by slot."""
+    p = _dict_forms(spark, sf).select("token", "parse_no", "lemma").filter((part(80) % 8 != 0) & F.contains("lemma", F.lit(":")))
+    entries = p.select("lemma", chosen(ENTRY_POS, 81).alias("entry_pos"), chosen(ENDING_TYPES, 82).alias("ending_type"))
+    slots = F.explode(F.when(part(83) % 3 == 0, F.array(*[F.lit(x) for x in SLOTS[1:]])).otherwise(F.array(F.lit("*"))))
+    stems = p.select("*", slots.alias("slot")).select("*", F.explode(F.array(*[F.lit(k) for k in (0, 1, 2, 3)])).alias("variant_no"))
+    cut = F.substr("token", F.lit(1), F.length("token") - (part(84) + F.col("variant_no")) % 4)
+    stem = F.when((part(85) + F.col("variant_no")) % 5 == 0, F.concat(F.lit("v"), cut)).otherwise(F.translate(cut, "/=", ""))
+    return entries, stems.select("lemma", "slot", "variant_no", stem.alias("stem"), F.translate(ph.default_lengths(stem), "?", "s").alias("stem_lengths"))
 
 
 def _dict_forms(spark, sf):
-    return parses(spark, sf).withColumn("lemma", F.concat("lemma", F.lit(":"), F.left("token", F.lit(4))))
+    return parses(spark, sf).withColumn("lemma", F.when(part(86) % 16 == 0, F.col("lemma")).otherwise(F.concat("lemma", F.lit(":"), "token", F.lit(":"), F.col("parse_no").cast("string"))))
 
 
 @query("x18_stem_slot", f"""WITH {SQL_PARSES},
@@ -323,10 +367,82 @@ def slots(spark, sf):
     return parses(spark, sf).withColumn("entry_pos", F.lit("??")).withColumn("slot", lx.stem_slot()).groupBy("slot").agg(F.count("*").alias("n"))
 
 
-@query("x19_x22_parse_lengths")
+# The lists of endings written out: class, place, lengths, endings (* a prefix), number of the condition below
+_LISTS = """rw(cls, no, lens, ends, cond) AS (VALUES
+('long_a', 1, 's', 'as', 1), ('long_a', 2, 's', 'a', 2), ('long_a', 3, 'l', 'a', 3), ('long_a', 4, 'l', 'as an a|', 0), ('long_a', 5, 'ls', 'h|si* a|si* oisi*', 0),
+('short_a', 1, 's', 'a an', 0), ('short_a', 2, 'l', 'as a|', 0), ('short_a', 3, 'ls', 'h|si* a|si* oisi*', 0),
+('masc_hs', 1, 's', 'a', 4), ('adj_hs', 1, 'ss', 'esi* essi*', 0), ('adj_hs', 2, 's', 'si*', 0),
+('third', 1, '?s', 'a)nhr a)ndri a)ndra a)ndras a)ndros a)ndres', 5), ('third', 2, '?ss', 'a)ndrasi* a)ndresi*', 5), ('third', 3, '?l', 'a)ndrwn', 5),
+('third', 4, 'ls', 'mater matri mhtri', 6), ('third', 5, 'lss', 'materi mhteri materos matera', 6), ('third', 6, 's', 'i a as si*', 0), ('third', 7, 'ss', 'essi*', 0),
+('iota', 1, 's', 'is i in', 0), ('iota', 2, 'ss', 'esi* essi*', 0), ('digamma', 1, 'l', 'a', 0), ('digamma', 2, 'sl', 'ea eas', 0), ('digamma', 3, 'ls', 'eusi*', 0),
+('adj_us', 11, 's', 'us un u', 0), ('adj_us', 12, 'ss', 'ea esi*', 0),
+('verb', 1, 's', 'a as an', 7), ('verb', 2, 'ss', 'amen ate ato anto', 7), ('verb', 3, 'ls', 'hsan', 7), ('verb', 4, 'l', 'a as', 8), ('verb', 5, 'ls', 'amen ate', 8),
+('verb', 6, 'll', 'asi*', 8), ('verb', 7, 'ss', 'esan', 9), ('verb', 8, 'ss', 'ion', 10), ('verb', 9, 'ls', 'wsi* h|si* wmi h|sqa oimi aimi eian meqa onta', 10),
+('verb', 10, 'sss', 'omeqa', 10), ('verb', 11, 'lss', 'wmeqa w|meqa oimeqa', 10), ('verb', 12, 'lls', 'eihsan eihsi eih|si', 10),
+('e_contract', 1, 'sls', 'eoisi*', 11), ('a_contract', 1, 'l', 'a as a| a|s an aq'' at''', 11), ('a_contract', 2, 'll', 'atai', 11), ('a_contract', 3, 'ls', 'ate ato asqe asa', 11),
+('min', 1, 's', 'min nin', 0), ('tis', 1, 's', 'is i', 0), ('tis', 2, 'ss', 'inos ini ina ines inas isi*', 0), ('tis', 3, 'sl', 'inwn', 0),
+('umi', 1, 'l', 'us un u', 0), ('umi', 2, '?', 'us''', 0), ('umi', 3, 's', 'unt'' ut'' uq'' usq''', 0), ('umi', 4, 'ls', 'umi usi*', 0),
+('umi', 5, 'ss', 'umen ute usqe usan uso uto umeq''', 0), ('umi', 6, 'sl', 'umai usai utai untai umhn utw untwn usqw usqwn unai usqai', 0), ('umi', 7, 'sls', 'uasi*', 0), ('umi', 8, 'sss', 'umeqa', 0),
+('zeus', 1, 'ss', 'zeus dios dii dia', 0), ('zeus', 2, 'l', 'zeu di zhn', 0), ('zeus', 3, 'ls', 'zhnos zhni zhna', 0),
+('xeir', 1, 'l', 'xeir', 0), ('xeir', 2, 'ls', 'xeiros xeiri xeirsi* xeira xeire xeires xeiras', 0), ('xeir', 3, 'll', 'xeirwn xeiroin', 0), ('xeir', 4, 'ss', 'xersi*', 0),
+('ego', 1, 'l?', 'h(min h(mas', 0), ('polus', 1, 's', 'u un', 0), ('polus', 2, 'ss', 'ea', 0),
+('oida', 1, 'ls', 'oida oidqa h|san', 0), ('oida', 2, 'lss', 'hdesan', 0), ('oida', 3, 'lls', 'hdhsqa', 0), ('oida', 4, 'ss', 'idmen ismen iste isqi', 0), ('oida', 5, 'sl', 'istw istwn', 0),
+('oida', 6, 'sls', 'isasi*', 0), ('oida', 7, 'llls', 'eideihsan', 0)),
+ty(ending_type, cls) AS (VALUES ('firstDeclensionEta', 'long_a'), ('secondDeclensionOS', 'long_a'), ('firstDeclensionShortAlpha', 'short_a'), ('secondDeclensionHS', 'masc_hs'),
+('thirdDeclensionSigmaStemNeuter', 'adj_hs'), ('thirdDeclensionConsonantStem', 'third'), ('thirdDeclensionIotaStem', 'iota'), ('thirdDeclensionDigammaStem', 'digamma'), ('thirdDeclensionU/', 'adj_us'),
+('thematicVerb', 'verb'), ('oContractVerb', 'verb'), ('eContractVerb', 'e_contract'), ('aContractVerb', 'a_contract'), ('pronounMin', 'min'), ('adjectiveTis', 'tis'), ('verbEndingInUmi', 'umi'),
+('nounZeu/s', 'zeus'), ('nounXeir', 'xeir'), ('pronounEgw', 'ego'), ('adjectivePolus', 'polus'), ('verbOida', 'oida')),
+-- classes that go on with the rows of another one, behind their own (adj_us: before them)
+inc(cls, src, base, outer_cond) AS (SELECT DISTINCT cls, cls, 0, 0 FROM rw UNION ALL VALUES ('masc_hs', 'long_a', 100, 0), ('adj_us', 'short_a', 0, 0), ('e_contract', 'verb', 100, 12), ('a_contract', 'verb', 100, 12), ('polus', 'long_a', 100, 0)),
+le AS (SELECT inc.cls, base + no AS no, lens, rtrim(e, '*') AS listed, e LIKE '%*' AS pre, cond, outer_cond FROM inc JOIN (SELECT * EXCLUDE (ends), unnest(string_split(ends, ' ')) AS e FROM rw) r ON r.cls = inc.src)"""
+_COND = """CASE {0} WHEN 0 THEN true WHEN 1 THEN lemma = 'ui(o/s' WHEN 2 THEN gender = 'neut' WHEN 3 THEN gender = 'fem' WHEN 4 THEN "case" = 'voc' WHEN 5 THEN lemma = 'a)nh/r' WHEN 6 THEN lemma = 'mh/thr'
+ WHEN 7 THEN pos <> 'part' AND tense = 'aor' WHEN 8 THEN pos <> 'part' AND tense = 'perf' WHEN 9 THEN pos <> 'part' AND tense = 'plup' WHEN 10 THEN pos <> 'part'
+ WHEN 11 THEN tense IN ('pres', 'imperf') ELSE tense IS NULL OR tense NOT IN ('pres', 'imperf') END"""
+_SLOT = """CASE WHEN ep = 'verb' THEN CASE WHEN te = 'futperf' THEN te WHEN te IN ('imperf', 'aor', 'plup') THEN te || '.' || fo || '.' || au WHEN te IS NOT NULL THEN te || '.' || fo END
+  WHEN ep = 'noun' THEN 'rest' WHEN ep = 'adj' THEN CASE WHEN pos = 'adv' OR gender IS NULL THEN 'neutNom' WHEN "case" = 'nom' AND gender IN ('masc', 'neut') THEN gender || 'Nom' ELSE gender END ELSE '*' END"""
+_LENGTHS = SQL_PARSES + f""",
+df AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {sql_part(86)} % 16 = 0 THEN lemma ELSE lemma || ':' || token || ':' || parse_no END AS lemma) FROM parses),
+has AS (SELECT token, parse_no, lemma FROM df WHERE {sql_part(80)} % 8 <> 0),
+en AS (SELECT lemma, {sql_chosen(ENTRY_POS, 81)} AS entry_pos, {sql_chosen(ENDING_TYPES, 82)} AS ending_type FROM has WHERE contains(lemma, ':')),
+sl AS (SELECT *, unnest(CASE WHEN {sql_part(83)} % 3 = 0 THEN {_list(SLOTS[1:])} ELSE ['*'] END) AS slot FROM has WHERE contains(lemma, ':')),
+sv AS (SELECT *, left(token, CAST(greatest(length(token) - ({sql_part(84)} + variant_no) % 4, 0) AS INTEGER)) AS cut FROM (SELECT *, unnest([0, 1, 2, 3]) AS variant_no FROM sl)),
+sm AS (SELECT lemma, slot, variant_no, CASE WHEN ({sql_part(85)} + variant_no) % 5 = 0 THEN 'v' || cut ELSE translate(cut, '/=', '') END AS stem FROM sv),
+st1 AS (SELECT *, replace({_DEF.format('stem')}, '?', 's') AS stem_lengths FROM sm),
+w1 AS (SELECT df.*, entry_pos, ending_type, CASE WHEN entry_pos = '??' THEN pos ELSE entry_pos END AS ep, coalesce(tense, CASE WHEN df.lemma IN ('fhmi/', 'e)/dw') OR form = 'e)pi/staito' THEN 'pres' END) AS te, coalesce(voice, 'act') AS vo,
+  CASE WHEN coalesce(feature = 'unaugmented', false) OR pos = 'part' THEN 'n' ELSE 'y' END AS au FROM df JOIN en USING (lemma)),
+w2 AS (SELECT *, CASE WHEN te = 'aor' AND vo = 'mp' THEN 'mid' WHEN te IN ('imperf', 'plup') AND vo IN ('mid', 'pass') THEN 'mp' WHEN te = 'fut' AND vo = 'mp' THEN 'mid' WHEN te IN ('pres', 'perf') AND vo IN ('mid', 'pass') THEN 'mp' ELSE vo END AS fo FROM w1),
+w3 AS (SELECT *, {_SLOT} AS want FROM w2),
+cd AS (SELECT w3.*, stem, stem_lengths, variant_no, translate(token, '=/', '') AS plain, replace(stem, 'v', '') AS chk FROM w3 JOIN st1 ON w3.lemma = st1.lemma AND (st1.slot = '*' OR st1.slot = w3.want)),
+c2 AS (SELECT * EXCLUDE (ending), CASE WHEN NOT starts_with(ending, '+') THEN ending END AS ending FROM (SELECT *, CASE WHEN starts_with(plain, chk) THEN CASE WHEN starts_with(token, stem) THEN translate(regexp_replace(
+   CASE WHEN contains(token, chk) THEN left(token, strpos(token, chk) - 1) || substr(token, strpos(token, chk) + length(chk)) ELSE token END, '([aoehw])[/=+]([iu])', '\\1\\2+', 'g'), '=/', '')
+   ELSE substr(plain, length(chk) + 1) END END AS ending FROM cd)),
+c3 AS MATERIALIZED (SELECT *, NOT regexp_matches(regexp_replace(replace(replace(ending, 'i+', 'I'), 'u+', 'U'), '[aeou]i|[aoehw]u', '1', 'g'), '[aiuIU]') AS easy FROM c2 WHERE ending IS NOT NULL),
+{_LISTS},
+hits AS (SELECT c3.token, c3.parse_no, c3.variant_no, arg_min(le.lens, le.no) AS lens FROM c3 JOIN ty USING (ending_type) JOIN le USING (cls)
+  WHERE NOT easy AND CASE WHEN pre THEN starts_with(CASE WHEN cls = 'oida' THEN replace(ending, ')', '') ELSE ending END, listed) ELSE CASE WHEN cls = 'oida' THEN replace(ending, ')', '') ELSE ending END = listed END
+    AND coalesce({_COND.format('cond')}, false) AND coalesce({_COND.format('outer_cond')}, false) GROUP BY ALL),
+c4 AS (SELECT c3.*, hits.lens AS listed, coalesce(hits.lens, {_DEF.format('ending')}) AS ending_lengths, ending_type = 'verbOida' AS oida FROM c3 LEFT JOIN hits USING (token, parse_no, variant_no)),
+c5 AS (SELECT *, CASE WHEN oida AND (listed IS NOT NULL OR easy) THEN 'v' ELSE '' END || CASE WHEN oida AND listed IS NOT NULL THEN replace(ending, ')', '') ELSE ending END AS new_ending, stem_lengths || ending_lengths AS whole FROM c4),
+ok1 AS (SELECT token, parse_no, arg_min(whole, variant_no) AS lengths, arg_min(stem || CASE WHEN new_ending = '' OR left(new_ending, 1) IN ('''', '(', ')', '+') THEN '' ELSE '.' END || new_ending, variant_no) AS spelling
+  FROM c5 WHERE length(whole) = length({_DEF.format('token')}) GROUP BY ALL),
+pl AS MATERIALIZED (SELECT df.token, df.parse_no, coalesce(lengths, {_DEF.format('df.token')}) AS lengths, coalesce(spelling, df.token) AS spelling FROM df LEFT JOIN ok1 USING (token, parse_no))"""
+
+
+@query("x18_stems_of_parses", f"WITH {_LENGTHS} SELECT token, parse_no, ending_type, variant_no, stem, ending FROM c2")
+def stems_of_parses(spark, sf):
+    found = lx.split_ending(lx.stems_of_parses(_dict_forms(spark, sf), *dictionary(spark, sf)))
+    return found.filter("stem IS NOT NULL").select("token", "parse_no", "ending_type", "variant_no", "stem", "ending")
+
+
+@query("x19_x22_parse_lengths", f"WITH {_LENGTHS} SELECT * FROM pl")
 def parse_lengths(spark, sf):
-    entries, stems = dictionary(spark, sf)
-    return lx.parse_lengths(_dict_forms(spark, sf), entries, stems)
+    return lx.parse_lengths(_dict_forms(spark, sf), *dictionary(spark, sf))
+
+
+@query("x19_listed_endings", f"WITH {_LENGTHS} SELECT ending_type, ending, ending_lengths, new_ending, count(*) AS n FROM c5 GROUP BY ALL")
+def listed_endings(spark, sf):
+    found = lx.ending_lengths(lx.split_ending(lx.stems_of_parses(_dict_forms(spark, sf), *dictionary(spark, sf))))
+    return found.filter("ending IS NOT NULL").groupBy("ending_type", "ending", "ending_lengths", "new_ending").agg(F.count("*").alias("n"))
 
 
 _UNI = f"""WITH {SQL_PARSES},
@@ -349,12 +465,62 @@ def unify(spark, sf):
     return lx.unify_lengths(p)
 
 
-@query("s02_s11_native_and_fallback")
+# ---- both readings of a line --------------------------------------------------------------------------------
+
+_TAGGED = r"""regexp_replace(regexp_replace(array_to_string(list_transform({0}, lambda x, i: CASE WHEN regexp_matches(x, '^[aeiouhw]') THEN '.' || regexp_extract(x, '^(?:[aeou]i|[aoehw]u|[a-z])')
+  || replace(translate(substr({1}, len(list_filter({0}[1:i], lambda y: regexp_matches(y, '^[aeiouhw]'))), 1), 'ls', '_^'), '?', '') || substr(x, length(regexp_extract(x, '^(?:[aeou]i|[aoehw]u|[a-z])')) + 1) ELSE '.' || x END), ''), '\.+', '.', 'g'), '^\.', '')"""
+_PARTS_SQL = r"regexp_extract_all(regexp_replace({0}, '([aeiouhwj])\+', '.\1', 'g'), '(?:[aeou]i|[aoehw]u|[a-z])[^a-z]*|^[^a-z]+')"
+_READINGS = _LENGTHS + f""",
+sz AS (SELECT token, min(length(lengths)) AS lo, max(length(lengths)) AS hi, arg_min(spelling, 1000 * length(translate(spelling, '/=', '')) + parse_no) AS spelling FROM pl GROUP BY token),
+px AS (SELECT token, i, count(DISTINCT substr(lengths, i, 1)) AS k, min(substr(lengths, i, 1)) AS c FROM (SELECT token, lengths, CAST(unnest(range(1, length(lengths) + 1)) AS INTEGER) AS i FROM pl) GROUP BY ALL),
+un AS (SELECT token, string_agg(CASE WHEN k = 1 THEN c ELSE '?' END, '' ORDER BY i) AS lens FROM px GROUP BY token),
+nt AS (SELECT sz.token, CASE WHEN lo = hi THEN spelling ELSE sz.token END AS word, CASE WHEN lo = hi THEN coalesce(lens, '') ELSE {_DEF.format('sz.token')} END AS lens FROM sz LEFT JOIN un USING (token)),
+np AS (SELECT *, {_PARTS_SQL.format('word')} AS ps FROM nt),
+tg AS (SELECT token, {_TAGGED.format('ps', 'lens')} AS native FROM np),
+fc AS (SELECT token, bool_and({_ISENC}) AS enc, bool_and({_ISPRO}) AS pro FROM df GROUP BY token),
+vs AS (SELECT doc_id, text_name, book, unnest(l) AS text, generate_subscripts(l, 1) AS line FROM (SELECT doc_id, text_name, book, regexp_extract_all(text, '\\S+(?:\\s+\\S+){{0,5}}') AS l FROM docs)),
+vc AS (SELECT doc_id, text_name, book, line, {c.sql_clean_line(c.sql_decap_line('text'))} AS clean FROM vs),
+vw AS (SELECT * FROM (SELECT doc_id, text_name, book, line, unnest(string_split(clean, ' ')) AS raw, generate_subscripts(string_split(clean, ' '), 1) AS p FROM vc) WHERE raw <> ''),
+v2 AS (WITH {c.sql_standardize_ctes('vw', 'raw', 'doc_id, line, p, raw')} SELECT * FROM std),
+v3 AS (SELECT v2.*, tg.native, fc.token IS NOT NULL AS known, coalesce(enc, false) AS enc, coalesce(pro, false) AS pro, {_DEF.format('raw')} AS rl, {_PARTS_SQL.format('raw')} AS rp FROM v2 LEFT JOIN fc ON fc.token = v2.token LEFT JOIN tg ON tg.token = v2.token),
+v4 AS (SELECT *, CASE WHEN known THEN token ELSE raw END AS s0, CASE WHEN known THEN native ELSE {_TAGGED.format('rp', 'rl')} END AS s1, lead(enc) OVER (PARTITION BY doc_id, line ORDER BY p) AS next_enc FROM v3),
+v5 AS (SELECT *, CASE WHEN NOT enc AND pro THEN '.' WHEN coalesce(next_enc, false) THEN '.' ELSE ' ' END AS gap FROM v4),
+rd AS MATERIALIZED (SELECT doc_id, line, string_agg(s0 || gap, '' ORDER BY p) AS student, string_agg(s1 || gap, '' ORDER BY p) AS native FROM v5 GROUP BY ALL)"""
+
+
+def readings(spark, sf):
+    v = sc.clean_verses(c.verses(spark, sf)).withColumn("line", F.col("line").cast("long"))
+    words = lx.reading_tokens(_dict_forms(spark, sf), *dictionary(spark, sf))
+    return sc.line_readings(v, words, ["doc_id", "line"], {"native": ("native", ph.NATIVE), "student": ("student", ph.STUDENT)})
+
+
+@query("s02_s03_both_readings", f"WITH {_READINGS} SELECT vc.doc_id, text_name, book, vc.line, clean AS text, native, student FROM vc LEFT JOIN rd ON rd.doc_id = vc.doc_id AND rd.line = vc.line")
+def both_readings(spark, sf):
+    return readings(spark, sf)
+
+
+# every line is scanned twice: its number doubled for the native reading, and one more for the other
+_TWICE = f"WITH {_READINGS}" + r""",
+ln AS MATERIALIZED (SELECT vc.doc_id, text_name, book, 2 * vc.line + unnest([0, 1]) AS line, unnest([native, student]) AS text FROM vc LEFT JOIN rd ON rd.doc_id = vc.doc_id AND rd.line = vc.line),
+snd AS (SELECT doc_id, text_name, book, line, regexp_extract_all(regexp_replace(text, '([aeiouhwj])\+', '.\1', 'g'), '(?:[aeou]i|[aoehw]u|[a-z])[^a-z. ]*| ') AS s FROM ln)"""
+_HEAVY = "CASE WHEN line % 2 = 0 THEN core IN ('h', 'w') OR circ OR contains(v, '_') ELSE core IN ('h', 'w') OR circ OR len(core) > 1 END AS heavy"
+_LIGHT = "(CASE WHEN line % 2 = 0 THEN NOT circ AND NOT contains(v, '_') AND (core IN ('e', 'o') OR contains(v, '^')) ELSE core IN ('e', 'o') AND NOT circ END)"
+_BOTH_SCANS = (q_scan.CANDIDATES.replace(q_scan.SOUNDS, _TWICE).replace("core IN ('h', 'w') OR circ OR len(core) > 1 AS heavy", _HEAVY)
+               .replace("core IN ('e', 'o') AND NOT circ", _LIGHT).replace("FROM lines LEFT JOIN hit", "FROM ln LEFT JOIN hit").replace("SELECT lines.doc_id, text_name, book, lines.line,", "SELECT ln.doc_id, text_name, book, ln.line,") + """,
+pair AS (SELECT n.doc_id, n.text_name, n.line // 2 AS line, n.scan_pass AS n_pass, n.feet AS n_feet, n.scanned AS n_ok, n.ambiguous AS n_amb, s.scan_pass AS s_pass, s.feet AS s_feet, s.scanned AS s_ok, s.ambiguous AS s_amb
+  FROM scans n JOIN scans s ON n.doc_id = s.doc_id AND n.line + 1 = s.line WHERE n.line % 2 = 0)""")
+
+
+@query("s02_s11_native_and_fallback", _BOTH_SCANS + """ SELECT doc_id, line, CASE WHEN n_ok THEN 'native' ELSE 'student' END AS approach, CASE WHEN n_ok THEN n_pass ELSE s_pass END AS scan_pass,
+  CASE WHEN n_ok THEN n_feet ELSE s_feet END AS feet, CASE WHEN n_ok THEN n_ok ELSE s_ok END AS scanned, CASE WHEN n_ok THEN n_amb ELSE s_amb END AS ambiguous FROM pair""")
 def fallback(spark, sf):
-    entries, stems = dictionary(spark, sf)
-    forms = _dict_forms(spark, sf)
-    v = sc.clean_verses(c.verses(spark, sf))
-    native = sc.line_sounds(v, lx.native_tokens(forms, entries, stems), ["doc_id", "line"], approach=ph.NATIVE).withColumnRenamed("sound_text", "native_text")
-    both = sc.line_sounds(native, lx.student_tokens(forms), ["doc_id", "line"])
-    out = sc.scan_fallback(both, "native_text", "sound_text")
-    return out.groupBy("text_name", "approach", "scanned").agg(F.count("*").alias("n"))
+    out = sc.scan_fallback(readings(spark, sf), "native", "student")
+    return out.select("doc_id", "line", "approach", "scan_pass", "feet", "scanned", "ambiguous")
+
+
+@query("e04_approaches", _BOTH_SCANS + """, o AS (SELECT doc_id, line, s_feet AS ours, n_feet AS theirs, CASE WHEN s_feet IS NOT NULL AND n_feet IS NOT NULL THEN CASE WHEN s_feet = n_feet THEN 'agree' ELSE 'differ' END
+  WHEN s_feet IS NOT NULL THEN 'theirs_failed' WHEN n_feet IS NOT NULL THEN 'ours_failed' ELSE 'both_failed' END AS outcome FROM pair) SELECT * FROM o WHERE outcome <> 'agree'""")
+def approaches(spark, sf):
+    student = sc.scan_lines(readings(spark, sf), "student", ph.STUDENT).select("doc_id", "line", "native", F.col("feet").alias("ours"))
+    both = sc.scan_lines(student, "native", ph.NATIVE).select("doc_id", "line", "ours", F.col("feet").alias("theirs"))
+    return ev.disagreements(both.withColumn("outcome", ev.outcome(F.col("ours"), F.col("theirs"))))

@@ -80,6 +80,7 @@ per AS (SELECT doc_id, line, p, count(*) AS n_readings, min(feet) AS feet, min(q
 hit AS (SELECT doc_id, line, min(p) AS scan_pass, arg_min(n_readings, p) AS n_readings, arg_min(feet, p) AS feet, arg_min(q, p) AS q FROM per GROUP BY ALL),
 scans AS (SELECT lines.doc_id, text_name, book, lines.line, scan_pass, CASE WHEN n_readings = 1 THEN feet END AS feet,
           coalesce(n_readings = 1, false) AS scanned, coalesce(n_readings > 1, false) AS ambiguous, q FROM lines LEFT JOIN hit USING (doc_id, line))"""
+SOUNDS, CANDIDATES = _SND, _CAND
 # one row per syllable of a scanned line, with its final length and place
 _RESOLVED = _CAND + r""",
 ok AS (SELECT *, replace(replace(replace(feet, 'D', 'lss'), 'S', 'll'), 'F', 'lX') AS places FROM scans WHERE scanned),
@@ -125,6 +126,20 @@ def synizesis5(spark, sf):
     return _classes(spark, sf, 5)
 
 
+# lines with marks that stand alone: within them and at their ends
+_CLEAN = c.sql_clean_line(c.sql_decap_line('text'))
+_MARKED = _SYL.replace(_CLEAN, "replace(" + _CLEAN + ", ' ', CASE line % 3 WHEN 0 THEN ' | ' WHEN 1 THEN ' '' ' ELSE ' = / ' END)")
+
+
+@query("s08_loose_marks", _MARKED + """ SELECT doc_id, line, level, count(*) AS n, translate(string_agg(q, '' ORDER BY r), 'Ms', 'LS') AS classes FROM syl WHERE level > 0 GROUP BY doc_id, line, level""")
+def loose_marks(spark, sf):
+    mark = F.when(F.col("line") % 3 == 0, " | ").when(F.col("line") % 3 == 1, " ' ").otherwise(" = / ")
+    v = _verses(spark, sf).withColumn("text", F.replace("text", F.lit(" "), mark)).withColumn("level", F.explode(F.array(F.lit(2), F.lit(5))))
+    text = F.when(F.col("level") == 2, ph.merged_text("text", 2)).otherwise(ph.merged_text("text", 5))
+    f = ph.syllable_facts(ph.cv_pattern(ph.skeleton(text, ph.STUDENT)), ph.STUDENT)
+    return v.select("doc_id", "line", "level", f["n"].cast("long").alias("n"), f["classes"].alias("classes")).filter("n > 0")
+
+
 def scans(spark, sf):
     return sc.scan_lines(_verses(spark, sf))
 
@@ -269,17 +284,6 @@ def compare(spark, sf):
     return o.withColumn("outcome", ev.outcome(F.col("ours"), F.col("theirs")))
 
 
-@query("e04_approaches", _CAND + """,
-p1 AS (SELECT doc_id, line, CASE WHEN scan_pass = 1 THEN feet END AS strict, feet FROM scans),
-o AS (SELECT doc_id, line, strict AS ours, feet AS theirs, CASE WHEN strict IS NOT NULL AND feet IS NOT NULL THEN CASE WHEN feet = strict THEN 'agree' ELSE 'differ' END
- WHEN strict IS NOT NULL THEN 'theirs_failed' WHEN feet IS NOT NULL THEN 'ours_failed' ELSE 'both_failed' END AS outcome FROM p1)
-SELECT * FROM o WHERE outcome <> 'agree'""")
-def approaches(spark, sf):
-    strict = F.when(F.col("scan_pass") == 1, F.col("feet"))
-    o = scans(spark, sf).select("doc_id", "line", strict.alias("ours"), F.col("feet").alias("theirs"))
-    return ev.disagreements(o.withColumn("outcome", ev.outcome(F.col("ours"), F.col("theirs"))))
-
-
 @query("e05_all_same", _OTHER + """,
 u AS (SELECT doc_id, line, feet FROM other UNION ALL SELECT doc_id, line, target FROM other)
 SELECT doc_id, line, count(*) AS n_scans, (count(DISTINCT feet) <= 1 AND count(feet) IN (0, count(*))) AS same FROM u GROUP BY ALL""")

@@ -68,7 +68,8 @@ def merge_vowels(text: Column, level: int) -> Column:
 
 
 def merged_text(sound_text, level: int) -> Column:
-    return merge_vowels(split_diaeresis(sound_text), level)
+    """The sounds of the line as text, vowels run together; a mark that stands alone is no sound, so it hides none from the look-ahead."""
+    return merge_vowels(split_diaeresis(drop_loose_marks(sound_text) if level else sound_text), level)
 
 
 def skeleton(merged, approach: str) -> Column:

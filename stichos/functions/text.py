@@ -67,13 +67,21 @@ def clean_verse(text) -> Column:
     return clean_line(decapitalize_line(text))
 
 
-def clean_block(text) -> Column:
-    """N-6: block cleaner: ranges, digits, speaker names, wrapped words."""
+def block_text(text) -> Column:
+    """N-6 up to the hyphens: ranges, digits, speaker names gone; a dash stands apart."""
     c = F.regexp_replace(_col(text), RANGE_OR_DIGIT, "")
     c = F.regexp_replace(c, SPEAKER_LINE, "\n")
-    c = F.replace(c, F.lit("--"), F.lit(" --"))
-    c = F.regexp_replace(c, r"- *\n", "")
-    return F.trim(F.regexp_replace(c, NON_BETA_RUN, " "))
+    return F.replace(c, F.lit("--"), F.lit(" --"))
+
+
+def block_words(text) -> Column:
+    """The rest of N-6: beta code in single blanks."""
+    return F.trim(F.regexp_replace(_col(text), NON_BETA_RUN, " "))
+
+
+def clean_block(text) -> Column:
+    """N-6: block cleaner: ranges, digits, speaker names, wrapped words."""
+    return block_words(F.regexp_replace(block_text(text), r"- *\n", ""))
 
 
 def repair_accents(token) -> Column:

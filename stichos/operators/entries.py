@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stichos.functions import phonemes as ph
@@ -88,6 +92,106 @@ def classify(entries: DataFrame, exact: DataFrame | None, rounds: list[list[tupl
             .drop("_own"))
 
 
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of the pattern holds; empty if none is sure.
+
+    Read from the pattern's parts in a row: characters, and what stands in groups and repetitions that must occur.
+    """
+    from re import _parser
+
+    runs = [""]
+
+    def walk(parts) -> None:
+        for op, value in parts:
+            name = str(op)
+            if name == "LITERAL":
+                runs[-1] += chr(value)
+                continue
+            if name == "SUBPATTERN" and not value[1]:                  # no flags of its own
+                walk(value[3])
+                continue
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                runs.append("")
+                walk(value[2])
+            if name != "AT":                                           # ^ and \b take no room
+                runs.append("")
+
+    parsed = _parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE:
+        return ""
+    walk(parsed)
+    return max(runs, key=len)
+
+
+class RuleTable:
+    """Many rules (regex, class, column) as one automaton over the literals that their matches need.
+
+    One walk over a text finds the literals in it and so the few rules that can match; only these are tried, each once.
+    """
+
+    def __init__(self, rules: list[tuple[str, str, str]]):
+        import ahocorasick
+
+        self.rules = [(re.compile(pattern), cls, column) for pattern, cls, column in rules]
+        self.columns = sorted({column for _, _, column in rules})
+        self.always: dict[str, list[int]] = {c: [] for c in self.columns}
+        needs: dict[str, dict[str, list[int]]] = {c: {} for c in self.columns}
+        for no, (pattern, _, column) in enumerate(rules):
+            literal = required_literal(pattern)
+            (needs[column].setdefault(literal, []) if literal else self.always[column]).append(no)
+        self.automata = {}
+        for column, literals in needs.items():
+            if literals:
+                found = self.automata[column] = ahocorasick.Automaton()
+                for literal, numbers in literals.items():
+                    found.add_word(literal, numbers)
+                found.make_automaton()
+
+    def candidates(self, column: str, text: str) -> set[int]:
+        out = set(self.always[column])
+        if column in self.automata:
+            for _, numbers in self.automata[column].iter(text):
+                out.update(numbers)
+        return out
+
+    def first(self, texts: dict[str, str | None]) -> str | None:
+        """The class of the rule whose match ends first (of equal ends the earlier rule)."""
+        best = None
+        for column in self.columns:
+            text = texts[column]
+            if text is not None:
+                for no in self.candidates(column, text):
+                    hit = self.rules[no][0].search(text)
+                    if hit and (best is None or (hit.end(), no) < best):
+                        best = hit.end(), no
+        return None if best is None else self.rules[best[1]][1]
+
+
+def classify_many(entries: DataFrame, exact: DataFrame | None, rounds: list[list[tuple[str, str, str]]],
+                  word: str = "headword", other: str = "other") -> DataFrame:
+    """X-13 for tables of hundreds of rules: what `classify` gives, for patterns that mean the same to Python.
+
+    The rules are sent once per task; rows pass in Arrow batches, and nothing is shuffled but the words of `exact`.
+    """
+    columns = sorted({column for rules in rounds for _, _, column in rules})
+
+    @F.pandas_udf("string")
+    def chosen(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        tables = [RuleTable(rules) for rules in rounds]
+        for batch in batches:
+            out = []
+            for values in zip(*((batch,) if isinstance(batch, pd.Series) else batch)):
+                texts = dict(zip(columns, values))
+                out.append(next((c for c in (t.first(texts) for t in tables) if c is not None), other))
+            yield pd.Series(out, dtype=object)
+
+    own = F.lit(None).cast("string")
+    if exact is not None:
+        entries = entries.join(exact.select(F.col("word").alias(word), F.col("class").alias("_own")), word, "left")
+        own = F.col("_own")
+    return entries.withColumn("class", F.coalesce(own, chosen(*columns))).drop("_own")
+
+
 def group_small(classified: DataFrame, kept: list[str]) -> DataFrame:
     """X-14: classes that are not kept go to `rest`."""
     return classified.withColumn("class_group", F.when(F.col("class").isin(*kept), F.col("class")).otherwise("rest"))

@@ -88,18 +88,18 @@ def stem_classes(forms: DataFrame) -> DataFrame:
 # ---- clitics (X-5 ... X-8) ----------------------------------------------------------------------
 
 # Words that lean on a neighbour.
-ENCLITIC_LEMMAS = ("tis pou/ pou/2 poqi ph poi poqen pote/ pote/2 pw pw2 pws ge te toi toi2 pe/r qh/n").split()
-ENCLITIC_FORMS = r"""^((mou=?)|(moi//?)|(me/?)|(sou=?)|(soi/?)|(se/?)|(e\(/?)|(sfi/?si)|(meu=?)|(se/?o)|(seu=?)|(toi/?)|(te/)|(tu/)|(e\(/o)|(mi/?n)|(ni/?n)|(sfi/?)|(sfi/?n)|(sfwe/?)|(sfwi/?n)|(sfe/as)|(sfe/?a)|(nu/?n?)|(ke/?)|(ke/?n))$"""
+ENCLITIC_LEMMAS = r"""^((tis)|(pou/(2)?)|(poqi)|(ph)|(poi)|(poqen)|(pote/(2)?)|(pw(2)?)|(pws)|(ge)|(te)|(toi(2)?)|(pe/r)|(qh/n))$"""
+ENCLITIC_FORMS = r"""^((mou(=)?)|(moi/(/)?)|(me(/)?)|(sou(=)?)|(soi(/)?)|(se(/)?)|(e\((/)?)|(sfi(/)?si)|(meu(=)?)|(se/?o)|(seu=?)|(toi/?)|(te/)|(tu/)|(e\(/o)|(mi/?n)|(ni/?n)|(sfi/?)|(sfi/?n)|(sfwe/?)|(sfwi/?n)|(sfe/as)|(sfe/?a)|(nu/?n?)|(ke/?)|(ke/?n))$"""
 ENCLITIC_OF_LEMMA = {"e(/": "ou(= oi(= e(/o e(o eu(= eu( e(/qen e(qen".split(),
                      "sfei=s": "sfe/ sfe sfe/wn sfewn sfa/s sfa=s sfas".split()}
-PROCLITIC_LEMMAS = r"^((ei\)s)|(e\)k)|(e\)c)|(ei\))|(ei\)2)|(w\(s)|(ou\)(\d+)?))$"
+PROCLITIC_LEMMAS = r"""^((ei\)s)|(e\)k)|(e\)c)|(ei\))|(ei\)2)|(w\(s)|(ou\)([\d]+)?))$"""
 
 
 def is_enclitic_parse() -> Column:
     """X-5 over the columns of a parse."""
     lemma, form = F.col("lemma"), F.col("form")
     present = (F.col("tense") == "pres") & (F.col("mood") == "ind")
-    tests = [lemma.isin(*ENCLITIC_LEMMAS), form.rlike(ENCLITIC_FORMS),
+    tests = [lemma.rlike(ENCLITIC_LEMMAS), form.rlike(ENCLITIC_FORMS),
              *[(lemma == k) & form.isin(*v) for k, v in ENCLITIC_OF_LEMMA.items()],
              (F.substr(lemma, F.lit(1), F.length(lemma) - 1) == "a)/ra") & form.isin("r(a/", "r(a"),
              (lemma == "ei)mi/") & present & (F.left(form, F.lit(3)) != "ei)"),
@@ -121,6 +121,7 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
+# Words with a cluster of their own (S-4).
 SHORT_Z_LEMMAS = ("*za/kunqos", "*ze/leia")
 SINGLE_SK_LEMMAS = ("ske/parnon", "*skama/ndrios", "*ska/mandros")
 
@@ -175,15 +176,21 @@ def stem_slot() -> Column:
     return F.when(pos == "verb", verb).when(pos == "noun", "rest").when(pos == "adj", adj).otherwise(PLAIN_SLOT)
 
 
-def stems_of_parses(forms: DataFrame, entries: DataFrame, stems: DataFrame) -> DataFrame:
-    """X-18 as joins: candidates per parse, one row per stem variant.
+def stem_lists(entries: DataFrame, stems: DataFrame) -> DataFrame:
+    """One row per entry with all its stems as an array (an entry has a few dozen at most), so that parses meet both in one join.
 
     entries: lemma, entry_pos, ending_type. stems: lemma, slot, variant_no, stem,
     stem_lengths; an entry with one stem for everything uses the slot `*`.
     """
-    keyed = forms.join(entries, "lemma").withColumn("_slot", stem_slot())
-    wanted = keyed.withColumn("slot", F.explode(F.array_distinct(F.array("_slot", F.lit(PLAIN_SLOT))))).drop("_slot")
-    return wanted.join(stems, ["lemma", "slot"])
+    listed = stems.groupBy("lemma").agg(F.collect_list(F.struct("slot", "variant_no", "stem", "stem_lengths")).alias("_stems"))
+    return entries.join(listed, "lemma", "left")
+
+
+def stems_of_parses(forms: DataFrame, entries: DataFrame, stems: DataFrame) -> DataFrame:
+    """X-18: candidates per parse, one row per stem variant of its slot; a parse without any keeps one row without stem."""
+    keyed = forms.join(stem_lists(entries, stems), "lemma", "left").withColumn("_slot", stem_slot())
+    wanted = F.filter("_stems", lambda x: x["slot"].eqNullSafe(F.col("_slot")) | (x["slot"] == PLAIN_SLOT))
+    return keyed.select(*keyed.columns, F.inline_outer(wanted)).drop("_slot", "_stems")
 
 
 def split_ending(candidates: DataFrame) -> DataFrame:
@@ -203,46 +210,39 @@ def split_ending(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("ending", F.when(~F.startswith(ending, F.lit("+")), ending))
 
 
-def ending_lengths(candidates: DataFrame, spark=None) -> DataFrame:
-    """X-19, X-21: lengths of the ending, by its own letters, else by list, else by default."""
-    spark = candidates.sparkSession
+def ending_lengths(candidates: DataFrame) -> DataFrame:
+    """X-19, X-21: lengths of the ending, by its own letters, else by list, else by default. Narrow: the lists are
+    a broadcast table of fixed size, one row per ending type with its class's rows as an array."""
     tests = F.array(*[F.coalesce(F.expr(c), F.lit(False)) for c in endings.conditions()])
-    listed = F.broadcast(endings.table(spark))
-    df = (candidates.join(F.broadcast(endings.types(spark)), "ending_type", "left")
-          .withColumn("_tests", tests).withColumn("_id", F.struct("token", "parse_no", "slot", "variant_no")))
+    df = candidates.join(F.broadcast(endings.by_type(candidates.sparkSession)), "ending_type", "left").withColumn("_tests", tests)
     look = F.when(F.col("ending_class") == "oida", F.translate("ending", ")", "")).otherwise(F.col("ending"))
     df = df.withColumn("_look", F.when(~ph.only_known_vowels("ending"), look))
-    # equi-join on class and first letter keeps the candidates few; the rest is a filter
-    match = (F.col("l.ending_class") == F.col("c.ending_class")) \
-        & F.when(F.col("l.is_prefix"), F.startswith(F.col("c._look"), F.col("l.ending"))) \
-        .otherwise(F.col("c._look") == F.col("l.ending")) \
-        & ((F.col("l.condition") < 0) | F.get(F.col("c._tests"), F.col("l.condition")))
-    hit = (df.select("_id", "ending_class", "_look", "_tests").filter("_look IS NOT NULL").alias("c")
-           .join(listed.alias("l"), match)
-           .groupBy("_id").agg(F.min_by("lengths", "row_no").alias("_listed")))
-    df = df.join(hit, "_id", "left")
-    own = ph.default_lengths("ending")
-    digamma = (F.col("ending_type") == endings.OIDA) & (F.col("_listed").isNotNull() | ph.only_known_vowels("ending"))
-    shown = F.when(F.col("_listed").isNotNull() & (F.col("ending_type") == endings.OIDA), F.translate("ending", ")", "")) \
-        .otherwise(F.col("ending"))
-    return (df.withColumn("ending_lengths", F.coalesce("_listed", own))
+
+    def hit(row):
+        same = F.when(row["is_prefix"], F.startswith(F.col("_look"), row["ending"])).otherwise(F.col("_look") == row["ending"])
+        return same & ((row["condition"] < 0) | F.get(F.col("_tests"), row["condition"]))
+
+    df = df.withColumn("_listed", F.when(F.col("_look").isNotNull(), F.get(F.filter("listed", hit), F.lit(0))["lengths"]))
+    oida = F.col("ending_type").eqNullSafe(F.lit(endings.OIDA))
+    digamma = oida & (F.col("_listed").isNotNull() | ph.only_known_vowels("ending"))
+    shown = F.when(F.col("_listed").isNotNull() & oida, F.translate("ending", ")", "")).otherwise(F.col("ending"))
+    return (df.withColumn("ending_lengths", F.coalesce("_listed", ph.default_lengths("ending")))
             .withColumn("new_ending", F.when(digamma, F.concat(F.lit("v"), shown)).otherwise(shown))
-            .drop("_id", "_look", "_tests", "_listed", "ending_class"))
+            .drop("_look", "_tests", "_listed", "listed", "ending_class"))
 
 
 def parse_lengths(forms: DataFrame, entries: DataFrame, stems: DataFrame) -> DataFrame:
     """X-22: lengths and spelling per parse: the first stem variant whose count of vowels is
-    right, else the defaults of the token."""
+    right, else the defaults of the token. One join by lemma and one grouping by parse; every parse stays in the flow."""
     cand = ending_lengths(split_ending(stems_of_parses(forms, entries, stems)))
     whole = F.concat("stem_lengths", "ending_lengths")
     joint = F.when(F.col("new_ending").rlike(r"^$|^['()+]"), F.concat("stem", "new_ending")) \
         .otherwise(F.concat_ws(".", "stem", "new_ending"))
     fits = F.col("ending").isNotNull() & (F.length(whole) == F.length(ph.default_lengths("token")))
-    best = cand.filter(fits).groupBy("token", "parse_no").agg(
-        F.min_by(F.struct(whole.alias("lengths"), joint.alias("spelling")), F.col("variant_no")).alias("_b"))
-    return (forms.select("token", "parse_no").join(best, ["token", "parse_no"], "left")
-            .select("token", "parse_no", F.coalesce("_b.lengths", ph.default_lengths("token")).alias("lengths"),
-                    F.coalesce("_b.spelling", F.col("token")).alias("spelling")))
+    best = cand.groupBy("token", "parse_no").agg(
+        F.min_by(F.struct(whole.alias("lengths"), joint.alias("spelling")), F.when(fits, F.col("variant_no"))).alias("_b"))
+    return best.select("token", "parse_no", F.coalesce("_b.lengths", ph.default_lengths("token")).alias("lengths"),
+                       F.coalesce("_b.spelling", F.col("token")).alias("spelling"))
 
 
 def unify_lengths(lengths: DataFrame, by: str = "token") -> DataFrame:
@@ -263,12 +263,17 @@ def unify_lengths(lengths: DataFrame, by: str = "token") -> DataFrame:
     return whole.join(joined, by, "left").select(by, same.alias("unified"), F.when(same, agreed).alias("lengths"), "spelling", "n_parses")
 
 
-def native_tokens(forms: DataFrame, entries: DataFrame, stems: DataFrame) -> DataFrame:
-    """Token table for S-3 with the vowel lengths of the dictionary (S-2)."""
+def reading_tokens(forms: DataFrame, entries: DataFrame, stems: DataFrame) -> DataFrame:
+    """Token table for both readings of S-3: student (letters only) and native (vowel lengths of the dictionary, S-2)."""
     one = unify_lengths(parse_lengths(forms, entries, stems))
-    facts = token_facts(forms)
     lens = F.when(F.col("unified"), F.col("lengths")).otherwise(ph.default_lengths("token"))
     word = F.when(F.col("unified"), F.col("spelling")).otherwise(F.col("token"))
     tagged = F.regexp_replace(ph.tag_lengths(word, lens), r"^\.", "")
-    return facts.join(one, "token").select("token", special_clusters(tagged, "only_lemma").alias("sound"),
-                                           "enclitic", "proclitic")
+    return token_facts(forms).join(one, "token").select(
+        "token", special_clusters("token", "only_lemma").alias("student"), special_clusters(tagged, "only_lemma").alias("native"),
+        "enclitic", "proclitic")
+
+
+def native_tokens(forms: DataFrame, entries: DataFrame, stems: DataFrame) -> DataFrame:
+    """Token table for S-3 with the vowel lengths of the dictionary alone."""
+    return reading_tokens(forms, entries, stems).select("token", F.col("native").alias("sound"), "enclitic", "proclitic")

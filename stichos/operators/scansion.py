@@ -36,11 +36,11 @@ def scan_lines(lines: DataFrame, sound_text: str = "text", approach: str = ph.ST
             else:
                 # a line in which nothing runs together keeps its sets
                 df = df.withColumn("_m", F.when(F.col("_open"), ph.merged_text(sound_text, level)))
-                df = df.withColumn("_t", F.when(F.contains("_m", F.lit("Y")),
-                                                ph.cv_pattern(ph.skeleton("_m", approach))))
+                changed = F.contains("_m", F.lit("Y")) if 0 in sets else F.col("_m").isNotNull()
+                df = df.withColumn("_t", F.when(changed, ph.cv_pattern(ph.skeleton("_m", approach))))
             df, packed = _stage(df, f"_r{level}_", ph.packed_sets("_t", approach))
             own = ph.syllable_sets(packed)
-            if level:
+            if level and 0 in sets:
                 own = {c: F.coalesce(v, sets[0][c]) for c, v in own.items()}
             df, sets[level] = _stage(df, f"_b{level}_", own)
             df, weight = _stage(df, f"_w{level}_", ft.weights(sets[level]))
@@ -120,32 +120,52 @@ def clean_verses(lines: DataFrame, text: str = "text") -> DataFrame:
 
 def line_sounds(lines: DataFrame, tokens: DataFrame, keys: list[str], text: str = "text",
                 salts: int | None = None, approach: str = ph.STUDENT) -> DataFrame:
-    """S-3: replace every token of a cleaned line by its sounds and apply clitics.
+    """S-3 for one reading: `tokens` has token, sound, enclitic, proclitic; the lines get sound_text (NULL without words)."""
+    return line_readings(lines, tokens, keys, {"sound_text": ("sound", approach)}, text, salts)
 
-    `tokens` has one row per token type: token, sound, enclitic, proclitic. The text keeps
-    its word order by position; the join is salted because a few words fill a text. An
+
+def line_readings(lines: DataFrame, tokens: DataFrame, keys: list[str], readings: dict[str, tuple[str, str]],
+                  text: str = "text", salts: int | None = None) -> DataFrame:
+    """S-3: replace every token of a cleaned line by its sounds and apply clitics, for several readings at once.
+
+    readings: new column -> (column of `tokens` with the sound, approach). `tokens` has one row per token type. An
     enclitic loses the blank before it, a proclitic the one after it. For the native approach a word that the table does not
     have gets default lengths, as diphthongs without a mark would be read as open.
+
+    Two exchanges carry a line: its words go to their types (salted, because a few words fill a text) and back to their line. The
+    line itself travels with them as one more row, so nothing is joined back; its key there is a hash that no type has. Lines are told
+    apart by `keys` and text; lines listed twice stay two.
     """
     from stichos.operators.tokens import salted_join
 
-    words = lines.select(*keys, F.posexplode(F.split(text, " ")).alias("pos", "raw")).filter("raw <> ''")
-    words = words.withColumn("token", tx.standardize("raw"))
-    known = salted_join(words, tokens.select("token", "sound", "enclitic", "proclitic"), ["token"],
-                        salt_by=[*keys, "pos"], salts=salts)
-    unknown = F.col("raw")
-    if approach == ph.NATIVE:
-        unknown = F.regexp_replace(ph.tag_lengths("raw", ph.default_lengths("raw")), r"^\.", "")
-    word = F.struct("pos", F.coalesce("sound", unknown).alias("sound"),
-                    F.coalesce("enclitic", F.lit(False)).alias("enclitic"),
+    held = lines.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.xxhash64(text).alias("_t"),
+                        F.struct(*lines.columns).alias("_line"), F.split(text, " ").alias("_w"))
+    by = [f"_k{i}" for i in range(len(keys))] + ["_t"]
+    # an array without words still yields the row of its line
+    cells = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("_w", F.array().cast("array<string>")))
+    words = held.select(*by, "_line", F.posexplode(cells).alias("pos", "raw")).filter("pos = 0 OR raw <> ''")
+    words = words.select(*by, "pos", "raw", F.when(F.col("pos") == 0, F.col("_line")).alias("_line"),
+                         F.when(F.col("pos") > 0, tx.standardize("raw")).otherwise(F.concat(F.lit("#"), F.xxhash64(*by).cast("string"))).alias("token"))
+    sounds_of = sorted({c for c, _ in readings.values()})
+    known = salted_join(words, tokens.select("token", *sounds_of, "enclitic", "proclitic"), ["token"], salt_by=[*by, "pos"], salts=salts)
+
+    def sound(column: str, approach: str) -> Column:
+        unknown = F.col("raw")
+        if approach == ph.NATIVE:
+            unknown = F.regexp_replace(ph.tag_lengths("raw", ph.default_lengths("raw")), r"^\.", "")
+        return F.coalesce(F.col(column), unknown)
+
+    word = F.struct("pos", *[sound(*r).alias(name) for name, r in readings.items()], F.coalesce("enclitic", F.lit(False)).alias("enclitic"),
                     F.coalesce("proclitic", F.lit(False)).alias("proclitic"))
 
-    def glue(acc, w):
-        # an enclitic replaces a trailing blank by a dot; after a proclitic there is none
-        host = F.when(w["enclitic"] & acc.endswith(" "), F.concat(F.rtrim(acc), F.lit("."))).otherwise(acc)
-        end = F.when(~w["enclitic"] & w["proclitic"], ".").otherwise(" ")
-        return F.concat(host, w["sound"], end)
-
-    joined = (known.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("_w"))
-              .select(*keys, F.aggregate("_w", F.lit(""), glue).alias("sound_text")))
-    return lines.join(joined, keys, "left")
+    def glue(name):
+        def add(acc, w):
+            # an enclitic replaces a trailing blank by a dot; after a proclitic there is none
+            host = F.when(w["enclitic"] & acc.endswith(" "), F.concat(F.rtrim(acc), F.lit("."))).otherwise(acc)
+            end = F.when(~w["enclitic"] & w["proclitic"], ".").otherwise(" ")
+            return F.concat(host, w[name], end)
+        return F.when(F.size("_words") > 0, F.aggregate("_words", F.lit(""), add))
+
+    whole = known.groupBy(*by).agg(F.array_sort(F.collect_set(F.when(F.col("pos") > 0, word))).alias("_words"), F.collect_list("_line").alias("_lines"))
+    out = whole.select(*[glue(name).alias(f"_r_{name}") for name in readings], F.explode("_lines").alias("_line"))
+    return out.select("_line.*", *[F.col(f"_r_{name}").alias(name) for name in readings])

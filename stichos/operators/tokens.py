@@ -24,6 +24,28 @@ def tokens_of_blocks(lines: DataFrame, keys: list[str], text: str = "text") -> D
     return words.filter("raw <> ''").withColumn("token", tx.standardize("raw"))
 
 
+def tokens_of_wrapped_blocks(lines: DataFrame, keys: list[str], line: str = "line", text: str = "text") -> DataFrame:
+    """N-11 with words that a hyphen wraps over a line end put together, at the place of their first part.
+
+    Every line sends its first word to the line before it, and word whether it ends in a hyphen to the line after it: two narrow rows that meet
+    their line in one grouping by (keys, line), so no window holds a book. A first word is what stands before the first blank; a line that begins with
+    a blank has none to give, and a line that is one wrapped word keeps it and goes on with the next line's.
+    """
+    raw = tx.block_text(text)
+    wraps = raw.rlike(r"- *$")
+    first = F.when(raw.rlike(r"^[^\s]*- *$"), "").otherwise(F.regexp_extract(raw, r"^[^\s]*", 0))
+    cells = F.array(
+        F.struct((F.col(line)).alias("_at"), raw.alias("_text"), F.lit(None).cast("string").alias("_next"), F.lit(None).cast("boolean").alias("_taken")),
+        F.struct((F.col(line) - 1).alias("_at"), F.lit(None).cast("string").alias("_text"), first.alias("_next"), F.lit(None).cast("boolean").alias("_taken")),
+        F.struct((F.col(line) + 1).alias("_at"), F.lit(None).cast("string").alias("_text"), F.lit(None).cast("string").alias("_next"), wraps.alias("_taken")))
+    sent = lines.select(*keys, F.inline(cells))
+    met = sent.groupBy(*keys, "_at").agg(F.max("_text").alias("_text"), F.max("_next").alias("_next"), F.max("_taken").alias("_taken")).filter("_text IS NOT NULL")
+    own = F.when(F.coalesce("_taken", F.lit(False)) & ~F.col("_text").rlike(r"^[^\s]*- *$"), F.regexp_replace("_text", r"^[^\s]*", "")).otherwise(F.col("_text"))
+    whole = F.when(own.rlike(r"- *$"), F.concat(F.regexp_replace(own, r"- *$", ""), F.coalesce("_next", F.lit("")))).otherwise(own)
+    words = met.select(*keys, F.col("_at").alias(line), F.posexplode(F.split(tx.block_words(whole), " ")).alias("pos", "raw"))
+    return words.filter("raw <> ''").withColumn("token", tx.standardize("raw"))
+
+
 def vocabulary(tokens: DataFrame, by: list[str] | None = None) -> DataFrame:
     """N-12: distinct tokens with their counts; sort only when a report needs it."""
     return tokens.groupBy(*(by or []), "token").agg(F.count("*").alias("n"))

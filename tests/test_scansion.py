@@ -44,6 +44,17 @@ def test_lines_with_many_vowels_to_run_together(spark):
     assert [(r.feet, r.scan_pass) for r in sorted(got, key=lambda r: r.line)][1:4] == [("DDDDDF", 2)] * 3
 
 
+def test_marks_that_stand_alone(spark):
+    rows = [(0, "tewt nh " * 6), (1, "tewt | nh " + "tewt nh " * 5), (2, "tewt nh " * 5 + "tewt ' nh "), (3, "= tewt nh " * 6), (4, "tewt nh " * 6 + "' "), (5, "tewt nh / " * 6)]
+    got = sc.scan_lines(sc.clean_verses(spark.createDataFrame(rows, "line int, text string"))).collect()
+    assert {r.line: (r.feet, r.scan_pass) for r in got} == {k: ("SSSSSF", 2) for k, _ in rows}
+    # the deepest level has its own pairs
+    rows = [(0, "teas nh " * 6), (1, "teas ' nh " * 6), (2, "tea | s nh " * 6), (3, "tea s nh " * 6)]
+    got = sc.scan_lines(sc.clean_verses(spark.createDataFrame(rows, "line int, text string")), passes=(5,)).collect()
+    feet = {r.line: r.feet for r in got}
+    assert feet[0] == feet[1] and feet[2] == feet[3]
+
+
 def test_words_with_many_vowels(spark):
     rows = [("w", 0, "w", "l" * 70), ("w", 1, "w", "l" * 69 + "s"), ("x", 0, "x", "ls"), ("x", 1, "x", "l"), ("y", 0, "y", "")]
     got = {r.token: (r.unified, r.lengths) for r in lx.unify_lengths(spark.createDataFrame(rows, "token string, parse_no int, spelling string, lengths string")).collect()}
