@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from queries import common as c
-from stichos.operators import folds as fo, learn as le, neighbours as nb
+from stichos.operators import folds as fo, lasso as la, learn as le, neighbours as nb
+from stichos.plans import grid as gr
 from stichos.rules import selectors as se
 from stichos.sources import corpus
 
@@ -75,22 +79,95 @@ def _vectors(spark, sf):
     return le.as_vectors(_points(spark, sf))
 
 
+# a label that two of the 64 numbers decide
+_LABEL_SQL = "CAST(embedding[1]::DOUBLE + embedding[6]::DOUBLE > 0 AS INTEGER)"
+
+
+def _marked(spark, sf):
+    """Rows with that label; the fold and the inner fold follow from the id."""
+    x = F.col("features")
+    return _points(spark, sf).withColumn("label", (x[0] + x[5] > 0).cast("int")).withColumn("fold", (F.col("name") % 5).cast("int"))
+
+
+def _moments(spark, sf):
+    return la.fold_moments(_marked(spark, sf), fold=F.col("fold"), inner=F.col("name") % 3)
+
+
+_Z = f"""z AS (SELECT vec_id % 5 AS fold, vec_id % 3 AS inner_fold, vec_id, list_append(list_append(embedding::DOUBLE[], {_LABEL_SQL}::DOUBLE), 1.0) AS z FROM embeddings),
+u AS MATERIALIZED (SELECT fold, inner_fold, vec_id, unnest(z) AS x, generate_subscripts(z, 1) - 1 AS i FROM z)"""
+
+
+@query("p01_fold_moments", f"""WITH {_Z} SELECT CAST(a.fold AS VARCHAR) AS fold, CAST(a.inner_fold AS INTEGER) AS inner, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.x * b.x), 6) AS value
+FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL""")
+def fold_moments(spark, sf):
+    return la.moment_cells(_moments(spark, sf)).withColumn("value", c.r6("value"))
+
+
+FRACTIONS = [0.5, 0.1, 0.02]
+
+
+@query("p01_lasso_at_penalties", f"""WITH RECURSIVE {_Z},
+g AS MATERIALIZED (SELECT a.fold, a.i, b.i AS j, sum(a.x * b.x) AS s FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY ALL),
+f AS (SELECT unnest([0, 1, 2, 3, 4, NULL]) AS f),
+t AS MATERIALIZED (SELECT f, i, j, sum(s) AS s FROM g, f WHERE f IS NULL OR fold <> f GROUP BY ALL),
+n AS (SELECT f, s AS n FROM t WHERE i = 65 AND j = 65), mu AS (SELECT t.f, i, s / n AS m FROM t JOIN n ON t.f IS NOT DISTINCT FROM n.f WHERE j = 65),
+cv AS MATERIALIZED (SELECT t.f, t.i, t.j, s / n - a.m * b.m AS x FROM t JOIN n ON t.f IS NOT DISTINCT FROM n.f JOIN mu a ON a.f IS NOT DISTINCT FROM t.f AND a.i = t.i JOIN mu b ON b.f IS NOT DISTINCT FROM t.f AND b.i = t.j),
+cr AS MATERIALIZED (SELECT coalesce(f, -1) AS f, j, list(x ORDER BY i) AS col FROM cv WHERE i < 64 AND j <= 64 GROUP BY ALL),
+base AS (SELECT f, col AS cross_, unnest({FRACTIONS}::DOUBLE[]) * list_max(list_transform(col, lambda x: abs(x))) AS pen FROM cr WHERE j = 64),
+st AS (SELECT f, pen, 0 AS step, list_transform(range(64), lambda i: 0::DOUBLE) AS b, cross_ AS g FROM base
+ UNION ALL SELECT f, pen, step + 1, list_transform(range(1, 65), lambda i: CASE WHEN i = k THEN nb ELSE b[i] END), list_transform(range(1, 65), lambda i: g[i] - col[i] * (nb - b[k])) FROM (
+  SELECT st.f, pen, step, b, g, col, step % 64 + 1 AS k, sign(g[step % 64 + 1] + col[step % 64 + 1] * b[step % 64 + 1]) * greatest(abs(g[step % 64 + 1] + col[step % 64 + 1] * b[step % 64 + 1]) - pen, 0::DOUBLE) / col[step % 64 + 1] AS nb
+  FROM st JOIN cr ON cr.f = st.f AND cr.j = step % 64 WHERE step < 64 * 60))
+SELECT CASE WHEN f >= 0 THEN CAST(f AS VARCHAR) END AS fold, round(pen, 6) AS penalty, CAST(unnest(range(64)) AS INTEGER) AS feature_idx, round(unnest(b), 6) AS coefficient FROM st WHERE step = 64 * 60""")
+def lasso_at_penalties(spark, sf):
+    out = la.lasso_by_fold(_moments(spark, sf), fractions=FRACTIONS)
+    return out.select("fold", c.r6("penalty").alias("penalty"), F.posexplode("coefficients").alias("feature_idx", "coefficient")).withColumn("coefficient", c.r6("coefficient"))
+
+
+@query("p01_lasso_by_fold")
+def lasso_by_fold(spark, sf):
+    return la.lasso_by_fold(_moments(spark, sf)).select("fold", c.r6("penalty").alias("penalty"), F.transform("coefficients", lambda x: F.round(x, 6)).alias("coefficients"))
+
+
 @query("p01_lasso_selection")
 def lasso(spark, sf):
     names = spark.range(WIDTH).select(F.col("id").cast("int").alias("feature_idx"), F.concat(F.lit("dim "), F.col("id")).alias("feature"))
-    return le.selected_features(_vectors(spark, sf), names, 0.15).withColumn("coefficient", c.r6("coefficient"))
-
-
-@query("p02_p03_coordinates")
+    return le.selected_features(_marked(spark, sf), names, 0.15).withColumn("coefficient", c.r6("coefficient"))
+
+
+def _pca_sql(train: str, k: int, squarings: int = 16) -> str:
+    """The k leading eigenvectors of the covariance matrix of the rows of `train`: squared until one direction is left, then taken out."""
+    parts = [f"""e AS (SELECT vec_id AS name, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+mu AS (SELECT i, avg(x) AS m FROM e WHERE {train} GROUP BY i), cx AS MATERIALIZED (SELECT name, e.i, x - m AS x FROM e JOIN mu USING (i)),
+a0 AS MATERIALIZED (SELECT p.i, q.i AS j, avg(p.x * q.x) AS x FROM cx p JOIN cx q ON p.name = q.name WHERE p.{train} GROUP BY ALL)"""]
+    for n in range(k):
+        parts.append(f"b{n}_0 AS MATERIALIZED (SELECT i, j, x / (SELECT sum(x) FROM a{n} WHERE i = j) AS x FROM a{n})")
+        for s in range(squarings):
+            parts.append(f"b{n}_{s + 1} AS MATERIALIZED (SELECT p.i, q.j, sum(p.x * q.x) / (SELECT sum(x * x) FROM b{n}_{s}) AS x FROM b{n}_{s} p JOIN b{n}_{s} q ON p.j = q.i GROUP BY ALL)")
+        last = f"b{n}_{squarings}"
+        parts.append(f"w{n} AS MATERIALIZED (SELECT i, x / sqrt((SELECT max(x) FROM {last} WHERE i = j)) AS w FROM {last} WHERE j = (SELECT arg_max(i, x) FROM {last} WHERE i = j))")
+        parts.append(f"a{n + 1} AS MATERIALIZED (SELECT a.i, a.j, a.x - l * p.w * q.w AS x FROM a{n} a JOIN w{n} p ON p.i = a.i JOIN w{n} q ON q.i = a.j, (SELECT sum(a.x * p.w * q.w) AS l FROM a{n} a JOIN w{n} p ON p.i = a.i JOIN w{n} q ON q.i = a.j))")
+    return ",\n".join(parts)
+
+
+@query("p02_p03_coordinates", "WITH " + _pca_sql("name % 5 <> 0", 4) + ",\n" + ",\n".join(
+    f"k{n} AS (SELECT name, sum(x * w) AS p FROM cx JOIN w{n} USING (i) GROUP BY name), s{n} AS (SELECT name, round(p * (SELECT sign(arg_max(p, abs(p))) FROM k{n}), 4) AS pc{n + 1} FROM k{n})" for n in range(4))
+    + " SELECT vec_id AS name, label, vec_id % 5 = 0 AS is_test, pc1, pc2, pc3, pc4 FROM embeddings JOIN s0 ON s0.name = vec_id JOIN s1 ON s1.name = vec_id JOIN s2 ON s2.name = vec_id JOIN s3 ON s3.name = vec_id")
 def coordinates(spark, sf):
     v = _vectors(spark, sf)
     out = le.project(v.filter("name % 5 <> 0"), v.filter("name % 5 = 0"), 4, ["name", "label"])
-    return out.select("name", "label", "is_test", *[F.round(f"pc{i}", 4).alias(f"pc{i}") for i in range(1, 5)])
+    # the sign of a component is free: its largest coordinate counts as positive
+    signs = out.agg(*[F.signum(F.max_by(f"pc{i}", F.abs(f"pc{i}"))).alias(f"s{i}") for i in range(1, 5)])
+    out = out.crossJoin(F.broadcast(signs))
+    return out.select("name", "label", "is_test", *[F.round(F.col(f"pc{i}") * F.col(f"s{i}"), 4).alias(f"pc{i}") for i in range(1, 5)])
 
 
-@query("p04_loadings")
+@query("p04_loadings", "WITH " + _pca_sql("name IS NOT NULL", 3) + ",\nl AS (" + " UNION ALL ".join(f"SELECT {n} AS component, i, w * (SELECT sign(arg_max(w, abs(w))) FROM w{n}) AS w FROM w{n}" for n in range(3))
+       + ") SELECT component, CAST(i AS INTEGER) AS feature_idx, round(w, 4) AS loading, row_number() OVER (PARTITION BY component ORDER BY abs(w) DESC) AS rank FROM l")
 def loadings(spark, sf):
-    return le.loadings(_vectors(spark, sf), 3).withColumn("loading", F.round("loading", 4))
+    out = le.loadings(_vectors(spark, sf), 3)
+    signs = out.filter("rank = 1").select("component", F.signum("loading").alias("_sign"))
+    return out.join(F.broadcast(signs), "component").select("component", "feature_idx", F.round(F.col("loading") * F.col("_sign"), 4).alias("loading"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("p05_contributions", """WITH e AS (SELECT vec_id AS name, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS f FROM embeddings),
@@ -165,15 +242,56 @@ def leave_group_out(spark, sf):
     return fo.leave_group_out(c.load(spark, sf, "documents"), "doc_id", "lang", ["en", "fr"])
 
 
-# P-7 ... P-10, P-13, P-18 on all vectors, two folds, one cell per method
+# P-7 ... P-10, P-13, P-18 on all vectors and two folds
 CELLS = [le.Cell(0.0, "scale", "logistic"), le.Cell(0.0, "pca4", "svm"), le.Cell(0.0, "pca3", "rbf"),
          le.Cell(0.0, "pca2", "forest"), le.Cell(0.0, "pca4", "knn3"), le.Cell(0.0, "pca4", "knn3w")]
 
 
+def _grid_folder(spark, sf: str) -> str:
+    """Where the grid of this application on these tables goes on; the cluster's shared folder, or one of its own where none is named."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/stichos-grids"
+    return f"{shared}/grid-{sc.applicationId}-{hashlib.md5(sf.encode()).hexdigest()[:12]}"
+
+
+def _grid(spark, sf, cells, name):
+    rows = _marked(spark, sf).withColumn("fold", (F.col("name") % 2).cast("int"))
+    return gr.prediction_log(le.as_vectors(rows), [0, 1], cells, WIDTH, f"{_grid_folder(spark, sf)}/{name}", steps=20)
+
+
 @query("p07_p10_p18_prediction_log")
 def prediction_log(spark, sf):
-    rows = _vectors(spark, sf).withColumn("fold", (F.col("name") % 2).cast("int")).withColumn("label", F.col("label") % 2)
-    return le.prediction_log(rows, [0, 1], CELLS, WIDTH)
+    return _grid(spark, sf, CELLS, "six")
+
+
+_KNN_CELLS = [cell for cell in le.grid([0.0]) if cell.prep == "scale" and cell.classifier.startswith("knn")]
+
+
+@query("p13_grid_votes", f"""WITH r AS (SELECT vec_id AS name, vec_id % 2 AS fold, {_LABEL_SQL} AS label, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (SELECT name, fold, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM r), s AS (SELECT 1 - fold AS fold, i, avg(x) AS m, stddev_samp(x) AS d FROM e GROUP BY fold, i),
+p AS (SELECT s.fold, name, e.fold = s.fold AS tested, list((x - m) / d ORDER BY e.i) AS v FROM e JOIN s USING (i) GROUP BY ALL),
+d AS (SELECT q.fold, q.name, t.name AS near, list_distance(q.v, t.v) AS dist FROM p q JOIN p t ON q.fold = t.fold AND q.tested AND NOT t.tested),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dist, near) AS rank FROM d QUALIFY rank <= 5),
+w AS (SELECT kk, weighted, k.fold, k.name, r.label AS nl, sum(CASE WHEN weighted THEN CASE WHEN dist > 0 THEN 1 / dist ELSE 1e12 END ELSE 1 END) AS n FROM k JOIN r ON r.name = k.near, (VALUES (2), (3), (4), (5)) t(kk), (VALUES (true), (false)) u(weighted) WHERE rank <= kk GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY kk, weighted, name ORDER BY n DESC, nl) AS o FROM w)
+SELECT 'all -> scale -> knn' || kk || CASE WHEN weighted THEN 'w' ELSE '' END AS cell, CAST(o.fold AS VARCHAR) AS fold, o.name, r.label, nl AS pred FROM o JOIN r USING (name) WHERE o = 1""")
+def grid_votes(spark, sf):
+    return _grid(spark, sf, _KNN_CELLS, "votes")
+
+
+@query("p13_p18_grid")
+def whole_grid(spark, sf):
+    return _grid(spark, sf, le.grid(), "all")
+
+
+@query("p19_grid_accuracy")
+def grid_accuracy(spark, sf):
+    return le.mean_accuracy(whole_grid(spark, sf)).withColumn("mean_accuracy", c.r6("mean_accuracy"))
+
+
+@query("p20_grid_failures")
+def grid_failures(spark, sf):
+    return le.failures_by_row(whole_grid(spark, sf)).withColumn("failed_percent", c.r6("failed_percent"))
 
 
 # the log of the reports is derived: rows are vectors, cells and folds are numbers

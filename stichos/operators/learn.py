@@ -3,21 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from stichos.operators import neighbours
+from stichos.operators import lasso
 
 THRESHOLDS = (0.0, 0.15, 0.25, 0.4)
 COMPONENTS = (2, 3, 4)
@@ -31,25 +26,9 @@ def as_vectors(rows: DataFrame, features: str = "features") -> DataFrame:
 
 # ---- selection and components -------------------------------------------------------------------
 
-def lasso_path(train: DataFrame, label: str = "label", features: str = "features", steps: int = 10, reach: float = 1e-3) -> list[float]:
-    """Penalties from the least one that keeps nothing down to `reach` of it, evenly on a log scale (labels are not negative)."""
-    y = F.col(label).cast("double")
-    row = train.agg(F.count("*").alias("n"), F.sum(y).alias("y"), Summarizer.mean(F.col(features)).alias("x"),
-                    Summarizer.mean(F.col(features), y).alias("xy")).first()
-    if not row.n or not row.y:
-        return [1.0]
-    most = float(np.abs((row.xy.toArray() - row.x.toArray()) * row.y / row.n).max())
-    return [most * reach ** (i / (steps - 1)) for i in range(steps)] if most > 0 else [1.0]
-
-
-def lasso_coefficients(train: DataFrame, label: str = "label", features: str = "features",
-                       penalties: list[float] | None = None, folds: int = 3) -> np.ndarray:
-    """P-1: coefficients at the penalty of a path from the data that cross-validation picks (one per feature)."""
-    lasso = LinearRegression(featuresCol=features, labelCol=label, elasticNetParam=1.0, standardization=False)
-    grid = ParamGridBuilder().addGrid(lasso.regParam, penalties or lasso_path(train, label, features)).build()
-    cv = CrossValidator(estimator=lasso, estimatorParamMaps=grid, numFolds=folds, seed=SEED, parallelism=4,
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="mse"))
-    return cv.fit(train).bestModel.coefficients.toArray()
+def lasso_coefficients(train: DataFrame, label: str = "label", features: str = "features", folds: int = lasso.INNER) -> np.ndarray:
+    """P-1: coefficients at the penalty of a path from the data that cross-validation picks (one per feature); one scan."""
+    return lasso.cross_validated(lasso.total_moments(lasso.fold_moments(train, label, features, n_inner=folds)))[1]
 
 
 def select_features(coefficients: np.ndarray, threshold: float) -> list[int]:
@@ -148,7 +127,7 @@ def grid(thresholds=THRESHOLDS) -> list[Cell]:
             if not (t > 0 and p == "scale" and c == "rbf")]
 
 
-def _prepared(rows: DataFrame, train: Column, cell: Cell, coefficients: np.ndarray | None, width: int) -> tuple[DataFrame, int] | None:
+def prepare(rows: DataFrame, train: Column, cell: Cell, coefficients: np.ndarray | None, width: int) -> tuple[DataFrame, int] | None:
     """Select and scale / project all rows with what the training rows say; nothing if too few features are left for it."""
     features = "features"
     if coefficients is not None:
@@ -186,60 +165,6 @@ def training(rows: DataFrame, fold_value) -> Column:
     return train & ~F.col("is_test") if "is_test" in rows.columns else train
 
 
-def predict_cell(rows: DataFrame, fold_value, cell: Cell, width: int, key: str = "name", prepared: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """P-18 for one fold and cell: fit on the other folds, predict the rows of this one.
-
-    A cell that cannot be fitted (no feature left, fewer than its components) has rows without prediction.
-    """
-    tested, train = F.col("fold") == fold_value, training(rows, fold_value)
-    if prepared is None:
-        chosen = lasso_coefficients(rows.filter(train)) if cell.threshold > 0 else None
-        prepared = _prepared(rows, train, cell, chosen, width)
-    if prepared is None:
-        out = rows.filter(tested).withColumn("pred", F.lit(None).cast("int"))
-    elif cell.classifier.startswith("knn"):
-        df, width = prepared
-        k, weighted = int(cell.classifier[3]), cell.classifier.endswith("w")
-        usable = df.filter(tested | train)
-        pts = usable.select(key, "label", vector_to_array("x").alias("v"), F.when(tested, "t").alias("fold"))
-        near = neighbours.nearest(pts, k, key, "v")
-        pred = neighbours.vote(near, k, weighted, key)
-        out = df.filter(tested).join(pred, key)
-    else:
-        df, width = prepared
-        if cell.classifier == "rbf":
-            df = df.withColumn("x", array_to_vector(fourier_features(vector_to_array("x"), width)))
-        fit_on = df.filter(train).select("label", "x")
-        stats = fit_on.agg(F.count("*"), F.max("label")).first()
-        model = classifier(cell.classifier, stats[0], int(stats[1]) + 1).fit(fit_on)
-        out = model.transform(df.filter(tested)).withColumn("pred", F.col("prediction").cast("int"))
-    return out.select(F.lit(cell.name).alias("cell"), F.col("fold").cast("string").alias("fold"), key,
-                      F.col("label").cast("int").alias("label"), "pred")
-
-
-def prediction_log(rows: DataFrame, folds: list, cells: list[Cell], width: int, key: str = "name") -> DataFrame:
-    """P-18: the driver walks over folds and cells; rows stay in Spark.
-
-    A fold has one lasso for all thresholds and one prepared table for all classifiers of a selection and preparation.
-    """
-    logs = []
-    for fold in folds:
-        train, coefficients, tables = training(rows, fold), None, {}
-        if any(c.threshold > 0 for c in cells):
-            coefficients = lasso_coefficients(rows.filter(train))
-        for cell in cells:
-            at = (cell.threshold, cell.prep)
-            if at not in tables:
-                tables[at] = _prepared(rows, train, cell, coefficients if cell.threshold > 0 else None, width)
-            if tables[at] is None:
-                cells_of = rows.filter(F.col("fold") == fold).withColumn("pred", F.lit(None).cast("int"))
-                logs.append(cells_of.select(F.lit(cell.name).alias("cell"), F.col("fold").cast("string").alias("fold"), key,
-                                            F.col("label").cast("int").alias("label"), "pred"))
-            else:
-                logs.append(predict_cell(rows, fold, cell, width, key, tables[at]))
-    return reduce(DataFrame.unionByName, logs)
-
-
 # ---- reports (P-19 ... P-21) ----------------------------------------------------------------------
 
 def accuracy(log: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stichos.functions import phonemes as ph
 from stichos.operators import dialect, learn, lexicon, line_features, matrix, scansion, tokens
+from stichos.plans import grid
 from stichos.rules import selectors
 from stichos.sources import corpus
 
@@ -32,13 +33,13 @@ def scan_corpus(lines: DataFrame, forms: DataFrame | None = None, entries: DataF
     keys = ["text_name", "book", "line", *(["source_pos"] if "source_pos" in lines.columns else [])]
     if forms is None:
         return line_features.line_features(scansion.scan_lines(clean, "text", ph.STUDENT))
-    student = scansion.line_sounds(clean, lexicon.student_tokens(forms), keys).withColumnRenamed("sound_text", "_student")
     if approach == ph.STUDENT:
-        return line_features.line_features(scansion.scan_lines(student, "_student", ph.STUDENT))
-    native = scansion.line_sounds(student, lexicon.native_tokens(forms, entries, stems), keys,
-                                  approach=ph.NATIVE).withColumnRenamed("sound_text", "_native")
-    scans = (scansion.scan_lines(native, "_native", ph.NATIVE) if approach == ph.NATIVE
-             else scansion.scan_fallback(native, "_native", "_student"))
+        student = scansion.line_sounds(clean, lexicon.student_tokens(forms), keys)
+        return line_features.line_features(scansion.scan_lines(student, "sound_text", ph.STUDENT))
+    words = lexicon.reading_tokens(forms, entries, stems)
+    read = scansion.line_readings(clean, words, keys, {"_native": ("native", ph.NATIVE), "_student": ("student", ph.STUDENT)})
+    scans = (scansion.scan_lines(read, "_native", ph.NATIVE) if approach == ph.NATIVE
+             else scansion.scan_fallback(read, "_native", "_student"))
     return line_features.line_features(scans)
 
 
@@ -65,14 +66,14 @@ def feature_matrix(scans: DataFrame, per_text: DataFrame, per_rule: DataFrame) -
     return matrix.assemble(metre, words, KEYS)
 
 
-def classify(long_: DataFrame, folds: DataFrame, cells: list[learn.Cell], selector: str = "classify_6",
-             width: int | None = None) -> DataFrame:
-    """Prediction log of a selector's rows. `folds`: (name, fold)."""
+def classify(long_: DataFrame, folds: DataFrame, cells: list[learn.Cell], folder: str, selector: str = "classify_6",
+             width: int | None = None, **kw) -> DataFrame:
+    """Prediction log of a selector's rows, below `folder` (see grid.prediction_log). `folds`: (name, fold)."""
     width = width or len(matrix.feature_names())
     rows = selectors.select_rows(matrix.row_vectors(long_, KEYS, width), selectors.SELECTORS[selector])
     rows = learn.as_vectors(rows.join(folds, "name"))
-    values = [r[0] for r in folds.filter("fold IS NOT NULL").select("fold").distinct().collect()]
-    return learn.prediction_log(rows.select("name", "label", "features", "fold", "is_test"), values, cells, width)
+    values = (r[0] for r in folds.filter("fold IS NOT NULL").select("fold").distinct().orderBy("fold").toLocalIterator())
+    return grid.prediction_log(rows.select("name", "label", "features", "fold", "is_test"), values, cells, width, folder, **kw)
 
 
 def corpus_with_combinations(spark: SparkSession, lines: DataFrame) -> DataFrame:
