@@ -223,6 +223,28 @@ def tag_agreement(spark, sf):
     return di.tag_agreement(p, verdicts).withColumn("agree_percent", c.r6("agree_percent"))
 
 
+_TAGN = _TAG.replace("FROM full_ JOIN prep USING (token, parse_no))", "AS x_, n, lemma, form, dialect FROM full_ JOIN prep USING (token, parse_no) JOIN cnt0 USING (token))").replace(
+    "tg AS (SELECT unnest(", "cnt0 AS (SELECT token, count(*) AS n FROM std GROUP BY token),\ntg AS (SELECT unnest(").replace(") AS x AS x_", ") AS x")
+_SUMN = "CAST(coalesce(sum(n) FILTER (WHERE {}), 0) AS BIGINT)"
+
+
+@query("r10_weighted_agreement", _TAGN.split("ag AS (")[0].rstrip().rstrip(",") + f""" SELECT x.d AS dialect_name, {_SUMN.format('x.o AND x.t')} AS n_both, {_SUMN.format('x.o AND NOT x.t')} AS n_ours, {_SUMN.format('NOT x.o AND x.t')} AS n_theirs,
+  {_SUMN.format('NOT x.o AND NOT x.t')} AS n_neither, round(100.0 * sum(n) FILTER (WHERE x.o = x.t) / sum(n), 6) AS agree_percent FROM tg GROUP BY ALL""")
+def weighted_agreement(spark, sf):
+    p, _, verdicts = _outcomes(spark, sf)
+    return di.tag_agreement(p, verdicts, _counts(spark, sf)).withColumn("agree_percent", c.r6("agree_percent"))
+
+
+@query("r10_samples", _TAGN.split("ag AS (")[0].rstrip().rstrip(",") + """,
+pr AS (SELECT x.d AS dialect_name, CASE WHEN x.o AND x.t THEN 'both' WHEN x.o THEN 'ours' ELSE 'theirs' END AS outcome, lemma, form, dialect, CAST(sum(n) AS BIGINT) AS n FROM tg WHERE x.o OR x.t GROUP BY ALL),
+dr AS (SELECT *, -ln((CAST('0x' || left(md5(dialect_name || '#' || outcome || '#' || lemma || '#' || form || '#' || coalesce(dialect, '')), 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE) / n AS draw FROM pr)
+SELECT dialect_name, outcome, lemma, form, dialect, n, place FROM (SELECT *, row_number() OVER (PARTITION BY dialect_name, outcome ORDER BY draw, lemma, form, dialect) AS place FROM dr) WHERE place <= 20""")
+def samples(spark, sf):
+    p, _, verdicts = _outcomes(spark, sf)
+    out = di.tag_samples(p, verdicts, 20, _counts(spark, sf))
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
 @query("r11_collapse_parses", f"WITH {ql.SQL_PARSES} SELECT lemma, pos, \"case\", number, count(*) AS n FROM parses GROUP BY ALL")
 def collapse(spark, sf):
     return di.collapse_parses(ql.parses(spark, sf), ["lemma", "pos", "case", "number"])

@@ -6,7 +6,7 @@ the vocabulary; texts enter as counts of (text, book, token), which are summed o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stichos.functions import text as tx
 from stichos.operators.tokens import salted_join
@@ -178,10 +178,9 @@ def as_long(wide: DataFrame, keys: list[str], rule: str | None = None) -> DataFr
 
 # ---- comparison and reports (R-10 ... R-14) ---------------------------------------------------
 
-def tag_agreement(parses: DataFrame, verdicts: DataFrame, counts: DataFrame | None = None,
-                  tag: str = "dialect") -> DataFrame:
-    """R-10: our verdicts against the dialect tags of the morphology, per dialect."""
-    df = parses.select("token", "parse_no", tag).join(verdicts, ["token", "parse_no"], "left")
+def _tagged(parses: DataFrame, verdicts: DataFrame, counts: DataFrame | None, tag: str, *more: str) -> DataFrame:
+    """(n, more ..., dialect_name, ours, theirs) per parse and dialect; n is 1, or how often the token occurs."""
+    df = parses.select("token", "parse_no", tag, *more).join(verdicts, ["token", "parse_no"], "left")
     n = F.lit(1)
     if counts is not None:
         df = df.join(counts.groupBy("token").agg(F.sum("n").alias("_n")), "token")
@@ -190,7 +189,13 @@ def tag_agreement(parses: DataFrame, verdicts: DataFrame, counts: DataFrame | No
         F.lit(name).alias("dialect_name"), (F.coalesce(f"v{j}", F.lit(0)) == 1).alias("ours"),
         F.coalesce(F.contains(tag, F.lit(votes.EXTERNAL_TAGS[j])), F.lit(False)).alias("theirs"))
         for j, name in enumerate(votes.DIALECTS)])
-    rows = df.select(n.alias("n"), F.inline(cells))
+    return df.select(n.alias("n"), tag, *more, F.inline(cells))
+
+
+def tag_agreement(parses: DataFrame, verdicts: DataFrame, counts: DataFrame | None = None,
+                  tag: str = "dialect") -> DataFrame:
+    """R-10: our verdicts against the dialect tags of the morphology, per dialect; with `counts` every occurrence of a token counts."""
+    rows = _tagged(parses, verdicts, counts, tag)
     count = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     agg = rows.groupBy("dialect_name").agg(
         count(F.col("ours") & F.col("theirs")).alias("n_both"), count(F.col("ours") & ~F.col("theirs")).alias("n_ours"),
@@ -199,6 +204,27 @@ def tag_agreement(parses: DataFrame, verdicts: DataFrame, counts: DataFrame | No
     return agg.withColumn("agree_percent", 100.0 * (F.col("n_both") + F.col("n_neither")) / total)
 
 
+SAMPLE_DIGITS = 12
+
+
+def tag_samples(parses: DataFrame, verdicts: DataFrame, size: int, counts: DataFrame | None = None, tag: str = "dialect",
+                shown: tuple[str, ...] = ("lemma", "form")) -> DataFrame:
+    """R-10: per dialect and outcome (both, ours, theirs) a sample of the parses, with how often each occurs.
+
+    Equal parses (by `shown` and tag) are one, with their number n. Each draws u in (0, 1) from an md5 of what it is, and the `size` smallest of
+    -ln(u) / n stay: a draw weighted by n without replacement, the same whatever the order or partitioning of the rows. The smallest few of each
+    partition are enough for the smallest few of all, so a sample is cut down before it is shuffled.
+    """
+    outcome = F.when(F.col("ours") & F.col("theirs"), "both").when(F.col("ours"), "ours").when(F.col("theirs"), "theirs")
+    rows = _tagged(parses, verdicts, counts, tag, *shown).withColumn("outcome", outcome).filter("outcome IS NOT NULL")
+    per = rows.groupBy("dialect_name", "outcome", *shown, tag).agg(F.sum("n").alias("n"))
+    digest = F.md5(F.concat_ws("#", "dialect_name", "outcome", *[F.coalesce(c, F.lit("")) for c in (*shown, tag)]).cast("binary"))
+    u = (F.conv(F.left(digest, F.lit(SAMPLE_DIGITS)), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16 ** SAMPLE_DIGITS))
+    order = Window.partitionBy("dialect_name", "outcome").orderBy("_draw", *shown, tag)
+    ranked = per.withColumn("_draw", -F.log(u) / F.col("n")).withColumn("place", F.row_number().over(order))
+    return ranked.filter(F.col("place") <= size).drop("_draw")
+
+
 def collapse_parses(parses: DataFrame, columns: list[str]) -> DataFrame:
     """R-11: identical parses once, with their number."""
     return parses.groupBy(*columns).agg(F.count("*").alias("n"))

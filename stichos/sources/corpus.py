@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from stichos.sources.json_arrays import json_elements
+
 VERSE_LINE = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("poem", T.StringType()),
     T.StructField("book", T.IntegerType()), T.StructField("line", T.IntegerType())])
@@ -67,20 +69,18 @@ INCREMENTS = {
 }
 
 
-RANGES = 64
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """C-1: verse lines from Parquet, from JSON with one object per line (.jsonl, read in splits), or from JSON arrays (one task a file)."""
+    """C-1: verse lines from Parquet, from JSON with one object per line (.jsonl), or from files of JSON arrays; all are read in splits."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.schema(VERSE_LINE).json(path, multiLine=not path.endswith(".jsonl"))
+    if path.endswith(".jsonl"):
+        return spark.read.schema(VERSE_LINE).json(path)
+    return json_elements(spark, path).select(F.from_json("value", VERSE_LINE).alias("v")).select("v.*")
 
 
 def read_forms(spark: SparkSession, path: str) -> DataFrame:
-    """C-9: form table, a JSON array of [token, [parse, ...]], as one row per (token, parse)."""
-    pairs = spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", T.ArrayType(T.ArrayType(T.StringType())))).alias("pair"))
+    """C-9: form table, a JSON array of [token, [parse, ...]] of any size, as one row per (token, parse)."""
+    pairs = json_elements(spark, path).select(F.from_json("value", T.ArrayType(T.StringType())).alias("pair"))
     parsed = pairs.select(F.col("pair")[0].alias("token"),
                           F.from_json(F.col("pair")[1], T.ArrayType(PARSE)).alias("parses"))
     return explode_forms(parsed)
@@ -156,16 +156,18 @@ def lines_of_markup(pages: DataFrame, keys: list[str], markup: str, first_line:
             .select(*keys, (F.col("_first") + F.col("_i")).alias("line"), "text"))
 
 
-def number_lines(lines: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+def number_lines(lines: DataFrame, within: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
     """C-6 where pages carry no start: running line number over the pages of a book.
 
-    Counts per page are summed first and, in two levels, over pages: pages are dealt to ranges by quantiles of the page key,
-    summed within a range, and the ranges (at most RANGES a book) summed before each. So no task holds a whole book or all its
-    pages; the number is the page's offset plus the position in the page. `order` = [page key, position]; the page key is a number.
+    Counts per page are summed first and, in two levels, over pages: pages are dealt to ranges by quantiles of the page key over all lines,
+    summed within a range, and the ranges of a book summed before each. There are as many ranges as a shuffle has partitions, so a window holds the pages of
+    one partition's share of the lines, or one row per range; the number is the page's offset plus the position in the page.
+    `order` = [page key, position]; the page key is a number.
     """
+    ranges = max(2, ranges or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     page, pos = order
     sizes = lines.groupBy(*within, page).agg(F.count("*").alias("_n"))
-    cuts = lines.agg(F.percentile_approx(page, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts")).select(F.array_distinct("_cuts").alias("_cuts"))
+    cuts = lines.agg(F.percentile_approx(page, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")).select(F.array_distinct("_cuts").alias("_cuts"))
     ranged = sizes.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(page)))).drop("_cuts")
     totals = ranged.groupBy(*within, "_range").agg(F.sum("_n").alias("_total"))
     totals = totals.withColumn("_start", F.sum("_total").over(Window.partitionBy(*within).orderBy("_range")) - F.col("_total")).drop("_total")
