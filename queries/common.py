@@ -6,6 +6,10 @@ are either the lines of the text or, for scanning, pieces of six words.
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORDS6 = r"\S+(?:\s+\S+){0,5}"
@@ -15,6 +19,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str, sf_dir: str | None = None) -> str:
+    """A folder for tables that a query writes and reads: the cluster's shared one, or a local one where none is named (tests).
+
+    With sf_dir it is the same for all queries of this application on these tables, else a new one.
+    """
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/stichos-scratch"
+    return f"{shared}/{name}-{sc.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12] if sf_dir else uuid.uuid4()}"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     return d.select("doc_id", F.col("lang").alias("text_name"),

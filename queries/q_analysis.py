@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -247,16 +244,9 @@ CELLS = [le.Cell(0.0, "scale", "logistic"), le.Cell(0.0, "pca4", "svm"), le.Cell
          le.Cell(0.0, "pca2", "forest"), le.Cell(0.0, "pca4", "knn3"), le.Cell(0.0, "pca4", "knn3w")]
 
 
-def _grid_folder(spark, sf: str) -> str:
-    """Where the grid of this application on these tables goes on; the cluster's shared folder, or one of its own where none is named."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/stichos-grids"
-    return f"{shared}/grid-{sc.applicationId}-{hashlib.md5(sf.encode()).hexdigest()[:12]}"
-
-
 def _grid(spark, sf, cells, name):
     rows = _marked(spark, sf).withColumn("fold", (F.col("name") % 2).cast("int"))
-    return gr.prediction_log(le.as_vectors(rows), [0, 1], cells, WIDTH, f"{_grid_folder(spark, sf)}/{name}", steps=20)
+    return gr.prediction_log(le.as_vectors(rows), [0, 1], cells, WIDTH, f"{c.scratch(spark, 'grid', sf)}/{name}", steps=20)
 
 
 @query("p07_p10_p18_prediction_log")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from queries import common as c
 from stichos.functions import text as tx
 from stichos.operators import tokens as tk
-from stichos.sources import corpus
+from stichos.sources import corpus, json_arrays as ja
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,7 +26,12 @@ def query(name, sql=None):
 SELECT text_name, book, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars, max(line) AS last_line
 FROM lines GROUP BY ALL""")
 def read_lines(spark, sf):
-    return c.doc_lines(spark, sf).groupBy("text_name", "book").agg(
+    """The lines written as JSON arrays and read back in ranges of 64 KB."""
+    folder = c.scratch(spark, "lines")
+    d = c.doc_lines(spark, sf).select("text", F.col("text_name").alias("poem"), "book", "line")
+    ja.write_json_arrays(d, folder)
+    back = ja.json_elements(spark, folder, 1 << 16).select(F.from_json("value", corpus.VERSE_LINE).alias("v")).select("v.*")
+    return back.groupBy(F.col("poem").alias("text_name"), "book").agg(
         F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"), F.max("line").cast("long").alias("last_line"))
 
 
@@ -121,8 +126,12 @@ SELECT token, CAST(dense_rank() OVER (PARTITION BY token ORDER BY text_name) - 1
 FROM (SELECT DISTINCT token, text_name FROM std)""")
 def form_table(spark, sf):
     langs = c.tokens(spark, sf).groupBy("token").agg(F.array_sort(F.collect_set("text_name")).alias("l"))
-    parses = langs.select("token", F.transform("l", lambda x: F.struct(x.alias("lemma"))).alias("parses"))
-    return corpus.explode_forms(parses)
+    # an element is [token, [parse, ...]]
+    token = F.regexp_replace(F.to_json(F.array("token")), r"\]$", "")
+    element = F.concat(token, F.lit(","), F.to_json(F.transform("l", lambda x: F.struct(x.alias("lemma")))), F.lit("]"))
+    folder = c.scratch(spark, "forms")
+    ja.write_elements(langs.select(element.alias("value")), folder)
+    return corpus.read_forms(spark, folder).select("token", "parse_no", "lemma")
 
 
 @query("c10_overlay",

@@ -333,15 +333,16 @@ def dialect_vector(spark, sf):
     return _dialect_long(spark, sf).withColumn("value", c.r6("value")).select("text_name", "sub", "feature_idx", "value")
 
 
-@query("f03_f05_matrix", f"""SELECT text_name, sub, 2631 AS width, round(sum(value), 3) AS total
-FROM (SELECT * FROM ({_METER} SELECT text_name, sub, value FROM mv) UNION ALL SELECT * FROM ({_F2} SELECT text_name, sub, value FROM dv)) GROUP BY ALL""")
+@query("f03_f05_matrix", f"""WITH m AS MATERIALIZED ({_METER} SELECT text_name, sub, feature_idx, value FROM mv), d AS MATERIALIZED ({_F2} SELECT text_name, sub, feature_idx, value FROM dv)
+SELECT k.text_name, k.sub, CAST(i AS INTEGER) AS feature_idx, coalesce(u.value, 0) AS value FROM (SELECT DISTINCT text_name, sub FROM m) k CROSS JOIN range(2631) r(i)
+LEFT JOIN (SELECT * FROM m UNION ALL SELECT * FROM d) u ON u.text_name = k.text_name AND u.sub = k.sub AND u.feature_idx = i""")
 def matrix(spark, sf):
-    """Whole matrix, one vector of 2631 values per row of texts and books."""
+    """Whole matrix, cell by cell: one vector of 2631 values per row of texts and books."""
     keys = ["text_name", "sub"]
     m = mx.meter_vector(qs.counts(spark, sf)).select(*keys, "feature_idx", c.r6("value").alias("value"))
     d = _dialect_long(spark, sf).select(*keys, "feature_idx", c.r6("value").alias("value"))
     rows = mx.row_vectors(mx.assemble(m, d, keys), keys, 2631)
-    return rows.select(*keys, F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return rows.select(*keys, F.posexplode("features").alias("feature_idx", "value"))
 
 
 @query("f03_row_mismatch", f"""WITH {c.SQL_DOCS},
@@ -353,8 +354,23 @@ def row_mismatch(spark, sf):
     return mx.assert_same_rows(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), ["text_name", "book"])
 
 
-@query("f04_feature_names", _METER + " SELECT feature_idx, count(*) AS n FROM mv GROUP BY ALL")
+# names written out: votes of a combination, then rules by their number and title
+_NAMES = f"""mt(i, name) AS (SELECT generate_subscripts(l, 1) - 1, unnest(l) FROM (SELECT
+  list_transform(range(1, 6), lambda k: 'Foot ' || k || ' is spondaic') || list_transform(['Single Double', 'Double Double', 'Triple', 'Quadruple', 'Quintuple'], lambda x: 'Spondaic Runs: ' || x)
+  || list_transform(range(6), lambda k: 'Some caesura at position ' || k) || list_transform(range(6), lambda k: 'Masculine caesura at position ' || k) || list_transform(range(6), lambda k: 'Feminine caesura at position ' || k)
+  || list_transform(range(3), lambda k: 'Principal caesura at position ' || k) || list_transform(range(5), lambda k: 'Diaeresis at position ' || k)
+  || ['Frequency correption happened when it could have', 'Overall correption frequency', 'Overall Ictus Lengthening frequency', 'Overall Ictus Lengthening frequency', 'Overall Ictus Lengthening frequency', 'Percentage of ictus lengthenings followed by space']
+  || flatten(list_transform(['r/l/n/m', 'r/l', 'n/m'], lambda x: ['Mute Liquid (' || x || ') frequency in places it could have happened', 'Total Mute Liquid (' || x || ') frequency']))
+  || list_transform(range(1, 4), lambda k: 'Meyer''s Law ' || k || ' frequency') AS l)),
+ti(no, rule, title) AS (VALUES (0, '', ''), {', '.join(f"({k + 1}, '{r}', '" + table.RULES[r][0].replace("'", "''") + "')" for k, r in enumerate(table.RULE_NAMES))}),
+cb AS (SELECT k, 'Combo [' || CASE WHEN k = 13 THEN 'Any Dialect' ELSE concat_ws(', ', CASE k % 3 WHEN 2 THEN 'Definitely Ionic' WHEN 0 THEN 'Definitely Not Ionic' END, CASE k // 3 % 3 WHEN 2 THEN 'Definitely Aeolic' WHEN 0 THEN 'Definitely Not Aeolic' END,
+  CASE k // 9 WHEN 2 THEN 'Definitely Homeric' WHEN 0 THEN 'Definitely Not Homeric' END) END || ']' AS what FROM range(27) t(k) UNION ALL VALUES (27, 'Dialect Ionic'), (28, 'Dialect Aeolic'), (29, 'Dialect Homeric')),
+dn AS (SELECT 51 + b * 43 * 30 + no * 30 + k AS i, what || ' frequency (' || CASE b WHEN 0 THEN 'Max' ELSE 'Min' END || CASE WHEN rule = '' THEN '' ELSE ', ' || rule || ': ' || title END || ')' AS name FROM cb, ti, range(2) t(b))"""
+
+
+@query("f04_feature_names", f"""WITH {_NAMES}, x AS ({_METER} SELECT feature_idx, count(*) AS n FROM mv GROUP BY ALL), nm AS (SELECT * FROM mt UNION ALL SELECT * FROM dn)
+SELECT CAST(i AS INTEGER) AS feature_idx, name AS feature, coalesce(n, 0) AS n FROM nm LEFT JOIN x ON feature_idx = i""")
 def feature_names(spark, sf):
-    """Every metre feature has its name in the dimension table."""
-    names = mx.feature_dimension(spark)
-    return mx.meter_vector(qs.counts(spark, sf)).join(names, "feature_idx").groupBy("feature_idx").agg(F.count("feature").alias("n"))
+    """All 2631 names, and in how many rows of the metre half each occurs."""
+    seen = mx.meter_vector(qs.counts(spark, sf)).groupBy("feature_idx").agg(F.count("*").alias("n"))
+    return mx.feature_dimension(spark).join(seen, "feature_idx", "left").select("feature_idx", "feature", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

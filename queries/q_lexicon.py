@@ -12,6 +12,7 @@ from queries import common as c, q_scan
 from queries.q_corpus import SQL_BENCH, benchmark_tokens
 from stichos.functions import phonemes as ph
 from stichos.operators import entries as en, evaluate as ev, lexicon as lx, scansion as sc
+from stichos.rules import table as tb
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -116,33 +117,73 @@ def lemma_pos(spark, sf):
     return lx.lemma_pos(parses(spark, sf)).select("lemma", F.array_join("pos_set", ",").alias("pos_set"))
 
 
-# stem classes: lemmas made of tokens with nominal endings, forms of them made the same way
-_STEM_SQL = c.SQL_TOKENS + """,
-base AS (SELECT DISTINCT lower(token) AS t FROM std WHERE regexp_full_match(token, '[bgdklmnprst][a-z]{2,7}') AND length(token) % 2 = 0),
-frm AS (SELECT t || 'h' AS lemma, t || 'hs' AS token, 'noun' AS pos, 'gen' AS c, 'sg' AS n, 'fem' AS g FROM base UNION ALL
-  SELECT t || 'os', t || 'oi', 'adj', 'nom', 'pl', 'masc' FROM base UNION ALL SELECT t || 'os', t || 'ai', 'adj', 'nom', 'pl', 'fem' FROM base WHERE length(t) % 4 = 0 UNION ALL
-  SELECT t || 'i/s', t || 'e/ws', 'noun', 'gen', 'sg', NULL FROM base UNION ALL SELECT t || 'eu/s', t || 'e/ws', 'noun', 'gen', 'sg', 'masc' FROM base UNION ALL
-  SELECT t || 'us', t || 'us', 'noun', 'nom', 'sg', 'masc' FROM base)"""
+# Stem classes: lemmas of every block made of tokens, with the forms that their probes look for, some left out and some in another case
+STEMS = [("h", "noun"), ("h/", "noun"), ("ia", "noun"), ("ra/", "noun"), ("va", "noun"), ("hs", "noun"), ("h/s", "noun"), ("ias", "noun"), ("ra/s", "noun"), ("eu/s", "noun"), ("is", "noun"), ("i/s", "noun"),
+         ("os", "adj"), ("o/s", "adj"), ("u/s", "adj"), ("o/eis", "adj"), ("os", "noun"), ("o/s", "noun"), ("us", "noun"), ("os", "verb")]
+# block, what the lemma ends in, letters cut, accent, ending, case, number, gender, class
+_PROBE_ROWS = """pb(no, block, needs, cut, accent, ending, c, n, g, cls) AS (VALUES
+(0, 1, 'h', 1, '-', 'hs', 'gen', 'sg', 'fem', 'alpha_stem_-h'), (1, 1, 'h/', 2, '-', 'h=s', 'gen', 'sg', 'fem', 'alpha_stem_-h'),
+(2, 2, 'a', 1, '-', 'ai', 'nom', 'pl', 'fem', 'eir'), (3, 2, 'a', 1, 'moves', 'as', 'gen', 'sg', 'fem', 'eir'), (4, 2, 'a/', 2, '-', 'ai/', 'nom', 'pl', 'fem', 'eir'), (5, 2, 'a/', 2, '-', 'a=s', 'gen', 'sg', 'fem', 'eir'),
+(6, 3, '', 1, '-', 'ai', 'nom', 'pl', 'fem', 'alpha_stem_short_-a'), (7, 3, '', 1, 'moves', 'as', 'gen', 'sg', 'fem', 'alpha_stem_short_-a'),
+(8, 4, 'hs', 2, '-', 'ou', 'gen', 'sg', 'masc', 'alpha_stem_-h'), (9, 4, 'hs', 2, '-', 'hn', 'acc', 'sg', 'masc', 'alpha_stem_-h'), (10, 4, 'h/s', 3, '-', 'ou=', 'gen', 'sg', 'masc', 'alpha_stem_-h'), (11, 4, 'h/s', 3, '-', 'h/n', 'acc', 'sg', 'masc', 'alpha_stem_-h'),
+(12, 5, 'as', 2, '-', 'ou', 'gen', 'sg', 'masc', 'LONG_A'), (13, 5, 'as', 2, '-', 'hn', 'acc', 'sg', 'masc', 'LONG_A'), (14, 5, 'a/s', 3, '-', 'ou=', 'gen', 'sg', 'masc', 'LONG_A'), (15, 5, 'a/s', 3, '-', 'h/n', 'acc', 'sg', 'masc', 'LONG_A'),
+(16, 6, '', 4, '-', 'e/ws', 'gen', 'sg', NULL, 'digamma_stem'), (17, 7, 'is', 2, '-', 'ews', 'gen', 'sg', NULL, 'iota_stem'), (18, 7, 'i/s', 3, '-', 'e/ws', 'gen', 'sg', NULL, 'iota_stem'),
+(19, 8, 'os', 2, '-', 'ai', 'nom', 'pl', 'fem', 'ADJ_3'), (20, 8, 'os', 2, 'moves', 'hs', 'gen', 'sg', 'fem', 'ADJ_3'), (21, 8, 'os', 2, '-', 'oi', 'nom', 'pl', NULL, 'ADJ_2'), (22, 8, 'os', 2, 'moves', 'ou', 'gen', 'sg', NULL, 'ADJ_2'),
+(23, 8, 'o/s', 3, '-', 'ai/', 'nom', 'pl', 'fem', 'ADJ_3'), (24, 8, 'o/s', 3, '-', 'h=s', 'gen', 'sg', 'fem', 'ADJ_3'), (25, 8, 'o/s', 3, '-', 'oi/', 'nom', 'pl', NULL, 'ADJ_2'), (26, 8, 'o/s', 3, '-', 'ou=', 'gen', 'sg', NULL, 'ADJ_2'),
+(27, 9, '', 3, '-', 'ei=a', 'nom', 'sg', 'fem', 'ADJ_US'), (28, 10, '', 3, 'drops', 'e/ssas', 'gen', 'sg', 'fem', 'ADJ_EIS'),
+(29, 11, 'os', 2, 'moves', 'ou', 'gen', 'sg', NULL, 'OMICRON'), (30, 11, 'os', 2, '-', 'ous', 'gen', 'sg', NULL, 'SIGMA'), (31, 11, 'o/s', 3, '-', 'ou=', 'gen', 'sg', NULL, 'OMICRON'), (32, 11, 'o/s', 3, '-', 'ou=s', 'gen', 'sg', NULL, 'SIGMA'))"""
+for _word, _class in (("LONG_A", tb.LONG_A), ("ADJ_3", tb.ADJ_3), ("ADJ_2", tb.ADJ_2), ("ADJ_US", tb.ADJ_US), ("ADJ_EIS", tb.ADJ_EIS), ("OMICRON", tb.OMICRON), ("SIGMA", tb.SIGMA)):
+    _PROBE_ROWS = _PROBE_ROWS.replace(f"'{_word}'", f"'{_class}'")
+# the forms that the data hold: letters cut off the lemma, what is added, case, number, gender
+FORMS = [(1, "hs", "gen", "sg", "fem"), (2, "h=s", "gen", "sg", "fem"), (1, "ai", "nom", "pl", "fem"), (1, "as", "gen", "sg", "fem"), (2, "ai/", "nom", "pl", "fem"), (2, "a=s", "gen", "sg", "fem"), (2, "ou", "gen", "sg", "masc"),
+         (2, "hn", "acc", "sg", "masc"), (3, "ou=", "gen", "sg", "masc"), (3, "h/n", "acc", "sg", "masc"), (4, "e/ws", "gen", "sg", "masc"), (2, "ews", "gen", "sg", "fem"), (3, "e/ws", "gen", "sg", "fem"), (2, "ai", "nom", "pl", "fem"),
+         (2, "hs", "gen", "sg", "fem"), (2, "oi", "nom", "pl", "masc"), (3, "ai/", "nom", "pl", "fem"), (3, "h=s", "gen", "sg", "fem"), (3, "oi/", "nom", "pl", "masc"), (3, "ei=a", "nom", "sg", "fem"), (3, "e/ssas", "gen", "sg", "fem"),
+         (2, "ous", "gen", "sg", "neut"), (3, "ou=s", "gen", "sg", "neut")]
+_ROWS = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in (k, *r)) + ")" for k, r in enumerate(rows))
+_CLEAN_SQL = c.sql_strip("lemma")
+_STEM_SQL = c.SQL_TOKENS + f""",
+sx(i, tail, pos) AS (VALUES {_ROWS(STEMS)}), fx(j, cut, added, c, n, g) AS (VALUES {_ROWS(FORMS)}), {_PROBE_ROWS},
+bs AS (SELECT DISTINCT token AS t FROM std WHERE length(token) > 1),
+lm AS (SELECT t, t || tail AS lemma, pos, md5(t) AS h FROM bs JOIN sx ON i = CAST('0x' || left(md5(t), 6) AS INTEGER) % {len(STEMS)}),
+ff AS (SELECT lemma, pos, left(b, CAST(greatest(length(b) - cut, 0) AS INTEGER)) || added AS token, CASE WHEN CAST('0x' || left(md5(lemma || '#c' || j), 4) AS INTEGER) % 4 = 0 THEN 'dat' ELSE c END AS c, n, g FROM (
+  SELECT *, CASE WHEN CAST('0x' || left(md5(lemma || '#a'), 4) AS INTEGER) % 2 = 0 THEN CASE WHEN contains(lemma, '/') THEN regexp_replace(replace(lemma, '/', ''), '^(.*[aeiouwh])([^aeiouwh]*)', '\\1/\\2') ELSE replace(lemma, '=', '/') END ELSE lemma END AS b FROM lm, fx)
+  WHERE CAST('0x' || left(md5(lemma || '#' || j), 4) AS INTEGER) % 3 = 0),
+frm AS (SELECT * FROM ff UNION ALL SELECT lemma, pos, lemma, 'nom', 'sg', 'masc' FROM lm)"""
 
 
 def _stem_forms(spark, sf):
-    t = c.tokens(spark, sf).select("token").distinct().filter(
-        F.col("token").rlike("^[bgdklmnprst][a-z]{2,7}$") & (F.length("token") % 2 == 0))
-    cell = lambda l, f, pos, case, num, gen, ok=F.lit(True): F.when(ok, F.struct(
-        F.concat("token", F.lit(l)).alias("lemma"), F.concat("token", F.lit(f)).alias("form"), F.lit(pos).alias("pos"),
-        F.lit(case).alias("case"), F.lit(num).alias("number"), F.lit(gen).cast("string").alias("gender")))
-    cells = F.array(cell("h", "hs", "noun", "gen", "sg", "fem"), cell("os", "oi", "adj", "nom", "pl", "masc"),
-                    cell("os", "ai", "adj", "nom", "pl", "fem", F.length("token") % 4 == 0), cell("i/s", "e/ws", "noun", "gen", "sg", None),
-                    cell("eu/s", "e/ws", "noun", "gen", "sg", "masc"), cell("us", "us", "noun", "nom", "sg", "masc"))
-    return t.select(F.inline(F.filter(cells, lambda x: x.isNotNull()))).withColumn("token", F.col("form"))
+    number = lambda text, digits: F.conv(F.left(F.md5(text.cast("binary")), F.lit(digits)), 16, 10).cast("int")
+    t = c.tokens(spark, sf).select("token").distinct().filter(F.length("token") > 1)
+    kind = number(F.col("token"), 6) % len(STEMS)
+    lm = t.select(F.concat("token", F.element_at(F.array(*[F.lit(x) for x, _ in STEMS]), kind + 1)).alias("lemma"), F.element_at(F.array(*[F.lit(x) for _, x in STEMS]), kind + 1).alias("pos"))
+    based = lm.withColumn("b", F.when(number(F.concat("lemma", F.lit("#a")), 4) % 2 == 0, lx.accent_forward("lemma")).otherwise(F.col("lemma")))
+
+    def cell(j, cut, added, case, num, gen):
+        given = number(F.concat("lemma", F.lit(f"#c{j}")), 4) % 4 == 0
+        return F.when(number(F.concat("lemma", F.lit(f"#{j}")), 4) % 3 == 0, F.struct(
+            F.concat(F.substr("b", F.lit(1), F.length("b") - cut), F.lit(added)).alias("token"), F.when(given, "dat").otherwise(case).alias("case"), F.lit(num).alias("number"), F.lit(gen).alias("gender")))
+
+    plain = F.struct(F.col("lemma").alias("token"), F.lit("nom").alias("case"), F.lit("sg").alias("number"), F.lit("masc").alias("gender"))
+    cells = F.array(*[cell(j, *r) for j, r in enumerate(FORMS)], plain)
+    return based.select("lemma", "pos", F.inline(F.filter(cells, lambda x: x.isNotNull())))
+
+
+_FORWARD = "CASE WHEN contains({0}, '/') THEN regexp_replace(replace({0}, '/', ''), '^(.*[aeiouwh])([^aeiouwh]*)', '\\1/\\2') ELSE replace({0}, '=', '/') END"
 
 
 @query("x04_stem_classes", f"""WITH {_STEM_SQL},
-lem AS (SELECT DISTINCT lemma, pos FROM frm)
-SELECT lemma, CASE WHEN right(lemma, 4) = 'eu/s' THEN CASE WHEN EXISTS (SELECT 1 FROM frm f WHERE f.lemma = lem.lemma AND f.token = left(lem.lemma, length(lem.lemma) - 4) || 'e/ws' AND c = 'gen') THEN 'digamma_stem' ELSE 'no_special_type' END
-  WHEN right(lemma, 3) = 'i/s' THEN 'iota_stem' WHEN right(lemma, 1) = 'h' THEN 'alpha_stem_-h'
-  WHEN right(lemma, 2) = 'os' THEN CASE WHEN EXISTS (SELECT 1 FROM frm f WHERE f.lemma = lem.lemma AND f.g = 'fem') THEN 'type_1_2_os/a/on_adjective' ELSE 'type_2nd_decl_adjective' END
-  ELSE 'no_special_type' END AS stem_class FROM lem""")
+le AS (SELECT lemma, list(DISTINCT pos) AS ps FROM frm GROUP BY lemma),
+l1 AS (SELECT lemma, ps, regexp_replace({c.sql_decap_token('lemma')}, '[0-9]', '', 'g') AS plain, {c.sql_decap_token('lemma')} AS low, {_CLEAN_SQL} AS clean, regexp_replace(lemma, '[0-9]', '', 'g') AS bare FROM le),
+l2 AS (SELECT *, CASE WHEN right(clean, 1) = 'h' AND list_contains(ps, 'noun') THEN 1 WHEN right(clean, 2) IN ('ra', 'ia', 'ea') AND list_contains(ps, 'noun') THEN 2 WHEN right(clean, 1) = 'a' AND list_contains(ps, 'noun') THEN 3
+  WHEN right(clean, 2) = 'hs' AND list_contains(ps, 'noun') THEN 4 WHEN right(clean, 3) IN ('ras', 'ias', 'eas') AND list_contains(ps, 'noun') THEN 5 WHEN right(clean, 3) = 'eus' AND list_contains(ps, 'noun') THEN 6
+  WHEN right(clean, 2) = 'is' AND list_contains(ps, 'noun') THEN 7 WHEN right(clean, 2) = 'os' AND list_contains(ps, 'adj') THEN 8 WHEN right(lemma, 3) = 'u/s' AND list_contains(ps, 'adj') THEN 9
+  WHEN right(clean, 3) = 'eis' AND list_contains(ps, 'adj') THEN 10 WHEN right(clean, 2) = 'os' AND list_contains(ps, 'noun') THEN 11 END AS block FROM l1),
+tr AS (SELECT l2.*, pb.*, left(CASE WHEN pb.block = 6 THEN low ELSE plain END, CAST(greatest(length(CASE WHEN pb.block = 6 THEN low ELSE plain END) - cut, 0) AS INTEGER)) AS stem FROM l2 JOIN pb ON pb.block = l2.block AND right(bare, length(needs)) = needs),
+t2 AS (SELECT lemma, no, cls, c, n, g, CASE accent WHEN 'moves' THEN {_FORWARD.format('stem')} WHEN 'drops' THEN translate(stem, '*/', '') ELSE stem END || ending AS form FROM tr),
+hit AS (SELECT t2.lemma, arg_min(cls, no) AS cls FROM t2 JOIN frm f ON f.lemma = t2.lemma AND f.token = t2.form AND f.c = t2.c AND f.n = t2.n AND (t2.g IS NULL OR t2.g = f.g) GROUP BY t2.lemma),
+sa AS (SELECT lemma, regexp_extract_all(regexp_replace(translate({c.sql_decap_token('lemma')}, 'bcdfgjklmnpqrstvxyz', ''), '([aeiouhwj])\\+', '.\\1', 'g'), '(?:[aeou]i|[aoehw]u|[a-z])[^a-z.]*') AS p FROM le)
+SELECT le.lemma, coalesce(CASE WHEN cls = 'eir' THEN CASE WHEN coalesce(contains(p[-2], '='), false) OR coalesce(contains(p[-3], '/'), false) THEN '{tb.EIR_SHORT_A}' ELSE '{tb.LONG_A}' END ELSE cls END, '{tb.NO_CLASS}') AS stem_class
+FROM le LEFT JOIN hit USING (lemma) LEFT JOIN sa USING (lemma)""")
 def stem_classes(spark, sf):
     return lx.stem_classes(_stem_forms(spark, sf))
 

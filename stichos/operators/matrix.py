@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stichos.operators.line_features import COUNTERS
@@ -102,7 +104,15 @@ def assemble(meter: DataFrame, dialect: DataFrame, keys: list[str]) -> DataFrame
 
 def row_vectors(long_: DataFrame, keys: list[str], width: int) -> DataFrame:
     """F-5: one dense array per row; the width is fixed, so a group holds at most that many
-    cells. Missing cells are zero."""
-    cells = long_.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature_idx", "value"))).alias("_m"))
-    return cells.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                                           lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("features"))
+    cells. Missing cells are zero. Cells are put in their places in Arrow batches: a look-up in a map per place would be a search each."""
+    cells = long_.groupBy(*keys).agg(F.collect_list("feature_idx").alias("_at"), F.collect_list("value").alias("_value"))
+
+    @F.pandas_udf("array<double>")
+    def dense(at: pd.Series, value: pd.Series) -> pd.Series:
+        out = np.zeros((len(at), width))
+        for row, (i, v) in enumerate(zip(at, value)):
+            out[row, np.asarray(i, dtype=int)] = v
+        return pd.Series(list(out), dtype=object)
+
+    pairs = F.filter(F.arrays_zip("_at", "_value"), lambda x: x["_at"].between(0, width - 1))
+    return cells.withColumn("_in", pairs).select(*keys, dense(F.col("_in")["_at"], F.col("_in")["_value"]).alias("features"))

@@ -165,6 +165,11 @@ def json_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
 
 def write_json_arrays(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON array per task, an object per row and line."""
+    write_elements(df.select(F.to_json(F.struct(*df.columns)).alias("value")), path, mode)
+
+
+def write_elements(texts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON array per task of elements that are JSON texts already (value)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = False
         for batch in batches:
@@ -174,5 +179,4 @@ def write_json_arrays(df: DataFrame, path: str, mode: str = "errorifexists") ->
                 opened = True
         yield pa.RecordBatch.from_arrays([pa.array(["]" if opened else "[]"], pa.string())], ["value"])
 
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string").write.mode(mode).text(path)
-
+    texts.select("value").mapInArrow(run, "value string").write.mode(mode).text(path)
