@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from stichos.llm.common import cut, salted_left_join, slices, texts_of
 
 SHINGLE, THRESHOLD = 3, 85
-PERMUTATIONS, ROWS = 96, 6
+PERMUTATIONS, MISSED = 96, 1e-6
 CENTRE_ROUNDS, MEMBERS, BLOCK = 2, 256, 512
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -75,8 +75,21 @@ def bands(values: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def band_rows(threshold: int, values: int) -> int:
+    """The most values per band with which a pair at the threshold shares no band with a chance of MISSED at most."""
+    rows = 1
+    while (1 - (threshold / 100) ** (rows + 1)) ** (values // (rows + 1)) <= MISSED:
+        rows += 1
+    return rows
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """Texts with a hash that tells the texts of one doc_id apart."""
+    return texts_of(docs).withColumn("key", F.xxhash64("text"))
+
+
 def sketches(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
-    """Per document: size and digest of its shingle set, and its band hashes (null for an empty set)."""
+    """Per row: key of its text, size and digest of its shingle set, and its band hashes (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (factors, masks) = WordHashes(), permutations(count)
@@ -87,10 +100,10 @@ def sketches(docs: DataFrame, k: int, count: int, rows: int) -> DataFrame:
                 size.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 band.append(bands(signature(s, factors, masks), rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                                              pa.array(band, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
+                                              pa.array(band, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "digest", "bands"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -102,7 +115,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     dealt = salted_left_join(pairs, runs, ["a"], "b").withColumn("_run", F.pmod(F.xxhash64("b"), F.col("_runs")).cast("int"))
     members = salted_left_join(dealt.select("a", "_run", "b"), texts.withColumnRenamed("node", "b"), ["b"], "a", 4)
     heads = dealt.select("a", "_run").distinct()
-    heads = salted_left_join(heads, texts.withColumnRenamed("node", "a"), ["a"], "_run", 4).withColumn("b", F.lit(None).cast("long"))
+    heads = salted_left_join(heads, texts.withColumnRenamed("node", "a"), ["a"], "_run", 4).withColumn("b", F.lit(None).cast("binary"))
     rows = members.unionByName(heads).repartition("a", "_run").sortWithinPartitions("a", "_run", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +134,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= threshold * (len(both) - common):
                     found.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.binary()) for j in (0, 1)], names=["a", "b"])
 
-    return rows.select("a", "_run", "b", "text").mapInArrow(run, "a long, b long")
+    return rows.select("a", "_run", "b", "text").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,8 +176,8 @@ def confirm_across(nodes: DataFrame, texts: DataFrame, k: int, threshold: int) -
         .select("cluster", F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "_i", "node", "component", "text") \
         .repartition("cluster", "_low", "_high").sortWithinPartitions("cluster", "_low", "_high", "_i", "node")
 
-    def linked(sets: list[np.ndarray], node: list[int], component: list[int], side: list[int], crossed: bool) -> list[tuple[int, int]]:
-        n, sizes, comp, first = len(sets), np.array([len(s) for s in sets]), np.array(component), np.array(side) == min(side)
+    def linked(sets: list[np.ndarray], node: list[bytes], component: list[bytes], side: list[int], crossed: bool) -> list[tuple[bytes, bytes]]:
+        n, sizes, comp, first = len(sets), np.array([len(s) for s in sets]), np.unique(np.array([c.hex() for c in component]), return_inverse=True)[1], np.array(side) == min(side)
         if n < 2 or len(set(component)) < 2:
             return []
         every, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -194,38 +207,40 @@ def confirm_across(nodes: DataFrame, texts: DataFrame, k: int, threshold: int) -
                         found += linked(*map(list, zip(*held)), crossed=now[1] != now[2])
                     now, held = key, []
                 held.append((shingles(text, k, known), node, component, i))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.binary()) for j in (0, 1)], names=["a", "b"])
         if held:
             found = linked(*map(list, zip(*held)), crossed=now[1] != now[2])
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.binary()) for j in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, count: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, count: int = PERMUTATIONS, rows: int | None = None) -> DataFrame:
     """Classes of documents joined by links of 100 * |A & B| >= threshold * |A | B| between their sets of k-word shingles.
 
-    Documents with the same set are one node. Each permutation gives its minimum and its maximum; `rows` of these values make a band, and
-    nodes that share a band are candidates (at the threshold a pair is missed by all bands with a chance below one in a million). The members
+    Texts with the same set are one node, named by the digest of that set, so a node has one set whatever doc_id its rows carry. Each permutation gives its
+    minimum and its maximum; `rows` of these values make a band (as many as leave a pair at the threshold without a common band with a chance of one
+    in a million at most: 6 at 85 per cent, 5 at 80), and nodes that share a band are candidates. The members
     of a bucket are first compared with one of them, not with each other: with its least node, then with one chosen by a hash, across
     classes that are still apart. Nodes of buckets that still hold several classes are then compared across these in blocks, so no
     candidate pair is left undecided; pairs within a class need no further link. Every link is confirmed on full sets.
 
     Result: doc_id, n_shingles, component_id (least doc_id of the class), kept (whether that is its own). Documents without words are
-    linked with nothing. Rows that share a doc_id are one document and so in one class. A row without doc_id is linked with nothing: its
+    linked with nothing. Rows that share a doc_id are one document: the sets of its texts are linked, too, and all its rows are in one class. A row without doc_id is linked with nothing: its
     component_id is null and it is kept. Other columns are not read.
     """
-    found = cut(sketches(docs, k, count, rows))
-    nodes = cut(found.filter(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest")
-                .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
+    found = cut(sketches(docs, k, count, rows or band_rows(threshold, 2 * count)))
+    usable = found.filter(F.col("bands").isNotNull() & F.col("doc_id").isNotNull())
+    nodes = cut(usable.groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("doc_id", "key")).alias("row"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
     member = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count("*").alias("_members")).filter("_members > 1").select("band", F.lit(True).alias("_shared"))
     member = cut(salted_left_join(member, shared, ["band"], "node").filter("_shared").select("band", "node", "n"))
-    wanted = member.select(F.col("node").alias("doc_id")).distinct()
-    texts = cut(texts_of(docs).join(wanted, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text")))
+    wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("row.*", "node")
+    texts = cut(keyed_texts(docs).join(wanted, ["doc_id", "key"]).groupBy("node").agg(F.max("text").alias("text")))
 
-    # nodes with one doc_id but different sets are one document
-    links = same = nodes.groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    # the texts of one doc_id are one document
+    listed = usable.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("_z")).filter("a <> _z").select("doc_id", "a")
+    links = usable.select("doc_id", F.col("digest").alias("b")).join(listed, "doc_id").filter("a <> b").select("a", "b").distinct()
     apart = member.withColumn("component", F.col("node"))
     for step in range(CENTRE_ROUNDS):
         rank = F.xxhash64("node") if step else F.col("node")
@@ -244,7 +259,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     left = apart.select("node", "component").distinct().join(together.withColumnRenamed("component", "cluster"), "node")
     classes = components(links.unionByName(confirm_across(left, texts, k, threshold)))
 
-    place = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    place = nodes.select("node", F.col("row.doc_id").alias("_doc")).join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = place.groupBy("component").agg(F.min("_doc").alias("_least"))
+    place = salted_left_join(place, least, ["component"], "node").select(F.col("node").alias("digest"), F.col("_least").alias("component"))
     out = salted_left_join(found.select("doc_id", "n_shingles", "digest"), place, ["digest"], "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
@@ -252,6 +269,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
 
 
 def one_of_each_class(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose document is the least of its class."""
+    """The rows of docs, with all their columns, whose document is the least of its class.
+
+    Rows without doc_id, without words or with a null text stay; an empty table stays empty.
+    """
     gone = near_duplicates(docs, k, threshold).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

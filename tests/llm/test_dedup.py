@@ -89,6 +89,29 @@ def test_near(documents, corpus, k, threshold):
             assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
 
 
+def test_near_of_a_doc_id_with_two_texts(documents):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), (1, "zzz other words here"), (2, text + " tail"), (3, text), (4, "zzz other words here too far off"), (5, "zzz other words here"), (None, text), (9, None)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dedup.near_duplicates(documents(rows)).collect()}
+    assert got == {(1, 198): 1, (1, 2): 1, (2, 199): 1, (3, 198): 1, (4, 5): 4, (5, 2): 1, (None, 198): None, (9, 0): 9}
+
+
+def test_near_of_many_alike_but_unlinked(documents):
+    # half of each text is shared: far below the threshold, and many bands are, too
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base + [f"x{i}_{j}" for j in range(rng.integers(20, 30))])) for i in range(300)] + [(1000 + i, " ".join(base + [f"x{i}_{j}" for j in range(15)])) for i in range(0, 300, 30)]
+    want, _ = brute_components(rows, 3, 85)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(rows)).collect()}
+    assert got == want
+
+
+def test_bands_leave_few_pairs_out():
+    for threshold, rows in ((80, 5), (85, 6)):
+        assert near_dedup.band_rows(threshold, 192) == rows
+        assert (1 - (threshold / 100) ** rows) ** (192 // rows) < 1e-6
+
+
 def test_near_on_nothing(documents):
     assert near_dedup.near_duplicates(documents([])).count() == 0
     assert [r.component_id for r in near_dedup.near_duplicates(documents([(5, None), (6, "")])).orderBy("doc_id").collect()] == [5, 6]
