@@ -83,6 +83,22 @@ def test_rules_on_known_forms(spark):
         assert yes == want, (rule, form, yes, want)
 
 
+# rules that speak for or against all three dialects; all others weigh Ionic against Aeolic
+OF_ALL_THREE = {"SW.14", "SW.17", "SW.18", "SW.19", "SW.21", "SW.22", "SW.23", "SW.24", "NE.3", "NE.4", "NE.5", "NE.6", "NE.7", "VE.1", "VE.4", "VE.5", "VE.6", "NM.1"}
+NOTHING_AGAINST = {("NM.1", "po/lisin"), ("SW.15", "i(arou=")}
+
+
+def test_what_rules_speak_against(spark):
+    got = {(r.token, r.rule): r.code for r in di.rule_votes(_prepared(spark)).collect()}
+    for k, (rule, form, *_, yes) in enumerate(CASES):
+        if not yes or (rule, form) in NOTHING_AGAINST:
+            against = ""
+        else:
+            against = "".join(d for d in ("IAH" if rule in OF_ALL_THREE or "H" in yes else "IA") if d not in yes)
+        code = got.get((f"t{k}", rule), votes.NEUTRAL)
+        assert "".join(d[0] for j, d in enumerate(votes.DIALECTS) if code // 3 ** j % 3 == 0) == against, (rule, form)
+
+
 def test_expectations_report_failures(spark):
     expected = spark.createDataFrame([("SW.1", "t0", -1, "Ionic"), ("SW.1", "t0", -1, "Aeolic"), ("SW.14", "t19", -1, "none")],
                                      "rule string, token string, parse_no int, expected string")
