@@ -18,12 +18,15 @@ SAMPLE, VARIANTS, EPOCHS, BATCH, RATE, HIDDEN = 300, 4, 10, 32, 0.01, 24
 PATH_DIMS, WORD_DIMS, SCALARS = 256, 48, 8
 WIDTH = PATH_DIMS + WORD_DIMS + SCALARS
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|template|noscript|textarea|svg|iframe|select|button)\b.*?(?:</\1\s*>|\Z)"
+CELLS = 16_384                                                        # leaves that are scored at once
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
                    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 # elements inside a line of text; all others begin and end blocks (fixed values of the HTML standard)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+# elements whose content is no text of the page, if they are closed at all
+CONTAINED = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("title", "textarea", "template", "svg", "select", "button")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 
@@ -43,6 +46,26 @@ class Leaf:
     linked: float
 
 
+def _tokens(page: str) -> Iterator[tuple[re.Match, bool]]:
+    """The tokens of a page, and whether one begins an element that is passed over as a whole: one of CONTAINED that is closed further on.
+
+    One that is never closed is an element like others; whether any closing tag is left is looked up once for each name.
+    """
+    ends: dict[str, int] = {}
+    at = 0
+    while m := TOKEN.search(page, at):
+        at, name = m.end(), (m.group(3) or "").lower()
+        if name not in CONTAINED or m.group(2):
+            yield m, False
+            continue
+        if name not in ends:
+            ends[name] = max((c.start() for c in CONTAINED[name].finditer(page, at)), default=-1)
+        hidden = ends[name] >= at
+        if hidden:
+            at = CONTAINED[name].search(page, at).end()
+        yield m, hidden
+
+
 def leaves(page: str) -> list[Leaf]:
     """Blocks of text in page order with the path of open elements (names, and names with each word of class, id and role)."""
     stack: list[tuple[str, str]] = []
@@ -59,7 +82,7 @@ def leaves(page: str) -> list[Leaf]:
             held.clear()
         links = 0
 
-    for m in TOKEN.finditer(page):
+    for m, hidden in _tokens(page):
         name = m.group(3)
         if name is None:
             raw = m.group()
@@ -77,7 +100,7 @@ def leaves(page: str) -> list[Leaf]:
             continue
         close()
         in_link = 0
-        if name in VOID:
+        if name in VOID or hidden:
             continue
         if m.group(2):
             for k in range(len(stack) - 1, -1, -1):
@@ -124,14 +147,16 @@ class Vectors:
             b = self.words[word] = zlib.crc32(word.encode()) % WORD_DIMS
         return b
 
-    def of(self, page: list[Leaf]) -> np.ndarray:
-        x = np.zeros((len(page), WIDTH), dtype=np.float32)
-        for i, leaf in enumerate(page):
-            words = leaf.text.split(" ")
-            x[i, :PATH_DIMS] = self.path(leaf.path)
-            x[i, PATH_DIMS:PATH_DIMS + WORD_DIMS] = np.bincount([self.bucket(w) for w in words], minlength=WORD_DIMS) / len(words) ** 0.5 / 4
+    def of(self, page: list[Leaf], start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Vectors of the leaves start ... stop - 1 of a page."""
+        part = page[start:stop]
+        x = np.zeros((len(part), WIDTH), dtype=np.float32)
+        for row, leaf in enumerate(part):
+            i, words = start + row, leaf.text.split(" ")
+            x[row, :PATH_DIMS] = self.path(leaf.path)
+            x[row, PATH_DIMS:PATH_DIMS + WORD_DIMS] = np.bincount([self.bucket(w) for w in words], minlength=WORD_DIMS) / len(words) ** 0.5 / 4
             n = len(leaf.text)
-            x[i, PATH_DIMS + WORD_DIMS:] = (np.log1p(n) / 8, np.log1p(len(words)) / 6, leaf.linked, leaf.text[-1] in ".!?:", len(leaf.path) / 8,
+            x[row, PATH_DIMS + WORD_DIMS:] = (np.log1p(n) / 8, np.log1p(len(words)) / 6, leaf.linked, leaf.text[-1] in ".!?:", len(leaf.path) / 8,
                                             i / len(page), i == 0, i == len(page) - 1)
         return x
 
@@ -164,6 +189,19 @@ class Direction:
             out[:, t] = h
         return out, kept
 
+    def scan(self, x: np.ndarray, mask: np.ndarray, state: tuple, top: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """What the steps of a block add to the scores, and the state behind them; nothing else is kept."""
+        (h, c), k = state, self.hidden
+        w, u, b = (self.p[name].astype(np.float32) for name in "WUb")
+        given, out = x @ w + b, np.empty(x.shape[:2], np.float32)
+        for t in range(x.shape[1]):
+            z = given[:, t] + h @ u
+            g, m = sigmoid(z[:, :3 * k]), mask[:, t:t + 1]
+            new = g[:, k:2 * k] * c + g[:, :k] * np.tanh(z[:, 3 * k:])
+            c, h = m * new + (1 - m) * c, m * g[:, 2 * k:] * np.tanh(new) + (1 - m) * h
+            out[:, t] = h @ top
+        return out, (h, c)
+
     def backward(self, x: np.ndarray, kept: list, dout: np.ndarray) -> dict[str, np.ndarray]:
         k, dz_all = self.hidden, np.zeros((*x.shape[:2], 4 * self.hidden))
         dh, dc, du = np.zeros_like(dout[:, 0]), np.zeros_like(dout[:, 0]), np.zeros_like(self.p["U"])
@@ -201,18 +239,37 @@ class Labeller:
         h = np.concatenate([ahead, back[:, ::-1]], axis=2)
         return sigmoid(h @ self.top["w"] + self.top["d"]), h, kept1, kept2
 
-    def __call__(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Pages of like length are run together, so that padding stays small."""
+    def __call__(self, pages: list[list[Leaf]], vectors: Vectors) -> list[np.ndarray]:
+        """Scores of the leaves of pages. Pages of like length are run together, CELLS leaves at most, and long ones in blocks of steps: a
+        direction hands its state from block to block, so memory does not grow with a page but for one number a leaf."""
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), 64):
-            pick = order[at:at + 64]
-            x, mask = self._padded([pages[i] for i in pick])
-            y = self._run(x, mask)[0]
-            for i, row in zip(pick, y):
-                out[i] = row[:len(pages[i])]
+        while order:
+            # the longest page decides how many run together
+            size = max(1, min(64, CELLS // len(pages[order[-1]])))
+            pick, order = order[-size:], order[:-size]
+            z = self._scores([pages[i] for i in pick], vectors)
+            for row, i in enumerate(pick):
+                out[i] = sigmoid(z[row, :len(pages[i])] + self.top["d"])
         return out
 
+    def _scores(self, pages: list[list[Leaf]], vectors: Vectors) -> np.ndarray:
+        n, steps = len(pages), max(map(len, pages))
+        block, z = max(1, CELLS // n), np.zeros((n, steps), np.float32)
+        starts = range(0, steps, block)
+        for direction, top, order in ((self.both[0], self.top["w"][:HIDDEN], starts), (self.both[1], self.top["w"][HIDDEN:], reversed(starts))):
+            state = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+            for at in order:
+                stop = min(at + block, steps)
+                x, mask = np.zeros((n, stop - at, WIDTH), np.float32), np.zeros((n, stop - at), np.float32)
+                for row, page in enumerate(pages):
+                    part = vectors.of(page, at, stop)
+                    x[row, :len(part)], mask[row, :len(part)] = part, 1
+                step = 1 if direction is self.both[0] else -1
+                added, state = direction.scan(x[:, ::step], mask[:, ::step], state, top.astype(np.float32))
+                z[:, at:stop] += added[:, ::step]
+        return z
+
     def fit(self, pages: list[np.ndarray], marks: list[np.ndarray], seed: int = 9) -> None:
         rng, params = np.random.default_rng(seed), {**{f"0{k}": (self.both[0].p, k) for k in "WUb"}, **{f"1{k}": (self.both[1].p, k) for k in "WUb"},
                                                    **{k: (self.top, k) for k in "wd"}}
@@ -330,7 +387,7 @@ def extract_text(pages: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """Main text of every page: its blocks labelled as such, in page order, joined by a line feed.
 
     The labeller is learned from a bounded sample; then one narrow pass reads each whole page. Scripts, styles, titles, comments and other markup
-    are no blocks. A null or empty page, or one without main text, has an empty text; rows with the same page_id, or none, are each extracted; other
+    are no blocks; a title, menu list, button or drawing that is never closed is an element like others. A null or empty page, or one without main text, has an empty text; rows with the same page_id, or none, are each extracted; other
     columns are not read.
     """
     ship(pages.sparkSession)
@@ -340,7 +397,7 @@ def extract_text(pages: DataFrame, rows: int = SAMPLE) -> DataFrame:
         vectors = Vectors()
         for part in slices(batches, "html"):
             found = [leaves(t) for t in part.column("html").to_pylist()]
-            scores = model([vectors.of(p) for p in found]) if model else [np.zeros(len(p)) for p in found]
+            scores = model(found, vectors) if model else [np.zeros(len(p)) for p in found]
             texts = ["\n".join([leaf.text for leaf, s in zip(p, y) if s >= 0.5]) for p, y in zip(found, scores)]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -17,6 +17,7 @@ from stichos.llm.common import NULL_ID, parallelism, ship, slices
 
 WIDTH, GRAM, COVER = 100, 32, 32
 SLICE, BUCKETS_PER_PARTITION = 1 << 20, 16
+FILTER_BITS = 21
 HOT, LEAST = 1 << 13, 4                                               # places of an anchor from which it is split; counts of a task that are summed up
 POSITION_BITS = 28
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -275,16 +276,32 @@ def anchor_counts(batches: Iterator[pa.RecordBatch], width: int, gram: int, leas
     yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["h", "n"])
 
 
-def hot_anchors(docs: DataFrame, width: int, gram: int, hot: int) -> frozenset[int]:
-    """Hashes of the anchors met about `hot` times or more, at most one for each `hot` anchors of the corpus.
+class HotAnchors:
+    """A filter over hashes of 2^bits places: one that was put in is always found, others by chance. Its size is the same for any corpus."""
+
+    def __init__(self, places: np.ndarray, bits: int = FILTER_BITS):
+        self.shift, self.held = 64 - bits, np.zeros(1 << bits, bool)
+        self.held[places] = True
+        self.any = bool(len(places))
+
+    def __bool__(self) -> bool:
+        return self.any
+
+    def __contains__(self, h: int) -> bool:
+        return bool(self.held[h >> self.shift])
+
+
+def hot_anchors(docs: DataFrame, width: int, gram: int, hot: int) -> HotAnchors:
+    """Anchors met about `hot` times or more, as a filter: the driver receives places in it, at most 2^FILTER_BITS however many rows there are.
 
     A task leaves out counts below LEAST, so an anchor thinly spread over all tasks may be met up to LEAST times a task more often before it
-    is listed. The list only says how strings are dealt; the result is the same with any.
+    is listed. The filter only says how strings are dealt: the result is the same with any, and an anchor found in it by chance costs a few more rows.
     """
     least = min(LEAST, hot)
     rows = docs.select("text").mapInArrow(lambda it: anchor_counts(it, width, gram, least), "h long, n long") \
-        .groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot).select("h").collect()
-    return frozenset(r.h & (1 << 64) - 1 for r in rows)
+        .groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot)
+    places = rows.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("place")).distinct().collect()
+    return HotAnchors(np.array([r.place for r in places], dtype=np.int64))
 
 
 def starts_of(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -298,7 +315,7 @@ def starts_of(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
     return out
 
 
-def context_blobs(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets: int, hot: frozenset[int] = frozenset()) -> Iterator[pa.RecordBatch]:
+def context_blobs(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets: int, hot: HotAnchors | frozenset[int] = frozenset()) -> Iterator[pa.RecordBatch]:
     """Text around each anchor that repeats, by bucket of the anchor. Of equal contexts in a slice the first one goes there; all strings of the
     others start earlier too, which is carried along. Around a hot anchor each string goes out by itself, as a digest of 128 bits and by bucket
     of it, again once a slice; so equal strings meet, but the places of one anchor are spread over all buckets."""
@@ -424,7 +441,8 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, its place in the order (k1; none is first), k2 to tell texts with one doc_id apart, text, further columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k1"),
+    own = F.lit(NULL_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 61))    # rows without doc_id have keys of their own
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), own).alias("k1"),
                        F.xxhash64(text).alias("k2"), text.alias("text"), *more)
 
 

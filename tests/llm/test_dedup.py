@@ -167,6 +167,27 @@ def test_repeats_of_a_row_listed_twice(documents):
             == sorted((i, *want[True, i, t]) for i, t in rows + rows)
 
 
+def test_repeats_in_many_rows_without_doc_id(documents, spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(words(rng, n, 10_000))
+    shared = text(40)
+    rows = [(None, f"{text(20)} {shared} {i}") for i in range(60)] + [(i, f"{text(20)} {shared if i % 5 == 0 else text(30)}") for i in range(120)]
+    keys = suffix_dedup.keyed(documents(rows)).filter("doc_id IS NULL").select("k1").distinct().count()
+    assert keys == 60
+    got = suffix_dedup.remove_repeats(documents(rows)).collect()
+    free = [r for r in got if r.doc_id is None]
+    # the first of them keeps the passage, all others lose it
+    assert sum(r.n_removed < len(shared) - 100 for r in free) == 1
+    assert all((r.n_removed >= len(shared) - 100) == (r.doc_id % 5 == 0) for r in got if r.doc_id is not None)
+
+
+def test_filter_of_hot_anchors():
+    held = [5, 1 << 63, (1 << 64) - 1]
+    f = suffix_dedup.HotAnchors(np.array([h >> 43 for h in held]))
+    assert all(h in f for h in held) and (1 << 50) not in f and f and not suffix_dedup.HotAnchors(np.empty(0, np.int64))
+    assert f.held.nbytes == 1 << 21
+
+
 @pytest.mark.parametrize("hot", [1, 12])
 def test_repeats_around_hot_anchors(documents, corpus, hot):
     rng, line = random.Random(8), "a line of the template that many pages have"

@@ -256,3 +256,50 @@ def test_pages(spark):
 
 def test_no_pages(spark):
     assert html_blocks.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def random_pages(lengths, seed=4):
+    rng = np.random.default_rng(seed)
+    paths = [("html", "body", t) for t in ("p", "div", "li li.menu", "article", "nav")]
+    return [[html_blocks.Leaf(paths[int(rng.integers(5))], " ".join(["word"] * int(rng.integers(1, 9))) + str(i), 0.0) for i in range(n)] for n in lengths]
+
+
+def test_blocks_of_steps_score_as_whole_pages(monkeypatch):
+    pages, vectors = random_pages([1, 3, 40, 41, 200, 0, 7]), html_blocks.Vectors()
+    model = html_blocks.Labeller()
+    whole = []
+    for page in pages:
+        if page:
+            x, mask = model._padded([vectors.of(page)])
+            whole.append(model._run(x, mask)[0][0])
+        else:
+            whole.append(np.empty(0))
+    for cells in (1, 16, 90, 16_384):
+        monkeypatch.setattr(html_blocks, "CELLS", cells)
+        for got, want in zip(model(pages, vectors), whole):
+            assert got.shape == want.shape and np.abs(got - want).max(initial=0) < 1e-4
+
+
+def test_memory_does_not_grow_with_a_page():
+    import tracemalloc
+    pages = random_pages([60_000, *[1] * 63])
+    model = html_blocks.Labeller()
+    tracemalloc.start()
+    got = model(pages, html_blocks.Vectors())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(g) for g in got] == [len(p) for p in pages] and peak < 120 << 20
+
+
+def test_odd_and_unclosed_elements():
+    texts = lambda page: [leaf.text for leaf in html_blocks.leaves(page)]
+    assert texts("<p>a<button>no</button>b</p><p>c") == ["a", "b", "c"]
+    assert texts("<title>no</title><p>a<button>b<p>c") == ["a", "b", "c"]
+    assert texts("<p>a</p><select><option>b<p>c") == ["a", "b", "c"]
+    assert texts("<title>a<p>b</p>") == ["a", "b"]
+    assert texts("<button-bar>a</button-bar><p>b</p><title-x>c") == ["a", "b", "c"]
+    assert texts("<svg><title>no</title></svg><p>a") == ["a"]
+    assert texts("<script>no<p>no") == []
+    assert texts("<BUTTON class='x'>no</Button >a<select>no</select>") == ["a"]
+    assert texts("<p>a</button>b</p>") == ["a", "b"]
+    assert texts("<button>" * 3000 + "a") == ["a"]
