@@ -6,13 +6,15 @@ up to three parses whose properties follow from its letters.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from queries import common as c, q_scan
 from queries.q_corpus import SQL_BENCH, benchmark_tokens
 from stichos.functions import phonemes as ph
 from stichos.operators import entries as en, evaluate as ev, lexicon as lx, scansion as sc
-from stichos.rules import table as tb
+from stichos.rules import references as rf, table as tb
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -303,6 +305,41 @@ def cross_references(spark, sf):
     return en.without_cross_references(_entries(spark, sf), POINTERS).select("doc_id", "line")
 
 
+# entries of every shape that points elsewhere, made of the first words of a line; two shapes that stay
+SHAPES = ["{0}: {1} {2}", "{0}, {1}, for {2}.", "{0}, = {1} ({2})", "{0}, v. {1}.", "{0}, f.l. for {1}.", "{0}, poet. for {1}, {2}", "{0}, {1}, Ep. for {2}.", "{0}, part. of {1}, {2}", "{0}, Ep. dat. of {1}.",
+          "{0}, v. {1}. {2}, v. {3}.", "{0}, Ep. 3sg. aor. of {1}.", "{0}, Dor. acc. pl. of {1} (q. v.).", "{0}, {1}, poet. forms, v. {2}.", "{0}, acc. sg., dual {1}, pl. {2}; v. {3}.",
+          "{0}, o(, {1} {2}", "{0}, $$v. {1}.", "{0} {1}, like {2}, {3}"]
+_SHAPE_SQL = "CASE (doc_id + line) % " + str(len(SHAPES)) + " " + " ".join(
+    "WHEN {} THEN {}".format(k, " || ".join("w[" + str(int(p) + 1) + "]" if p.isdigit() else "'" + p + "'" for p in re.split(r"[{}]", s) if p)) for k, s in enumerate(SHAPES)) + " END"
+_POINTING = c.SQL_LINES + f""",
+wd AS (SELECT doc_id, line, list_transform(string_split(text, ' ')[1:4], lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) AS w FROM lines),
+ent AS (SELECT doc_id, line, {_SHAPE_SQL} AS core FROM wd WHERE len(w) = 4)"""
+
+
+def pointing_entries(spark, sf):
+    li = c.doc_lines(spark, sf).withColumn("line", F.col("line").cast("long"))
+    w = F.transform(F.slice(F.split("text", " "), 1, 4), lambda x: F.regexp_replace(F.lower(x), "[^a-z]", ""))
+    li = li.select("doc_id", "line", w.alias("w")).filter(F.size("w") == 4)
+    kind = (F.col("doc_id") + F.col("line")) % len(SHAPES)
+    shaped = [F.concat(*[F.get("w", F.lit(int(p))) if p.isdigit() else F.lit(p) for p in re.split(r"[{}]", s) if p]) for s in SHAPES]
+    return li.select("doc_id", "line", F.element_at(F.array(*shaped), (kind + 1).cast("int")).alias("core"))
+
+
+def _points(k, p, bare):
+    text = "replace(core, '$$', '')" if bare else "core"
+    return f"regexp_matches({text}, '{p}')"
+
+
+@query("x12_all_cross_references", f"WITH {_POINTING} SELECT doc_id, line, core FROM ent WHERE NOT ({' OR '.join(_points(k, *x) for k, x in enumerate(rf.CROSS_REFERENCES))})")
+def all_cross_references(spark, sf):
+    return en.without_cross_references(pointing_entries(spark, sf)).select("doc_id", "line", "core")
+
+
+@query("x12_pattern_hits", f"WITH {_POINTING} " + " UNION ALL ".join(f"SELECT {k} AS pattern, count(*) FILTER (WHERE {_points(k, *x)}) AS n FROM ent" for k, x in enumerate(rf.CROSS_REFERENCES)))
+def pattern_hits(spark, sf):
+    return en.cross_reference_hits(pointing_entries(spark, sf))
+
+
 ROUND1 = [(r"os[ ,.]", "second", "core"), (r"(ei|ou)n", "verb", "core"), (r"^[^\s]*a[,\s]", "first", "core"), (r"tion[a-z]*", "abstract", "core"), (r"th(e|at)", "article", "core"), (r"[^\s]*en[,.]", "plural", "core")]
 ROUND2 = [(r"^[A-Z][a-z]*\.", "name", "core"), (r"is", "third", "core")]
 

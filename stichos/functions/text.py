@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Character classes and repair patterns of the transliteration.
 MARKS = r")(/=\\&+|'"
@@ -12,6 +12,9 @@ LEADING_MARKS = r"^\s*([=/\\)(]+)([aehiowur])([^=/\\)(]|$)"
 ACCENT_BEFORE_BREATHING = r"([=/\\])([)(])"
 PAREN_BEFORE_LETTER = r"^\(([a-z])"
 PAREN_AFTER_LETTER = r"([bcdfgjklmnpqrstvxyz][iu]|[a-z][abcdefghjklmnopqrstvwxyz])\("
+SECOND_ACUTE = r"^([^/=]*[/=][^/=]*)/([^/=]*).*$"
+# most tokens carry none of the faults: one test lets them through unchanged
+ANY_FAULT = "|".join((LEADING_MARKS, ACCENT_BEFORE_BREATHING, PAREN_BEFORE_LETTER, PAREN_AFTER_LETTER))
 RANGE_OR_DIGIT = r"\?|(\d+-(\d+|ff|fin).*?\n)|\d"
 SPEAKER_LINE = r"\n\*\S*( *|( +(a|b|\*a|\*b)))\n"
 TWO_ACCENT_WORD = "dia/doxa/"
@@ -95,16 +98,13 @@ def repair_accents(token) -> Column:
         out = fix(raw, out, PAREN_BEFORE_LETTER, "$1")
         return fix(raw, out, PAREN_AFTER_LETTER, "$1")
 
-    # most tokens carry none of the faults: one test lets them through unchanged
-    any_fault = "|".join((LEADING_MARKS, ACCENT_BEFORE_BREATHING, PAREN_BEFORE_LETTER, PAREN_AFTER_LETTER))
-    return let(_col(token), lambda t: F.when(t.rlike(any_fault), chain(t)).otherwise(t))
+    return let(_col(token), lambda t: F.when(t.rlike(ANY_FAULT), chain(t)).otherwise(t))
 
 
 def drop_second_acute(token) -> Column:
     """The second accent of a word goes if it is acute (added before an enclitic)."""
-    cut = r"^([^/=]*[/=][^/=]*)/([^/=]*).*$"
     return let(_col(token), lambda t: F.when(t == TWO_ACCENT_WORD, t).otherwise(
-        F.regexp_replace(t, cut, "$1$2")))
+        F.regexp_replace(t, SECOND_ACUTE, "$1$2")))
 
 
 def standardize(token) -> Column:
@@ -112,6 +112,19 @@ def standardize(token) -> Column:
     return F.replace(drop_second_acute(repair_accents(decapitalize(token))), F.lit("\\"), F.lit("/"))
 
 
+def standardized(df: DataFrame, raw: str = "raw", out: str = "token") -> DataFrame:
+    """N-8 as a new column of a table, in two steps that stay apart: each is computed once and compiled, unlike a bound value inside one expression."""
+    df = df.withColumn("_low", decapitalize(raw))
+    low = F.col("_low")
+    now = F.regexp_replace(low, LEADING_MARKS, "$2$1$3")
+    for pattern, to in ((ACCENT_BEFORE_BREATHING, "$2$1"), (PAREN_BEFORE_LETTER, "$1"), (PAREN_AFTER_LETTER, "$1")):
+        now = F.when(low.rlike(pattern), F.regexp_replace(now, pattern, to)).otherwise(now)
+    df = df.withColumn("_whole", F.when(low.rlike(ANY_FAULT), now).otherwise(low))
+    whole = F.col("_whole")
+    one = F.when(whole == TWO_ACCENT_WORD, whole).otherwise(F.regexp_replace(whole, SECOND_ACUTE, "$1$2"))
+    return df.withColumn(out, F.replace(one, F.lit("\\"), F.lit("/"))).drop("_low", "_whole")
+
+
 def strip_diacritics(token) -> Column:
     """N-9: letters only, no marks and no digits."""
     return F.translate(_col(token), ")(/=\\&+|'0123456789", "")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stichos.functions import phonemes as ph
 from stichos.functions.text import _col
+from stichos.rules.references import CROSS_REFERENCES
 
 SENSE = "$$"
 
@@ -53,17 +56,24 @@ def grammar_head(core) -> Column:
     return F.coalesce(*ways, upto(c, ":"))
 
 
-def without_cross_references(entries: DataFrame, patterns: list[tuple[str, bool]], core: str = "core") -> DataFrame:
+def _pointing(patterns, core: str) -> list[Column]:
+    bare = F.replace(F.col(core), F.lit(SENSE), F.lit(""))
+    return [F.coalesce((bare if no_sense else F.col(core)).rlike(pattern), F.lit(False)) for pattern, no_sense in patterns]
+
+
+def without_cross_references(entries: DataFrame, patterns=CROSS_REFERENCES, core: str = "core") -> DataFrame:
     """X-12: drop entries that only point to another one.
 
     patterns: (regex, whether the sense mark is taken out first). All are literals in one
     filter, so each is compiled once per task.
     """
-    bare = F.replace(F.col(core), F.lit(SENSE), F.lit(""))
-    hit = F.lit(False)
-    for pattern, no_sense in patterns:
-        hit = hit | F.coalesce((bare if no_sense else F.col(core)).rlike(pattern), F.lit(False))
-    return entries.filter(~hit)
+    return entries.filter(~reduce(or_, _pointing(patterns, core)))
+
+
+def cross_reference_hits(entries: DataFrame, patterns=CROSS_REFERENCES, core: str = "core") -> DataFrame:
+    """How many entries each pattern takes: (pattern, n), in one pass."""
+    counts = entries.agg(*[F.count_if(hit).alias(f"_{k}") for k, hit in enumerate(_pointing(patterns, core))])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("pattern"), F.col(f"_{k}").alias("n")) for k in range(len(patterns))])))
 
 
 def classify(entries: DataFrame, exact: DataFrame | None, rounds: list[list[tuple[str, str, str]]],

@@ -144,8 +144,8 @@ def line_readings(lines: DataFrame, tokens: DataFrame, keys: list[str], readings
     # an array without words still yields the row of its line
     cells = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("_w", F.array().cast("array<string>")))
     words = held.select(*by, "_line", F.posexplode(cells).alias("pos", "raw")).filter("pos = 0 OR raw <> ''")
-    words = words.select(*by, "pos", "raw", F.when(F.col("pos") == 0, F.col("_line")).alias("_line"),
-                         F.when(F.col("pos") > 0, tx.standardize("raw")).otherwise(F.concat(F.lit("#"), F.xxhash64(*by).cast("string"))).alias("token"))
+    words = tx.standardized(words.select(*by, "pos", "raw", F.when(F.col("pos") == 0, F.col("_line")).alias("_line")))
+    words = words.withColumn("token", F.coalesce("token", F.concat(F.lit("#"), F.xxhash64(*by).cast("string"))))
     sounds_of = sorted({c for c, _ in readings.values()})
     known = salted_join(words, tokens.select("token", *sounds_of, "enclitic", "proclitic"), ["token"], salt_by=[*by, "pos"], salts=salts)
 

@@ -10,18 +10,18 @@ from stichos.functions import text as tx
 def tokens_of_lines(lines: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """N-10: cleaned line text and its standardised tokens, one row per token.
 
-    Only distinct work per token: standardising is a Column, no join. Empty tokens (from
+    Standardising is narrow, no join. Empty tokens (from
     the final blank) are dropped.
     """
     clean = lines.select(*keys, tx.clean_verse(text).alias("clean"))
     words = clean.select(*keys, F.posexplode(F.split("clean", " ")).alias("pos", "raw")).filter("raw <> ''")
-    return words.withColumn("token", tx.standardize("raw"))
+    return tx.standardized(words)
 
 
 def tokens_of_blocks(lines: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """N-11: tokens after the block cleaner, per line and without building a block."""
     words = lines.select(*keys, F.posexplode(F.split(tx.clean_block(text), " ")).alias("pos", "raw"))
-    return words.filter("raw <> ''").withColumn("token", tx.standardize("raw"))
+    return tx.standardized(words.filter("raw <> ''"))
 
 
 def tokens_of_wrapped_blocks(lines: DataFrame, keys: list[str], line: str = "line", text: str = "text") -> DataFrame:
@@ -43,7 +43,7 @@ def tokens_of_wrapped_blocks(lines: DataFrame, keys: list[str], line: str = "lin
     own = F.when(F.coalesce("_taken", F.lit(False)) & ~F.col("_text").rlike(r"^[^\s]*- *$"), F.regexp_replace("_text", r"^[^\s]*", "")).otherwise(F.col("_text"))
     whole = F.when(own.rlike(r"- *$"), F.concat(F.regexp_replace(own, r"- *$", ""), F.coalesce("_next", F.lit("")))).otherwise(own)
     words = met.select(*keys, F.col("_at").alias(line), F.posexplode(F.split(tx.block_words(whole), " ")).alias("pos", "raw"))
-    return words.filter("raw <> ''").withColumn("token", tx.standardize("raw"))
+    return tx.standardized(words.filter("raw <> ''"))
 
 
 def vocabulary(tokens: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -177,3 +177,52 @@ def test_grid_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     right = [r for r in log if r.cell == "all -> scale -> logistic"]
     assert sum(r.pred == r.label for r in right) > 50
     assert all(r.pred is None for r in log if r.cell.startswith("lasso 0.40 -> pca3"))  # too few features are left for three components
+
+
+# ---- classifiers ---------------------------------------------------------------------------------------------
+
+def blobs(spark, n=160, width=3, labels=2, seed=6):
+    rng = np.random.default_rng(seed)
+    y = np.arange(n) % labels
+    x = rng.normal(size=(n, width)) + 1.2 * np.eye(max(width, labels))[y][:, :width]
+    return x, y, spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(n)], "x array<double>, label int").withColumn("x", le.array_to_vector("x"))
+
+
+def test_logistic_regression_is_at_the_minimum(spark):
+    x, y, df = blobs(spark)
+    n = len(y)
+    model = le.classifier("logistic", n, 2).fit(df)
+    w, b = model.coefficients.toArray(), model.intercept
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    # mean loss plus |w|^2 / (2n): a unit penalty on the sum of losses; the intercept is free
+    assert x.T @ (p - y) / n + w / n == pytest.approx(np.zeros(3), abs=1e-4) and (p - y).mean() == pytest.approx(0, abs=1e-4)
+
+
+def test_linear_machine_is_near_the_minimum(spark):
+    x, y, df = blobs(spark)
+    n, sign = len(y), 2 * y - 1
+    model = le.classifier("svm", n, 2, steps=200).fit(df)
+    cost = lambda w, b: np.maximum(0, 1 - sign * (x @ w + b)).mean() + w @ w / (2 * n)
+    best = cost(model.coefficients.toArray(), model.intercept)
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        step = rng.normal(scale=rng.choice([0.01, 0.1, 0.5]), size=4)
+        assert cost(model.coefficients.toArray() + step[:3], model.intercept + step[3]) > best - 2e-3
+
+
+def test_more_labels_and_trees(spark):
+    x, y, df = blobs(spark, 300, 4, 3)
+    for kind in ("svm", "forest", "logistic"):
+        model = le.classifier(kind, 300, 3).fit(df)
+        got = [r.prediction for r in model.transform(df).collect()]
+        assert np.mean(np.array(got) == y) > 0.6
+    again = [r.prediction for r in le.classifier("forest", 300, 3).fit(df).transform(df).collect()]
+    assert again == [r.prediction for r in le.classifier("forest", 300, 3).fit(df).transform(df).collect()]
+
+
+def test_random_features_approach_the_kernel(spark):
+    x, _, _ = blobs(spark, 40)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
+    z = np.array([r.z for r in rows.select("i", le.fourier_features(F.col("v"), 3, n_out=4096).alias("z")).orderBy("i").collect()])
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / 3)
+    assert np.abs(z @ z.T - kernel).max() < 0.12
