@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -17,13 +18,13 @@ from stichos.llm.common import cut, held_out, parallelism, slices, texts_of
 from stichos.llm.suffix_dedup import pack, unpack
 
 CONTEXTS, SAMPLES, STRENGTH, SEED = 4096, 2, 1.0, 17
-EXACT_CUSTOMERS = 64
+EXACT_CUSTOMERS, MOST_CUSTOMERS, SPARE, CELLS = 64, 1024, 16, 1 << 20
 ROWS, BUCKETS_PER_PARTITION = 50_000, 4
 HOT_SHARE, HOT_LEAST, SALTS = 1024, 512, 16                           # a token is hot in a slice with 1/HOT_SHARE of its tokens, and HOT_LEAST
 PAIRS, COUNTS, HOT = 0, 1, 2                                          # kinds of blobs: occurrences, counts of hot tokens, occurrences of hot tokens
 HELD_PAIRS = 1 << 20
 HELD_SUMS = 2_000_000                                                 # sums by document that a task adds up over buckets before it sends them
-SUMS = (np.float32, np.float64, np.uint32)                            # partial sums of a document: score, base score, known tokens
+SUMS = (np.float64, np.float64, np.uint32)                            # partial sums of a document: score, base score, known tokens
 END, START = 0x5E5E5E5E5E5E5E5E, 0x1717171717171717
 M1 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,20 +106,45 @@ def occurrence_blobs(batches: Iterator[pa.RecordBatch], buckets: int, share: int
             number += 1
 
 
-def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers were seated one after another.
+@lru_cache(maxsize=4)
+def log_stirling(n: int, discount: float) -> np.ndarray:
+    """Logarithms of the weights S(c, t) of all ways to seat c customers of one dish at t tables, c and t up to n: a table of k customers weighs
+    (1 - discount) (2 - discount) ... (k - 1 - discount)."""
+    out = np.full((n + 1, n + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(n):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore"):
+            stay = out[c, 1:c + 2] + np.log(np.maximum(c - t * discount, 0))
+        out[c + 1, 1:c + 2] = np.logaddexp(out[c, :c + 1], stay)
+    return out
 
-    `new` is the weight of a new table, i - discount * tables that of the tables there are once i customers sit. The first
-    EXACT_CUSTOMERS of a dish are seated singly; later ones in blocks of a quarter of those who sit, with the weights at the block's start.
+
+def seat(customers: np.ndarray, others: np.ndarray, chance: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish, drawn given all other dishes: its customers leave their restaurant and are seated again together.
+
+    `others` are the tables of the restaurant's other dishes, `chance` is the probability of the dish at a new table. t tables weigh
+    S(c, t) chance^t (STRENGTH + discount others) (STRENGTH + discount (others + 1)) ... (t factors), and the draw is from these weights. Where customers are
+    many (over EXACT_CUSTOMERS, and over SPARE for each table expected; always over MOST_CUSTOMERS), the weights no longer depend on their
+    number: t - 1 is then negative binomial, with STRENGTH / discount + others + 1 successes of probability 1 - chance.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    i, left = 1, np.flatnonzero(customers > 1)
-    while len(left):
-        block = 1 if i < EXACT_CUSTOMERS else i // 4
-        chance = new[left] / (new[left] + i - discount * tables[left])
-        tables[left] += rng.binomial(np.minimum(block, customers[left] - i), chance)
-        i += block
-        left = left[customers[left] > i]
+    chance = np.minimum(chance, 1 - 1e-9)
+    successes = STRENGTH / discount + others + 1
+    many = (customers > EXACT_CUSTOMERS) & ((SPARE * (1 + successes * chance / (1 - chance)) < customers) | (customers > MOST_CUSTOMERS))
+    tables[many] = np.minimum(1 + rng.negative_binomial(successes[many], 1 - chance[many]), customers[many])
+    rest = np.flatnonzero((customers > 1) & ~many)
+    rest = rest[np.argsort(customers[rest], kind="stable")]
+    sizes, starts = np.unique(customers[rest], return_index=True)
+    if not len(sizes):
+        return tables
+    weights = log_stirling(EXACT_CUSTOMERS if sizes[-1] <= EXACT_CUSTOMERS else MOST_CUSTOMERS, discount)
+    for c, low, high in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(rest)]):
+        rows = max(1, CELLS // c)
+        for at in range(low, high, rows):
+            pick = rest[at:min(high, at + rows)]
+            steps = np.log(STRENGTH + discount * (others[pick][:, None] + np.arange(c))) + np.log(chance[pick])[:, None]
+            tables[pick] = (np.cumsum(steps, axis=1) + weights[c, 1:c + 1] + rng.gumbel(size=steps.shape)).argmax(axis=1) + 1
     return tables
 
 
@@ -185,14 +211,21 @@ class Bucket:
                 + (STRENGTH + t.root_discount * tables) / (t.n_types + 1)) / (STRENGTH + customers)
 
     def sweep(self, state: tuple[np.ndarray, ...], t: Totals, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Seats all customers anew, given the state after the sweep before; the same seed gives the same seats wherever it runs."""
+        """One Gibbs sweep: every dish is seated again, given the tables of all others after the sweep before and without its own.
+
+        All dishes move at once, given the same totals, as buckets are worked through apart. The same seed gives the same seats wherever it runs.
+        """
         rng = np.random.default_rng([SEED, sweep, self.number])
-        chance = self.root_chance(state[1], state[2], t, sweep)
-        new = (STRENGTH + t.discount * t.tables[sweep][self.pair_context]) * chance[self.pair_token]
-        tables = seat(self.count, new, t.discount, rng)
+        tables, root, root_tables = state
+        root_customers, all_root_tables = t.root[sweep]
+        mine = root[self.pair_token] - tables                          # the dish's customers in the root, without those of this restaurant
+        theirs = np.minimum(root_tables[self.pair_token], mine)
+        chance = (np.maximum(mine - t.root_discount * theirs, 0) + (STRENGTH + t.root_discount * all_root_tables) / (t.n_types + 1)) \
+            / (STRENGTH + root_customers - tables)
+        tables = seat(self.count, np.maximum(t.tables[sweep][self.pair_context] - tables, 0), chance, t.discount, rng)
         root = np.bincount(self.pair_token, tables, len(self.token_count)).astype(np.int64)
-        weight = np.full(len(root), (STRENGTH + t.root_discount * t.root[sweep][1]) / (t.n_types + 1))
-        return tables, root, seat(root, weight, t.root_discount, rng)
+        uniform = np.full(len(root), 1 / (t.n_types + 1))
+        return tables, root, seat(root, np.maximum(all_root_tables - root_tables, 0), uniform, t.root_discount, rng)
 
     def states(self, t: Totals) -> list[tuple[np.ndarray, ...]]:
         out = [self.first_state()]

@@ -197,6 +197,71 @@ def test_no_bucket_has_all_occurrences_of_a_hot_token():
     assert b.token_count[b.types == the].tolist() == [8 * 4 * 8000] and len(b.count) < 3 * pitman_yor.CONTEXTS
 
 
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1:]]
+        yield [[items[0]], *rest]
+
+
+def test_weights_of_all_seatings():
+    d = 0.35
+    weights = pitman_yor.log_stirling(7, d)
+    for c in range(1, 8):
+        total = Counter()
+        for tables in partitions(list(range(c))):
+            total[len(tables)] += math.prod(math.prod(k - d for k in range(1, len(x))) for x in tables)
+        assert [math.exp(w) for w in weights[c, 1:c + 1]] == pytest.approx([total[t] for t in range(1, c + 1)])
+
+
+def one_by_one(c, others, chance, d, rounds, rng):
+    """Tables of a dish by a Gibbs sampler that removes one customer at a time and seats it again."""
+    tables, found = [c], Counter()
+    for step in range(rounds):
+        sizes = np.array(tables, dtype=float)
+        k = rng.choice(len(tables), p=sizes / sizes.sum())
+        tables[k] -= 1
+        tables = [x for x in tables if x]
+        new = (pitman_yor.STRENGTH + d * (others + len(tables))) * chance
+        p = np.array([x - d for x in tables] + [new])
+        k = rng.choice(len(p), p=p / p.sum())
+        if k == len(tables):
+            tables.append(1)
+        else:
+            tables[k] += 1
+        if step > 200:
+            found[len(tables)] += 1
+    return np.array([found[t] for t in range(1, c + 1)]) / sum(found.values())
+
+
+@pytest.mark.parametrize("c,others,chance,d", [(2, 0, 0.5, 0.5), (7, 3, 0.2, 0.6), (12, 40, 0.01, 0.8)])
+def test_seats_follow_a_sampler_of_single_customers(c, others, chance, d):
+    rng = np.random.default_rng(3)
+    n = 20_000
+    drawn = pitman_yor.seat(np.full(n, c), np.full(n, others), np.full(n, chance), d, rng)
+    share = np.bincount(drawn, minlength=c + 1)[1:] / n
+    assert np.abs(share - one_by_one(c, others, chance, d, 30_000, rng)).max() < 0.025
+
+
+@pytest.mark.parametrize("c,others,chance,d", [(70, 50, 0.02, 0.7), (400, 5, 0.3, 0.5), (1000, 10_000, 0.005, 0.8), (1000, 100_000, 0.004, 0.5), (3000, 1000, 0.001, 0.8)])
+def test_seats_of_many_customers(c, others, chance, d):
+    """Against the weights themselves, summed up for all numbers of tables."""
+    n, t = 4000, np.arange(1, c + 1)
+    drawn = pitman_yor.seat(np.full(n, c), np.full(n, others), np.full(n, chance), d, np.random.default_rng(2))
+    w = pitman_yor.log_stirling(c, d)[c, 1:] + np.cumsum(np.log(pitman_yor.STRENGTH + d * (others + np.arange(c)))) + t * np.log(chance)
+    w = np.exp(w - w.max())
+    w /= w.sum()
+    mean, spread = (w * t).sum(), np.sqrt((w * t * t).sum() - (w * t).sum() ** 2)
+    assert drawn.mean() == pytest.approx(mean, rel=0.06) and drawn.std() == pytest.approx(spread, rel=0.12)
+
+
+def test_seats_of_none_and_one():
+    assert pitman_yor.seat(np.array([1, 0, 1]), np.zeros(3), np.full(3, 0.1), 0.5, np.random.default_rng(1)).tolist() == [1, 0, 1]
+
+
 def test_language_model_on_nothing(documents):
     assert pitman_yor.score_documents(documents([])).count() == 0
     r = pitman_yor.score_documents(documents([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1), "all held out")])).first()
