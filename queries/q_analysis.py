@@ -26,7 +26,7 @@ def query(name, sql=None):
 
 # ---- V-*: documents stand for rows of the matrix: the source is the text, the id the part ------------------
 
-TEXTS = [r.split(" | ")[0].strip() for r in corpus.MANIFEST.strip().splitlines()]
+TEXTS = [r[0] for r in corpus.MANIFEST]
 
 
 def _rows(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from queries import common as c
 from stichos.functions import text as tx
 from stichos.operators import tokens as tk
+from stichos.plans import pipeline
 from stichos.sources import corpus, json_arrays as ja
 
 QUERIES: dict = {}
@@ -51,6 +52,43 @@ def manifest_filter(spark, sf):
     return kept.groupBy("text_name").agg(F.count("*").alias("n_lines"))
 
 
+# documents dealt to the 31 texts of the corpus, and the corpus written out for SQL
+def _corpus_lines(spark, sf):
+    names = F.array(*[F.lit(r[0]) for r in corpus.MANIFEST])
+    return c.doc_lines(spark, sf).withColumn("text_name", F.element_at(names, (F.col("doc_id") % 31 + 1).cast("int")))
+
+
+_CORPUS = c.SQL_LINES + """,
+mf(k, name, author, books, divided, skipped, combined, part) AS (VALUES (0, 'Iliad', 'Homer', 24, true, false, false, false), (1, 'Odyssey', 'Homer', 24, true, false, false, false), (2, 'Hymns', 'Anonymous', 33, false, false, false, false),
+(3, 'HymnsLong', 'Anonymous', 5, true, true, false, false), (4, 'HymnsShort', 'Anonymous', 1, false, true, false, false), (5, 'CallimachusHymns', 'Callimachus', 6, false, false, false, false), (6, 'Abduction of Helen', 'Colluthus', 1, false, false, false, false),
+(7, 'Shield of Heracles', 'Hesiod', 1, false, false, false, false), (8, 'Theogony', 'Hesiod', 1, false, false, false, false), (9, 'Works and Days', 'Hesiod', 1, false, false, false, false), (10, 'Epitaphius Bios', 'Moschus', 1, false, false, false, true),
+(11, 'Eros Drapeta', 'Moschus', 1, false, false, false, true), (12, 'Europa', 'Moschus', 1, false, false, false, true), (13, 'Megara', 'Moschus', 1, false, false, false, true), (14, 'Dionysiaca', 'Nonnus of Panopolis', 48, true, false, false, false),
+(15, 'Cynegetica', 'Oppian of Apamea', 4, true, false, false, false), (16, 'Halieutica', 'Oppian', 5, true, false, false, false), (17, 'Fall of Troy', 'Quintus Smyrnaeus', 14, true, false, false, false), (18, 'Idylls_Eidulia', 'Theocritus', 30, false, false, false, true),
+(19, 'Idylls_Epigrams', 'Theocritus', 24, false, false, false, true), (20, 'The Taking of Ilios', 'Tryphiodorus', 1, false, false, false, false), (21, 'Argonautica', 'Apollonius Rhodius', 4, true, false, false, false), (22, 'Phaenomena', 'Aratus Solensis', 1, false, false, false, false),
+(23, 'Epithalamium Achillis et Deidameiae', 'Bion of Phlossa', 1, false, false, false, true), (24, 'Epitaphius Adonis', 'Bion of Phlossa', 1, false, false, false, true), (25, 'Fragmenta', 'Bion of Phlossa', 1, false, false, false, true),
+(26, 'Works of Moschus', 'Moschus', 1, false, false, true, false), (27, 'Idylls', 'Theocritus', 1, false, false, true, false), (28, 'Works of Bion', 'Bion of Phlossa', 1, false, false, true, false), (29, 'Iliad1', 'Homer', 1, false, true, false, false), (30, 'Odyssey1', 'Homer', 1, false, true, false, false)),
+sr(whole, source_pos, source) AS (VALUES ('Works of Moschus', 0, 'Epitaphius Bios'), ('Works of Moschus', 1, 'Eros Drapeta'), ('Works of Moschus', 2, 'Europa'), ('Works of Moschus', 3, 'Megara'), ('Idylls', 0, 'Idylls_Eidulia'), ('Idylls', 1, 'Idylls_Epigrams'),
+('Works of Bion', 0, 'Epithalamium Achillis et Deidameiae'), ('Works of Bion', 1, 'Epitaphius Adonis'), ('Works of Bion', 2, 'Fragmenta')),
+cl0 AS (SELECT doc_id, name, book, line, text FROM lines JOIN mf ON doc_id % 31 = k)"""
+
+
+@query("c02_corpus_manifest", f"""WITH {_CORPUS} SELECT name AS text_name, author, books AS num_books, divided AS divide_by_book, skipped AS skip_for_accuracy, combined AS is_combined, part AS to_be_combined, count(doc_id) AS n_lines
+FROM mf LEFT JOIN cl0 USING (name) GROUP BY ALL""")
+def corpus_manifest(spark, sf):
+    texts = corpus.manifest(spark).drop("increments", "source_texts")
+    n = _corpus_lines(spark, sf).groupBy("text_name").agg(F.count("*").alias("n_lines"))
+    return texts.join(n, "text_name", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+
+
+@query("c03_c04_whole_corpus", f"""WITH {_CORPUS}, al AS (SELECT name, 0 AS source_pos, book, text FROM cl0 UNION ALL SELECT whole, source_pos, book, text FROM cl0 JOIN sr ON source = name)
+SELECT al.name AS text_name, source_pos, NOT skipped AND NOT part AS counted, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM al JOIN mf ON mf.name = al.name WHERE NOT part GROUP BY ALL""")
+def whole_corpus(spark, sf):
+    every = pipeline.corpus_with_combinations(spark, _corpus_lines(spark, sf))
+    counted = corpus.counted_texts(every, corpus.manifest(spark)).select("text_name").distinct().withColumn("counted", F.lit(True))
+    per = every.groupBy("text_name", "source_pos").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+    return per.join(counted, "text_name", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
+
+
 def _combinations(spark, sf):
     texts = c.documents(spark, sf).select("text_name").distinct()
     return texts.filter("text_name IN ('de', 'fr')").select(

@@ -121,7 +121,7 @@ def lemma_pos(spark, sf):
 
 # Stem classes: lemmas of every block made of tokens, with the forms that their probes look for, some left out and some in another case
 STEMS = [("h", "noun"), ("h/", "noun"), ("ia", "noun"), ("ra/", "noun"), ("va", "noun"), ("hs", "noun"), ("h/s", "noun"), ("ias", "noun"), ("ra/s", "noun"), ("eu/s", "noun"), ("is", "noun"), ("i/s", "noun"),
-         ("os", "adj"), ("o/s", "adj"), ("u/s", "adj"), ("o/eis", "adj"), ("os", "noun"), ("o/s", "noun"), ("us", "noun"), ("os", "verb")]
+         ("os", "adj"), ("o/s", "adj"), ("u/s", "adj"), ("o/eis", "adj"), ("os", "noun"), ("o/s", "noun"), ("us", "noun"), ("os", "verb"), ("eis", "adj"), ("ei=ra", "noun"), ("a/stria", "noun")]
 # block, what the lemma ends in, letters cut, accent, ending, case, number, gender, class
 _PROBE_ROWS = """pb(no, block, needs, cut, accent, ending, c, n, g, cls) AS (VALUES
 (0, 1, 'h', 1, '-', 'hs', 'gen', 'sg', 'fem', 'alpha_stem_-h'), (1, 1, 'h/', 2, '-', 'h=s', 'gen', 'sg', 'fem', 'alpha_stem_-h'),

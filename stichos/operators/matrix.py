@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stichos.operators.line_features import COUNTERS
 from stichos.rules import table, votes
 
+# The names of features, here and in the two functions below.
 RUN_TYPES = ("Single Double", "Double Double", "Triple", "Quadruple", "Quintuple")
 MUTE_LIQUID = ("r/l/n/m", "r/l", "n/m")
 

@@ -26,51 +26,45 @@ BLOCKS = (
     (11, "right(clean, 2) = 'os' AND array_contains(pos_set, 'noun')"),
 )
 
-# block | lemma ends in | letters cut | accent moves | ending | case number gender (- any) | class
-PROBES = f"""
-1 | h | 1 | - | hs | gen sg fem | {LONG_H}
-1 | h/ | 2 | - | h=s | gen sg fem | {LONG_H}
-2 | a | 1 | - | ai | nom pl fem | eir
-2 | a | 1 | moves | as | gen sg fem | eir
-2 | a/ | 2 | - | ai/ | nom pl fem | eir
-2 | a/ | 2 | - | a=s | gen sg fem | eir
-3 | | 1 | - | ai | nom pl fem | {SHORT_A}
-3 | | 1 | moves | as | gen sg fem | {SHORT_A}
-4 | hs | 2 | - | ou | gen sg masc | {LONG_H}
-4 | hs | 2 | - | hn | acc sg masc | {LONG_H}
-4 | h/s | 3 | - | ou= | gen sg masc | {LONG_H}
-4 | h/s | 3 | - | h/n | acc sg masc | {LONG_H}
-5 | as | 2 | - | ou | gen sg masc | {LONG_A}
-5 | as | 2 | - | hn | acc sg masc | {LONG_A}
-5 | a/s | 3 | - | ou= | gen sg masc | {LONG_A}
-5 | a/s | 3 | - | h/n | acc sg masc | {LONG_A}
-6 | | 4 | - | e/ws | gen sg - | {DIGAMMA}
-7 | is | 2 | - | ews | gen sg - | {IOTA}
-7 | i/s | 3 | - | e/ws | gen sg - | {IOTA}
-8 | os | 2 | - | ai | nom pl fem | {ADJ_3}
-8 | os | 2 | moves | hs | gen sg fem | {ADJ_3}
-8 | os | 2 | - | oi | nom pl - | {ADJ_2}
-8 | os | 2 | moves | ou | gen sg - | {ADJ_2}
-8 | o/s | 3 | - | ai/ | nom pl fem | {ADJ_3}
-8 | o/s | 3 | - | h=s | gen sg fem | {ADJ_3}
-8 | o/s | 3 | - | oi/ | nom pl - | {ADJ_2}
-8 | o/s | 3 | - | ou= | gen sg - | {ADJ_2}
-9 | | 3 | - | ei=a | nom sg fem | {ADJ_US}
-10 | | 3 | drops | e/ssas | gen sg fem | {ADJ_EIS}
-11 | os | 2 | moves | ou | gen sg - | {OMICRON}
-11 | os | 2 | - | ous | gen sg - | {SIGMA}
-11 | o/s | 3 | - | ou= | gen sg - | {OMICRON}
-11 | o/s | 3 | - | ou=s | gen sg - | {SIGMA}
-"""
+# Block, what the lemma ends in, letters cut, accent, ending, case, number, gender (None any), class
+PROBES = (
+    (1, "h", 1, "-", "hs", "gen", "sg", "fem", LONG_H),
+    (1, "h/", 2, "-", "h=s", "gen", "sg", "fem", LONG_H),
+    (2, "a", 1, "-", "ai", "nom", "pl", "fem", "eir"),
+    (2, "a", 1, "moves", "as", "gen", "sg", "fem", "eir"),
+    (2, "a/", 2, "-", "ai/", "nom", "pl", "fem", "eir"),
+    (2, "a/", 2, "-", "a=s", "gen", "sg", "fem", "eir"),
+    (3, "", 1, "-", "ai", "nom", "pl", "fem", SHORT_A),
+    (3, "", 1, "moves", "as", "gen", "sg", "fem", SHORT_A),
+    (4, "hs", 2, "-", "ou", "gen", "sg", "masc", LONG_H),
+    (4, "hs", 2, "-", "hn", "acc", "sg", "masc", LONG_H),
+    (4, "h/s", 3, "-", "ou=", "gen", "sg", "masc", LONG_H),
+    (4, "h/s", 3, "-", "h/n", "acc", "sg", "masc", LONG_H),
+    (5, "as", 2, "-", "ou", "gen", "sg", "masc", LONG_A),
+    (5, "as", 2, "-", "hn", "acc", "sg", "masc", LONG_A),
+    (5, "a/s", 3, "-", "ou=", "gen", "sg", "masc", LONG_A),
+    (5, "a/s", 3, "-", "h/n", "acc", "sg", "masc", LONG_A),
+    (6, "", 4, "-", "e/ws", "gen", "sg", None, DIGAMMA),
+    (7, "is", 2, "-", "ews", "gen", "sg", None, IOTA),
+    (7, "i/s", 3, "-", "e/ws", "gen", "sg", None, IOTA),
+    (8, "os", 2, "-", "ai", "nom", "pl", "fem", ADJ_3),
+    (8, "os", 2, "moves", "hs", "gen", "sg", "fem", ADJ_3),
+    (8, "os", 2, "-", "oi", "nom", "pl", None, ADJ_2),
+    (8, "os", 2, "moves", "ou", "gen", "sg", None, ADJ_2),
+    (8, "o/s", 3, "-", "ai/", "nom", "pl", "fem", ADJ_3),
+    (8, "o/s", 3, "-", "h=s", "gen", "sg", "fem", ADJ_3),
+    (8, "o/s", 3, "-", "oi/", "nom", "pl", None, ADJ_2),
+    (8, "o/s", 3, "-", "ou=", "gen", "sg", None, ADJ_2),
+    (9, "", 3, "-", "ei=a", "nom", "sg", "fem", ADJ_US),
+    (10, "", 3, "drops", "e/ssas", "gen", "sg", "fem", ADJ_EIS),
+    (11, "os", 2, "moves", "ou", "gen", "sg", None, OMICRON),
+    (11, "os", 2, "-", "ous", "gen", "sg", None, SIGMA),
+    (11, "o/s", 3, "-", "ou=", "gen", "sg", None, OMICRON),
+    (11, "o/s", 3, "-", "ou=s", "gen", "sg", None, SIGMA),
+)
 EIR = {False: LONG_A, True: EIR_SHORT_A}
 
 
 def probes() -> list[tuple]:
     """(no, block, needs, cut, accent, ending, case, number, gender, class)."""
-    out = []
-    for no, row in enumerate(PROBES.strip().splitlines()):
-        block, needs, cut, accent, ending, want, cls = (x.strip() for x in row.split("|"))
-        case, number, gender = want.split()
-        out.append((no, int(block), needs, int(cut), accent, ending, case, number,
-                    None if gender == "-" else gender, cls))
-    return out
+    return [(no, *row) for no, row in enumerate(PROBES)]

@@ -20,52 +20,51 @@ EDITORIAL = r"((†|&#8224;).*?(†|&#8224;))|(\[.*?\])|(<.*?>)"
 MANIFEST_TYPE = ("text_name string, author string, num_books int, increments array<int>, divide_by_book boolean, "
                  "skip_for_accuracy boolean, is_combined boolean, to_be_combined boolean, source_texts array<string>")
 
-# The corpus. Columns: name | author | books | flags | sources; flags are
-# d divided by book, s not counted for accuracy, c combined from the sources, p part of a combination.
-MANIFEST = """
-Iliad | Homer | 24 | d |
-Odyssey | Homer | 24 | d |
-Hymns | Anonymous | 33 | |
-HymnsLong | Anonymous | 5 | ds |
-HymnsShort | Anonymous | 1 | s |
-CallimachusHymns | Callimachus | 6 | |
-Abduction of Helen | Colluthus | 1 | |
-Shield of Heracles | Hesiod | 1 | |
-Theogony | Hesiod | 1 | |
-Works and Days | Hesiod | 1 | |
-Epitaphius Bios | Moschus | 1 | p |
-Eros Drapeta | Moschus | 1 | p |
-Europa | Moschus | 1 | p |
-Megara | Moschus | 1 | p |
-Dionysiaca | Nonnus of Panopolis | 48 | d |
-Cynegetica | Oppian of Apamea | 4 | d |
-Halieutica | Oppian | 5 | d |
-Fall of Troy | Quintus Smyrnaeus | 14 | d |
-Idylls_Eidulia | Theocritus | 30 | p |
-Idylls_Epigrams | Theocritus | 24 | p |
-The Taking of Ilios | Tryphiodorus | 1 | |
-Argonautica | Apollonius Rhodius | 4 | d |
-Phaenomena | Aratus Solensis | 1 | |
-Epithalamium Achillis et Deidameiae | Bion of Phlossa | 1 | p |
-Epitaphius Adonis | Bion of Phlossa | 1 | p |
-Fragmenta | Bion of Phlossa | 1 | p |
-Works of Moschus | Moschus | 1 | c | Epitaphius Bios; Eros Drapeta; Europa; Megara
-Idylls | Theocritus | 1 | c | Idylls_Eidulia; Idylls_Epigrams
-Works of Bion | Bion of Phlossa | 1 | c | Epithalamium Achillis et Deidameiae; Epitaphius Adonis; Fragmenta
-Iliad1 | Homer | 1 | s |
-Odyssey1 | Homer | 1 | s |
-"""
+# The corpus. Name, author, books, divided by book, not counted for accuracy, combined, part of a combination, sources.
+MANIFEST = (
+    ("Iliad", "Homer", 24, True, False, False, False, ()),
+    ("Odyssey", "Homer", 24, True, False, False, False, ()),
+    ("Hymns", "Anonymous", 33, False, False, False, False, ()),
+    ("HymnsLong", "Anonymous", 5, True, True, False, False, ()),
+    ("HymnsShort", "Anonymous", 1, False, True, False, False, ()),
+    ("CallimachusHymns", "Callimachus", 6, False, False, False, False, ()),
+    ("Abduction of Helen", "Colluthus", 1, False, False, False, False, ()),
+    ("Shield of Heracles", "Hesiod", 1, False, False, False, False, ()),
+    ("Theogony", "Hesiod", 1, False, False, False, False, ()),
+    ("Works and Days", "Hesiod", 1, False, False, False, False, ()),
+    ("Epitaphius Bios", "Moschus", 1, False, False, False, True, ()),
+    ("Eros Drapeta", "Moschus", 1, False, False, False, True, ()),
+    ("Europa", "Moschus", 1, False, False, False, True, ()),
+    ("Megara", "Moschus", 1, False, False, False, True, ()),
+    ("Dionysiaca", "Nonnus of Panopolis", 48, True, False, False, False, ()),
+    ("Cynegetica", "Oppian of Apamea", 4, True, False, False, False, ()),
+    ("Halieutica", "Oppian", 5, True, False, False, False, ()),
+    ("Fall of Troy", "Quintus Smyrnaeus", 14, True, False, False, False, ()),
+    ("Idylls_Eidulia", "Theocritus", 30, False, False, False, True, ()),
+    ("Idylls_Epigrams", "Theocritus", 24, False, False, False, True, ()),
+    ("The Taking of Ilios", "Tryphiodorus", 1, False, False, False, False, ()),
+    ("Argonautica", "Apollonius Rhodius", 4, True, False, False, False, ()),
+    ("Phaenomena", "Aratus Solensis", 1, False, False, False, False, ()),
+    ("Epithalamium Achillis et Deidameiae", "Bion of Phlossa", 1, False, False, False, True, ()),
+    ("Epitaphius Adonis", "Bion of Phlossa", 1, False, False, False, True, ()),
+    ("Fragmenta", "Bion of Phlossa", 1, False, False, False, True, ()),
+    ("Works of Moschus", "Moschus", 1, False, False, True, False, ("Epitaphius Bios", "Eros Drapeta", "Europa", "Megara")),
+    ("Idylls", "Theocritus", 1, False, False, True, False, ("Idylls_Eidulia", "Idylls_Epigrams")),
+    ("Works of Bion", "Bion of Phlossa", 1, False, False, True, False, ("Epithalamium Achillis et Deidameiae", "Epitaphius Adonis", "Fragmenta")),
+    ("Iliad1", "Homer", 1, False, True, False, False, ()),
+    ("Odyssey1", "Homer", 1, False, True, False, False, ()),
+)
 
 # First line of every page for texts that are split into pages (cards) or
 # that use only some of their numbered pieces.
 INCREMENTS = {
-    "HymnsShort": list(range(6, 34)),
+    "HymnsShort": [6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32, 33],
     "Shield of Heracles": [1, 39, 78, 115, 154, 178, 216, 245, 280, 327, 365, 402, 443],
     "Theogony": [1, 29, 53, 63, 104, 139, 173, 207, 240, 270, 304, 337, 371, 404, 453, 492, 507, 545, 585, 617,
                  645, 687, 729, 767, 807, 820, 853, 886, 901, 938, 963, 1003],
     "Works and Days": [1, 11, 42, 59, 83, 109, 140, 174, 202, 238, 274, 320, 370, 405, 448, 479, 504, 536, 571,
                        609, 641, 678, 706, 737, 765, 800],
-    "Fragmenta": list(range(3, 19)),
+    "Fragmenta": [3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18],
 }
 
 
@@ -94,11 +93,8 @@ def explode_forms(indexed: DataFrame) -> DataFrame:
 
 def manifest(spark: SparkSession) -> DataFrame:
     """C-2: one row per text."""
-    rows = []
-    for row in MANIFEST.strip().splitlines():
-        name, author, books, flags, sources = (x.strip() for x in row.split("|"))
-        rows.append((name, author, int(books), INCREMENTS.get(name), "d" in flags, "s" in flags,
-                     "c" in flags, "p" in flags, [s.strip() for s in sources.split(";")] if sources else None))
+    rows = [(name, author, books, INCREMENTS.get(name), divided, skipped, combined, part, list(sources) or None)
+            for name, author, books, divided, skipped, combined, part, sources in MANIFEST]
     return spark.createDataFrame(rows, MANIFEST_TYPE)
 
 
