@@ -33,8 +33,17 @@ def rule_votes(prepared: DataFrame, rules=table.RULE_NAMES) -> DataFrame:
     All rules of a parse sit in one array inside a higher-order filter: as 42 plain columns
     they would outgrow the size of one generated method.
     """
-    cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(table.case_expression(r, votes.code_of)).alias("code"))
-                      for r in rules])
+    about = {r: table.lemmas_of(r) for r in rules}
+    cells = lambda some: F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(table.case_expression(r, votes.code_of)).alias("code")) for r in some])
+    of_words, others = [r for r in rules if about[r]], [r for r in rules if not about[r]]
+    # rules about single words are only tried for their lemmas, which few parses have
+    every = []
+    if of_words:
+        words = sorted(set().union(*(about[r] for r in of_words)))
+        every.append(F.when(F.col("lemma").isin(*words), cells(of_words)).otherwise(F.array().cast("array<struct<rule:string,code:int>>")))
+    if others:
+        every.append(cells(others))
+    cells = F.concat(*every)
     # the outer form, because Spark would otherwise evaluate the array once more in a filter
     # (size > 0) that it infers and pushes down
     return prepared.select("token", "parse_no", "n_parses", F.inline_outer(

@@ -11,6 +11,8 @@ The words, endings and votes are fixed values of the analysis.
 
 from __future__ import annotations
 
+import re
+
 # Stem classes a lemma may have.
 ADJ_3, ADJ_2 = "type_1_2_os/a/on_adjective", "type_2nd_decl_adjective"
 ADJ_US, ADJ_EIS = "type_us_eia_u_adjective", "type_eis_essa_en_adjective"
@@ -276,6 +278,17 @@ RULES: dict[str, tuple[str, list[tuple[str, str]]]] = {
 RULE_NAMES = tuple(RULES)
 
 
+def lemmas_of(rule: str) -> set[str] | None:
+    """The lemmas that a rule is about: every arm begins by asking for one of a list. None if some arm does not."""
+    out: set[str] = set()
+    for test, _ in RULES[rule][1]:
+        listed = re.match(r"\(*lemma IN \(((?:'[^']*'(?:, )?)+)\)(?=\)| AND |$)", test)
+        if not listed or " OR " in re.sub(r"\((?:[^()]|'[^']*'|\([^()]*\))*\)", "", test[listed.end():]):
+            return None
+        out.update(re.findall(r"'([^']*)'", listed.group(1)))
+    return out
+
+
 def case_expression(rule: str, code_of, quote: str = "`") -> str:
     """A rule as one SQL CASE that gives the combination code."""
     arms = " ".join(f"WHEN {test} THEN {code_of(votes)}" for test, votes in RULES[rule][1])
