@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from stichos.llm.common import cut, held_out, parallelism, slices, texts_of
 from stichos.llm.suffix_dedup import pack, unpack
 
-CONTEXTS, SAMPLES, STRENGTH, SEED = 4096, 2, 1.0, 17
+CONTEXT_BITS, SAMPLES, STRENGTH, SEED = 15, 2, 1.0, 17
+CONTEXTS = 1 << CONTEXT_BITS                                          # with the mark of a row to learn from, a context takes 16 bits
 EXACT_CUSTOMERS, MOST_CUSTOMERS, SPARE, CELLS = 64, 1024, 16, 1 << 20
 ROWS, BUCKETS_PER_PARTITION = 50_000, 4
 HOT_SHARE, HOT_LEAST, SALTS = 1024, 512, 16                           # a token is hot in a slice with 1/HOT_SHARE of its tokens, and HOT_LEAST
@@ -51,7 +52,7 @@ def tokens_of(texts: list[str], known: Hashes) -> tuple[np.ndarray, np.ndarray,
     token = np.concatenate(parts)
     before = np.concatenate([[np.uint64(START)], token[:-1]])
     before[np.cumsum(count) - count] = START
-    return token, ((before * M1) >> np.uint64(52)).astype(np.int64) % CONTEXTS, count
+    return token, ((before * M1) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64), count
 
 
 def hot_bucket(token: np.ndarray, salt: int, buckets: int) -> np.ndarray:
@@ -73,14 +74,14 @@ def occurrence_blobs(batches: Iterator[pa.RecordBatch], buckets: int, share: int
             train = ~np.array(part.column("held_out").to_pylist(), dtype=bool)
             doc = np.repeat(np.arange(len(count)), count)
             order = np.argsort(token, kind="stable")
-            token, mark, doc = token[order], (context | train[doc] << 12).astype(np.uint16)[order], doc[order].astype(np.uint16)
+            token, mark, doc = token[order], (context | train[doc].astype(np.int64) << CONTEXT_BITS).astype(np.uint16)[order], doc[order].astype(np.uint16)
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             unique, times = token[first], np.diff(np.append(first, len(token)))
             hot = times >= max(least, len(token) / share)
             if hot.any():
                 at, of = np.repeat(hot, times), np.repeat(np.cumsum(hot) - 1, times)
                 pair, inverse = np.unique(of[at] * CONTEXTS + (mark[at] & CONTEXTS - 1), return_inverse=True)
-                learned = np.bincount(inverse, mark[at] >> 12, len(pair)).astype(np.uint32)
+                learned = np.bincount(inverse, mark[at] >> CONTEXT_BITS, len(pair)).astype(np.uint32)
                 key, before = unique[hot][pair // CONTEXTS], (pair % CONTEXTS).astype(np.uint16)
                 home = (key % np.uint64(buckets)).astype(np.int64)
                 for b in np.unique(home).tolist():
@@ -165,7 +166,7 @@ def occurrences(blob: bytes | list[bytes]) -> tuple[np.ndarray, ...]:
     """Tokens, contexts, whether to learn from it and documents of the occurrences in a blob, or in its parts."""
     parts = unpack(blob) if isinstance(blob, bytes) else blob
     unique, times, mark, doc = (np.frombuffer(x, k) for x, k in zip(parts, (np.uint64, np.uint32, np.uint16, np.uint16)))
-    return np.repeat(unique, times), (mark % CONTEXTS).astype(np.int64), mark >> 12, doc.astype(np.int64)
+    return np.repeat(unique, times), (mark % CONTEXTS).astype(np.int64), mark >> CONTEXT_BITS, doc.astype(np.int64)
 
 
 def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
