@@ -216,7 +216,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Dat
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, that pass the base rules and the learned list; a narrow pass."""
+    """The rows of docs, with all their columns, that pass the base rules and the learned list; a narrow pass.
+
+    Null and empty texts fail the base rules; rows without doc_id and rows listed twice are judged by their text like others; an empty table
+    stays empty. Of rules that cover the same rows the one grown first is tried first.
+    """
     ship(docs.sparkSession)
     rules, names, column = learn_from_labels(docs, labels, rows), [*COUNTS, *MORE], "_statistics"
     while column in docs.columns:

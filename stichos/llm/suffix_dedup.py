@@ -484,7 +484,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataF
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs with what is left of their texts, and n_chars, if there is one, counted anew; other columns as they are.
 
-    Bytes of a character that was cut in two go with it, so texts stay valid; a text of which nothing is left is empty.
+    Bytes of a character that was cut in two go with it, so texts stay valid; a text of which nothing is left is empty, as is a null text.
+    Rows without doc_id come before all others; an empty table stays empty.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.withColumns({"rest": F.struct(*(F.col(c) for c in rest))}) if rest else docs

@@ -46,6 +46,23 @@ def test_exact(documents, corpus):
         assert r.text_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_exact_on_nothing_and_without_ids(documents):
+    assert exact_dedup.exact_duplicates(documents([])).collect() == [] and exact_dedup.one_of_each(documents([])).collect() == []
+    long_text = "long " * 200_000
+    rows = [(None, "same")] * 40 + [(3, "same"), (7, "same"), (None, "alone"), (None, "alone"), (1, long_text), (2, long_text), (4, long_text + "x")]
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(documents(rows)).collect())
+    assert got == {(None, 7, 42, False): 40, (3, 7, 42, False): 1, (7, 7, 42, True): 1, (None, None, 2, True): 2, (1, 2, 2, False): 1, (2, 2, 2, True): 1, (4, 4, 1, True): 1}
+
+
+def test_very_long_texts(documents):
+    rng = random.Random(12)
+    text = " ".join(words(rng, 60_000, 50_000))
+    rows = [(1, text), (2, text + " end"), (3, " ".join(words(rng, 60_000, 50_000)))]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(rows)).collect()} == {1: 1, 2: 1, 3: 3}
+    removed = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(documents(rows)).collect()}
+    assert removed[2] == (len(text) + 4, len(text)) and removed[1][1] == removed[3][1] == 0
+
+
 def test_exact_rows_that_stay(documents, corpus):
     left = exact_dedup.one_of_each(documents(corpus)).collect()
     assert Counter(r.text or "" for r in left) == Counter({**{t or "": 1 for _, t in corpus}, "one two": 2})

@@ -35,6 +35,13 @@ def test_statistics(documents, labels, tables):
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and r.kept == (not r.base_failed)
 
 
+def test_rules_on_nothing_and_on_a_very_long_text(documents, labels):
+    assert quality_rules.quality_rules(documents([]), labels([])).collect() == [] and quality_rules.keep_documents(documents([]), labels([])).collect() == []
+    text = "\n".join(" ".join(f"w{i * 7 + j}" for j in range(7)) for i in range(30_000))
+    r = quality_rules.quality_rules(documents([(1, text)]), labels([])).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(text) and r.kept
+
+
 def test_rules_keep_clean_documents(tables):
     docs, labels = tables
     rules = quality_rules.learn_from_labels(docs, labels)
@@ -262,6 +269,14 @@ def test_seats_of_none_and_one():
     assert pitman_yor.seat(np.array([1, 0, 1]), np.zeros(3), np.full(3, 0.1), 0.5, np.random.default_rng(1)).tolist() == [1, 0, 1]
 
 
+def test_language_model_on_a_very_long_text(documents):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(40))) for i in range(30)] + [(500, " ".join(rng.choice(["the", "a", "b", f"r{rng.randrange(9000)}"]) for _ in range(150_000)))]
+    got = pitman_yor.score_documents(documents(rows)).collect()
+    assert sorted(map(str, ((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got))) \
+        == sorted(map(str, ((*r[:5], round(r[5], 4)) for r in brute_base(rows))))
+
+
 def test_language_model_on_nothing(documents):
     assert pitman_yor.score_documents(documents([])).count() == 0
     r = pitman_yor.score_documents(documents([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1), "all held out")])).first()

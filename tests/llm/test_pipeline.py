@@ -42,3 +42,16 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0 and cp.ORACLE_SQL is None
+
+
+def test_stages_on_nothing_and_on_odd_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    none = docs.filter("doc_id < 0")
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, SF).count() == 0
+    text = " ".join(f"word{i} and" for i in range(100))
+    odd = spark.createDataFrame([(None, text, "en", "src1", 1), (None, None, "en", "src1", None), (5, "", None, None, 0), (6, text, "en", "src1", 1), (6, text, "en", "src1", 1), (6, text + " more", "en", "src1", 1), (7, "few", "en", "src1", 1)], docs.schema)
+    for name, stage in cp.STAGES:
+        stage(spark, odd, SF).write.parquet(f"{tmp_path}/{name}")
+        odd = spark.read.parquet(f"{tmp_path}/{name}")
+    assert {r.doc_id for r in odd.collect()} <= {None, 5, 6, 7}
