@@ -441,7 +441,8 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, its place in the order (k1; none is first), k2 to tell texts with one doc_id apart, text, further columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = F.lit(NULL_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 61))    # rows without doc_id have keys of their own
+    # rows without doc_id have keys of their own; never null to Spark, so that no filter keeps both joins by k1 from sharing one shuffle
+    own = F.lit(NULL_ID) + F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), own).alias("k1"),
                        F.xxhash64(text).alias("k2"), text.alias("text"), *more)
 
