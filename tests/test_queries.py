@@ -7,7 +7,9 @@ from check import TABLES, rows_of
 from queries import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
-FAST = sorted(all_oracles())
+# what these compute is part of a longer query that runs here
+PARTS = {"e04_approaches", "f02_dialect_vector", "r08_long_features"}
+NAMES = sorted(set(all_oracles()) - PARTS)
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     got, want = all_queries()[name](spark, SF).toPandas(), con.execute(all_oracles()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
