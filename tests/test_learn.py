@@ -60,8 +60,8 @@ def test_rows_are_sent_to_rings_that_can_win(spark, monkeypatch):
         return inner(visits, *args)
 
     monkeypatch.setattr(nb, "_search", counted)
-    assert nb.nearest(df, 3).count() == 3 * n
-    # 40 cells of 16 rings could be asked; two are at first, and few are left
+    assert nb.nearest(df, 3, rows_per_block=128).count() == 3 * n
+    # about 60 cells could be asked; two are at first, and few are left
     assert sent[0] == 2 * n and sent[1] < 12 * n
 
 
