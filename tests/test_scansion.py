@@ -1,5 +1,7 @@
 """Scansion on verse typed by hand, and properties of all readings."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from stichos.functions import feet as ft, phonemes as ph, text as tx
@@ -144,3 +146,35 @@ def test_normalisation(spark):
     got = {r.t: r.s for r in df.select("t", tx.standardize("t").alias("s")).collect()}
     assert got["*)axilh=os"] == "a)xilh=os" and got["*dio\\s"] == "dio/s" and got["a)/nqrwpo/s"] == "a)/nqrwpos"
     assert got["dia/doxa/"] == "dia/doxa/"
+
+
+def _facts_by_hand(pattern, shorten="AY"):
+    parts = re.findall(rf"[A-Z]\|?[{ph.KINDS}]", pattern)
+    classes, corr = "", 0
+    for i, p in enumerate(parts):
+        opened = p.endswith("|v") or (p.endswith("|o") and i < len(parts) - 1)
+        corr += opened and p[0] in shorten
+        classes += "L" if p[-1] in "xz469" or (p[0] in "AY" and not opened) else "S" if p[0] in "EB" and p[-1] not in "89<" else "U"
+    some = [p for p in parts if p[0] != "Y"]
+    return (len(parts), classes, sum("|" in p for p in parts), corr, sum(p[-1] in "46" for p in some), sum(p[-1] in "89" for p in some),
+            sum(p.endswith("|v") for p in some))
+
+
+def test_syllable_facts_of_all_pairs(spark):
+    cells = [a + b + c for a in ph.NUCLEI for b in ("", "|") for c in ph.KINDS]
+    rows = [(x + y,) for x in cells for y in cells[::7]] + [("".join(cells),), ("".join(cells[::-1]),), ("",)]
+    df = spark.createDataFrame(rows, "p string")
+    for approach, shorten in ((ph.STUDENT, "AY"), (ph.NATIVE, "AYDB")):
+        f = ph.syllable_facts("p", approach)
+        got = df.select("p", *[f[c].alias(c) for c in ("n", "classes", "pauses", "corr", "ml", "dig_c", "dig_h")]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert tuple(r)[1:] == _facts_by_hand(r.p, shorten)
+
+
+def test_pattern_of_a_line_is_computed_once(spark):
+    """Not once more per syllable (in a lambda), nor in a filter below."""
+    from queries import all_queries
+    for name in ("s05_s07_syllables", "s08_synizesis_pass2", "s08_synizesis_pass5"):
+        plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and plan.count("eoaiuj._=~") == 1
