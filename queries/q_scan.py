@@ -293,7 +293,7 @@ u AS (SELECT doc_id, line, feet FROM other UNION ALL SELECT doc_id, line, target
 SELECT doc_id, line, count(*) AS n_scans, (count(DISTINCT feet) <= 1 AND count(feet) IN (0, count(*))) AS same FROM u GROUP BY ALL""")
 def all_same(spark, sf):
     o = _other(spark, sf)
-    u = o.select("doc_id", "line", "feet").unionByName(o.select("doc_id", "line", F.col("target").alias("feet")))
+    u = o.select("doc_id", "line", F.explode(F.array("feet", "target")).alias("feet"))
     return ev.all_same(u, ["doc_id", "line"])
 
 

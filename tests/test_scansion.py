@@ -178,3 +178,9 @@ def test_pattern_of_a_line_is_computed_once(spark):
     for name in ("s05_s07_syllables", "s08_synizesis_pass2", "s08_synizesis_pass5"):
         plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "lambda" not in plan and plan.count("eoaiuj._=~") == 1
+
+
+def test_equal_scans_read_their_lines_once(spark):
+    from queries import all_queries
+    plan = all_queries()["e05_all_same"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Union" not in plan
