@@ -98,6 +98,13 @@ for _prefix, _name in (("SW", "d_sw_rules"), ("NE", "d_ne_rules"), ("VE", "d_ve_
 
 # ---- R-* -------------------------------------------------------------------------------------------------
 
+def _once(df):
+    """A table that several branches of a query read, written and read back: pruned to the columns of each branch it would be computed once for each."""
+    path = c.scratch(df.sparkSession, "once")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _voted(spark, sf):
     p = prepared(spark, sf)
     return p, di.rule_votes(p)
@@ -306,10 +313,11 @@ def meter_vector(spark, sf):
 
 
 def _dialect_long(spark, sf):
-    p, v = _voted(spark, sf)
-    counts = _counts(spark, sf)
-    texts = di.dialect_counts(counts, di.token_outcomes(p, di.reconcile(v)))
-    per = di.rule_counts(counts, di.rule_outcomes(v), ["text_name", "book"])
+    # spread by token again, as the steps on parses group by token and more
+    p = _once(prepared(spark, sf)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+    v, counts = di.rule_votes(p), _once(_counts(spark, sf))
+    texts = _once(di.dialect_counts(counts, di.token_outcomes(p, di.reconcile(v)), keep=_once))
+    per = _once(di.rule_counts(counts, di.rule_outcomes(v), ["text_name", "book"]))
     rules = di.with_overall(per, "text_name", "book", ["possible_max", "possible_min", *di.BOUND_COLUMNS], ["rule"])
     long_ = di.as_long(texts, ["text_name", "sub"]).unionByName(di.as_long(rules, ["text_name", "sub"], "rule"))
     return mx.dialect_vector(long_, texts, ["text_name", "sub"])

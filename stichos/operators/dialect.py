@@ -6,6 +6,8 @@ the vocabulary; texts enter as counts of (text, book, token), which are summed o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stichos.functions import text as tx
@@ -164,10 +166,11 @@ def with_overall(per_part: DataFrame, text: str, part: str, sums: list[str], ext
     return head.unionByName(body)
 
 
-def dialect_counts(counts: DataFrame, outcomes: DataFrame, text: str = "text_name", part: str = "book") -> DataFrame:
+def dialect_counts(counts: DataFrame, outcomes: DataFrame, text: str = "text_name", part: str = "book",
+                   keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """R-7 for R-5: additive counts are summed over books; distinct tokens of the whole
-    text are counted again (valid tokens are additive over occurrences)."""
-    per_part = text_counts(counts, outcomes, [text, part])
+    text are counted again (valid tokens are additive over occurrences). `keep` may store the few rows per part, which are read three times."""
+    per_part = keep(text_counts(counts, outcomes, [text, part]))
     sums = ["n_tokens", "n_valid", *BOUND_COLUMNS]
     both = with_overall(per_part, text, part, sums)
     unique_part = per_part.select(text, F.concat(F.lit("Book "), F.col(part).cast("string")).alias("sub"), "n_unique")

@@ -125,3 +125,22 @@ def test_codes_round_trip(spark):
     df = spark.range(votes.N_COMBOS).selectExpr("cast(id as int) code")
     v = [votes.decode("code", j) for j in range(3)]
     assert df.filter(votes.encode(v) != df.code).count() == 0
+
+
+def test_dialect_vector_computes_shared_tables_once(spark, tmp_path):
+    """The result is put together from stored tables, none of its branches goes back to the documents; the values are those of the SQL."""
+    import duckdb
+
+    from check import rows_of
+    from queries import all_oracles, all_queries
+    texts = ["mh=nin a)/eide qea\\ te ge", "tis te o(/sos po/lis\nge te", None, "", "te te te"]
+    rows = [(k, ("en", "fr")[k % 2], f"src{k % 3}", t) for k, t in enumerate(texts)]
+    folder = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").coalesce(1).write.parquet(folder)
+    out = all_queries()["f02_dialect_vector"](spark, str(tmp_path))
+    assert out.inputFiles() and not [f for f in out.inputFiles() if "documents" in f]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+    con.execute("CREATE VIEW benchmark AS SELECT * FROM read_parquet('/root/testdata/sf0.001/benchmark.parquet')")
+    got, want = out.toPandas(), con.execute(all_oracles()["f02_dialect_vector"]).df()
+    assert len(got) and rows_of(got) == rows_of(want)
