@@ -65,6 +65,32 @@ def test_rows_are_sent_to_rings_that_can_win(spark, monkeypatch):
     assert sent[0] == 2 * n and sent[1] < 12 * n
 
 
+@pytest.mark.parametrize("kind", ["even", "far", "near", "one fold", "equal"])
+def test_products_leave_the_rows_that_win(kind):
+    """Several blocks of both sides, against distances measured one by one."""
+    rng = np.random.default_rng(3)
+    x, y, k = rng.normal(size=(1100, 6)), rng.normal(size=(8300, 6)), 3
+    own, folds = rng.integers(0, 3, len(x)), rng.integers(0, 3, len(y))
+    if kind == "far":
+        x, y = x + 1e4, y + 1e4                                        # far from zero, near to each other
+    elif kind == "near":
+        x[:500] = y[:500] + 1e-9
+    elif kind == "one fold":
+        folds[:8250] = own[:] = 1                                      # the first block holds no row that trains
+    elif kind == "equal":
+        x, y = np.sign(x), np.sign(y)                                  # many equal distances
+    q, t, d = nb.closest(x, y, own, folds, np.full(len(x), np.inf), k)
+    tried = rng.choice(len(x), 60, False)
+    for i in tried:
+        want = ((y - x[i]) ** 2).sum(axis=1)
+        want[folds == own[i]] = np.inf
+        first = np.argsort(want, kind="stable")[:k]
+        assert t[q == i].tolist() == first.tolist() and d[q == i].tolist() == want[first].tolist()
+    # a bound that holds leaves the same rows
+    farthest = np.sqrt(np.array([d[q == i].max() for i in range(len(x))]))
+    assert all((a == b).all() for a, b in zip((q, t, d), nb.closest(x, y, own, folds, farthest, k)))
+
+
 # ---- lasso ---------------------------------------------------------------------------------------------------
 
 def data(spark, n=400, width=12, seed=3):
