@@ -65,6 +65,28 @@ def test_a_line_is_shuffled_twice(spark):
     assert len(own) == 3                                              # words to types, types to words, words back to their lines
 
 
+def test_words_are_sent_once_per_chunk(spark, monkeypatch):
+    lines = spark.createDataFrame([("A", k, "te te xw/ra te ") for k in range(1000)], "text_name string, line int, text string").coalesce(1)
+    rows = sc._chunks(lines, "text")
+    assert rows.filter("raw IS NULL").count() == 1000 and rows.filter("raw IS NOT NULL").count() == 2
+    # many chunks give the same lines
+    tokens = spark.createDataFrame([("te", "te", True, False), ("xw/ra", "xw_ra", False, True)], "token string, sound string, enclitic boolean, proclitic boolean")
+    monkeypatch.setattr(sc, "CHUNK_LINES", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+    try:
+        assert sc._chunks(lines, "text").filter("raw IS NOT NULL").select("chunk").distinct().count() == 9
+        got = sc.line_sounds(lines, tokens, ["text_name", "line"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.line for r in got) == list(range(1000)) and {r.sound_text for r in got} == {"te.te xw_ra.te "}
+
+
+def test_clitics_on_words_without_sound():
+    assert sc._glued([("a", False, False), ("", False, False), ("b", True, False)]) == "a.b "
+    assert sc._glued([("", False, False), ("b", True, True)]) == ".b "
+    assert sc._glued([("a", False, True), ("b", True, False), ("c", False, False)]) == "a.b c "
+
+
 def test_split_ending(spark):
     df = spark.createDataFrame([("oi)i+w", "oi)"), ("a)/nra", "a)"), ("lo/gos", "log"), ("lo/gos", "vlog"), ("lo/gos", "xog"), ("gero/nti", "geront")], "token string, stem string")
     got = {(r.token, r.stem): r.ending for r in lx.split_ending(df).collect()}
