@@ -161,7 +161,7 @@ def token_outcomes(spark, sf):
 
 
 def _counts(spark, sf):
-    return c.tokens(spark, sf).groupBy("text_name", "book", "token").agg(F.count("*").alias("n"))
+    return c.token_counts(spark, sf, ["text_name", "book"])
 
 
 _BITS = ", ".join(f"CAST(coalesce(sum(n * (({s}_{b} >> {k}) & 1)), 0) AS BIGINT) AS {s}_{b}_{k}"

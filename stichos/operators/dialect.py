@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stichos.functions import text as tx
-from stichos.operators.tokens import salted_join
+from stichos.operators.tokens import join_types
 from stichos.rules import table, votes
 
 SCOPES = ("combo", "dialect")
@@ -142,7 +142,7 @@ def text_counts(counts: DataFrame, outcomes: DataFrame, by: list[str]) -> DataFr
     """
     n = F.col("n")
     valid = F.col("n_parses").isNotNull()
-    joined = salted_join(counts, outcomes, ["token"], salt_by=by)
+    joined = join_types(counts, outcomes, ["token"])
     return joined.groupBy(*by).agg(
         F.sum(n).alias("n_tokens"), F.count("*").alias("n_unique"),
         F.sum(F.when(valid, n).otherwise(0)).alias("n_valid"), *_bounds(F.coalesce(n, F.lit(0))))
@@ -151,7 +151,7 @@ def text_counts(counts: DataFrame, outcomes: DataFrame, by: list[str]) -> DataFr
 def rule_counts(counts: DataFrame, outcomes: DataFrame, by: list[str]) -> DataFrame:
     """R-6: per group and rule: possible, combo and dialect outcomes, max and min."""
     n = F.col("n")
-    return (salted_join(counts, outcomes, ["token"], salt_by=by).filter("rule IS NOT NULL").groupBy(*by, "rule").agg(
+    return (join_types(counts, outcomes, ["token"]).filter("rule IS NOT NULL").groupBy(*by, "rule").agg(
         F.sum(n * F.col("possible_max")).alias("possible_max"),
         F.sum(n * F.col("possible_min")).alias("possible_min"), *_bounds(n)))
 

@@ -1,5 +1,6 @@
 """Rules on forms with known dialects, verdicts on clashing votes."""
 
+from stichos.operators import tokens as tk
 from stichos.operators import dialect as di
 from stichos.rules import table, votes
 
@@ -144,3 +145,17 @@ def test_dialect_vector_computes_shared_tables_once(spark, tmp_path):
     con.execute("CREATE VIEW benchmark AS SELECT * FROM read_parquet('/root/testdata/sf0.001/benchmark.parquet')")
     got, want = out.toPandas(), con.execute(all_oracles()["f02_dialect_vector"]).df()
     assert len(got) and rows_of(got) == rows_of(want)
+
+
+def test_types_are_joined_without_copies(spark):
+    counts = spark.createDataFrame([("A", 1, "te", 4), ("A", 2, "te", 1), ("A", 2, "xx", 7)], "text_name string, book int, token string, n long")
+    outcomes = spark.createDataFrame([("te", 2, 1, 1, 1, 1)], "token string, n_parses int, combo_max int, combo_min int, dialect_max int, dialect_min int")
+    out = di.text_counts(counts, outcomes, ["text_name", "book"])
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.book, r.n_tokens, r.n_unique, r.n_valid, r.combo_max_0) for r in out.collect()) == [(1, 4, 1, 4, 4), (2, 8, 2, 1, 1)]
+
+
+def test_spellings_are_counted_before_they_are_standardised(spark):
+    words = spark.createDataFrame([("A", w) for w in ("*te", "te", "te", "dw\\ra", "dw/ra", None)], "text_name string, raw string")
+    got = sorted(((r.token, r.n) for r in tk.counted(words.filter("raw <> ''"), ["text_name"]).collect()))
+    assert got == [("dw/ra", 2), ("te", 3)]
