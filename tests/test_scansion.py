@@ -184,3 +184,10 @@ def test_equal_scans_read_their_lines_once(spark):
     from queries import all_queries
     plan = all_queries()["e05_all_same"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1 and "Union" not in plan
+
+
+def test_steps_of_the_scan_stay_apart(spark):
+    """In one method of whole-stage code they would be too long for the JVM to compile."""
+    plan = sc.scan_lines(sc.clean_verses(_lines(spark)))._jdf.queryExecution().executedPlan().toString()
+    steps = [x for x in plan.splitlines() if "Project" in x]
+    assert sum("*(" not in x for x in steps) >= 20
