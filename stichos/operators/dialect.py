@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stichos.functions import text as tx
+from stichos.functions.text import let
 from stichos.operators.tokens import join_types
 from stichos.rules import table, votes
 
@@ -32,8 +33,8 @@ def prepare_parses(parses: DataFrame, stem_classes: DataFrame | None = None) ->
 def rule_votes(prepared: DataFrame, rules=table.RULE_NAMES) -> DataFrame:
     """R-1: one row per (token, parse_no, rule) that votes, with the combination code.
 
-    All rules of a parse sit in one array inside a higher-order filter: as 42 plain columns
-    they would outgrow the size of one generated method.
+    All rules of a parse sit in one array, a column of a step of its own: inside a higher-order filter every rule would be
+    interpreted. Bound values keep that step out of whole-stage code, whose one method all rules would outgrow.
     """
     about = {r: table.lemmas_of(r) for r in rules}
     cells = lambda some: F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(table.case_expression(r, votes.code_of)).alias("code")) for r in some])
@@ -42,14 +43,15 @@ def rule_votes(prepared: DataFrame, rules=table.RULE_NAMES) -> DataFrame:
     every = []
     if of_words:
         words = sorted(set().union(*(about[r] for r in of_words)))
-        every.append(F.when(F.col("lemma").isin(*words), cells(of_words)).otherwise(F.array().cast("array<struct<rule:string,code:int>>")))
+        known = let(F.col("lemma").isin(*words), lambda v: v)
+        every.append(F.when(known, cells(of_words)).otherwise(F.array().cast("array<struct<rule:string,code:int>>")))
     if others:
         every.append(cells(others))
-    cells = F.concat(*every)
+    tried = prepared.select("token", let(F.col("parse_no"), lambda v: v).alias("parse_no"), "n_parses", F.concat(*every).alias("_cells"))
     # the outer form, because Spark would otherwise evaluate the array once more in a filter
     # (size > 0) that it infers and pushes down
-    return prepared.select("token", "parse_no", "n_parses", F.inline_outer(
-        F.filter(cells, lambda c: c["code"] != votes.NEUTRAL))).filter("rule IS NOT NULL")
+    return tried.select("token", "parse_no", "n_parses", F.inline_outer(
+        F.filter("_cells", lambda c: c["code"] != votes.NEUTRAL))).filter("rule IS NOT NULL")
 
 
 def with_parse_count(parses: DataFrame) -> DataFrame:

@@ -159,3 +159,18 @@ def test_spellings_are_counted_before_they_are_standardised(spark):
     words = spark.createDataFrame([("A", w) for w in ("*te", "te", "te", "dw\\ra", "dw/ra", None)], "text_name string, raw string")
     got = sorted(((r.token, r.n) for r in tk.counted(words.filter("raw <> ''"), ["text_name"]).collect()))
     assert got == [("dw/ra", 2), ("te", 3)]
+
+
+def test_rules_are_compiled(spark):
+    """Inside the generator, whose filter is a higher-order one, a rule would be interpreted; in one method with other steps it would not be compiled."""
+    fields = [f"if(id > 9, 'x', null) `{f}`" for f in FIELDS]
+    parses = spark.range(4).selectExpr("concat('t', id) token", "int(id) parse_no", "if(id > 9, 'x', 'lew/s') form", "if(id = 3, null, 'lao/s') lemma", "if(id > 9, 'x', 'noun') pos", "1 n_parses", *fields)
+    votes_ = di.rule_votes(di.prepare_parses(parses.repartition(2)))
+    assert {(r.token, r.rule) for r in votes_.collect() if r.rule == "SW.2"} == {(f"t{i}", "SW.2") for i in range(3)}
+    for few in (votes_, votes_.select("token", "rule")):
+        few.collect()
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        steps = plan.split("\n")
+        assert not any("Generate inline" in s and "CASE WHEN" in s for s in steps)
+        ruled = [s for s in steps if "CASE WHEN" in s and "SW.2" in s and "Project [" in s]
+        assert ruled and not any("*(" in s.split("Project [")[0] for s in ruled)
