@@ -205,6 +205,17 @@ def test_grid_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert all(r.pred is None for r in log if r.cell.startswith("lasso 0.40 -> pca3"))  # too few features are left for three components
 
 
+def test_grid_spreads_rows_of_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(gr, "ROWS_PER_TASK", 10)
+    rows = spark.range(60).coalesce(1).selectExpr("id name", "array(double(id % 2), double(id % 7)) features", "int(id % 2) label", "int(id div 2 % 2) fold")
+    cells = [le.Cell(0.0, "scale", "logistic")]
+    log = gr.prediction_log(le.as_vectors(rows), [0, 1], cells, 2, str(tmp_path), jobs=1)
+    assert log.count() == 60 and log.filter("pred = label").count() == 60
+    for table in ("rows", "prepared"):
+        parts = [spark.read.parquet(str(p)).count() for p in (tmp_path / table).rglob("*.parquet")]
+        assert max(parts) < 60 and sum(n > 0 for n in parts) > 1
+
+
 # ---- classifiers ---------------------------------------------------------------------------------------------
 
 def blobs(spark, n=160, width=3, labels=2, seed=6):
