@@ -41,9 +41,9 @@ PAIRS = _pairs()
 SUFFIXES = sorted({s for _, arms in table.RULES.values() for test, _ in arms for s in re.findall(r"right\(\w+, \d+\) = '([^']*)'", test)})
 
 
-def rule_parses(spark, sf):
+def rule_parses(spark, sf, words=None):
     """Up to three parses per token, dense in words, classes and endings the rules know."""
-    p = ql.parses(spark, sf)
+    p = ql.parses(spark, sf, words)
     k = ql.part(70) % len(PAIRS) + 1
     lem, start = (F.element_at(F.array(*[F.lit(x[i]) for x in PAIRS]), k) for i in (0, 1))
     end = ql.chosen(SUFFIXES, 71)
@@ -77,8 +77,8 @@ def _codes_sql(names):
  FROM (SELECT token, parse_no, n_parses, unnest([{cells}]) AS v FROM prep) WHERE v.code <> 13)"""
 
 
-def prepared(spark, sf):
-    return di.with_parse_count(di.prepare_parses(rule_parses(spark, sf)))
+def prepared(spark, sf, words=None):
+    return di.with_parse_count(di.prepare_parses(rule_parses(spark, sf, words)))
 
 
 def _rule_query(prefix):
@@ -164,6 +164,17 @@ def _counts(spark, sf):
     return c.token_counts(spark, sf, ["text_name", "book"])
 
 
+def _counted_and_prepared(spark, sf):
+    """Token counts per book and the parses of their tokens, from one pass over the documents."""
+    counts = _once(_counts(spark, sf))
+    return counts, prepared(spark, sf, counts.groupBy("token").agg(F.sum("n").alias("n")))
+
+
+def _by_token(p):
+    """Parses or votes that are read twice, written once and spread by token again: the steps on parses group by token and more."""
+    return _once(p).repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+
+
 _BITS = ", ".join(f"CAST(coalesce(sum(n * (({s}_{b} >> {k}) & 1)), 0) AS BIGINT) AS {s}_{b}_{k}"
                   for b in ("max", "min") for s, size in (("combo", 27), ("dialect", 3)) for k in range(size))
 _TEXT = _VERD + f""",
@@ -174,8 +185,9 @@ texts AS (SELECT text_name, CASE WHEN grouping(book) = 1 THEN 'Overall' ELSE 'Bo
 
 
 def text_counts(spark, sf):
-    p, _, verdicts = _outcomes(spark, sf)
-    return di.dialect_counts(_counts(spark, sf), di.token_outcomes(p, verdicts))
+    counts, p = _counted_and_prepared(spark, sf)
+    p = _by_token(p)
+    return di.dialect_counts(counts, di.token_outcomes(p, di.reconcile(di.rule_votes(p))), keep=_once)
 
 
 @query("r05_r07_text_counts", _TEXT + " SELECT * FROM texts")
@@ -184,8 +196,8 @@ def text_counts_query(spark, sf):
 
 
 def rule_sums(spark, sf):
-    _, v = _voted(spark, sf)
-    per = di.rule_counts(_counts(spark, sf), di.rule_outcomes(v), ["text_name", "book"])
+    counts, p = _counted_and_prepared(spark, sf)
+    per = _once(di.rule_counts(counts, di.rule_outcomes(di.rule_votes(p)), ["text_name", "book"]))
     return di.with_overall(per, "text_name", "book", ["possible_max", "possible_min", *di.BOUND_COLUMNS], ["rule"])
 
 
@@ -238,8 +250,9 @@ _SUMN = "CAST(coalesce(sum(n) FILTER (WHERE {}), 0) AS BIGINT)"
 @query("r10_weighted_agreement", _TAGN.split("ag AS (")[0].rstrip().rstrip(",") + f""" SELECT x.d AS dialect_name, {_SUMN.format('x.o AND x.t')} AS n_both, {_SUMN.format('x.o AND NOT x.t')} AS n_ours, {_SUMN.format('NOT x.o AND x.t')} AS n_theirs,
   {_SUMN.format('NOT x.o AND NOT x.t')} AS n_neither, round(100.0 * sum(n) FILTER (WHERE x.o = x.t) / sum(n), 6) AS agree_percent FROM tg GROUP BY ALL""")
 def weighted_agreement(spark, sf):
-    p, _, verdicts = _outcomes(spark, sf)
-    return di.tag_agreement(p, verdicts, _counts(spark, sf)).withColumn("agree_percent", c.r6("agree_percent"))
+    counts, p = _counted_and_prepared(spark, sf)
+    p = _by_token(p)
+    return di.tag_agreement(p, di.reconcile(di.rule_votes(p)), counts).withColumn("agree_percent", c.r6("agree_percent"))
 
 
 @query("r10_samples", _TAGN.split("ag AS (")[0].rstrip().rstrip(",") + """,
@@ -247,8 +260,9 @@ pr AS (SELECT x.d AS dialect_name, CASE WHEN x.o AND x.t THEN 'both' WHEN x.o TH
 dr AS (SELECT *, -ln((CAST('0x' || left(md5(dialect_name || '#' || outcome || '#' || lemma || '#' || form || '#' || coalesce(dialect, '')), 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE) / n AS draw FROM pr)
 SELECT dialect_name, outcome, lemma, form, dialect, n, place FROM (SELECT *, row_number() OVER (PARTITION BY dialect_name, outcome ORDER BY draw, lemma, form, dialect) AS place FROM dr) WHERE place <= 20""")
 def samples(spark, sf):
-    p, _, verdicts = _outcomes(spark, sf)
-    out = di.tag_samples(p, verdicts, 20, _counts(spark, sf))
+    counts, p = _counted_and_prepared(spark, sf)
+    p = _by_token(p)
+    out = di.tag_samples(p, di.reconcile(di.rule_votes(p)), 20, counts)
     return out.withColumn("place", F.col("place").cast("long"))
 
 
@@ -268,8 +282,8 @@ def token_report(spark, sf):
 @query("r12_parse_reasons", _VERD + """, x AS (SELECT token, parse_no, rule, unnest([{'j': 1, 'n': 'Ionic', 'y': d0 = 1}, {'j': 2, 'n': 'Aeolic', 'y': d1 = 1}, {'j': 3, 'n': 'Homeric', 'y': d2 = 1}]) AS q FROM voted)
 SELECT x.token, x.parse_no, q.n AS dialect_name, array_to_string(list_sort(list(DISTINCT rule)), ', ') AS reasons FROM x JOIN verdicts USING (token, parse_no) WHERE q.y AND v[q.j] = 1 GROUP BY ALL""")
 def parse_reasons(spark, sf):
-    _, v, verdicts = _outcomes(spark, sf)
-    return di.parse_reasons(v, verdicts)
+    v = _by_token(_voted(spark, sf)[1])
+    return di.parse_reasons(v, di.reconcile(v))
 
 
 @query("r13_rule_report", _RULES + " SELECT text_name, sub, rule, possible_max, possible_min, " + ", ".join(
@@ -313,9 +327,9 @@ def meter_vector(spark, sf):
 
 
 def _dialect_long(spark, sf):
-    # spread by token again, as the steps on parses group by token and more
-    p = _once(prepared(spark, sf)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-    v, counts = di.rule_votes(p), _once(_counts(spark, sf))
+    counts, p = _counted_and_prepared(spark, sf)
+    p = _by_token(p)
+    v = di.rule_votes(p)
     texts = _once(di.dialect_counts(counts, di.token_outcomes(p, di.reconcile(v)), keep=_once))
     per = _once(di.rule_counts(counts, di.rule_outcomes(v), ["text_name", "book"]))
     rules = di.with_overall(per, "text_name", "book", ["possible_max", "possible_min", *di.BOUND_COLUMNS], ["rule"])

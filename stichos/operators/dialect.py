@@ -137,25 +137,31 @@ BOUND_COLUMNS = tuple(f"{scope}_{bound}_{k}" for bound in ("max", "min")
                       for scope, size in (("combo", votes.N_COMBOS), ("dialect", 3)) for k in range(size))
 
 
+# Tokens of a group with the same sets are summed up first: the sixty sums below are made over kinds of outcomes, not over tokens.
+SETS = ("combo_max", "combo_min", "dialect_max", "dialect_min")
+
+
 def text_counts(counts: DataFrame, outcomes: DataFrame, by: list[str]) -> DataFrame:
     """R-5: tokens, distinct and valid tokens, and all combo and dialect counts per group.
 
     `counts`: one row per (group, token) with n. Tokens without a parse are not valid.
     """
-    n = F.col("n")
-    valid = F.col("n_parses").isNotNull()
-    joined = join_types(counts, outcomes, ["token"])
-    return joined.groupBy(*by).agg(
-        F.sum(n).alias("n_tokens"), F.count("*").alias("n_unique"),
-        F.sum(F.when(valid, n).otherwise(0)).alias("n_valid"), *_bounds(F.coalesce(n, F.lit(0))))
+    valid = F.col("n_parses").isNotNull().alias("_valid")
+    alike = join_types(counts, outcomes, ["token"]).groupBy(*by, *SETS, valid).agg(F.sum("n").alias("_n"), F.count("*").alias("_tokens"))
+    n = F.col("_n")
+    return alike.groupBy(*by).agg(
+        F.sum(n).alias("n_tokens"), F.sum("_tokens").alias("n_unique"),
+        F.sum(F.when(F.col("_valid"), n).otherwise(0)).alias("n_valid"), *_bounds(F.coalesce(n, F.lit(0))))
 
 
 def rule_counts(counts: DataFrame, outcomes: DataFrame, by: list[str]) -> DataFrame:
     """R-6: per group and rule: possible, combo and dialect outcomes, max and min."""
-    n = F.col("n")
-    return (join_types(counts, outcomes, ["token"]).filter("rule IS NOT NULL").groupBy(*by, "rule").agg(
+    alike = (join_types(counts, outcomes, ["token"]).filter("rule IS NOT NULL")
+             .groupBy(*by, "rule", "possible_max", "possible_min", *SETS).agg(F.sum("n").alias("_n")))
+    n = F.col("_n")
+    return alike.groupBy(*by, "rule").agg(
         F.sum(n * F.col("possible_max")).alias("possible_max"),
-        F.sum(n * F.col("possible_min")).alias("possible_min"), *_bounds(n)))
+        F.sum(n * F.col("possible_min")).alias("possible_min"), *_bounds(n))
 
 
 def with_overall(per_part: DataFrame, text: str, part: str, sums: list[str], extra: list[str] = ()) -> DataFrame:
